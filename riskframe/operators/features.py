@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,15 +163,31 @@ class FeaturePipeline:
         self.encodings: dict[str, DataFrame] = {}
 
     # ------------------------------------------------------------------ fit
-    def fit(self, base: DataFrame) -> FeatureSpec:
+    def fit(self, base: DataFrame, cache: bool = True) -> FeatureSpec:
+        """Freeze all data-dependent choices. ``base`` is scanned by a few aggregate passes, so it is
+        persisted (memory and disk) for the duration of the fit when ``cache`` is set."""
+        if cache:
+            base = base.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._fit(base)
+        finally:
+            if cache:
+                base.unpersist()
+
+    def _fit(self, base: DataFrame) -> FeatureSpec:
         cfg = self.config
         spec = FeatureSpec(config=cfg)
         num = numeric_columns(base)
         strs = string_columns(base)
         spec.numeric_columns = num
-        # Pass 1: null counts of every column (one aggregate).
-        nulls_row = base.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in num + strs]).first()
-        nulls = {c: int(nulls_row[c] or 0) for c in num + strs}
+        # Pass 1 (one aggregate): null counts of every column, min loan amount, target mean.
+        extra = []
+        if "loanAmount" in base.columns:
+            extra.append(F.min("loanAmount").alias("__min_amount"))
+        if "originated" in base.columns:
+            extra.append(F.avg(F.col("originated").cast("int")).alias("__target_mean"))
+        row = base.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in num + strs], *extra).first()
+        nulls = {c: int(row[c] or 0) for c in num + strs}
         # Pass 2: exact medians of every numeric column (distributed, two-level ranking).
         if num:
             long = base.select(*[F.col(c).cast("double").alias(c) for c in num]).unpivot(
@@ -202,8 +219,10 @@ class FeaturePipeline:
             if "loanAmount" in filled.columns and "apr" in filled.columns:
                 numeric_features.append("loanAmount_x_apr")
             if "leadCost" in filled.columns and "loanAmount" in filled.columns:
-                ok = filled.agg(F.every(F.coalesce(F.col("loanAmount") > 0, F.lit(False))).alias("ok")).first()["ok"]
-                spec.ratio_feature = bool(ok)
+                # every filled amount > 0  <=>  min of the non-null amounts > 0 (the median fill lies
+                # between min and max).
+                mn = row["__min_amount"]
+                spec.ratio_feature = mn is not None and mn > 0
                 if spec.ratio_feature:
                     numeric_features.append("leadCost_to_loanAmount")
         if cfg.get("polynomial_features"):
@@ -215,7 +234,7 @@ class FeaturePipeline:
             self.encodings = target_encodings(df, spec.encoded)
             if self.checkpoint_fitted:
                 self.encodings = {k: v.checkpoint(eager=True) for k, v in self.encodings.items()}
-            spec.encoding_global_mean = df.agg(F.avg(F.col("originated").cast("int"))).first()[0]
+            spec.encoding_global_mean = row["__target_mean"]
             df = apply_encodings(df, self.encodings, None)
             numeric_features += [f"{c}_target_encoded" for c in spec.encoded]
         if cfg.get("drop_low_variance"):

@@ -7,7 +7,8 @@ large share of 100 TB. Instead (two levels):
 
 1. ``groupBy(group, value)`` -> distinct values with counts (map-side partial aggregation, so a hot
    value collapses before the shuffle).
-2. ``percentile_approx`` per group gives ~B range edges (a bounded sketch per group); every distinct
+2. Groups with more rows than one task should sort (ROWS_PER_RANGE) are cut into ranges:
+   ``percentile_approx`` per group gives ~B range edges (a bounded sketch per group); every distinct
    value gets its range index ``#edges < value``.
 3. Per (group, range) totals -> a small table (groups x B rows); an exclusive prefix over ranges gives
    each range's offset (window over <= B rows per group).
@@ -30,10 +31,14 @@ ROWS_PER_RANGE = 2_000_000
 
 
 def _ranges_for(n_max: int, n_ranges: int | None) -> int:
+    """Number of value ranges per group: 1 while the largest group fits one task's sort
+    (<= ROWS_PER_RANGE rows), else a power of two giving ~ROWS_PER_RANGE rows per range."""
     if n_ranges is not None:
         return max(1, int(n_ranges))
-    want = max(1, math.ceil(n_max / ROWS_PER_RANGE))
-    return int(min(16384, max(64, 2 ** math.ceil(math.log2(want)))))
+    if n_max <= ROWS_PER_RANGE:
+        return 1
+    want = math.ceil(n_max / ROWS_PER_RANGE)
+    return int(min(16384, 2 ** math.ceil(math.log2(want))))
 
 
 def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
@@ -72,13 +77,16 @@ def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str, weig
     totals = df.sparkSession.createDataFrame(totals_local, totals_rows.schema).drop("__rows")
     n_max = max([r["__rows"] for r in totals_local], default=0)
     b = _ranges_for(n_max, n_ranges)
+    if b == 1:
+        # Every group fits one task: a plain running count per group.
+        w = Window.partitionBy(*g).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = distinct.select(*g, "value", *weights.keys(),
+                                 *[F.sum(n).over(w).alias(f"cum_{n}") for n in weights])
+        return ranked, totals
     probs = [i / b for i in range(1, b)]
-    if probs:
-        edges = base.groupBy(*g).agg(F.percentile_approx("value", probs, 10000).alias("__edges"))
-        d = join_small(distinct, edges, g, n_groups)
-        d = d.withColumn("__range", F.size(F.filter(F.col("__edges"), lambda e: e < F.col("value")))).drop("__edges")
-    else:
-        d = distinct.withColumn("__range", F.lit(0))
+    edges = base.groupBy(*g).agg(F.percentile_approx("value", probs, 10000).alias("__edges"))
+    d = join_small(distinct, edges, g, n_groups)
+    d = d.withColumn("__range", F.size(F.filter(F.col("__edges"), lambda e: e < F.col("value")))).drop("__edges")
     rng = d.groupBy(*g, "__range").agg(*[F.sum(n).alias(f"__r_{n}") for n in weights])
     w_rng = Window.partitionBy(*g).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rng.select(*g, "__range", *[F.coalesce(F.sum(f"__r_{n}").over(w_rng), F.lit(0)).alias(f"__off_{n}")

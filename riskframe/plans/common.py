@@ -52,3 +52,16 @@ def XSUM(expr: str) -> str:
 
 def XAVG(expr: str) -> str:
     return f"(CAST(sum(CAST({expr} AS DECIMAL(38,9))) AS DOUBLE) / count({expr}))"
+
+
+def sig(col, digits: int = 10):
+    """Round to ``digits`` significant digits (comparable across engines for large magnitudes)."""
+    c = F.col(col) if isinstance(col, str) else col
+    k = F.floor(F.log10(F.abs(c)))
+    scale = F.pow(F.lit(10.0), k)
+    return F.when((c == 0) | c.isNull(), c).otherwise(F.round(c / scale, digits - 1) * scale)
+
+
+def SIG(expr: str, digits: int = 10) -> str:
+    return (f"(CASE WHEN ({expr}) = 0 OR ({expr}) IS NULL THEN ({expr}) ELSE "
+            f"round(({expr}) / pow(10.0, floor(log10(abs({expr})))), {digits - 1}) * pow(10.0, floor(log10(abs({expr})))) END)")

@@ -147,3 +147,46 @@ def with_(*names: str, extra: list[str] | None = None) -> str:
         visit(n)
     items = [_ITEMS[n][0] for n in order] + list(extra or [])
     return "WITH " + ",\n".join(items) + "\n"
+
+
+# ----------------------------------------------------------------------------- feature build (fit)
+NUMERIC_BASE = ["apr", "nPaidOff", "loanAmount", "leadCost", "clearfraudscore",
+                "paymentAmount_mean", "paymentAmount_sum", "paymentAmount_count", "principal_mean",
+                "principal_sum", "fees_mean", "fees_sum", "payment_success_rate",
+                "application_year", "application_month", "application_day", "application_dayofweek",
+                "application_hour", "days_to_origination"]
+STRING_BASE = ["loanId", "anon_ssn", "payFrequency", "loanStatus", "state", "leadType", "clarityFraudId",
+               "underwritingid"]
+BOOL_BASE = ["originated", "approved", "isFunded"]
+
+MED = "med AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in NUMERIC_BASE) + " FROM dated)"
+
+FILLED = ("filled AS (SELECT d.* EXCLUDE (applicationDate, originatedDate) REPLACE ("
+          + ", ".join([f"coalesce(d.{c}, m.{c}) AS {c}" for c in NUMERIC_BASE]
+                      + [f"coalesce(d.{c}, 'Unknown') AS {c}" for c in STRING_BASE]
+                      + [f"coalesce(d.{c}, false) AS {c}" for c in BOOL_BASE]) + "), "
+          + ", ".join(f"CAST(d.{c} IS NULL AS INTEGER) AS {c}_missing" for c in C.MISSING_INDICATOR_COLUMNS)
+          + " FROM dated d, med m)")
+
+ENC = """enc AS (SELECT payFrequency, avg(CAST(originated AS INTEGER)) AS payFrequency_target_encoded
+                 FROM filled GROUP BY payFrequency)"""
+
+ENGINEERED = """engineered AS (
+  SELECT f.*, f.loanAmount * f.apr AS loanAmount_x_apr,
+         f.leadCost / f.loanAmount AS leadCost_to_loanAmount,
+         f.loanAmount * f.loanAmount AS loanAmount_squared,
+         f.apr * f.apr AS apr_squared,
+         f.clearfraudscore * f.clearfraudscore AS clearfraudscore_squared,
+         e.payFrequency_target_encoded
+  FROM filled f LEFT JOIN enc e ON f.payFrequency = e.payFrequency
+)"""
+
+_ITEMS.update({
+    "med": (MED, ["dated"]),
+    "filled": (FILLED, ["dated", "med"]),
+    "enc": (ENC, ["filled"]),
+    "engineered": (ENGINEERED, ["filled", "enc"]),
+})
+
+_TARGET_CASE = ("CASE loanStatus " + " ".join(f"WHEN {_sql_str(k)} THEN {v}" for k, v in C.STATUS_RISK.items())
+                + f" ELSE {C.DEFAULT_RISK} END")
