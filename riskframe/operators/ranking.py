@@ -120,7 +120,9 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs:
     out = j.groupBy(*g, "p").agg(F.max(F.when(hit_lo, F.col("value"))).alias("__vlo"),
                                  F.max(F.when(hit_hi, F.col("value"))).alias("__vhi"),
                                  F.first("__frac").alias("__frac"))
-    return out.select(*g, "p", (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")).alias("q"))
+    # lo * (1 - d) + hi * d: the form SQL engines use, so results agree to the last bit.
+    q = F.col("__vlo") * (F.lit(1.0) - F.col("__frac")) + F.col("__vhi") * F.col("__frac")
+    return out.select(*g, "p", q.alias("q"))
 
 
 def quantiles_wide(df: DataFrame, group_cols: list[str], value_col: str, named: dict[str, float],

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import exact_avg
 from . import ranking
 
 
@@ -46,7 +47,7 @@ def describe(df: DataFrame, cols: list[str], quantiles: dict[str, float] | None
     quantiles = quantiles or {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     long = unpivot_numeric(df, cols)
     moments = long.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.count("value").alias("count"), exact_avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     q = ranking.quantiles_wide(long, ["feature"], "value", quantiles)
     out = moments.join(q, "feature", "left")
@@ -55,7 +56,7 @@ def describe(df: DataFrame, cols: list[str], quantiles: dict[str, float] | None
 
 def distribution_stats(df: DataFrame, col: str) -> DataFrame:
     """mean, median, min, max, std (ddof 1) of one column, one row."""
-    m = df.agg(F.avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"),
+    m = df.agg(exact_avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"),
                F.stddev_samp(col).alias("std"), F.count(col).alias("count"))
     med = ranking.quantiles_wide(df.select(F.col(col).cast("double").alias("__v")), [], "__v", {"median": 0.5})
     return ranking.join_small(m, med, [], 1).select("count", "mean", "median", "min", "max", "std")
@@ -171,8 +172,9 @@ def box_stats(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
 
 def class_balance(df: DataFrame, col: str) -> DataFrame:
     """Share of each class in percent."""
-    s = value_shares(df, col)
-    return s.select(col, "n", (F.col("share") * 100).alias("pct"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("__total"))
+    return ranking.join_small(counts, total, [], 1).select(col, "n", (F.col("n") * 100.0 / F.col("__total")).alias("pct"))
 
 
 def topk_by(df: DataFrame, order_col: str, k: int, ascending: bool = False) -> DataFrame:

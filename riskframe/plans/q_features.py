@@ -126,7 +126,7 @@ def split_hash(spark, sf_dir):
 _STRATA_CTE = [
     f"tgt AS (SELECT loanId, CAST({V._TARGET_CASE} AS DOUBLE) AS target FROM loan)",
     "edges AS (SELECT list_sort(list_distinct(quantile_cont(target, [0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM tgt)",
-    "strat AS (SELECT t.loanId, t.target, len(list_filter(e[2:], lambda x: x < t.target)) AS stratum FROM tgt t, edges)",
+    "strat AS (SELECT t.loanId, t.target, CAST(len(list_filter(e[2:], lambda x: x < t.target)) AS INTEGER) AS stratum FROM tgt t, edges)",
 ]
 
 
