@@ -111,7 +111,7 @@ SCORED = """scored AS (
          CAST(o_orderdate AS DATE) AS score_date,
          CAST(((o_orderkey * 104729) % 1000) / 1000.0 AS DOUBLE) AS y_true,
          CAST(((o_orderkey * 7919) % 1000) / 1000.0 AS DOUBLE) AS y_pred,
-         CAST(((o_orderkey * 6007) % 1000) / 1000.0 AS DOUBLE) AS y_prod
+         CAST((((o_orderkey * 104729) % 1000) + (o_orderkey * 7919) % 101 - 50) / 1000.0 AS DOUBLE) AS y_alt
   FROM orders
 )"""
 

@@ -103,7 +103,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic pseudo-scores per order, so evaluation metrics have an exact oracle.
 
     ``run_id`` is the order month (yyyy-MM): each month plays one evaluation run; ``y_prod`` is the
-    score of a second (production) model for model comparison.
+    score of a second, better model (``y_true`` plus a deterministic error within +-0.05) used as
+    the challenger in model comparison and deployment gating.
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     k = F.col("o_orderkey")
@@ -113,7 +114,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("score_date"),
         (((k * 104729) % 1000) / 1000.0).cast("double").alias("y_true"),
         (((k * 7919) % 1000) / 1000.0).cast("double").alias("y_pred"),
-        (((k * 6007) % 1000) / 1000.0).cast("double").alias("y_prod"),
+        ((((k * 104729) % 1000) + (k * 7919) % 101 - 50) / 1000.0).cast("double").alias("y_alt"),
     )
 
 
