@@ -8,6 +8,8 @@ per loan instead of one per installment.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,21 @@ from ..functions import constants as C
 from ..functions.expressions import exact_avg, exact_sum
 
 
+_NON_EMPTY: "weakref.WeakKeyDictionary[DataFrame, bool]" = weakref.WeakKeyDictionary()
+
+
 def has_rows(df: DataFrame) -> bool:
-    """Cheap emptiness probe (reads at most one row)."""
-    return len(df.take(1)) > 0
+    """Cheap emptiness probe (reads at most one row); remembered per DataFrame object."""
+    try:
+        return _NON_EMPTY[df]
+    except (KeyError, TypeError):
+        pass
+    out = len(df.take(1)) > 0
+    try:
+        _NON_EMPTY[df] = out
+    except TypeError:  # pragma: no cover
+        pass
+    return out
 
 
 def join_fraud(loan: DataFrame, clarity: DataFrame, null_safe: bool = False, check_empty: bool = True) -> DataFrame:

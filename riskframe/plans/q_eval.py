@@ -98,12 +98,12 @@ def eval_confusion(spark, sf_dir):
 
 @query("eval_class_report", V.with_("scored", extra=eval_ctes()) + f"""
 SELECT CAST(label AS VARCHAR) AS label, round(precision, {RD}) AS precision, round(recall, {RD}) AS recall,
-       round(f1, {RD}) AS f1, support FROM pc3
+       round(f1, {RD}) AS f1, CAST(support AS BIGINT) AS support FROM pc3
 UNION ALL SELECT 'macro avg', round(avg(precision), {RD}), round(avg(recall), {RD}), round(avg(f1), {RD}),
-       sum(support) FROM pc3
+       CAST(sum(support) AS BIGINT) FROM pc3
 UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), {RD}),
        round(sum(recall * support) / sum(support), {RD}), round(sum(f1 * support) / sum(support), {RD}),
-       sum(support) FROM pc3""")
+       CAST(sum(support) AS BIGINT) FROM pc3""")
 def eval_class_report(spark, sf_dir):
     """Per-class precision/recall/F1/support plus macro and support-weighted averages."""
     s = _scored(spark, sf_dir)

@@ -54,8 +54,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_DEFAULTS_DONE: set = set()
+
+
 def session_defaults(spark: SparkSession) -> None:
-    """Apply DEFAULT_CONF entries that the running session has not set."""
+    """Apply DEFAULT_CONF entries that the running session has not set (once per session)."""
+    key = (id(spark), spark.sparkContext.applicationId)
+    if key in _DEFAULTS_DONE:
+        return
+    _DEFAULTS_DONE.add(key)
     for k, v in DEFAULT_CONF.items():
         if k == "spark.ui.enabled":
             continue

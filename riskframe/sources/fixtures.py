@@ -22,11 +22,29 @@ DRIFT_SPLIT_TS = "2024-01-16 00:00:00"
 ISO_FMT = "yyyy-MM-dd'T'HH:mm:ss"
 
 
+_PLANS: dict = {}
+
+
+def _cached(spark: SparkSession, key: tuple, build):
+    """Per-session cache of lazy plans (not data): re-reading Parquet footers and re-building the view
+    expressions costs driver round trips on every query otherwise."""
+    k = (id(spark), spark.sparkContext.applicationId) + key
+    hit = _PLANS.get(k)
+    if hit is None:
+        hit = _PLANS[k] = build()
+    return hit
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return _cached(spark, ("table", path), lambda: spark.read.parquet(path))
 
 
 def loan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cached(spark, ("loan", sf_dir), lambda: _loan(spark, sf_dir))
+
+
+def _loan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders ⋈ customer ⋈ nation -> loan applications (all, not only approved)."""
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -68,6 +86,10 @@ def loan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cached(spark, ("clarity", sf_dir), lambda: _clarity(spark, sf_dir))
+
+
+def _clarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     return c.where(key % 4 != 0).select(
@@ -77,6 +99,10 @@ def clarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cached(spark, ("payment", sf_dir), lambda: _payment(spark, sf_dir))
+
+
+def _payment(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     rf = F.col("l_returnflag")
     return li.select(
@@ -100,6 +126,10 @@ def drift_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cached(spark, ("scored", sf_dir), lambda: _scored(spark, sf_dir))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic pseudo-scores per order, so evaluation metrics have an exact oracle.
 
     ``run_id`` is the order month (yyyy-MM): each month plays one evaluation run; ``y_prod`` is the
@@ -120,5 +150,5 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def approved_loan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest filter: approved applications only (null approved is excluded)."""
-    return loan(spark, sf_dir).where(F.col("approved"))
+    return _cached(spark, ("approved_loan", sf_dir), lambda: loan(spark, sf_dir).where(F.col("approved")))
 
