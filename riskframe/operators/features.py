@@ -25,7 +25,6 @@ from ..functions.expressions import day_diff, parse_ts, status_risk
 from . import joins, ranking
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-ENCODING_BROADCAST_MAX = 1_000_000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -136,7 +135,9 @@ def target_encodings(df: DataFrame, features: list[str], target: str = "originat
 def apply_encodings(df: DataFrame, encodings: dict[str, DataFrame], global_mean: float | None) -> DataFrame:
     out = df
     for f, enc in encodings.items():
-        out = joins.lookup_join(out, enc, f, broadcast_max_rows=ENCODING_BROADCAST_MAX)
+        # One row per category value: AQE broadcasts it when its measured size is small, else the
+        # join stays a shuffle join (high-cardinality categories).
+        out = joins.lookup_join(out, enc, f)
         if global_mean is not None:
             name = f"{f}_target_encoded"
             out = out.withColumn(name, F.coalesce(F.col(name), F.lit(float(global_mean))))

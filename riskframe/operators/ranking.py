@@ -15,8 +15,9 @@ large share of 100 TB. Instead (two levels):
 4. Window ``partitionBy(group, range).orderBy(value)`` -> running count inside the range, plus offset
    = exact global cumulative count. Each task sorts only ~1/B of a feature's distinct values.
 
-The offsets table is broadcast only under a checked row bound (groups x ranges); beyond it Catalyst
-and AQE pick the join.
+Everything (totals included) is computed inside one job; the number of ranges is chosen from
+Catalyst's size estimate (metadata, no pass over the data). Small per-group tables (edges, offsets) are
+joined without hints: AQE broadcasts them after measuring their size at run time.
 """
 
 from __future__ import annotations
@@ -41,14 +42,27 @@ def _ranges_for(n_max: int, n_ranges: int | None) -> int:
     return int(min(16384, 2 ** math.ceil(math.log2(want))))
 
 
+def estimated_rows(df: DataFrame) -> int | None:
+    """Upper estimate of the row count from Catalyst's plan statistics (no job is run)."""
+    try:
+        st = df._jdf.queryExecution().optimizedPlan().stats()
+        size = int(st.sizeInBytes().toString())
+        width = max(1, int(df._jdf.schema().defaultSize()))
+        return size // width
+    except Exception:  # pragma: no cover - e.g. a remote session without plan access
+        return None
+
+
 def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= BROADCAST_MAX_ROWS else df
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], n_small: int) -> DataFrame:
-    """Equi-join with a small table of known row count (broadcast under the bound). With no keys the
-    small side is a per-query constant row set, joined on a constant key."""
-    small = _maybe_broadcast(small, n_small)
+def join_small(big: DataFrame, small: DataFrame, on: list[str], n_small: int | None) -> DataFrame:
+    """Equi-join with a small table. Broadcast hint only under a known row bound; otherwise AQE decides
+    from the measured size at run time. With no keys the small side is a per-query constant row set,
+    joined on a constant key."""
+    if n_small is not None:
+        small = _maybe_broadcast(small, n_small)
     if on:
         return big.join(small, on, "inner")
     k = "__const_key"
@@ -56,12 +70,12 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], n_small: int) ->
 
 
 def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str, weights: dict[str, Column] | None = None,
-                      n_ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Distinct values per group with counts and inclusive running counts.
+                      n_ranges: int | None = None) -> DataFrame:
+    """Distinct values per group with counts, inclusive running counts and group totals, in one job.
 
-    ``weights`` maps an output name to a 0/1 (or count) column; default ``{"n": 1}``.
-    Returns ``(ranked, totals)``: ranked has ``group_cols, value, <w>, cum_<w>``; totals has
-    ``group_cols, total_<w>``. Null values are ignored.
+    ``weights`` maps an output name to a 0/1 (or count) column; default ``{"n": 1}``. Returns
+    ``group_cols, value, <w>, cum_<w>, total_<w>``. Null values are ignored. The number of ranges comes
+    from Catalyst's size estimate (metadata only) unless ``n_ranges`` is given.
     """
     weights = weights or {"n": F.lit(1)}
     g = list(group_cols)
@@ -69,70 +83,71 @@ def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str, weig
         *[F.col(c) for c in g], F.col(value_col).alias("value"),
         *[w.cast("bigint").alias(name) for name, w in weights.items()])
     distinct = base.groupBy(*g, "value").agg(*[F.sum(n).alias(n) for n in weights])
-    # One small aggregate: totals per group plus range edges from a bounded quantile sketch.
-    totals_rows = base.groupBy(*g).agg(*[F.sum(n).alias(f"total_{n}") for n in weights],
-                                       F.count(F.lit(1)).alias("__rows"))
-    totals_local = totals_rows.collect()  # one row per group: bounded by the number of features
-    n_groups = len(totals_local)
-    totals = df.sparkSession.createDataFrame(totals_local, totals_rows.schema).drop("__rows")
-    n_max = max([r["__rows"] for r in totals_local], default=0)
-    b = _ranges_for(n_max, n_ranges)
+    if n_ranges is None:
+        est = estimated_rows(base)
+        if est is None:
+            est = base.count()
+        b = _ranges_for(est, None)
+    else:
+        b = _ranges_for(0, n_ranges)
     if b == 1:
-        # Every group fits one task: a plain running count per group.
+        # Every group fits one task: running count and total share one partitioning (one exchange).
         w = Window.partitionBy(*g).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = distinct.select(*g, "value", *weights.keys(),
-                                 *[F.sum(n).over(w).alias(f"cum_{n}") for n in weights])
-        return ranked, totals
+        wt = Window.partitionBy(*g)
+        return distinct.select(*g, "value", *weights.keys(),
+                               *[F.sum(n).over(w).alias(f"cum_{n}") for n in weights],
+                               *[F.sum(n).over(wt).alias(f"total_{n}") for n in weights])
+    # Ranges balanced by distinct values (what a window task sorts), from a bounded sketch per group.
     probs = [i / b for i in range(1, b)]
-    edges = base.groupBy(*g).agg(F.percentile_approx("value", probs, 10000).alias("__edges"))
-    d = join_small(distinct, edges, g, n_groups)
+    edges = distinct.groupBy(*g).agg(F.percentile_approx("value", probs, 10000).alias("__edges"))
+    d = join_small(distinct, edges, g, None)
     d = d.withColumn("__range", F.size(F.filter(F.col("__edges"), lambda e: e < F.col("value")))).drop("__edges")
     rng = d.groupBy(*g, "__range").agg(*[F.sum(n).alias(f"__r_{n}") for n in weights])
     w_rng = Window.partitionBy(*g).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rng.select(*g, "__range", *[F.coalesce(F.sum(f"__r_{n}").over(w_rng), F.lit(0)).alias(f"__off_{n}")
-                                          for n in weights])
-    d = join_small(d, offsets, g + ["__range"], n_groups * b)
+    w_all = Window.partitionBy(*g)
+    offsets = rng.select(*g, "__range",
+                         *[F.coalesce(F.sum(f"__r_{n}").over(w_rng), F.lit(0)).alias(f"__off_{n}") for n in weights],
+                         *[F.sum(f"__r_{n}").over(w_all).alias(f"total_{n}") for n in weights])
+    d = join_small(d, offsets, g + ["__range"], None)  # groups x ranges rows; AQE broadcasts it
     w_in = Window.partitionBy(*g, "__range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = d.select(*g, "value", *weights.keys(),
-                      *[(F.sum(n).over(w_in) + F.col(f"__off_{n}")).alias(f"cum_{n}") for n in weights])
-    return ranked, totals
+    return d.select(*g, "value", *weights.keys(),
+                    *[(F.sum(n).over(w_in) + F.col(f"__off_{n}")).alias(f"cum_{n}") for n in weights],
+                    *[F.col(f"total_{n}") for n in weights])
 
 
-def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                    n_ranges: int | None = None) -> DataFrame:
-    """Linear-interpolated quantiles (pandas ``quantile`` / SQL ``percentile_cont``) per group.
+def quantiles_wide(df: DataFrame, group_cols: list[str], value_col: str, named: dict[str, float],
+                   n_ranges: int | None = None) -> DataFrame:
+    """Linear-interpolated quantiles (pandas ``quantile`` / SQL ``percentile_cont``) as columns.
 
-    Returns ``group_cols, p, q``.
+    For each probability the 0-based ranks ``floor((n-1)p)`` and ``ceil((n-1)p)`` are located among the
+    running counts; one grouped aggregate picks both values for every probability.
     """
-    ranked, totals = cumulative_counts(df, group_cols, value_col, None, n_ranges)
     g = list(group_cols)
-    spark = df.sparkSession
-    p_df = spark.createDataFrame([(float(p),) for p in probs], "p double")
-    n_groups = totals.count()  # local rows
-    targets = join_small(totals, p_df, [], len(probs)).select(
-        *g, "p", ((F.col("total_n") - 1) * F.col("p")).alias("__pos"))
-    targets = targets.select(*g, "p", F.floor("__pos").alias("__lo"), F.ceil("__pos").alias("__hi"),
-                             (F.col("__pos") - F.floor("__pos")).alias("__frac"))
+    ranked = cumulative_counts(df, g, value_col, None, n_ranges)
     before = F.col("cum_n") - F.col("n")
-    hit_lo = (F.col("__lo") >= before) & (F.col("__lo") < F.col("cum_n"))
-    hit_hi = (F.col("__hi") >= before) & (F.col("__hi") < F.col("cum_n"))
-    j = join_small(ranked, targets, g, len(probs) * max(1, n_groups)).where(hit_lo | hit_hi)
-    out = j.groupBy(*g, "p").agg(F.max(F.when(hit_lo, F.col("value"))).alias("__vlo"),
-                                 F.max(F.when(hit_hi, F.col("value"))).alias("__vhi"),
-                                 F.first("__frac").alias("__frac"))
+    aggs = []
+    for name, p in named.items():
+        pos = (F.col("total_n") - 1) * F.lit(float(p))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        hit_lo = (lo >= before) & (lo < F.col("cum_n"))
+        hit_hi = (hi >= before) & (hi < F.col("cum_n"))
+        aggs += [F.max(F.when(hit_lo, F.col("value"))).alias(f"__lo_{name}"),
+                 F.max(F.when(hit_hi, F.col("value"))).alias(f"__hi_{name}"),
+                 F.max(pos - lo).alias(f"__d_{name}")]
+    out = ranked.groupBy(*g).agg(*aggs) if g else ranked.agg(*aggs)
     # lo * (1 - d) + hi * d: the form SQL engines use, so results agree to the last bit.
-    q = F.col("__vlo") * (F.lit(1.0) - F.col("__frac")) + F.col("__vhi") * F.col("__frac")
-    return out.select(*g, "p", q.alias("q"))
+    cols = [(F.col(f"__lo_{k}") * (F.lit(1.0) - F.col(f"__d_{k}")) + F.col(f"__hi_{k}") * F.col(f"__d_{k}")).alias(k)
+            for k in named]
+    return out.select(*g, *cols)
 
 
-def quantiles_wide(df: DataFrame, group_cols: list[str], value_col: str, named: dict[str, float],
-                   n_ranges: int | None = None) -> DataFrame:
-    """Quantiles as columns: ``named`` maps output column -> probability."""
-    q = exact_quantiles(df, group_cols, value_col, list(named.values()), n_ranges)
-    aggs = [F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(name) for name, p in named.items()]
-    if group_cols:
-        return q.groupBy(*group_cols).agg(*aggs)
-    return q.agg(*aggs)
+def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
+                    n_ranges: int | None = None) -> DataFrame:
+    """Long form of ``quantiles_wide``: ``group_cols, p, q``."""
+    named = {f"q{i}": float(p) for i, p in enumerate(probs)}
+    w = quantiles_wide(df, group_cols, value_col, named, n_ranges)
+    st = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(k).alias("q")) for k, p in named.items()]))
+    return w.select(*group_cols, st.alias("__s")).select(*group_cols, "__s.p", "__s.q")
 
 
 def kolmogorov_pvalue(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -155,12 +170,11 @@ def ks_two_sample(ref: DataFrame, new: DataFrame, group_cols: list[str], value_c
     g = list(group_cols)
     both = (ref.select(*g, F.col(value_col).alias("__v"), F.lit(1).alias("__is_ref"))
                .unionByName(new.select(*g, F.col(value_col).alias("__v"), F.lit(0).alias("__is_ref"))))
-    ranked, totals = cumulative_counts(both, g, "__v", {"r": F.col("__is_ref"), "m": 1 - F.col("__is_ref")},
-                                       n_ranges)
-    j = join_small(ranked, totals, g, totals.count()).where((F.col("total_r") > 0) & (F.col("total_m") > 0))
+    ranked = cumulative_counts(both, g, "__v", {"r": F.col("__is_ref"), "m": 1 - F.col("__is_ref")}, n_ranges)
+    j = ranked.where((F.col("total_r") > 0) & (F.col("total_m") > 0))
     diff = F.abs(F.col("cum_r") / F.col("total_r") - F.col("cum_m") / F.col("total_m"))
-    agg = j.groupBy(*g).agg(F.first("total_r").alias("n_ref"), F.first("total_m").alias("n_new"),
-                            F.max(diff).alias("ks_statistic"))
+    aggs = [F.first("total_r").alias("n_ref"), F.first("total_m").alias("n_new"), F.max(diff).alias("ks_statistic")]
+    agg = j.groupBy(*g).agg(*aggs) if g else j.agg(*aggs)
     return agg.withColumn("p_value", kolmogorov_pvalue(F.col("ks_statistic"), F.col("n_ref").cast("double"),
                                                        F.col("n_new").cast("double")))
 
@@ -174,8 +188,8 @@ def percentile_of_score(actuals: DataFrame, actual_col: str, scores: DataFrame,
     """
     both = (actuals.select(F.col(actual_col).alias("__v"), F.lit(1).alias("__a"))
                    .unionByName(scores.select(F.col(score_col).alias("__v"), F.lit(0).alias("__a"))))
-    ranked, totals = cumulative_counts(both, [], "__v", {"a": F.col("__a"), "s": 1 - F.col("__a")}, n_ranges)
-    j = join_small(ranked.where(F.col("s") > 0), totals, [], 1)
+    ranked = cumulative_counts(both, [], "__v", {"a": F.col("__a"), "s": 1 - F.col("__a")}, n_ranges)
+    j = ranked.where(F.col("s") > 0)
     le = F.col("cum_a")
     lt = F.col("cum_a") - F.col("a")
     pct = (lt + le + F.when(le > lt, 1).otherwise(0)) * F.lit(50.0) / F.col("total_a") / F.lit(100.0)

@@ -97,7 +97,10 @@ def features_full(spark, sf_dir):
 
     The oracle fixes the column set the fit decides on this data (low-variance drops: the constant
     hour and two constant indicators, the ratio and the single-category encoding)."""
-    base, pipe, spec = fitted(spark, sf_dir)
+    loan, clarity, payment = inputs(spark, sf_dir)
+    base = FE.base_frame(loan, clarity, payment)
+    pipe = FE.FeaturePipeline()
+    spec = pipe.fit(base)  # fitted on every call (the step queries share one cached fit)
     assert sorted(spec.dropped) == sorted(_FULL_DROPPED), spec.dropped
     return pipe.transform(base, spec)
 

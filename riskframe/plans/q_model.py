@@ -73,8 +73,7 @@ def _train_frame(spark, sf_dir):
     return SP.hash_split(df, "loanId", C.TEST_SIZE), spec
 
 
-@lru_cache(maxsize=2)
-def trained(spark, sf_dir):
+def train(spark, sf_dir):
     """Fit the MLlib pipeline on the training split; saved under the shared checkpoint directory and
     reloaded (the artefact a serving job would load)."""
     df, spec = _train_frame(spark, sf_dir)
@@ -87,6 +86,12 @@ def trained(spark, sf_dir):
     return PipelineModel.load(path), df, spec, task
 
 
+@lru_cache(maxsize=2)
+def trained(spark, sf_dir):
+    """One trained model per session and input, shared by the scoring queries."""
+    return train(spark, sf_dir)
+
+
 @query("prep_assemble")
 def prep_assemble(spark, sf_dir):
     """Assembled feature vectors (numeric features + one-hot categoricals), other columns dropped."""
@@ -101,7 +106,7 @@ def prep_assemble(spark, sf_dir):
 @query("model_train")
 def model_train(spark, sf_dir):
     """Boosted-tree regression of the risk target; predictions on the held-out split."""
-    model, df, _, task = trained(spark, sf_dir)
+    model, df, _, task = train(spark, sf_dir)  # trained on every call
     test = df.where(F.col("split") == "test")
     return model.transform(test).select("loanId", "target", "prediction")
 
