@@ -145,6 +145,9 @@ def apply_encodings(df: DataFrame, encodings: dict[str, DataFrame], global_mean:
 
 
 def add_target(df: DataFrame) -> DataFrame:
+    """Risk target from the loan status (frames without a status, e.g. scoring requests, get none)."""
+    if "loanStatus" not in df.columns:
+        return df
     return df.withColumn("target", status_risk("loanStatus"))
 
 
