@@ -196,7 +196,7 @@ class FeaturePipeline:
         if num:
             long = base.select(*[F.col(c).cast("double").alias(c) for c in num]).unpivot(
                 [], num, "feature", "value")
-            med = ranking.exact_quantiles(long, ["feature"], "value", [0.5]).collect()  # one row per column
+            med = ranking.exact_quantiles(long, ["feature"], "value", [0.5], n_groups_hint=len(num)).collect()  # one row per column
             spec.medians = {r["feature"]: r["q"] for r in med}
         # Running feature lists, in the order the steps add them.
         numeric_features: list[str] = []

@@ -33,7 +33,8 @@ def numeric_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     m = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), exact_avg("value").alias("mean"),
                                     F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
                                     F.max("value").alias("max"))
-    q = ranking.quantiles_wide(long, ["feature"], "value", {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    q = ranking.quantiles_wide(long, ["feature"], "value", {"median": 0.5, "p10": 0.1, "p90": 0.9},
+                                n_groups_hint=len(cols))
     return m.join(q, "feature", "left")
 
 
@@ -120,7 +121,7 @@ def drift_ks(new: DataFrame, ref: DataFrame, threshold: float = C.KS_THRESHOLD,
     cols = [c for c in num_n + boo_n if c in set(num_r + boo_r)]
     ln = new.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
     lr = ref.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
-    ks = ranking.ks_two_sample(lr, ln, ["feature"], "value", n_ranges)
+    ks = ranking.ks_two_sample(lr, ln, ["feature"], "value", n_ranges, n_groups_hint=max(1, len(cols)))
     return ks.withColumn("drifted", F.col("ks_statistic") > threshold)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_MAX_ROWS = 2_000_000
-ROWS_PER_RANGE = 2_000_000
+ROWS_PER_RANGE = 4_000_000
 
 
 def _ranges_for(n_max: int, n_ranges: int | None) -> int:
@@ -46,7 +46,8 @@ def estimated_rows(df: DataFrame) -> int | None:
     """Upper estimate of the row count from Catalyst's plan statistics (no job is run)."""
     try:
         st = df._jdf.queryExecution().optimizedPlan().stats()
-        size = int(st.sizeInBytes().toString())
+        size = st.sizeInBytes()
+        size = int(size if isinstance(size, int) else size.toString())
         width = max(1, int(df._jdf.schema().defaultSize()))
         return size // width
     except Exception:  # pragma: no cover - e.g. a remote session without plan access
@@ -69,13 +70,26 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], n_small: int | N
     return big.withColumn(k, F.lit(0)).join(small.withColumn(k, F.lit(0)), k, "inner").drop(k)
 
 
+def range_index(edges: Column, value: Column, n_edges: int) -> Column:
+    """Number of (sorted) edges below ``value`` by binary search: ceil(log2(n_edges + 1)) probes."""
+    steps = max(1, math.ceil(math.log2(n_edges + 1)))
+    seq = F.array(*[F.lit(1 << i) for i in reversed(range(steps))])
+
+    def probe(acc, step):
+        nxt = acc + step
+        return F.when(F.try_element_at(edges, nxt) < value, nxt).otherwise(acc)
+
+    return F.aggregate(seq, F.lit(0), probe)
+
+
 def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str, weights: dict[str, Column] | None = None,
-                      n_ranges: int | None = None) -> DataFrame:
+                      n_ranges: int | None = None, n_groups_hint: int | None = None) -> DataFrame:
     """Distinct values per group with counts, inclusive running counts and group totals, in one job.
 
     ``weights`` maps an output name to a 0/1 (or count) column; default ``{"n": 1}``. Returns
     ``group_cols, value, <w>, cum_<w>, total_<w>``. Null values are ignored. The number of ranges comes
-    from Catalyst's size estimate (metadata only) unless ``n_ranges`` is given.
+    from Catalyst's size estimate (metadata only) unless ``n_ranges`` is given; ``n_groups_hint`` says the
+    rows are spread evenly over that many groups (e.g. an unpivot of that many columns).
     """
     weights = weights or {"n": F.lit(1)}
     g = list(group_cols)
@@ -84,10 +98,13 @@ def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str, weig
         *[w.cast("bigint").alias(name) for name, w in weights.items()])
     distinct = base.groupBy(*g, "value").agg(*[F.sum(n).alias(n) for n in weights])
     if n_ranges is None:
+        # Catalyst's estimate is an upper bound (joins without statistics multiply sizes): it can only
+        # prove the data small. When it cannot, count the rows before cutting ranges.
+        g_n = max(1, n_groups_hint or 1)
         est = estimated_rows(base)
-        if est is None:
+        if est is None or est // g_n > ROWS_PER_RANGE:
             est = base.count()
-        b = _ranges_for(est, None)
+        b = _ranges_for(est // g_n, None)
     else:
         b = _ranges_for(0, n_ranges)
     if b == 1:
@@ -101,7 +118,7 @@ def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str, weig
     probs = [i / b for i in range(1, b)]
     edges = distinct.groupBy(*g).agg(F.percentile_approx("value", probs, 10000).alias("__edges"))
     d = join_small(distinct, edges, g, None)
-    d = d.withColumn("__range", F.size(F.filter(F.col("__edges"), lambda e: e < F.col("value")))).drop("__edges")
+    d = d.withColumn("__range", range_index(F.col("__edges"), F.col("value"), b - 1)).drop("__edges")
     rng = d.groupBy(*g, "__range").agg(*[F.sum(n).alias(f"__r_{n}") for n in weights])
     w_rng = Window.partitionBy(*g).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*g)
@@ -116,14 +133,14 @@ def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str, weig
 
 
 def quantiles_wide(df: DataFrame, group_cols: list[str], value_col: str, named: dict[str, float],
-                   n_ranges: int | None = None) -> DataFrame:
+                   n_ranges: int | None = None, n_groups_hint: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (pandas ``quantile`` / SQL ``percentile_cont``) as columns.
 
     For each probability the 0-based ranks ``floor((n-1)p)`` and ``ceil((n-1)p)`` are located among the
     running counts; one grouped aggregate picks both values for every probability.
     """
     g = list(group_cols)
-    ranked = cumulative_counts(df, g, value_col, None, n_ranges)
+    ranked = cumulative_counts(df, g, value_col, None, n_ranges, n_groups_hint)
     before = F.col("cum_n") - F.col("n")
     aggs = []
     for name, p in named.items():
@@ -142,10 +159,10 @@ def quantiles_wide(df: DataFrame, group_cols: list[str], value_col: str, named:
 
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                    n_ranges: int | None = None) -> DataFrame:
+                    n_ranges: int | None = None, n_groups_hint: int | None = None) -> DataFrame:
     """Long form of ``quantiles_wide``: ``group_cols, p, q``."""
     named = {f"q{i}": float(p) for i, p in enumerate(probs)}
-    w = quantiles_wide(df, group_cols, value_col, named, n_ranges)
+    w = quantiles_wide(df, group_cols, value_col, named, n_ranges, n_groups_hint)
     st = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(k).alias("q")) for k, p in named.items()]))
     return w.select(*group_cols, st.alias("__s")).select(*group_cols, "__s.p", "__s.q")
 
@@ -162,7 +179,7 @@ def kolmogorov_pvalue(d: Column, n: Column, m: Column, terms: int = 100) -> Colu
 
 
 def ks_two_sample(ref: DataFrame, new: DataFrame, group_cols: list[str], value_col: str,
-                  n_ranges: int | None = None) -> DataFrame:
+                  n_ranges: int | None = None, n_groups_hint: int | None = None) -> DataFrame:
     """Two-sample KS statistic per group: ``D = max |F_ref(x) - F_new(x)|`` over all distinct x.
 
     Returns ``group_cols, n_ref, n_new, ks_statistic, p_value`` for groups present in both samples.
@@ -170,7 +187,8 @@ def ks_two_sample(ref: DataFrame, new: DataFrame, group_cols: list[str], value_c
     g = list(group_cols)
     both = (ref.select(*g, F.col(value_col).alias("__v"), F.lit(1).alias("__is_ref"))
                .unionByName(new.select(*g, F.col(value_col).alias("__v"), F.lit(0).alias("__is_ref"))))
-    ranked = cumulative_counts(both, g, "__v", {"r": F.col("__is_ref"), "m": 1 - F.col("__is_ref")}, n_ranges)
+    ranked = cumulative_counts(both, g, "__v", {"r": F.col("__is_ref"), "m": 1 - F.col("__is_ref")}, n_ranges,
+                               n_groups_hint)
     j = ranked.where((F.col("total_r") > 0) & (F.col("total_m") > 0))
     diff = F.abs(F.col("cum_r") / F.col("total_r") - F.col("cum_m") / F.col("total_m"))
     aggs = [F.first("total_r").alias("n_ref"), F.first("total_m").alias("n_new"), F.max(diff).alias("ks_statistic")]
