@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -27,9 +28,11 @@ def fitted(spark, sf_dir):
 @lru_cache(maxsize=4)
 def _fitted(spark, sf_dir):
     loan, clarity, payment = inputs(spark, sf_dir)
-    base = FE.base_frame(loan, clarity, payment)
+    # The joined base feeds the fit passes and the transform: materialised once (memory, spilling to
+    # disk), the way the stages share it.
+    base = FE.base_frame(loan, clarity, payment).persist(StorageLevel.MEMORY_AND_DISK)
     pipe = FE.FeaturePipeline()
-    spec = pipe.fit(base)
+    spec = pipe.fit(base, cache=False)
     return base, pipe, spec
 
 
@@ -98,9 +101,9 @@ def features_full(spark, sf_dir):
     The oracle fixes the column set the fit decides on this data (low-variance drops: the constant
     hour and two constant indicators, the ratio and the single-category encoding)."""
     loan, clarity, payment = inputs(spark, sf_dir)
-    base = FE.base_frame(loan, clarity, payment)
+    base = FE.base_frame(loan, clarity, payment).persist(StorageLevel.MEMORY_AND_DISK)
     pipe = FE.FeaturePipeline()
-    spec = pipe.fit(base)  # fitted on every call (the step queries share one cached fit)
+    spec = pipe.fit(base, cache=False)  # fitted on every call (the step queries share one cached fit)
     assert sorted(spec.dropped) == sorted(_FULL_DROPPED), spec.dropped
     return pipe.transform(base, spec)
 
