@@ -316,17 +316,21 @@ def fe_drop_corr(spark, sf_dir):
     return flags.unionByName(first)
 
 
-@query("fe_leakage_guard", V.with_("engineered") + "SELECT column_name, excluded FROM (VALUES " + ", ".join(
-    f"('{c}', {str(c in C.LEAKAGE_EXCLUDE).lower()})" for c in
-    ["loanId", "anon_ssn", "clarityFraudId", "underwritingid", "loanStatus", "originated", "state", "leadType",
-     "payFrequency", "approved", "isFunded"]) + ") t(column_name, excluded) WHERE (SELECT count(*) FROM engineered) > 0")
+_GUARD_CANDIDATES = ["loanId", "anon_ssn", "clarityFraudId", "underwritingid", "loanStatus", "originated", "state",
+                     "leadType", "payFrequency", "approved", "isFunded"]
+
+
+@query("fe_leakage_guard", V.with_("engineered") + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {str(c in C.LEAKAGE_EXCLUDE).lower()} AS excluded, count({c}) AS non_null "
+    "FROM engineered" for c in _GUARD_CANDIDATES))
 def fe_leakage_guard(spark, sf_dir):
-    """Leakage guard: ids, join keys and the target's source columns are excluded from model inputs."""
+    """Leakage guard: ids, join keys and the target's source columns present in the feature table are
+    excluded from model inputs (with their non-null counts, one aggregate)."""
     base, pipe, spec = fitted(spark, sf_dir)
     df = pipe.transform(base, spec)
-    cand = [c for c in ["loanId", "anon_ssn", "clarityFraudId", "underwritingid", "loanStatus", "originated", "state",
-                        "leadType", "payFrequency", "approved", "isFunded"] if c in df.columns]
-    present = df.limit(1).count() > 0
-    rows = [(c, c in C.LEAKAGE_EXCLUDE) for c in cand] if present else []
+    cand = [c for c in _GUARD_CANDIDATES if c in df.columns]
     assert not set(spec.categorical_features) & set(C.LEAKAGE_EXCLUDE)
-    return spark.createDataFrame(rows, "column_name string, excluded boolean")
+    row = df.agg(*[F.count(c).alias(c) for c in cand])
+    parts = [F.struct(F.lit(c).alias("column_name"), F.lit(c in C.LEAKAGE_EXCLUDE).alias("excluded"),
+                      F.col(c).alias("non_null")) for c in cand]
+    return row.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
