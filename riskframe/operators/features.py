@@ -6,7 +6,7 @@ drops and the final feature lists. ``transform`` is then a pure projection plus
 scored row gets exactly the columns and fill values of the training batch (no train/serve skew).
 
 Aggregation passes at fit: one multi-expression ``agg`` (null counts, min of loanAmount), one distributed
-exact-median job over all numeric columns (``ranking.exact_quantiles``), one ``groupBy`` per encoded
+exact-median job over all numeric columns (``ranking.quantiles_bracketed``), one ``groupBy`` per encoded
 category column, one ``agg`` of sample variances.
 """
 
@@ -196,8 +196,8 @@ class FeaturePipeline:
         if num:
             long = base.select(*[F.col(c).cast("double").alias(c) for c in num]).unpivot(
                 [], num, "feature", "value")
-            med = ranking.exact_quantiles(long, ["feature"], "value", [0.5], n_groups_hint=len(num)).collect()  # one row per column
-            spec.medians = {r["feature"]: r["q"] for r in med}
+            med = ranking.quantiles_bracketed(long, ["feature"], "value", [0.5], n_groups_hint=len(num))
+            spec.medians = {k[0]: q for (k, _), q in med.items()}  # one value per column
         # Running feature lists, in the order the steps add them.
         numeric_features: list[str] = []
         if "clearfraudscore" in base.columns:

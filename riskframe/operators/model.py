@@ -50,8 +50,8 @@ def mllib_params(h: dict | None = None) -> dict:
 def fit_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float, float]]:
     """Exact median, mean and population std (after median imputation) per column: two passes."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
-    med = {r["feature"]: r["q"] for r in ranking.exact_quantiles(long, ["feature"], "value", [0.5],
-                                                                   n_groups_hint=len(cols)).collect()}
+    med = {k[0]: q for (k, _), q in ranking.quantiles_bracketed(long, ["feature"], "value", [0.5],
+                                                                 n_groups_hint=len(cols)).items()}
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med.get(c))).alias(c) for c in cols])
     row = filled.agg(F.count(F.lit(1)).alias("__n"), *[exact_sum(c).alias(f"s_{c}") for c in cols],
                      *[exact_sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in cols]).first()

@@ -33,7 +33,7 @@ def numeric_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     m = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), exact_avg("value").alias("mean"),
                                     F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
                                     F.max("value").alias("max"))
-    q = ranking.quantiles_wide(long, ["feature"], "value", {"median": 0.5, "p10": 0.1, "p90": 0.9},
+    q = ranking.quantiles_table(long, ["feature"], "value", {"median": 0.5, "p10": 0.1, "p90": 0.9},
                                 n_groups_hint=len(cols))
     return m.join(q, "feature", "left")
 

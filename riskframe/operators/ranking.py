@@ -158,6 +158,85 @@ def quantiles_wide(df: DataFrame, group_cols: list[str], value_col: str, named:
     return out.select(*g, *cols)
 
 
+SKETCH_ACCURACY = 10000
+
+
+def quantiles_bracketed(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
+                        accuracy: int = SKETCH_ACCURACY, n_groups_hint: int | None = None) -> dict:
+    """Exact linear quantiles by sketch-then-refine; returns ``{(group tuple, p): q}`` (eager, bounded).
+
+    1. One aggregate: count and a ``percentile_approx`` sketch per group; its rank error is at most
+       n/accuracy, so the values at p -/+ 3/accuracy bracket the exact order statistics needed for p.
+    2. Every value is mapped per p to: a single "below" marker (-inf) if under the bracket, itself inside
+       it, dropped above it. The distributed ranking then runs on this small subset only (all rows below
+       the bracket collapse into one counted row by partial aggregation), so the global ranks inside the
+       bracket are exact while only ~6/accuracy of the values are shuffled and sorted.
+    3. The positions are verified against the bracket; if a sketch ever missed, the full ranking is used.
+    """
+    g = list(group_cols)
+    eps = 1.0 / accuracy
+    base = df.where(F.col(value_col).isNotNull()).select(*[F.col(c) for c in g], F.col(value_col).cast("double").alias("__v"))
+    lo_p = {p: max(0.0, p - 3 * eps) for p in probs}
+    hi_p = {p: min(1.0, p + 3 * eps) for p in probs}
+    sk = sorted(set(lo_p.values()) | set(hi_p.values()))
+    aggs = [F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", sk, accuracy).alias("__sk"),
+            F.min("__v").alias("__min"), F.max("__v").alias("__max")]
+    rows = (base.groupBy(*g).agg(*aggs) if g else base.agg(*aggs)).collect()  # one row per group
+    rows = [r for r in rows if r["__n"]]
+    if not rows:
+        return {}
+    idx = {x: i for i, x in enumerate(sk)}
+    spark = df.sparkSession
+    # Bracket table: (group, p, L, U, n) — groups x probabilities rows, broadcast.
+    bt_rows = []
+    for r in rows:
+        key = tuple(r[c] for c in g)
+        for p in probs:
+            L = r["__min"] if lo_p[p] == 0.0 else r["__sk"][idx[lo_p[p]]]
+            U = r["__max"] if hi_p[p] == 1.0 else r["__sk"][idx[hi_p[p]]]
+            bt_rows.append((*key, float(p), float(L), float(U), int(r["__n"])))
+    schema = base.select(*g).schema.simpleString()[len("struct<"):-1]
+    bt_schema = (schema + "," if g else "") + "__p double,__L double,__U double,__n long"
+    bt = spark.createDataFrame(bt_rows, bt_schema)
+    j = join_small(base, bt, g, len(bt_rows))
+    v = F.col("__v")
+    mapped = F.when(v < F.col("__L"), F.lit(float("-inf"))).when(v <= F.col("__U"), v)
+    sub = j.select(*g, "__p", "__n", mapped.alias("__m")).where(F.col("__m").isNotNull())
+    ranked = cumulative_counts(sub, g + ["__p", "__n"], "__m", None, None, len(bt_rows))
+    before = F.col("cum_n") - F.col("n")
+    pos = (F.col("__n") - 1) * F.col("__p")
+    lo, hi = F.floor(pos), F.ceil(pos)
+    hit_lo = (lo >= before) & (lo < F.col("cum_n"))
+    hit_hi = (hi >= before) & (hi < F.col("cum_n"))
+    res = ranked.groupBy(*g, "__p").agg(F.max(F.when(hit_lo, F.col("value"))).alias("__vlo"),
+                                        F.max(F.when(hit_hi, F.col("value"))).alias("__vhi"),
+                                        F.max(pos - lo).alias("__d")).collect()
+    out = {}
+    ok = len(res) == len(bt_rows)
+    for r in res:
+        a, b, d = r["__vlo"], r["__vhi"], r["__d"]
+        if a is None or b is None or a == float("-inf") or b == float("-inf"):
+            ok = False
+            break
+        out[(tuple(r[c] for c in g), round(r["__p"], 12))] = a * (1.0 - d) + b * d
+    if not ok:  # a bracket missed: exact full ranking
+        full = exact_quantiles(df, g, value_col, probs, None, n_groups_hint).collect()
+        out = {(tuple(r[c] for c in g), round(r["p"], 12)): r["q"] for r in full}
+    return out
+
+
+def quantiles_table(df: DataFrame, group_cols: list[str], value_col: str, named: dict[str, float],
+                    n_groups_hint: int | None = None) -> DataFrame:
+    """``quantiles_bracketed`` as a small DataFrame: ``group_cols`` + one column per named probability."""
+    g = list(group_cols)
+    res = quantiles_bracketed(df, g, value_col, list(named.values()), n_groups_hint=n_groups_hint)
+    keys = sorted({k for k, _ in res}, key=lambda t: tuple("" if x is None else str(x) for x in t))
+    rows = [(*k, *[res.get((k, round(p, 12))) for p in named.values()]) for k in keys]
+    gschema = df.select(*g).schema.simpleString()[len("struct<"):-1] if g else ""
+    schema = (gschema + "," if g else "") + ",".join(f"{n} double" for n in named)
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
                     n_ranges: int | None = None, n_groups_hint: int | None = None) -> DataFrame:
     """Long form of ``quantiles_wide``: ``group_cols, p, q``."""

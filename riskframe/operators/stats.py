@@ -49,7 +49,7 @@ def describe(df: DataFrame, cols: list[str], quantiles: dict[str, float] | None
     moments = long.groupBy("feature").agg(
         F.count("value").alias("count"), exact_avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    q = ranking.quantiles_wide(long, ["feature"], "value", quantiles, n_groups_hint=len(cols))
+    q = ranking.quantiles_table(long, ["feature"], "value", quantiles, n_groups_hint=len(cols))
     out = moments.join(q, "feature", "left")
     return out.select("feature", "count", "mean", "std", "min", *quantiles.keys(), "max")
 
@@ -58,7 +58,7 @@ def distribution_stats(df: DataFrame, col: str) -> DataFrame:
     """mean, median, min, max, std (ddof 1) of one column, one row."""
     m = df.agg(exact_avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"),
                F.stddev_samp(col).alias("std"), F.count(col).alias("count"))
-    med = ranking.quantiles_wide(df.select(F.col(col).cast("double").alias("__v")), [], "__v", {"median": 0.5})
+    med = ranking.quantiles_table(df.select(F.col(col).cast("double").alias("__v")), [], "__v", {"median": 0.5})
     return ranking.join_small(m, med, [], 1).select("count", "mean", "median", "min", "max", "std")
 
 
@@ -145,8 +145,8 @@ def cut(df: DataFrame, col: str, bins: int = 5) -> tuple[DataFrame, list[float]]
 def qcut_edges(df: DataFrame, col: str, q: int = 5) -> list[float]:
     """Quantile edges at 0, 1/q, ..., 1 (exact, linear) with duplicates removed."""
     probs = [i / q for i in range(q + 1)]
-    rows = ranking.exact_quantiles(df.select(F.col(col).cast("double").alias("__v")), [], "__v", probs).collect()
-    by_p = {round(r["p"], 12): r["q"] for r in rows}
+    res = ranking.quantiles_bracketed(df.select(F.col(col).cast("double").alias("__v")), [], "__v", probs)
+    by_p = {p: q for (_, p), q in res.items()}
     edges = [by_p[round(p, 12)] for p in probs]
     out: list[float] = []
     for e in edges:
@@ -166,7 +166,7 @@ def box_stats(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
     """Box-plot numbers per group: min, q1, median, q3, max, count."""
     base = df.select(F.col(group_col).alias("grp"), F.col(value_col).cast("double").alias("v"))
     m = base.groupBy("grp").agg(F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"))
-    q = ranking.quantiles_wide(base, ["grp"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q = ranking.quantiles_table(base, ["grp"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     return m.join(q, "grp", "left").withColumnRenamed("grp", group_col)
 
 

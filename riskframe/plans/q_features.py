@@ -185,7 +185,7 @@ def target_stats(spark, sf_dir):
     m = t.agg(F.count("target").alias("count"), exact_avg("target").alias("mean"), F.min("target").alias("min"),
               F.max("target").alias("max"), r(F.stddev_samp("target")).alias("std"))
     from ..operators import ranking
-    med = ranking.quantiles_wide(t, [], "target", {"median": 0.5})
+    med = ranking.quantiles_table(t, [], "target", {"median": 0.5})
     return ranking.join_small(m, med, [], 1).select("count", "mean", "median", "min", "max", "std")
 
 
