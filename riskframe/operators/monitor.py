@@ -27,12 +27,14 @@ def column_kinds(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
     return num, boo, cat
 
 
-def numeric_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Wide per-feature numeric stats: ``feature, n, mean, std, min, max, median, p10, p90``."""
+def numeric_stats(df: DataFrame, cols: list[str], quantiles: bool = True) -> DataFrame:
+    """Wide per-feature numeric stats: ``feature, n, mean, std, min, max[, median, p10, p90]``."""
     long = unpivot_numeric(df, cols).where(F.col("value").isNotNull())
     m = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), exact_avg("value").alias("mean"),
                                     F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
                                     F.max("value").alias("max"))
+    if not quantiles:
+        return m
     q = ranking.quantiles_table(long, ["feature"], "value", {"median": 0.5, "p10": 0.1, "p90": 0.9},
                                 n_groups_hint=len(cols))
     return m.join(q, "feature", "left")
@@ -55,13 +57,14 @@ def category_shares(df: DataFrame, cols: list[str]) -> DataFrame:
     return j.select("feature", "category", "n", (F.col("n") / F.col("__total")).alias("share"), "nunique")
 
 
-def reference_stats(df: DataFrame) -> DataFrame:
-    """Tidy reference statistics of every column (empty columns skipped)."""
+def reference_stats(df: DataFrame, quantiles: bool = True) -> DataFrame:
+    """Tidy reference statistics of every column (empty columns skipped). ``quantiles=False`` leaves out
+    median/p10/p90 (drift checks only compare means, stds and shares)."""
     num, boo, cat = column_kinds(df)
     parts = []
     if num:
-        ns = numeric_stats(df, num)
-        stats = ["mean", "std", "min", "max", "median", "p10", "p90"]
+        ns = numeric_stats(df, num, quantiles)
+        stats = ["mean", "std", "min", "max"] + (["median", "p10", "p90"] if quantiles else [])
         parts.append(ns.select("feature", *stats).unpivot(["feature"], stats, "stat", "value")
                      .select("feature", F.lit("numeric").alias("kind"), "stat", "value"))
     if boo:

@@ -137,7 +137,7 @@ FROM r, n""")
 def drift_stats(spark, sf_dir):
     """Numeric drift of new events against the saved reference statistics (relative mean/std change)."""
     ref, new = _drift_inputs(spark, sf_dir)
-    st = MO.reference_stats(ref)
+    st = MO.reference_stats(ref, quantiles=False)
     d = MO.drift_numeric(new, st)
     return d.withColumn("std_diff", sig("std_diff"))
 
@@ -156,7 +156,7 @@ FROM ns LEFT JOIN rs USING (category)""")
 def drift_categorical(spark, sf_dir):
     """Categorical drift: unseen categories over the threshold, or a known category's share shift."""
     ref, new = _drift_inputs(spark, sf_dir)
-    st = MO.reference_stats(ref)
+    st = MO.reference_stats(ref, quantiles=False)
     return MO.drift_categorical(new, st)
 
 
@@ -206,7 +206,7 @@ FROM ns LEFT JOIN rs USING (category)""")
 def drift_report(spark, sf_dir):
     """Drift dispatch with saved statistics: numeric and categorical rows in one table."""
     ref, new = _drift_inputs(spark, sf_dir)
-    rep = MO.drift_report(new, ref_stats=MO.reference_stats(ref))
+    rep = MO.drift_report(new, ref_stats=MO.reference_stats(ref, quantiles=False))
     return rep.withColumn("score", sig("score"))
 
 
@@ -259,7 +259,7 @@ def drift_risk_band(spark, sf_dir):
     b = s.select((F.col("run_id") < _SPLIT_RUN).alias("is_ref"), label.alias("risk_band"))
     ref = b.where("is_ref").select("risk_band")
     new = b.where(~F.col("is_ref")).select("risk_band")
-    d = MO.drift_categorical(new, MO.reference_stats(ref))
+    d = MO.drift_categorical(new, MO.reference_stats(ref, quantiles=False))
     return d.withColumn("max_category_diff", sig("max_category_diff"))
 
 
