@@ -281,10 +281,25 @@ def _group_of(c: str) -> str:
     return "other"
 
 
-_FULL_COLS_SQL = None
+# Columns of the fitted feature table on the oracle data (see q_features.features_full).
+_FULL_COLUMNS = (["payFrequency", "loanId", "anon_ssn", "apr", "originated", "nPaidOff", "approved", "isFunded",
+                  "loanStatus", "loanAmount", "state", "leadType", "leadCost", "clarityFraudId", "underwritingid",
+                  "clearfraudscore"] + list(C.PAYMENT_FEATURES)
+                 + ["application_year", "application_month", "application_day", "application_dayofweek",
+                    "days_to_origination"]
+                 + [f"{c}_missing" for c in C.MISSING_INDICATOR_COLUMNS if c not in ("nPaidOff", "apr")]
+                 + ["loanAmount_x_apr", "loanAmount_squared", "apr_squared", "clearfraudscore_squared", "target"])
 
 
-@query("col_groups")
+def _col_groups_sql() -> str:
+    from .q_features import _FULL_DROPPED
+    full = (f"feat_full AS (SELECT * EXCLUDE ({', '.join(_FULL_DROPPED)}), CAST({V._TARGET_CASE} AS DOUBLE) AS target "
+            "FROM engineered)")
+    return V.with_("engineered", extra=[full]) + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{_group_of(c)}' AS grp, count({c}) AS non_null FROM feat_full" for c in _FULL_COLUMNS)
+
+
+@query("col_groups", _col_groups_sql())
 def col_groups(spark, sf_dir):
     """Column groups of the feature table by suffix / name rule, with non-null counts (rows-only check)."""
     base, pipe, spec = fitted(spark, sf_dir)
