@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, url_filter
+from . import mixing, pieces, secrets, url_filter
 from .common import table
 
 #: Rules of the url query, and the targets of the mix. Fixed values of the contracts.
@@ -26,5 +26,15 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mix, op4_url_filter, op9_secret_scan)}
+def piece_model() -> str:
+    """Path of the public tokenizer's model file; the package that holds it is installed on every node."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mix, op4_url_filter, op9_secret_scan, op10_sentencepiece)}
 ORACLES: dict[str, str] = {}
