@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, pieces, secrets, url_filter
-from .common import table
+from . import langid, mixing, pieces, quality, secrets, url_filter
+from .common import held_out, table
 
 #: Rules of the url query, and the targets of the mix. Fixed values of the contracts.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -22,6 +23,17 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filter.fit(url_filter.seeds(spark)))
 
 
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~out)
+    return quality.score(docs, model).select("doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
+    return langid.predict(docs, langid.fit(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -36,5 +48,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mix, op4_url_filter, op9_secret_scan, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mix, op4_url_filter, op7_quality_crf, op8_language_id, op9_secret_scan, op10_sentencepiece)}
 ORACLES: dict[str, str] = {}
