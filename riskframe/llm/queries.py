@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pieces, quality, secrets, url_filter
+from . import langid, mixing, pieces, quality, secrets, simhash, url_filter
 from .common import held_out, table
 
 #: Rules of the url query, and the targets of the mix. Fixed values of the contracts.
@@ -23,6 +23,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filter.fit(url_filter.seeds(spark)))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~out)
@@ -48,5 +52,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mix, op4_url_filter, op7_quality_crf, op8_language_id, op9_secret_scan, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mix, op4_url_filter, op6_simhash, op7_quality_crf, op8_language_id, op9_secret_scan, op10_sentencepiece)}
 ORACLES: dict[str, str] = {}
