@@ -25,6 +25,7 @@ from .common import WORD, columns_of, materialize
 
 SEED = 20
 LEVEL_BITS = 11   # hash bits per narrowing level: 2048 buckets a source and level
+SALTS = 32        # a source's documents are spread over so many join keys
 LEVELS = 3        # 33 bits in all, then documents of one prefix are summed exactly
 
 
@@ -84,7 +85,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_
     partial repetition), taken. ``taken = reps * size + part_words``."""
     rows = columns_of(documents, doc_id="long", text="string", source="string") \
         .select("doc_id", "source", word_count(F.col("text")).alias("size"),
-                F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1).alias("h"))
+                F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1).alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
     rows = materialize(rows, "mix-docs")
     src = targets(source_sizes(rows, weights), max_epochs)
     src = src.withColumn("epochs", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)) \
@@ -92,8 +93,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_
         .withColumn("need", F.greatest(F.round(F.col("target")) - F.col("whole") * F.col("source_size"), F.lit(0)).cast("long"))
     src = materialize(src.select(F.col("source").alias("src"), "source_size", "target", "whole", "need"), "mix-plan")
     line = _lines(rows, src)
-    on = rows["source"].eqNullSafe(line["src"])
-    d = rows.join(line, on).drop("src")
+    d = _meet(rows, line).drop("src", "salt")
     # below the line: one repetition more; on it: the words that are missing; above: none
     key = F.shiftright("h", 63 - LEVEL_BITS * LEVELS)
     return d.withColumn("extra", F.when(key < F.col("line"), F.col("size"))
@@ -105,13 +105,19 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_
         .select("doc_id", "source", "size", "source_size", "target", "reps", "part_words", "taken")
 
 
+def _meet(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """Documents with their source's row. That row is copied to every salt, so that no source is one join key."""
+    p = per_source.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(p, rows["source"].eqNullSafe(p["src"]) & (rows["salt"] == p["salt2"])).drop("salt2")
+
+
 def _lines(rows: DataFrame, src: DataFrame) -> DataFrame:
     """src plus, per source, the hash prefix ``line``, hash ``line_h`` and words ``line_words`` where the fraction ends."""
     at = src.withColumn("line", F.lit(0).cast("long")).withColumn("left", F.col("need"))
     for level in range(1, LEVELS + 1):
         down = 63 - LEVEL_BITS * level
         above = F.shiftright("h", down + LEVEL_BITS)
-        sums = rows.join(at.select("src", "line"), rows["source"].eqNullSafe(F.col("src")) & (above == F.col("line"))) \
+        sums = _meet(rows, at.select("src", "line")).where(above == F.col("line")) \
             .groupBy("src", F.shiftright("h", down).alias("next")).agg(F.sum("size").alias("words"))
         w = Window.partitionBy("src").orderBy("next")  # at most 2048 rows a source
         run = sums.withColumn("upto", F.sum("words").over(w))
@@ -126,7 +132,7 @@ def _lines(rows: DataFrame, src: DataFrame) -> DataFrame:
                                  F.coalesce("next", F.shiftleft(F.col("line") + 1, LEVEL_BITS) - 1).alias("line"),
                                  F.coalesce("rest", "left").alias("left")), "mix-line")
     # documents of one 33-bit prefix: almost always one; equal hashes are one unit
-    last = rows.join(at.select("src", "line", "left"), rows["source"].eqNullSafe(F.col("src")) & (F.shiftright("h", 63 - LEVEL_BITS * LEVELS) == F.col("line"))) \
+    last = _meet(rows, at.select("src", "line", "left")).where(F.shiftright("h", 63 - LEVEL_BITS * LEVELS) == F.col("line")) \
         .groupBy("src", "h").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("left").alias("left"))
     w = Window.partitionBy("src").orderBy("h")
     last = last.withColumn("upto", F.sum("words").over(w)).where("upto > left") \

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, langid, mixing, pieces, quality, secrets, simhash, url_filter
+from . import covertree, jaccard, langid, mixing, pieces, quality, secrets, simhash, url_filter
 from .common import held_out, table
 
 #: Rules of the url query, and the targets of the mix. Fixed values of the contracts.
@@ -27,6 +27,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filter.fit(url_filter.seeds(spark)))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.neighbours(table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mix, op3_cover_tree, op4_url_filter, op6_simhash, op7_quality_crf, op8_language_id, op9_secret_scan, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mix, op3_cover_tree, op4_url_filter, op5_ngram_jaccard, op6_simhash, op7_quality_crf, op8_language_id, op9_secret_scan, op10_sentencepiece)}
 ORACLES: dict[str, str] = {}
