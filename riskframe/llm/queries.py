@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, jaccard, langid, mixing, pieces, quality, secrets, simhash, url_filter
+from . import covertree, html_text, jaccard, langid, mixing, pieces, quality, secrets, simhash, url_filter
 from .common import held_out, table
 
 #: Rules of the url query, and the targets of the mix. Fixed values of the contracts.
@@ -15,6 +15,10 @@ URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
 MIX_WEIGHTS, MIX_EPOCHS = (5.0, 2.0, 1.0), 3.0
 
 
+def op1_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_EPOCHS)
 
@@ -60,5 +64,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mix, op3_cover_tree, op4_url_filter, op5_ngram_jaccard, op6_simhash, op7_quality_crf, op8_language_id, op9_secret_scan, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_wrapper, op2_source_mix, op3_cover_tree, op4_url_filter, op5_ngram_jaccard, op6_simhash, op7_quality_crf, op8_language_id, op9_secret_scan, op10_sentencepiece)}
 ORACLES: dict[str, str] = {}
