@@ -80,31 +80,71 @@ def targets(sources: DataFrame, max_epochs: float) -> DataFrame:
     return state.withColumn("target", F.when(F.col("clamped"), cap).otherwise(F.col("weight") * F.lit(level)).cast("double")).drop("clamped")
 
 
-def mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, reps (whole repetitions), part_words (words of one more,
-    partial repetition), taken. ``taken = reps * size + part_words``."""
-    rows = columns_of(documents, doc_id="long", text="string", source="string") \
-        .select("doc_id", "source", word_count(F.col("text")).alias("size"),
-                F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1).alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
-    rows = materialize(rows, "mix-docs")
+def _hash(doc_id: Column, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 1)
+
+
+def _plan(rows: DataFrame, weights: tuple[float, ...], max_epochs: float) -> DataFrame:
+    """src, source_size, target, whole, line, line_h, line_words: one row a source."""
     src = targets(source_sizes(rows, weights), max_epochs)
     src = src.withColumn("epochs", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)) \
         .withColumn("whole", F.least(F.floor("epochs"), F.lit(max_epochs)).cast("long")) \
         .withColumn("need", F.greatest(F.round(F.col("target")) - F.col("whole") * F.col("source_size"), F.lit(0)).cast("long"))
-    src = materialize(src.select(F.col("source").alias("src"), "source_size", "target", "whole", "need"), "mix-plan")
-    line = _lines(rows, src)
-    d = _meet(rows, line).drop("src", "salt")
-    # below the line: one repetition more; on it: the words that are missing; above: none
+    return _lines(rows, materialize(src.select(F.col("source").alias("src"), "source_size", "target", "whole", "need"), "mix-plan"))
+
+
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds source_size, target, reps, part_words: below the line one repetition more, on it the words that are missing."""
     key = F.shiftright("h", 63 - LEVEL_BITS * LEVELS)
-    return d.withColumn("extra", F.when(key < F.col("line"), F.col("size"))
-                        .when((key == F.col("line")) & (F.col("h") < F.col("line_h")), F.col("size"))
-                        .when((key == F.col("line")) & (F.col("h") == F.col("line_h")), F.least("size", "line_words")).otherwise(F.lit(0))) \
+    return _meet(rows, plan) \
+        .withColumn("extra", F.when(key < F.col("line"), F.col("size"))
+                    .when((key == F.col("line")) & (F.col("h") < F.col("line_h")), F.col("size"))
+                    .when((key == F.col("line")) & (F.col("h") == F.col("line_h")), F.least("size", "line_words")).otherwise(F.lit(0))) \
         .withColumn("reps", F.when(F.col("size") > 0, F.col("whole") + (F.col("extra") == F.col("size")).cast("long")).otherwise(F.col("whole"))) \
-        .withColumn("part_words", F.when((F.col("size") > 0) & (F.col("extra") < F.col("size")), F.col("extra")).otherwise(F.lit(0)).cast("long")) \
-        .withColumn("taken", F.col("reps") * F.col("size") + F.col("part_words")) \
+        .withColumn("part_words", F.when((F.col("size") > 0) & (F.col("extra") < F.col("size")), F.col("extra")).otherwise(F.lit(0)).cast("long"))
+
+
+def _sized(documents: DataFrame, seed: int) -> DataFrame:
+    """row (all columns of the documents), doc_id, source, size, h, salt."""
+    have = {c.lower(): F.col(f"`{c}`") for c in documents.columns}
+    none = F.lit(None)
+    doc_id, text, source = (have.get(c, none) for c in ("doc_id", "text", "source"))
+    return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), doc_id.cast("long").alias("doc_id"),
+                            source.cast("string").alias("source"), word_count(text.cast("string")).alias("size")) \
+        .withColumn("h", _hash(F.col("doc_id"), seed)).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+
+
+def mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, reps (whole repetitions), part_words (words of one more,
+    partial repetition), taken. ``taken = reps * size + part_words``."""
+    rows = materialize(_sized(documents, seed).drop("row"), "mix-docs")
+    return _taken(rows, _plan(rows, weights, max_epochs)).withColumn("taken", F.col("reps") * F.col("size") + F.col("part_words")) \
         .select("doc_id", "source", "size", "source_size", "target", "reps", "part_words", "taken")
 
 
+def repeat(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, seed: int = SEED) -> DataFrame:
+    """The mixed corpus itself: the columns of ``documents``, one row a repetition; a partial repetition is the
+    first ``part_words`` words of the text, joined by spaces. Texts meet their source's plan, a row a source, and are
+    not shuffled by document."""
+    rows = _sized(documents, seed)
+    plan = _plan(materialize(rows.drop("row"), "mix-docs"), weights, max_epochs)
+    out = _taken(rows, plan).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("reps")))) \
+        .where("copy < reps OR part_words > 0").withColumn("whole_copy", F.col("copy") < F.col("reps"))
+    name = {c.lower(): c for c in documents.columns}
+    words = F.filter(F.split(F.col("row").getField(name["text"]), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    part = F.concat_ws(" ", F.slice(words, F.lit(1), F.greatest(F.col("part_words"), F.lit(1)).cast("int")))
+    out = out.withColumn("new_text", F.when(F.col("whole_copy"), F.col("row").getField(name["text"])).otherwise(part))
+    cells = []
+    for c in documents.columns:
+        cell = F.col("row").getField(c)
+        if c.lower() == "text":
+            cell = F.col("new_text")
+        elif c.lower() == "n_chars":
+            cell = F.when(F.col("whole_copy"), cell).otherwise(F.length("new_text").cast(documents.schema[c].dataType))
+        cells.append(cell.alias(c))
+    return out.select(*cells)
+
+
 def _meet(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     """Documents with their source's row. That row is copied to every salt, so that no source is one join key."""
     p = per_source.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -140,18 +180,3 @@ def _lines(rows: DataFrame, src: DataFrame) -> DataFrame:
         .select(F.col("src").alias("s2"), F.col("m.h").alias("line_h"), F.col("m.words").alias("line_words"))
     return at.join(last, F.col("src").eqNullSafe(F.col("s2")), "left") \
         .select("src", "source_size", "target", "whole", "line", F.coalesce("line_h", F.lit(2**63 - 1)).alias("line_h"), F.coalesce("line_words", F.lit(0)).cast("long").alias("line_words"))
-
-
-def repeat(documents: DataFrame, **kw) -> DataFrame:
-    """The mixed corpus itself: documents with the columns of ``documents``, one row a repetition; a partial
-    repetition is the first ``part_words`` words of the text, joined by spaces. Needs one row a doc_id for the join to be exact."""
-    cols = documents.columns
-    m = mix(documents, **kw).select(F.col("doc_id").alias("mix_id"), "reps", "part_words")
-    d = documents.join(m, F.col("doc_id") == F.col("mix_id"), "inner").drop("mix_id")
-    whole = d.withColumn("copy", F.explode(F.expr("sequence(0L, reps)"))).where("copy < reps OR part_words > 0")
-    words = F.split(F.col("text"), r"[\x20\x09-\x0D]+")
-    part = F.concat_ws(" ", F.slice(F.filter(words, lambda x: x != ""), F.lit(1), F.col("part_words").cast("int")))
-    out = whole.withColumn("text", F.when(F.col("copy") < F.col("reps"), F.col("text")).otherwise(part))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*cols)
