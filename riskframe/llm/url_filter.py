@@ -46,9 +46,12 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def grams(host: Column, path: Column) -> Column:
     """Character n-grams of host and path (digits of the path read as 0); each text is closed by marks."""
     def cut(s: Column, mark: str) -> Column:
-        s = F.concat(F.lit("^"), s, F.lit("$"))
-        return F.concat(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))),
-                                      lambda i, n=n: F.concat(F.lit(mark), F.substring(s, i, F.lit(n)))) for n in GRAMS])
+        def of(c: Column) -> Column:  # c: the characters, bound once a row, so that long urls cost linear time
+            def grams_of(n: int) -> Column:
+                return F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))),
+                                   lambda i: F.concat(F.lit(mark), *[F.coalesce(F.get(c, i + k), F.lit("")) for k in range(n)]))
+            return F.concat(*map(grams_of, GRAMS))
+        return F.get(F.transform(F.array(F.split(F.concat(F.lit("^"), s, F.lit("$")), "")), of), 0)
     return F.concat(cut(host, "h"), cut(F.translate(path, "123456789", "000000000"), "p"))
 
 
