@@ -226,8 +226,8 @@ def predict(documents: DataFrame, model: Model, spans: bool = False) -> DataFram
 
 def _spans(m: Model, w: Words, lab: np.ndarray, n: int) -> list[str]:
     out: list[list[str]] = [[] for _ in range(n)]
-    if w.start.size and m.langs:
-        has = np.flatnonzero(w.n_letters > 0)
+    has = np.flatnonzero(w.n_letters > 0)
+    if has.size and m.langs:
         cut = np.flatnonzero(np.concatenate(([True], (lab[has][1:] != lab[has][:-1]) | (w.text[has][1:] != w.text[has][:-1]))))
         last = np.append(cut[1:], has.size) - 1
         for a, z in zip(has[cut], has[last]):
