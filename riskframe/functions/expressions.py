@@ -115,42 +115,50 @@ def rnd(col, digits: int = 6) -> Column:
     return F.round(_c(col).cast("double"), digits)
 
 
-# Exact, order-independent sums. A double sum depends on the order rows arrive in, so the same query on
-# two partitionings (or two engines) can differ in the last bits. Here every value is rounded to a fixed
-# point (EXACT_SCALE decimals, |x| < 9.2e9) and summed exactly as three 21-bit limbs in plain long
-# sums (fast codegen'd adds, map-side partial aggregation, no overflow below ~4e12 rows per group); the
-# limbs are recombined once per group in decimal arithmetic. The result equals the exact decimal sum,
-# so it is identical on every partitioning and matches SQL ``sum(CAST(x AS DECIMAL(38,9)))``.
+# Sums that do not depend on row order wherever that is possible. A double sum depends on the order rows
+# arrive in, so the same query on two partitionings (or two engines) can differ in the last bits. Where every
+# value of a group is, to within EXACT_TOL of itself, a decimal of at most EXACT_SCALE places and below EXACT_MAX
+# (amounts, products of amounts and rates, scores), the sum is exact: fixed-point values as three 21-bit limbs in plain long sums, recombined once per group
+# in decimal arithmetic. Any other group (larger, finer or NaN values) gets the plain double sum, so nothing is
+# clamped, rounded away or turned into 0; queries round such results to significant digits.
 EXACT_SCALE = 9
+EXACT_MAX = 9.2e9
+EXACT_TOL = 1e-13
 _LIMB = 21
 _MASK = (1 << _LIMB) - 1
 
 
 def _exact_sum_sql(x: str, scale: int) -> str:
-    v = f"floor(CAST({x} AS DOUBLE) * {float(10 ** scale)!r} + 0.5)"
+    x = f"CAST({x} AS DOUBLE)"
+    v = f"floor({x} * {float(10 ** scale)!r} + 0.5D)"
     d = "decimal(38,0)"
     total = (f"CAST(sum(shiftright({v}, {2 * _LIMB})) AS {d}) * CAST({1 << (2 * _LIMB)} AS {d}) + "
              f"CAST(sum(shiftright({v}, {_LIMB}) & {_MASK}) AS {d}) * CAST({1 << _LIMB} AS {d}) + "
              f"CAST(sum({v} & {_MASK}) AS {d})")
-    return f"CAST(CAST({total} AS decimal(29,0)) / CAST({10 ** scale} AS decimal(10,0)) AS DOUBLE)"
+    exact = f"CAST(CAST({total} AS decimal(29,0)) / CAST({10 ** scale} AS decimal(10,0)) AS DOUBLE)"
+    fits = f"bool_and(abs({x}) < {EXACT_MAX!r}D AND abs(CAST({v} AS DOUBLE) / {float(10 ** scale)!r}D - {x}) <= {EXACT_TOL!r}D * abs({x}))"
+    return f"CASE WHEN {fits} THEN {exact} ELSE sum({x}) END"
 
 
 def exact_sum(col, scale: int = EXACT_SCALE) -> Column:
-    """Exact sum of a column (name or Column). A name is expanded JVM-side from SQL text (one call)."""
+    """Sum of a column (name or Column), exact where the values allow it (see above)."""
     if isinstance(col, str):
         return F.expr(_exact_sum_sql(f"`{col}`", scale))
     c = _c(col).cast("double")
-    v = F.floor(c * F.lit(float(10 ** scale)) + F.lit(0.5))
+    unit = F.lit(float(10 ** scale))
+    v = F.floor(c * unit + F.lit(0.5))
     lo = v.bitwiseAND(F.lit(_MASK))
     mid = F.shiftright(v, _LIMB).bitwiseAND(F.lit(_MASK))
     hi = F.shiftright(v, 2 * _LIMB)
     d = "decimal(38,0)"
     total = (F.sum(hi).cast(d) * F.lit(1 << (2 * _LIMB)).cast(d)
              + F.sum(mid).cast(d) * F.lit(1 << _LIMB).cast(d) + F.sum(lo).cast(d))
-    return (total.cast("decimal(29,0)") / F.lit(10 ** scale).cast("decimal(10,0)")).cast("double")
+    exact = (total.cast("decimal(29,0)") / F.lit(10 ** scale).cast("decimal(10,0)")).cast("double")
+    fits = F.bool_and((F.abs(c) < F.lit(EXACT_MAX)) & (F.abs(v.cast("double") / unit - c) <= F.lit(EXACT_TOL) * F.abs(c)))
+    return F.when(fits, exact).otherwise(F.sum(c))
 
 
 def exact_avg(col) -> Column:
     if isinstance(col, str):
-        return F.expr(f"{_exact_sum_sql(f'`{col}`', EXACT_SCALE)} / count(`{col}`)")
+        return F.expr(f"({_exact_sum_sql(f'`{col}`', EXACT_SCALE)}) / count(`{col}`)")
     return exact_sum(col) / F.count(col)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import band3, exact_sum
+from ..functions.expressions import band3, exact_avg, exact_sum
 from . import ranking
 
 LABELS = [0, 1, 2]
@@ -28,9 +28,9 @@ def regression_metrics(df: DataFrame, y: str = "y_true", p: str = "y_pred", grou
     g = list(group_cols or [])
     err = F.col(y) - F.col(p)
     sums = [F.count(F.lit(1)).alias("n"), exact_sum(err * err).alias("sse"), exact_sum(F.abs(err)).alias("sae"),
-            exact_sum(F.col(y)).alias("sy"), exact_sum(F.col(y) * F.col(y)).alias("syy")]
+            F.var_pop(F.col(y)).alias("vy")]
     agg = df.groupBy(*g).agg(*sums) if g else df.agg(*sums)
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    sst = F.col("vy") * F.col("n")
     r2 = F.when(sst == 0, F.when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(
         F.lit(1.0) - F.col("sse") / sst)
     return agg.select(*g, "n", (F.col("sse") / F.col("n")).alias("mse"), (F.col("sae") / F.col("n")).alias("mae"),
@@ -115,17 +115,12 @@ def percentile_summary(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> D
     prediction mean and std (ddof 0)."""
     pct = ranking.percentile_of_score(df, y, df, p)
     w = F.col("weight")
-    s = pct.agg(exact_sum(F.col("pct") * w).alias("s1"), exact_sum(F.col("pct") * F.col("pct") * w).alias("s2"),
-                F.sum(w).alias("n"), F.min("pct").alias("pct_min"), F.max("pct").alias("pct_max"))
-    s = s.select((F.col("s1") / F.col("n")).alias("pct_mean"), "pct_min", "pct_max",
-                 F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n")
-                                   - (F.col("s1") / F.col("n")) * (F.col("s1") / F.col("n"))))
-                 .alias("pct_std"))
-    pm = df.agg(exact_sum(F.col(p)).alias("a"), exact_sum(F.col(p) * F.col(p)).alias("b"), F.count(p).alias("m"))
-    pm = pm.select((F.col("a") / F.col("m")).alias("mean_prediction"),
-                   F.sqrt(F.greatest(F.lit(0.0), F.col("b") / F.col("m")
-                                     - (F.col("a") / F.col("m")) * (F.col("a") / F.col("m"))))
-                   .alias("std_prediction"))
+    s = pct.agg(exact_sum(F.col("pct") * w).alias("s1"), F.sum(w).alias("n"), F.min("pct").alias("pct_min"), F.max("pct").alias("pct_max"))
+    s = s.withColumn("pct_mean", F.col("s1") / F.col("n"))
+    # spread around the mean, not the difference of two large sums
+    dev = ranking.join_small(pct, s.select("pct_mean"), [], 1).agg(F.sum(w * F.pow(F.col("pct") - F.col("pct_mean"), 2)).alias("ss"))
+    s = ranking.join_small(s, dev, [], 1).select("pct_mean", "pct_min", "pct_max", F.sqrt(F.col("ss") / F.col("n")).alias("pct_std"))
+    pm = df.agg(exact_avg(p).alias("mean_prediction"), F.stddev_pop(F.col(p)).alias("std_prediction"))
     return ranking.join_small(s, pm, [], 1)
 
 

@@ -22,7 +22,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import exact_sum
+from ..functions.expressions import exact_avg
 from . import ranking
 
 # Pipeline configuration of the boosted trees (fixed values of the configuration file).
@@ -53,15 +53,8 @@ def fit_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float,
     med = {k[0]: q for (k, _), q in ranking.quantiles_bracketed(long, ["feature"], "value", [0.5],
                                                                  n_groups_hint=len(cols)).items()}
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med.get(c))).alias(c) for c in cols])
-    row = filled.agg(F.count(F.lit(1)).alias("__n"), *[exact_sum(c).alias(f"s_{c}") for c in cols],
-                     *[exact_sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in cols]).first()
-    out = {}
-    n = row["__n"]
-    for c in cols:
-        mean = row[f"s_{c}"] / n
-        var = max(0.0, row[f"q_{c}"] / n - mean * mean)
-        out[c] = (med.get(c), mean, math.sqrt(var))
-    return out
+    row = filled.agg(*[exact_avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+    return {c: (med.get(c), row[f"m_{c}"], row[f"s_{c}"] or 0.0) for c in cols}
 
 
 def apply_scaler(df: DataFrame, params: dict[str, tuple[float, float, float]], suffix: str = "") -> DataFrame:

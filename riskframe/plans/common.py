@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import EXACT_MAX, EXACT_TOL
 from ..session import ensure_checkpoint_dir, session_defaults
 from ..sources import fixtures
 
@@ -46,12 +47,15 @@ def sql_round_all(cols: list[str], digits: int = DIGITS) -> str:
 
 
 def XSUM(expr: str) -> str:
-    """SQL text of the exact sum (see ``functions.expressions.exact_sum``)."""
-    return f"CAST(sum(CAST({expr} AS DECIMAL(38,9))) AS DOUBLE)"
+    """SQL text of the sum that is exact where the values allow it (see ``functions.expressions.exact_sum``)."""
+    x = f"CAST({expr} AS DOUBLE)"
+    dec = f"TRY_CAST({x} AS DECIMAL(38,9))"
+    return (f"(CASE WHEN bool_and(abs({x}) < {EXACT_MAX!r} AND coalesce(abs(CAST({dec} AS DOUBLE) - {x}) <= {EXACT_TOL!r} * abs({x}), {x} IS NULL)) "
+            f"THEN CAST(sum({dec}) AS DOUBLE) ELSE sum({x}) END)")
 
 
 def XAVG(expr: str) -> str:
-    return f"(CAST(sum(CAST({expr} AS DECIMAL(38,9))) AS DOUBLE) / count({expr}))"
+    return f"({XSUM(expr)} / count({expr}))"
 
 
 def sig(col, digits: int = 10):

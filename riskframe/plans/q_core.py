@@ -10,7 +10,7 @@ from ..operators import joins
 from ..operators.features import add_date_features
 from ..sources import fixtures, io, schemas
 from . import sql_views as V
-from .common import XAVG, XSUM, inputs, prep, r, scratch_path
+from .common import SIG, XAVG, XSUM, inputs, prep, r, scratch_path, sig
 from .registry import query
 
 LOAN_COLS = [f.name for f in schemas.LOAN.fields]
@@ -28,7 +28,7 @@ SELECT state,
 FROM with_pay GROUP BY state
 """.format(avg_target=XAVG("CASE loanStatus " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.STATUS_RISK.items())
                            + f" ELSE {C.DEFAULT_RISK} END"),
-           avg_rate=XAVG("payment_success_rate"), avg_score=XAVG("clearfraudscore"), total=XSUM("paymentAmount_sum"))
+           avg_rate=SIG(XAVG("payment_success_rate"), 9), avg_score=SIG(XAVG("clearfraudscore"), 9), total=SIG(XSUM("paymentAmount_sum"), 12))
 
 
 @query("risk_by_state", RISK_BY_STATE_SQL)
@@ -42,7 +42,9 @@ def risk_by_state(spark, sf_dir):
                    exact_avg("target").alias("avg_target"),
                    exact_avg("payment_success_rate").alias("avg_success_rate"),
                    exact_avg("clearfraudscore").alias("avg_fraud_score"),
-                   exact_sum("paymentAmount_sum").alias("total_paid")))
+                   exact_sum("paymentAmount_sum").alias("total_paid"))
+              .withColumns({"avg_success_rate": sig("avg_success_rate", 9), "avg_fraud_score": sig("avg_fraud_score", 9),
+                            "total_paid": sig("total_paid", 12)}))
 
 
 # -------------------------------------------------------------------------------------------- sources
@@ -143,13 +145,11 @@ def sink_roundtrip(spark, sf_dir):
 # ------------------------------------------------------------------------------------ filters & joins
 
 @query("flt_approved", V.with_("loan_all") + """
-SELECT state, count(*) AS n_loans, count(*) FILTER (WHERE approved) AS n_approved FROM loan_all GROUP BY state""")
+SELECT loanId, state, loanAmount, approved FROM loan_all WHERE approved""")
 def flt_approved(spark, sf_dir):
-    """Approved filter (pushed into the scan's plan; null approved excluded)."""
+    """Approved filter (null approved excluded): the rows that ingestion keeps."""
     prep(spark)
-    loan = fixtures.loan(spark, sf_dir)
-    return loan.groupBy("state").agg(F.count(F.lit(1)).alias("n_loans"),
-                                     F.count(F.when(F.col("approved"), 1)).alias("n_approved"))
+    return fixtures.loan(spark, sf_dir).where(F.col("approved")).select("loanId", "state", "loanAmount", "approved")
 
 
 JOIN_FRAUD_SQL = V.with_("joined") + "SELECT loanId, clarityFraudId, underwritingid, clearfraudscore FROM joined"

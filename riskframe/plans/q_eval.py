@@ -15,9 +15,10 @@ from ..operators import gate as GT
 from ..operators import ranking
 from ..sources import fixtures
 from . import sql_views as V
-from .common import XSUM, prep, r, scratch_path
+from .common import SIG, XAVG, XSUM, prep, r, scratch_path, sig
 from .registry import query
 
+SD = 9   # significant digits of values that come from double sums
 RD = 12  # digits for ratios averaged over a few labels (summation order differs between engines)
 
 
@@ -39,10 +40,9 @@ def eval_ctes(y: str = "y_true", p: str = "y_pred", g: list[str] | None = None,
     P = prefix
     return [
         f"""{P}reg AS (SELECT {gsel}count(*) AS n, {XSUM(f'({y} - {p}) * ({y} - {p})')} AS sse,
-              {XSUM(f'abs({y} - {p})')} AS sae, {XSUM(y)} AS sy, {XSUM(f'{y} * {y}')} AS syy FROM scored {gby})""",
+              {XSUM(f'abs({y} - {p})')} AS sae, var_pop({y}) * count(*) AS sst FROM scored {gby})""",
         f"""{P}regm AS (SELECT {gsel}n, sse / n AS mse, sae / n AS mae,
-              CASE WHEN syy - sy * sy / n = 0 THEN (CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END)
-                   ELSE 1.0 - sse / (syy - sy * sy / n) END AS r2 FROM {P}reg)""",
+              CASE WHEN sst = 0 THEN (CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END) ELSE 1.0 - sse / sst END AS r2 FROM {P}reg)""",
         f"""{P}cnt AS (SELECT {gsel}{_band(y)} AS actual, {_band(p)} AS predicted, count(*) AS n FROM scored
               WHERE {y} IS NOT NULL AND {p} IS NOT NULL GROUP BY ALL)""",
         f"""{P}lab AS (SELECT DISTINCT {gsel}actual AS label FROM {P}cnt UNION SELECT DISTINCT {gsel}predicted FROM {P}cnt)""",
@@ -64,18 +64,19 @@ def eval_ctes(y: str = "y_true", p: str = "y_pred", g: list[str] | None = None,
 
 
 def _metric_cols(prefix: str = "") -> str:
-    return (f"mse, mae, r2, accuracy, round(precision_macro, {RD}) AS precision_macro, "
+    return (f"{SIG('mse', SD)} AS mse, {SIG('mae', SD)} AS mae, {SIG('r2', SD)} AS r2, accuracy, round(precision_macro, {RD}) AS precision_macro, "
             f"round(recall_macro, {RD}) AS recall_macro, round(f1_macro, {RD}) AS f1_macro")
 
 
 def _round_metrics(df):
-    return df.withColumns({c: r(c, RD) for c in ("precision_macro", "recall_macro", "f1_macro")})
+    return df.withColumns({c: r(c, RD) for c in ("precision_macro", "recall_macro", "f1_macro")} | {c: sig(c, SD) for c in ("mse", "mae", "r2") if c in df.columns})
 
 
-@query("eval_regression", V.with_("scored", extra=eval_ctes()[:2]) + "SELECT n, mse, mae, r2 FROM regm")
+@query("eval_regression", V.with_("scored", extra=eval_ctes()[:2]) + f"SELECT n, {SIG('mse', SD)} AS mse, {SIG('mae', SD)} AS mae, {SIG('r2', SD)} AS r2 FROM regm")
 def eval_regression(spark, sf_dir):
     """MSE, MAE, R² from exact sums (one pass)."""
-    return EV.regression_metrics(_scored(spark, sf_dir))
+    m = EV.regression_metrics(_scored(spark, sf_dir))
+    return m.withColumns({c: sig(c, SD) for c in ("mse", "mae", "r2")})
 
 
 @query("eval_macro", V.with_("scored", extra=eval_ctes()) + f"""
@@ -120,19 +121,20 @@ _PCT_SQL = V.with_("scored", extra=[
           (SELECT count(*) FROM scored s WHERE s.y_true <= pv.v) AS le FROM pv)""",
     """pp AS (SELECT w, CAST(lt + le + CASE WHEN le > lt THEN 1 ELSE 0 END AS DOUBLE) * 50.0 / na.n / 100.0 AS pct
           FROM pr, na)""",
-    f"ps AS (SELECT {XSUM('pct * w')} AS s1, {XSUM('pct * pct * w')} AS s2, sum(w) AS n, min(pct) AS pct_min, "
-    "max(pct) AS pct_max FROM pp)",
-    f"pm AS (SELECT {XSUM('y_pred')} AS a, {XSUM('y_pred * y_pred')} AS b, count(y_pred) AS m FROM scored)"]) + """
-SELECT s1 / n AS pct_mean, pct_min, pct_max, sqrt(greatest(0.0, s2 / n - (s1 / n) * (s1 / n))) AS pct_std,
-       a / m AS mean_prediction, sqrt(greatest(0.0, b / m - (a / m) * (a / m))) AS std_prediction
-FROM ps, pm"""
+    f"ps AS (SELECT {XSUM('pct * w')} AS s1, sum(w) AS n, min(pct) AS pct_min, max(pct) AS pct_max FROM pp)",
+    "sd AS (SELECT sqrt(sum(w * pow(pct - (SELECT s1 / n FROM ps), 2)) / sum(w)) AS pct_std FROM pp)",
+    f"pm AS (SELECT {XAVG('y_pred')} AS mean_prediction, stddev_pop(y_pred) AS std_prediction FROM scored)"]) + f"""
+SELECT {SIG('s1 / n', SD)} AS pct_mean, {SIG('pct_min', SD)} AS pct_min, {SIG('pct_max', SD)} AS pct_max, {SIG('pct_std', SD)} AS pct_std,
+       {SIG('mean_prediction', SD)} AS mean_prediction, {SIG('std_prediction', SD)} AS std_prediction
+FROM ps, sd, pm"""
 
 
 @query("eval_percentile", _PCT_SQL)
 def eval_percentile(spark, sf_dir):
     """Percentile of every prediction within the actuals (rank rule) summarised, via distributed
     running counts instead of a per-prediction scan of all actuals."""
-    return EV.percentile_summary(_scored(spark, sf_dir))
+    out = EV.percentile_summary(_scored(spark, sf_dir))
+    return out.select(*[sig(c, SD).alias(c) for c in out.columns])
 
 
 @query("eval_band_share", V.with_("scored") + f"""
@@ -152,7 +154,7 @@ def eval_band_share(spark, sf_dir):
 
 
 _CMP_SQL = V.with_("scored", extra=eval_ctes("y_true", "y_alt", prefix="n_") + eval_ctes("y_true", "y_pred", prefix="o_")) + f"""
-SELECT o.mse - n.mse AS mse_diff, o.mae - n.mae AS mae_diff, n.r2 - o.r2 AS r2_diff, n.accuracy - o.accuracy AS accuracy_diff,
+SELECT {SIG('o.mse - n.mse', SD)} AS mse_diff, {SIG('o.mae - n.mae', SD)} AS mae_diff, {SIG('n.r2 - o.r2', SD)} AS r2_diff, n.accuracy - o.accuracy AS accuracy_diff,
        round(n.precision_macro - o.precision_macro, {RD}) AS precision_macro_diff,
        round(n.recall_macro - o.recall_macro, {RD}) AS recall_macro_diff,
        round(n.f1_macro - o.f1_macro, {RD}) AS f1_macro_diff,
@@ -165,7 +167,8 @@ def eval_compare(spark, sf_dir):
     """Challenger vs production on the same rows: sign-aware diffs and the is-better rule."""
     s = _scored(spark, sf_dir)
     c = EV.compare(EV.evaluate(s, "y_true", "y_alt"), EV.evaluate(s, "y_true", "y_pred"))
-    return c.withColumns({k: r(k, RD) for k in ("precision_macro_diff", "recall_macro_diff", "f1_macro_diff")})
+    return c.withColumns({k: r(k, RD) for k in ("precision_macro_diff", "recall_macro_diff", "f1_macro_diff")}
+                         | {k: sig(k, SD) for k in ("mse_diff", "mae_diff", "r2_diff")})
 
 
 _RUN_METRICS_SQL = V.with_("scored", extra=eval_ctes(g=["run_id"])) + f"""
@@ -241,8 +244,8 @@ def registry_current(spark, sf_dir):
 
 
 _PREG_SQL = V.with_("scored", extra=eval_ctes(g=["run_id"])) + f"""
-SELECT run_id, mse - lag(mse) OVER (ORDER BY run_id) AS mse_increase, mae - lag(mae) OVER (ORDER BY run_id) AS mae_increase,
-       r2, coalesce(mse - lag(mse) OVER (ORDER BY run_id) > {C.MAX_MSE_INCREASE}, false)
+SELECT run_id, round(mse - lag(mse) OVER (ORDER BY run_id), {RD}) AS mse_increase, round(mae - lag(mae) OVER (ORDER BY run_id), {RD}) AS mae_increase,
+       {SIG('r2', SD)} AS r2, coalesce(mse - lag(mse) OVER (ORDER BY run_id) > {C.MAX_MSE_INCREASE}, false)
            OR coalesce(mae - lag(mae) OVER (ORDER BY run_id) > {C.MAX_MAE_INCREASE}, false) OR r2 < {C.MIN_R2_MONITOR} AS degraded
 FROM ev"""
 
@@ -258,4 +261,5 @@ def perf_regression(spark, sf_dir):
     ai = F.col("mae") - F.lag("mae").over(w)
     deg = (F.coalesce(mi > C.MAX_MSE_INCREASE, F.lit(False)) | F.coalesce(ai > C.MAX_MAE_INCREASE, F.lit(False))
            | (F.col("r2") < C.MIN_R2_MONITOR))
-    return m.select("run_id", mi.alias("mse_increase"), ai.alias("mae_increase"), "r2", deg.alias("degraded"))
+    out = m.select("run_id", mi.alias("mse_increase"), ai.alias("mae_increase"), "r2", deg.alias("degraded"))
+    return out.withColumns({"mse_increase": r("mse_increase", RD), "mae_increase": r("mae_increase", RD), "r2": sig("r2", SD)})

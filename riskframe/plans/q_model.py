@@ -18,7 +18,7 @@ from ..operators import stats as ST
 from ..operators import ranking
 from ..sources import fixtures
 from . import sql_views as V
-from .common import SIG, XSUM, inputs, prep, scratch_path, sig
+from .common import SIG, XAVG, inputs, prep, scratch_path, sig
 from .q_features import fitted
 from .registry import query
 
@@ -31,17 +31,16 @@ QUERY_ROUNDS = 20
 @query("prep_scale", V.with_("loan", extra=[
     "m AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in SCALE_COLS) + " FROM loan)",
     "f AS (SELECT l.loanId, " + ", ".join(f"coalesce(l.{c}, m.{c}) AS {c}" for c in SCALE_COLS) + " FROM loan l, m)",
-    "s AS (SELECT count(*) AS n, " + ", ".join(f"{XSUM(c)} AS s_{c}, {XSUM(f'{c} * {c}')} AS q_{c}" for c in SCALE_COLS)
+    "s AS (SELECT " + ", ".join(f"{XAVG(c)} AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SCALE_COLS)
     + " FROM f)"]) + "SELECT f.loanId, " + ", ".join(
-        SIG(f"(f.{c} - s_{c} / n) / (CASE WHEN sqrt(greatest(0.0, q_{c} / n - (s_{c} / n) * (s_{c} / n))) > 0 "
-            f"THEN sqrt(greatest(0.0, q_{c} / n - (s_{c} / n) * (s_{c} / n))) ELSE 1.0 END)", 10) + f" AS {c}_scaled"
+        SIG(f"(f.{c} - m_{c}) / (CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END)", 9) + f" AS {c}_scaled"
         for c in SCALE_COLS) + " FROM f, s")
 def prep_scale(spark, sf_dir):
     """Numeric preprocessing: exact median imputation, standardisation with the population std."""
     loan, _, _ = inputs(spark, sf_dir)
     params = MD.fit_scaler(loan, SCALE_COLS)
     out = MD.apply_scaler(loan, params, "_scaled")
-    return out.select("loanId", *[sig(f"{c}_scaled", 10).alias(f"{c}_scaled") for c in SCALE_COLS])
+    return out.select("loanId", *[sig(f"{c}_scaled", 9).alias(f"{c}_scaled") for c in SCALE_COLS])
 
 
 @query("prep_index", V.with_("loan") + """

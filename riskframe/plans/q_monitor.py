@@ -108,7 +108,7 @@ def _feature_stat_cols():
 
 
 @query("feature_statistics", V.with_("engineered") + f"""
-SELECT feature, {XAVG('value')} AS mean, {SIG('stddev_samp(value)')} AS std, min(value) AS min, max(value) AS max
+SELECT feature, {SIG(XAVG('value'), 9)} AS mean, {SIG('stddev_samp(value)')} AS std, min(value) AS min, max(value) AS max
 FROM {_num_long_sql('engineered', _feature_stat_cols())} GROUP BY feature""")
 def feature_statistics(spark, sf_dir):
     """Mean, std, min, max of every numeric model feature of the fitted feature table."""
@@ -116,7 +116,7 @@ def feature_statistics(spark, sf_dir):
     df = pipe.transform(base, spec)
     cols = spec.numeric_features
     ns = MO.numeric_stats(df, cols)
-    return ns.select("feature", "mean", sig("std").alias("std"), "min", "max")
+    return ns.select("feature", sig("mean", 9).alias("mean"), sig("std").alias("std"), "min", "max")
 
 
 # --------------------------------------------------------------------------------------------- drift
