@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions.expressions import band3, exact_avg, exact_sum
 from . import ranking
 
 LABELS = [0, 1, 2]
+LIMITS = (C.EVAL_LOW_MAX, C.EVAL_HIGH_MIN)  # default band limits; a deployment may set its own
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -37,10 +39,11 @@ def regression_metrics(df: DataFrame, y: str = "y_true", p: str = "y_pred", grou
                       r2.alias("r2"))
 
 
-def band_counts(df: DataFrame, y: str = "y_true", p: str = "y_pred", group_cols: list[str] | None = None) -> DataFrame:
+def band_counts(df: DataFrame, y: str = "y_true", p: str = "y_pred", group_cols: list[str] | None = None,
+                limits: tuple[float, float] = LIMITS) -> DataFrame:
     """Confusion counts of the 3-band discretisation: ``group_cols, actual, predicted, n`` (non-empty cells)."""
     g = list(group_cols or [])
-    b = df.select(*g, band3(y).alias("actual"), band3(p).alias("predicted"))
+    b = df.select(*g, band3(y, *limits).alias("actual"), band3(p, *limits).alias("predicted"))
     return b.where(F.col("actual").isNotNull() & F.col("predicted").isNotNull()) \
         .groupBy(*g, "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
@@ -101,10 +104,10 @@ def class_report(counts: DataFrame) -> DataFrame:
     return rows.unionByName(macro).unionByName(weighted)
 
 
-def band_shares(df: DataFrame, col: str, group_cols: list[str] | None = None) -> DataFrame:
+def band_shares(df: DataFrame, col: str, group_cols: list[str] | None = None, limits: tuple[float, float] = LIMITS) -> DataFrame:
     """Percent of rows in the low/medium/high band of a score column."""
     g = list(group_cols or [])
-    b = band3(col)
+    b = band3(col, *limits)
     aggs = [(F.sum(F.when(b == k, 1).otherwise(0)) * 100.0 / F.count(F.lit(1))).alias(n)
             for k, n in zip(LABELS, ["low_risk", "medium_risk", "high_risk"])]
     return df.groupBy(*g).agg(*aggs) if g else df.agg(*aggs)
@@ -124,12 +127,30 @@ def percentile_summary(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> D
     return ranking.join_small(s, pm, [], 1)
 
 
-def evaluate(df: DataFrame, y: str = "y_true", p: str = "y_pred", group_cols: list[str] | None = None) -> DataFrame:
-    """Regression + banded classification metrics per group (wide: one row per group)."""
+def evaluate(df: DataFrame, y: str = "y_true", p: str = "y_pred", group_cols: list[str] | None = None,
+             limits: tuple[float, float] = LIMITS) -> DataFrame:
+    """Regression + banded classification metrics per group (wide: one row per group), in one pass: the nine cells of
+    the confusion matrix are conditional counts beside the regression sums, and everything else follows from them."""
     g = list(group_cols or [])
-    reg = regression_metrics(df, y, p, g)
-    cls = classification_metrics(band_counts(df, y, p, g), g)
-    return reg.join(cls, g, "inner") if g else ranking.join_small(reg, cls, [], 1)
+    cells = [(a, b) for a in LABELS for b in LABELS]
+    err, ba, bb = F.col(y) - F.col(p), band3(y, *limits), band3(p, *limits)
+    sums = [F.count(F.lit(1)).alias("n"), exact_sum(err * err).alias("sse"), exact_sum(F.abs(err)).alias("sae"), F.var_pop(F.col(y)).alias("vy"),
+            *[F.sum(F.when((ba == a) & (bb == b), 1).otherwise(0)).alias(f"c{a}{b}") for a, b in cells]]
+    m = df.groupBy(*g).agg(*sums) if g else df.agg(*sums)
+    tp = {k: F.col(f"c{k}{k}") for k in LABELS}
+    support = {k: sum((F.col(f"c{k}{b}") for b in LABELS), F.lit(0)) for k in LABELS}
+    named = {k: sum((F.col(f"c{a}{k}") for a in LABELS), F.lit(0)) for k in LABELS}
+    present = {k: (support[k] + named[k]) > 0 for k in LABELS}
+    prec, rec = {k: _safe_div(tp[k], named[k]) for k in LABELS}, {k: _safe_div(tp[k], support[k]) for k in LABELS}
+    f1 = {k: F.when(prec[k] + rec[k] == 0, F.lit(0.0)).otherwise(2 * prec[k] * rec[k] / (prec[k] + rec[k])) for k in LABELS}
+    n_labels = sum((present[k].cast("int") for k in LABELS), F.lit(0))
+    macro = lambda x: sum((F.when(present[k], x[k]).otherwise(F.lit(0.0)) for k in LABELS), F.lit(0.0)) / n_labels
+    sst = F.col("vy") * F.col("n")
+    r2 = F.when(sst == 0, F.when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(F.lit(1.0) - F.col("sse") / sst)
+    total = sum((F.col(f"c{a}{b}") for a, b in cells), F.lit(0))
+    return m.select(*g, "n", (F.col("sse") / F.col("n")).alias("mse"), (F.col("sae") / F.col("n")).alias("mae"), r2.alias("r2"),
+                    F.try_divide(sum(tp.values(), F.lit(0)).cast("double"), total).alias("accuracy"),
+                    macro(prec).alias("precision_macro"), macro(rec).alias("recall_macro"), macro(f1).alias("f1_macro"))
 
 
 METRICS = ["mse", "mae", "r2", "accuracy", "precision_macro", "recall_macro", "f1_macro"]

@@ -196,7 +196,7 @@ class FeaturePipeline:
         if num:
             long = base.select(*[F.col(c).cast("double").alias(c) for c in num]).unpivot(
                 [], num, "feature", "value")
-            med = ranking.quantiles_bracketed(long, ["feature"], "value", [0.5], n_groups_hint=len(num))
+            med = ranking.quantiles_bracketed(long, ["feature"], "value", [0.5])
             spec.medians = {k[0]: q for (k, _), q in med.items()}  # one value per column
         # Running feature lists, in the order the steps add them.
         numeric_features: list[str] = []
@@ -257,9 +257,9 @@ class FeaturePipeline:
     # ------------------------------------------------------------ transform
     def transform(self, base: DataFrame, spec: FeatureSpec) -> DataFrame:
         df = add_squares(add_interactions(fill_missing(base, spec), spec), spec)
-        if spec.encoded:
-            df = apply_encodings(df, {k: v for k, v in self.encodings.items() if k in spec.encoded},
-                                 spec.encoding_global_mean)
+        used = [k for k in spec.encoded if f"{k}_target_encoded" not in spec.dropped]
+        if used:
+            df = apply_encodings(df, {k: self.encodings[k] for k in used}, spec.encoding_global_mean)
         df = add_target(df.drop(*[c for c in spec.dropped if c in df.columns]))
         missing = [c for c in spec.output_columns if c not in df.columns]
         if missing:  # schema alignment: columns the spec expects but this input lacks

@@ -17,6 +17,8 @@ from ..functions import constants as C
 from ..functions.expressions import exact_avg, exact_sum
 
 
+NULL_SALTS = 256
+
 _NON_EMPTY: "weakref.WeakKeyDictionary[DataFrame, bool]" = weakref.WeakKeyDictionary()
 
 
@@ -47,9 +49,12 @@ def join_fraud(loan: DataFrame, clarity: DataFrame, null_safe: bool = False, che
     right = clarity.select("underwritingid", "clearfraudscore")
     if null_safe:
         cond = loan["clarityFraudId"].eqNullSafe(right["underwritingid"])
-    else:
-        cond = loan["clarityFraudId"] == right["underwritingid"]
-    return loan.join(right, cond, "left")
+        return loan.join(right, cond, "left")
+    # A null key matches nothing; hashed as one value it would be one partition. Null keys are dealt over a few
+    # salted values instead, and the join condition keeps them unmatched.
+    salt = F.pmod(F.xxhash64(*loan.columns), F.lit(NULL_SALTS)).cast("string")
+    left = loan.withColumn("__k", F.coalesce("clarityFraudId", salt))
+    return left.join(right, (left["__k"] == right["underwritingid"]) & left["clarityFraudId"].isNotNull(), "left").drop("__k")
 
 
 def payment_aggregates(payment: DataFrame) -> DataFrame:

@@ -17,15 +17,17 @@ import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark import StorageLevel
+from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import exact_avg
-from . import ranking
+from . import ranking, stats
 
 # Pipeline configuration of the boosted trees (fixed values of the configuration file).
+MAX_LABELS = 10_000
 DEFAULT_HYPERPARAMETERS = {
     "n_estimators": 200, "learning_rate": 0.05, "num_leaves": 50, "max_depth": 10, "min_child_samples": 30,
     "subsample": 0.8, "colsample_bytree": 0.8, "reg_alpha": 0.1, "reg_lambda": 0.1, "random_state": 42,
@@ -50,8 +52,7 @@ def mllib_params(h: dict | None = None) -> dict:
 def fit_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float, float]]:
     """Exact median, mean and population std (after median imputation) per column: two passes."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
-    med = {k[0]: q for (k, _), q in ranking.quantiles_bracketed(long, ["feature"], "value", [0.5],
-                                                                 n_groups_hint=len(cols)).items()}
+    med = {k[0]: q for (k, _), q in ranking.quantiles_bracketed(long, ["feature"], "value", [0.5]).items()}
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med.get(c))).alias(c) for c in cols])
     row = filled.agg(*[exact_avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
     return {c: (med.get(c), row[f"m_{c}"], row[f"s_{c}"] or 0.0) for c in cols}
@@ -76,10 +77,8 @@ def preprocessing_stages(numeric: list[str], categorical: list[str]) -> tuple[li
     return stages, inputs
 
 
-def build_pipeline(numeric: list[str], categorical: list[str], label: str = "target", task: str = "regression",
-                   params: dict | None = None, checkpoint_interval: int = 10) -> Pipeline:
-    stages, inputs = preprocessing_stages(numeric, categorical)
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
+def estimator(label: str = "target", task: str = "regression", params: dict | None = None, checkpoint_interval: int = 10):
+    """The learner of a task. Classifiers expect an indexed label (0, 1, ...)."""
     p = dict(params or {})
     if task == "regression":
         est = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction",
@@ -92,8 +91,53 @@ def build_pipeline(numeric: list[str], categorical: list[str], label: str = "tar
                                                     "featureSubsetStrategy", "seed")}
         est = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=int(p.get("maxIter", 100)),
                                      checkpointInterval=checkpoint_interval, **keep)
-    stages.append(est)
-    return Pipeline(stages=stages)
+    return est
+
+
+def fit_model(train: DataFrame, numeric: list[str], categorical: list[str], label: str = "target", task: str | None = None,
+              params: dict | None = None, checkpoint_interval: int = 10) -> tuple[PipelineModel, str]:
+    """(model, task). Preprocessing is fitted first; the learner then reads only label and vector, persisted for the
+    boosting rounds and released. Class labels are indexed in order of value and turned back after prediction."""
+    task = task or choose_task(train, label)
+    for c in categorical:  # an indexer's labels go through the driver
+        if train.select(c).distinct().limit(MAX_LABELS + 1).count() > MAX_LABELS:
+            raise ValueError(f"more than {MAX_LABELS} values in {c}")
+    stages, inputs = preprocessing_stages(numeric, categorical)
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
+    back, on = [], label
+    train = train.where(F.col(label).isNotNull())
+    if task != "regression":
+        values = sorted(r[0] for r in train.select(F.col(label).cast("double")).distinct().collect())  # at most 10, see choose_task
+        index = StringIndexerModel.from_labels([repr(v) for v in values], inputCol="__label", outputCol="__y", handleInvalid="error")
+        train, on = train.withColumn("__label", F.col(label).cast("double").cast("string")), "__y"
+        train = index.transform(train)
+        back = [IndexToString(inputCol="prediction", outputCol="prediction_label", labels=[repr(v) for v in values])]
+    prep = Pipeline(stages=stages).fit(train)
+    ready = prep.transform(train).select(on, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        learned = estimator(on, task, params, checkpoint_interval).fit(ready)
+    finally:
+        ready.unpersist()
+    return PipelineModel(stages=[*prep.stages, learned, *back]), task
+
+
+def learner_of(model: PipelineModel):
+    """The fitted trees among the stages."""
+    return next(s for s in reversed(model.stages) if hasattr(s, "featureImportances"))
+
+
+def task_of(model: PipelineModel) -> str:
+    """Task read from the stored model: a learner with class probabilities is a classifier."""
+    s = learner_of(model)
+    return "regression" if not hasattr(s, "numClasses") else "binary" if s.numClasses <= 2 else "multiclass"
+
+
+def bucket_target(df: DataFrame, label: str = "target", bins: int = 5) -> tuple[DataFrame, str]:
+    """Bucketed target mode: a label with more than 10 distinct values is cut into equal-width bins 0 .. bins - 1."""
+    if choose_task(df, label) != "regression":
+        return df, label
+    out, _ = stats.cut(df, label, bins)
+    return out, f"{label}_bin"
 
 
 def choose_task(df: DataFrame, label: str) -> str:
@@ -115,9 +159,17 @@ def feature_names(model: PipelineModel, df: DataFrame) -> list[str]:
     return [a["name"] for a in attrs]
 
 
+def source_column(name: str, columns: list[str]) -> str | None:
+    """The frame's column that a vector slot comes from: its own name, or the category column before __ohe."""
+    if name in columns:
+        return name
+    base = name.split("__ohe", 1)[0]
+    return base if base in columns else None
+
+
 def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Feature importances (gain-based) with names, as a DataFrame."""
-    est = model.stages[-1]
+    est = learner_of(model)
     names = feature_names(model, df)
     imp = est.featureImportances.toArray().tolist()
     rows = [(names[i] if i < len(names) else f"f{i}", float(v)) for i, v in enumerate(imp)]

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions.expressions import exact_avg
+from ..sources.io import latest_run
 from . import ranking
 from .stats import unpivot_numeric, unpivot_strings
 
@@ -35,8 +36,7 @@ def numeric_stats(df: DataFrame, cols: list[str], quantiles: bool = True) -> Dat
                                     F.max("value").alias("max"))
     if not quantiles:
         return m
-    q = ranking.quantiles_table(long, ["feature"], "value", {"median": 0.5, "p10": 0.1, "p90": 0.9},
-                                n_groups_hint=len(cols))
+    q = ranking.quantiles_table(long, ["feature"], "value", {"median": 0.5, "p10": 0.1, "p90": 0.9})
     return m.join(q, "feature", "left")
 
 
@@ -124,12 +124,16 @@ def drift_ks(new: DataFrame, ref: DataFrame, threshold: float = C.KS_THRESHOLD,
     cols = [c for c in num_n + boo_n if c in set(num_r + boo_r)]
     ln = new.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
     lr = ref.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
-    ks = ranking.ks_two_sample(lr, ln, ["feature"], "value", n_ranges, n_groups_hint=max(1, len(cols)))
+    ks = ranking.ks_two_sample(lr, ln, ["feature"], "value", n_ranges)
     return ks.withColumn("drifted", F.col("ks_statistic") > threshold)
 
 
-def drift_report(new: DataFrame, ref: DataFrame | None = None, ref_stats: DataFrame | None = None) -> DataFrame:
-    """Dispatch: statistics when reference stats are given, else KS against reference data."""
+def drift_report(new: DataFrame, ref: DataFrame | None = None, ref_stats: DataFrame | None = None,
+                 saved_stats: DataFrame | None = None) -> DataFrame:
+    """Dispatch: statistics when reference stats are given, KS against reference data when those are, else the
+    latest run of the saved statistics (none saved: no rows)."""
+    if ref_stats is None and ref is None and saved_stats is not None:
+        ref_stats = latest_run(saved_stats)
     if ref_stats is not None:
         a = drift_numeric(new, ref_stats).select("feature", F.lit("stats").alias("method"),
                                                  F.greatest("mean_diff", "std_diff").alias("score"), "drifted")
@@ -137,7 +141,7 @@ def drift_report(new: DataFrame, ref: DataFrame | None = None, ref_stats: DataFr
                                                      F.col("max_category_diff").alias("score"), "drifted")
         return a.unionByName(b)
     if ref is None:
-        raise ValueError("need reference data or reference statistics")
+        raise ValueError("need reference data, reference statistics or saved statistics")
     return drift_ks(new, ref).select("feature", F.lit("ks").alias("method"), F.col("ks_statistic").alias("score"),
                                      "drifted")
 
@@ -165,7 +169,7 @@ def history_tail(history: DataFrame, keep: int = C.HISTORY_KEEP, ts: str = "ts")
 
 
 def baseline(history: DataFrame, ts: str = "ts") -> DataFrame:
-    """Baseline = oldest kept entry."""
+    """Baseline = the first entry ever, over the untrimmed history: it is set once and outlives the trim."""
     return history.agg(F.min_by("accuracy", ts).alias("baseline_accuracy"), F.min_by("f1", ts).alias("baseline_f1"))
 
 

@@ -7,17 +7,17 @@ large share of 100 TB. Instead (two levels):
 
 1. ``groupBy(group, value)`` -> distinct values with counts (map-side partial aggregation, so a hot
    value collapses before the shuffle).
-2. Groups with more rows than one task should sort (ROWS_PER_RANGE) are cut into ranges:
-   ``percentile_approx`` per group gives ~B range edges (a bounded sketch per group); every distinct
-   value gets its range index ``#edges < value``.
+2. Every group is cut into B value ranges: ``percentile_approx`` per group over the distinct values gives the
+   range edges (a bounded sketch per group); every distinct value gets its range index ``#edges < value``.
 3. Per (group, range) totals -> a small table (groups x B rows); an exclusive prefix over ranges gives
    each range's offset (window over <= B rows per group).
 4. Window ``partitionBy(group, range).orderBy(value)`` -> running count inside the range, plus offset
    = exact global cumulative count. Each task sorts only ~1/B of a feature's distinct values.
 
-Everything (totals included) is computed inside one job; the number of ranges is chosen from
-Catalyst's size estimate (metadata, no pass over the data). Small per-group tables (edges, offsets) are
-joined without hints: AQE broadcasts them after measuring their size at run time.
+Everything (totals included) is computed inside one job. B follows the session's shuffle partitions, which a
+cluster sets for its data, and never a guess about sizes; the sketch's accuracy grows with B, and AQE merges small
+ranges. Small per-group tables (edges, offsets) are joined without hints: AQE broadcasts them after
+measuring their size at run time.
 """
 
 from __future__ import annotations
@@ -27,35 +27,20 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
-ROWS_PER_RANGE = 4_000_000
+BROADCAST_MAX_BYTES = 64 << 20
+SKETCH_ACCURACY = 10_000
+MAX_GROUPS = 10_000  # groups whose brackets go through the driver
 
 
-def _ranges_for(n_max: int, n_ranges: int | None) -> int:
-    """Number of value ranges per group: 1 while the largest group fits one task's sort
-    (<= ROWS_PER_RANGE rows), else a power of two giving ~ROWS_PER_RANGE rows per range."""
-    if n_ranges is not None:
-        return max(1, int(n_ranges))
-    if n_max <= ROWS_PER_RANGE:
-        return 1
-    want = math.ceil(n_max / ROWS_PER_RANGE)
-    return int(min(16384, 2 ** math.ceil(math.log2(want))))
-
-
-def estimated_rows(df: DataFrame) -> int | None:
-    """Upper estimate of the row count from Catalyst's plan statistics (no job is run)."""
-    try:
-        st = df._jdf.queryExecution().optimizedPlan().stats()
-        size = st.sizeInBytes()
-        size = int(size if isinstance(size, int) else size.toString())
-        width = max(1, int(df._jdf.schema().defaultSize()))
-        return size // width
-    except Exception:  # pragma: no cover - e.g. a remote session without plan access
-        return None
+def _ranges_for(df: DataFrame, n_ranges: int | None) -> int:
+    """Value ranges per group: as many as the session's shuffle partitions, two at least."""
+    return max(1, int(n_ranges)) if n_ranges is not None else max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= BROADCAST_MAX_ROWS else df
+    """A hint only if the known row count times the schema's row width is small."""
+    width = max(16, sum(64 if f.dataType.simpleString() in ("string", "binary") else 16 for f in df.schema.fields))
+    return F.broadcast(df) if n_rows * width <= BROADCAST_MAX_BYTES else df
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], n_small: int | None) -> DataFrame:
@@ -83,13 +68,11 @@ def range_index(edges: Column, value: Column, n_edges: int) -> Column:
 
 
 def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str, weights: dict[str, Column] | None = None,
-                      n_ranges: int | None = None, n_groups_hint: int | None = None) -> DataFrame:
+                      n_ranges: int | None = None) -> DataFrame:
     """Distinct values per group with counts, inclusive running counts and group totals, in one job.
 
     ``weights`` maps an output name to a 0/1 (or count) column; default ``{"n": 1}``. Returns
-    ``group_cols, value, <w>, cum_<w>, total_<w>``. Null values are ignored. The number of ranges comes
-    from Catalyst's size estimate (metadata only) unless ``n_ranges`` is given; ``n_groups_hint`` says the
-    rows are spread evenly over that many groups (e.g. an unpivot of that many columns).
+    ``group_cols, value, <w>, cum_<w>, total_<w>``. Null values are ignored.
     """
     weights = weights or {"n": F.lit(1)}
     g = list(group_cols)
@@ -97,18 +80,9 @@ def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str, weig
         *[F.col(c) for c in g], F.col(value_col).alias("value"),
         *[w.cast("bigint").alias(name) for name, w in weights.items()])
     distinct = base.groupBy(*g, "value").agg(*[F.sum(n).alias(n) for n in weights])
-    if n_ranges is None:
-        # Catalyst's estimate is an upper bound (joins without statistics multiply sizes): it can only
-        # prove the data small. When it cannot, count the rows before cutting ranges.
-        g_n = max(1, n_groups_hint or 1)
-        est = estimated_rows(base)
-        if est is None or est // g_n > ROWS_PER_RANGE:
-            est = base.count()
-        b = _ranges_for(est // g_n, None)
-    else:
-        b = _ranges_for(0, n_ranges)
+    b = _ranges_for(df, n_ranges)
     if b == 1:
-        # Every group fits one task: running count and total share one partitioning (one exchange).
+        # Asked for: running count and total share one partitioning (one exchange).
         w = Window.partitionBy(*g).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         wt = Window.partitionBy(*g)
         return distinct.select(*g, "value", *weights.keys(),
@@ -116,7 +90,7 @@ def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str, weig
                                *[F.sum(n).over(wt).alias(f"total_{n}") for n in weights])
     # Ranges balanced by distinct values (what a window task sorts), from a bounded sketch per group.
     probs = [i / b for i in range(1, b)]
-    edges = distinct.groupBy(*g).agg(F.percentile_approx("value", probs, 10000).alias("__edges"))
+    edges = distinct.groupBy(*g).agg(F.percentile_approx("value", probs, max(SKETCH_ACCURACY, 100 * b)).alias("__edges"))
     d = join_small(distinct, edges, g, None)
     d = d.withColumn("__range", range_index(F.col("__edges"), F.col("value"), b - 1)).drop("__edges")
     rng = d.groupBy(*g, "__range").agg(*[F.sum(n).alias(f"__r_{n}") for n in weights])
@@ -133,14 +107,14 @@ def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str, weig
 
 
 def quantiles_wide(df: DataFrame, group_cols: list[str], value_col: str, named: dict[str, float],
-                   n_ranges: int | None = None, n_groups_hint: int | None = None) -> DataFrame:
+                   n_ranges: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (pandas ``quantile`` / SQL ``percentile_cont``) as columns.
 
     For each probability the 0-based ranks ``floor((n-1)p)`` and ``ceil((n-1)p)`` are located among the
     running counts; one grouped aggregate picks both values for every probability.
     """
     g = list(group_cols)
-    ranked = cumulative_counts(df, g, value_col, None, n_ranges, n_groups_hint)
+    ranked = cumulative_counts(df, g, value_col, None, n_ranges)
     before = F.col("cum_n") - F.col("n")
     aggs = []
     for name, p in named.items():
@@ -158,11 +132,10 @@ def quantiles_wide(df: DataFrame, group_cols: list[str], value_col: str, named:
     return out.select(*g, *cols)
 
 
-SKETCH_ACCURACY = 10000
 
 
 def quantiles_bracketed(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                        accuracy: int = SKETCH_ACCURACY, n_groups_hint: int | None = None) -> dict:
+                        accuracy: int = SKETCH_ACCURACY) -> dict:
     """Exact linear quantiles by sketch-then-refine; returns ``{(group tuple, p): q}`` (eager, bounded).
 
     1. One aggregate: count and a ``percentile_approx`` sketch per group; its rank error is at most
@@ -181,7 +154,10 @@ def quantiles_bracketed(df: DataFrame, group_cols: list[str], value_col: str, pr
     sk = sorted(set(lo_p.values()) | set(hi_p.values()))
     aggs = [F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", sk, accuracy).alias("__sk"),
             F.min("__v").alias("__min"), F.max("__v").alias("__max")]
-    rows = (base.groupBy(*g).agg(*aggs) if g else base.agg(*aggs)).collect()  # one row per group
+    per_group = base.groupBy(*g).agg(*aggs) if g else base.agg(*aggs)
+    rows = per_group.limit(MAX_GROUPS + 1).collect()  # one row per group
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups: use quantiles_wide, which collects nothing")
     rows = [r for r in rows if r["__n"]]
     if not rows:
         return {}
@@ -202,7 +178,7 @@ def quantiles_bracketed(df: DataFrame, group_cols: list[str], value_col: str, pr
     v = F.col("__v")
     mapped = F.when(v < F.col("__L"), F.lit(float("-inf"))).when(v <= F.col("__U"), v)
     sub = j.select(*g, "__p", "__n", mapped.alias("__m")).where(F.col("__m").isNotNull())
-    ranked = cumulative_counts(sub, g + ["__p", "__n"], "__m", None, None, len(bt_rows))
+    ranked = cumulative_counts(sub, g + ["__p", "__n"], "__m")
     before = F.col("cum_n") - F.col("n")
     pos = (F.col("__n") - 1) * F.col("__p")
     lo, hi = F.floor(pos), F.ceil(pos)
@@ -220,16 +196,15 @@ def quantiles_bracketed(df: DataFrame, group_cols: list[str], value_col: str, pr
             break
         out[(tuple(r[c] for c in g), round(r["__p"], 12))] = a * (1.0 - d) + b * d
     if not ok:  # a bracket missed: exact full ranking
-        full = exact_quantiles(df, g, value_col, probs, None, n_groups_hint).collect()
+        full = exact_quantiles(df, g, value_col, probs).collect()
         out = {(tuple(r[c] for c in g), round(r["p"], 12)): r["q"] for r in full}
     return out
 
 
-def quantiles_table(df: DataFrame, group_cols: list[str], value_col: str, named: dict[str, float],
-                    n_groups_hint: int | None = None) -> DataFrame:
+def quantiles_table(df: DataFrame, group_cols: list[str], value_col: str, named: dict[str, float]) -> DataFrame:
     """``quantiles_bracketed`` as a small DataFrame: ``group_cols`` + one column per named probability."""
     g = list(group_cols)
-    res = quantiles_bracketed(df, g, value_col, list(named.values()), n_groups_hint=n_groups_hint)
+    res = quantiles_bracketed(df, g, value_col, list(named.values()))
     keys = sorted({k for k, _ in res}, key=lambda t: tuple("" if x is None else str(x) for x in t))
     rows = [(*k, *[res.get((k, round(p, 12))) for p in named.values()]) for k in keys]
     gschema = df.select(*g).schema.simpleString()[len("struct<"):-1] if g else ""
@@ -238,10 +213,10 @@ def quantiles_table(df: DataFrame, group_cols: list[str], value_col: str, named:
 
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                    n_ranges: int | None = None, n_groups_hint: int | None = None) -> DataFrame:
+                    n_ranges: int | None = None) -> DataFrame:
     """Long form of ``quantiles_wide``: ``group_cols, p, q``."""
     named = {f"q{i}": float(p) for i, p in enumerate(probs)}
-    w = quantiles_wide(df, group_cols, value_col, named, n_ranges, n_groups_hint)
+    w = quantiles_wide(df, group_cols, value_col, named, n_ranges)
     st = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(k).alias("q")) for k, p in named.items()]))
     return w.select(*group_cols, st.alias("__s")).select(*group_cols, "__s.p", "__s.q")
 
@@ -258,7 +233,7 @@ def kolmogorov_pvalue(d: Column, n: Column, m: Column, terms: int = 100) -> Colu
 
 
 def ks_two_sample(ref: DataFrame, new: DataFrame, group_cols: list[str], value_col: str,
-                  n_ranges: int | None = None, n_groups_hint: int | None = None) -> DataFrame:
+                  n_ranges: int | None = None) -> DataFrame:
     """Two-sample KS statistic per group: ``D = max |F_ref(x) - F_new(x)|`` over all distinct x.
 
     Returns ``group_cols, n_ref, n_new, ks_statistic, p_value`` for groups present in both samples.
@@ -266,8 +241,7 @@ def ks_two_sample(ref: DataFrame, new: DataFrame, group_cols: list[str], value_c
     g = list(group_cols)
     both = (ref.select(*g, F.col(value_col).alias("__v"), F.lit(1).alias("__is_ref"))
                .unionByName(new.select(*g, F.col(value_col).alias("__v"), F.lit(0).alias("__is_ref"))))
-    ranked = cumulative_counts(both, g, "__v", {"r": F.col("__is_ref"), "m": 1 - F.col("__is_ref")}, n_ranges,
-                               n_groups_hint)
+    ranked = cumulative_counts(both, g, "__v", {"r": F.col("__is_ref"), "m": 1 - F.col("__is_ref")}, n_ranges)
     j = ranked.where((F.col("total_r") > 0) & (F.col("total_m") > 0))
     diff = F.abs(F.col("cum_r") / F.col("total_r") - F.col("cum_m") / F.col("total_m"))
     aggs = [F.first("total_r").alias("n_ref"), F.first("total_m").alias("n_new"), F.max(diff).alias("ks_statistic")]

@@ -18,6 +18,7 @@ from ..functions.expressions import md5_bucket
 from . import ranking
 
 ROWS_PER_RANGE = 2_000_000
+MAX_STRATA = 1000
 
 
 def hash_split(df: DataFrame, key: str, test_size: float = 0.2) -> DataFrame:
@@ -32,11 +33,15 @@ def strata_counts(df: DataFrame, stratum: str) -> DataFrame:
 def stratified_split(df: DataFrame, key: str, stratum: str, test_size: float = 0.2,
                      prefix_len: int | None = None) -> DataFrame:
     counts = strata_counts(df, stratum)
-    local = counts.collect()  # one row per stratum (a handful of risk buckets)
+    local = counts.limit(MAX_STRATA + 1).collect()  # one row per stratum (a handful of risk buckets)
+    if len(local) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
+    if any(r["n"] < 2 for r in local):  # too small to split by stratum: plain split
+        return hash_split(df, key, test_size)
     n_max = max([r["n"] for r in local], default=0)
     if prefix_len is None:
         want = max(1, math.ceil(n_max / ROWS_PER_RANGE))
-        prefix_len = max(2, min(6, math.ceil(math.log(want, 16)) if want > 1 else 2))
+        prefix_len = max(2, math.ceil(math.log(want, 16)) if want > 1 else 2)
     h = F.md5(F.col(key).cast("string"))
     base = df.withColumn("__h", h).withColumn("__p", F.substring("__h", 1, prefix_len))
     rng = base.groupBy(stratum, "__p").agg(F.count(F.lit(1)).alias("__c"))

@@ -49,7 +49,7 @@ def describe(df: DataFrame, cols: list[str], quantiles: dict[str, float] | None
     moments = long.groupBy("feature").agg(
         F.count("value").alias("count"), exact_avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    q = ranking.quantiles_table(long, ["feature"], "value", quantiles, n_groups_hint=len(cols))
+    q = ranking.quantiles_table(long, ["feature"], "value", quantiles)
     out = moments.join(q, "feature", "left")
     return out.select("feature", "count", "mean", "std", "min", *quantiles.keys(), "max")
 

@@ -116,6 +116,16 @@ def src_latest_run(spark, sf_dir):
     return io.latest_run(spark.read.parquet(path)).select("loanId", "y_true", "y_pred", "run_id")
 
 
+@query("src_run_fallback", V.with_("scored") + """
+SELECT loanId, y_true, y_pred, run_id FROM scored WHERE run_id = (SELECT max(run_id) FROM scored)""")
+def src_run_fallback(spark, sf_dir):
+    """A requested run that was never ingested: the lexicographically last run is read instead."""
+    prep(spark)
+    path = scratch_path(spark, "runs")
+    fixtures.scored(spark, sf_dir).select("loanId", "y_true", "y_pred", "run_id").write.mode("overwrite").partitionBy("run_id").parquet(path)
+    return io.latest_run(spark.read.parquet(path), run_id="2031-07").select("loanId", "y_true", "y_pred", "run_id")
+
+
 @query("src_latest_ref", """
 WITH runs AS (SELECT strftime(ts, '%Y-%m-%d') AS run_id, event_type, value FROM events)
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std

@@ -27,11 +27,12 @@ def _scored(spark, sf_dir):
     return fixtures.scored(spark, sf_dir)
 
 
-def _band(x: str) -> str:
-    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= {C.EVAL_LOW_MAX} THEN 0 WHEN {x} > {C.EVAL_HIGH_MIN} THEN 2 ELSE 1 END"
+def _band(x: str, limits: tuple[float, float] = EV.LIMITS) -> str:
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= {limits[0]} THEN 0 WHEN {x} > {limits[1]} THEN 2 ELSE 1 END"
 
 
-def eval_ctes(y: str = "y_true", p: str = "y_pred", g: list[str] | None = None, prefix: str = "") -> list[str]:
+def eval_ctes(y: str = "y_true", p: str = "y_pred", g: list[str] | None = None, prefix: str = "",
+              limits: tuple[float, float] = EV.LIMITS) -> list[str]:
     """SQL CTE items computing the same metrics as ``operators.evaluate.evaluate``."""
     g = list(g or [])
     gk = ", ".join(g)
@@ -43,7 +44,7 @@ def eval_ctes(y: str = "y_true", p: str = "y_pred", g: list[str] | None = None,
               {XSUM(f'abs({y} - {p})')} AS sae, var_pop({y}) * count(*) AS sst FROM scored {gby})""",
         f"""{P}regm AS (SELECT {gsel}n, sse / n AS mse, sae / n AS mae,
               CASE WHEN sst = 0 THEN (CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END) ELSE 1.0 - sse / sst END AS r2 FROM {P}reg)""",
-        f"""{P}cnt AS (SELECT {gsel}{_band(y)} AS actual, {_band(p)} AS predicted, count(*) AS n FROM scored
+        f"""{P}cnt AS (SELECT {gsel}{_band(y, limits)} AS actual, {_band(p, limits)} AS predicted, count(*) AS n FROM scored
               WHERE {y} IS NOT NULL AND {p} IS NOT NULL GROUP BY ALL)""",
         f"""{P}lab AS (SELECT DISTINCT {gsel}actual AS label FROM {P}cnt UNION SELECT DISTINCT {gsel}predicted FROM {P}cnt)""",
         f"""{P}pc AS (SELECT {", ".join("l." + c for c in g + ["label"])},
@@ -88,6 +89,15 @@ def eval_macro(spark, sf_dir):
     return _round_metrics(EV.classification_metrics(EV.band_counts(s)))
 
 
+DEPLOY_LIMITS = (0.25, 0.6)  # band limits of a deployment's own configuration
+
+
+@query("eval_limits", V.with_("scored", extra=eval_ctes(limits=DEPLOY_LIMITS)) + f"SELECT n, {_metric_cols()} FROM ev")
+def eval_limits(spark, sf_dir):
+    """Regression and banded metrics with the band limits of the deployment configuration."""
+    return _round_metrics(EV.evaluate(_scored(spark, sf_dir), limits=DEPLOY_LIMITS))
+
+
 @query("eval_confusion", V.with_("scored", extra=eval_ctes()) + """
 SELECT a.label AS actual, b.label AS predicted, coalesce(c.n, 0) AS n
 FROM lab a CROSS JOIN lab b LEFT JOIN cnt c ON c.actual = a.label AND c.predicted = b.label""")

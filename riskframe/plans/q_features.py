@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -14,6 +11,7 @@ from ..operators import stats as ST
 from ..functions.expressions import exact_avg
 from . import sql_views as V
 from .common import SIG, XAVG, inputs, r, scratch_path, sig
+from ..session import memo
 from .registry import query
 
 NUM = V.NUMERIC_BASE
@@ -22,18 +20,17 @@ IND = [f"{c}_missing" for c in C.MISSING_INDICATOR_COLUMNS]
 
 def fitted(spark, sf_dir):
     """Base frame, fitted pipeline and spec (fit once per session and input)."""
-    return _fitted(spark, sf_dir)
+    store = memo(spark)
+    if ("fitted", sf_dir) not in store:
+        store["fitted", sf_dir] = _fitted(spark, sf_dir)
+    return store["fitted", sf_dir]
 
 
-@lru_cache(maxsize=4)
 def _fitted(spark, sf_dir):
     loan, clarity, payment = inputs(spark, sf_dir)
-    # The joined base feeds the fit passes and the transform: materialised once (memory, spilling to
-    # disk), the way the stages share it.
-    base = FE.base_frame(loan, clarity, payment).persist(StorageLevel.MEMORY_AND_DISK)
+    base = FE.base_frame(loan, clarity, payment)  # lazy; persisted only while the fit scans it
     pipe = FE.FeaturePipeline()
-    spec = pipe.fit(base, cache=False)
-    return base, pipe, spec
+    return base, pipe, pipe.fit(base)
 
 
 @query("fe_missing", V.with_("filled") + "SELECT loanId, " + ", ".join(NUM + IND) + " FROM filled")
@@ -101,9 +98,9 @@ def features_full(spark, sf_dir):
     The oracle fixes the column set the fit decides on this data (low-variance drops: the constant
     hour and two constant indicators, the ratio and the single-category encoding)."""
     loan, clarity, payment = inputs(spark, sf_dir)
-    base = FE.base_frame(loan, clarity, payment).persist(StorageLevel.MEMORY_AND_DISK)
+    base = FE.base_frame(loan, clarity, payment)
     pipe = FE.FeaturePipeline()
-    spec = pipe.fit(base, cache=False)  # fitted on every call (the step queries share one cached fit)
+    spec = pipe.fit(base)  # fitted on every call (the step queries share one fit); the base is released after the fit
     assert sorted(spec.dropped) == sorted(_FULL_DROPPED), spec.dropped
     return pipe.transform(base, spec)
 
@@ -161,6 +158,15 @@ def split_stratified(spark, sf_dir):
     return SP.stratified_split(b, "loanId", "stratum", C.TEST_SIZE).select("loanId", "stratum", "split")
 
 
+@query("split_fallback", _SPLIT_HASH_SQL)
+def split_fallback(spark, sf_dir):
+    """A stratum with fewer than two rows cannot be split: the plain split is used for all rows."""
+    loan, _, _ = inputs(spark, sf_dir)
+    low = loan.agg(F.min("loanId")).first()[0]
+    b = loan.select("loanId", F.when(F.col("loanId") == low, "alone").otherwise("rest").alias("stratum"))
+    return SP.stratified_split(b, "loanId", "stratum", C.TEST_SIZE).select("loanId", "split")
+
+
 @query("split_features", V.with_("loan") + f"""
 SELECT CASE WHEN ('0x' || substr(md5(loanId), 1, 8))::BIGINT % 5 = 0 THEN 'test' ELSE 'train' END AS split,
        count(*) AS n, {XAVG(V._TARGET_CASE)} AS avg_target

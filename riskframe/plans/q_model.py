@@ -287,8 +287,7 @@ def fe_winsorize(spark, sf_dir):
     """Cap numeric features at their exact 0.995 quantile (fitted once, applied as a projection)."""
     loan, _, _ = inputs(spark, sf_dir)
     long = ST.unpivot_numeric(loan, _WIN_COLS)
-    caps = {k[0]: q for (k, _), q in ranking.quantiles_bracketed(long, ["feature"], "value", [0.995],
-                                                                  n_groups_hint=len(_WIN_COLS)).items()}
+    caps = {k[0]: q for (k, _), q in ranking.quantiles_bracketed(long, ["feature"], "value", [0.995]).items()}
     return loan.select("loanId", *[sig(F.least(F.col(c), F.lit(caps[c])), 12).alias(c) for c in _WIN_COLS])
 
 

@@ -12,7 +12,7 @@ from ..sources import fixtures
 from . import sql_views as V
 from .common import SIG, XAVG, inputs, prep, scratch_path, sig
 from .q_features import fitted
-from .registry import query
+from .registry import ORACLES, query
 
 REF_NUM = ["apr", "nPaidOff", "loanAmount", "leadCost"]
 REF_BOOL = ["approved", "originated", "isFunded"]
@@ -99,9 +99,6 @@ def ref_stats(spark, sf_dir):
     return back.select("feature", "kind", "stat", sig("value").alias("value"))
 
 
-_FS_COLS = None
-
-
 def _feature_stat_cols():
     from .q_features import _VAR_FEATURES, _FULL_DROPPED
     return [c for c in _VAR_FEATURES if c not in _FULL_DROPPED]
@@ -210,6 +207,22 @@ def drift_report(spark, sf_dir):
     return rep.withColumn("score", sig("score"))
 
 
+_DRIFT_REPORT_SQL = ORACLES["drift_report"]
+
+
+@query("drift_report_saved", _DRIFT_REPORT_SQL)
+def drift_report_saved(spark, sf_dir):
+    """Drift dispatch with neither data nor statistics at hand: the latest saved run of statistics is used (an
+    older run, of the new data, lies beside it)."""
+    from ..sources import io
+    ref, new = _drift_inputs(spark, sf_dir)
+    path = scratch_path(spark, "saved-stats")
+    io.write_run(MO.reference_stats(new, quantiles=False), path, "ref_20240101")
+    io.write_run(MO.reference_stats(ref, quantiles=False), path, "ref_20240116")
+    rep = MO.drift_report(new, saved_stats=spark.read.schema("feature string, kind string, stat string, value double, run_id string").parquet(path))
+    return rep.withColumn("score", sig("score"))
+
+
 _DAILY_SQL = f"""WITH r AS (SELECT event_type, {XAVG('value')} AS ref_mean, stddev_samp(value) AS ref_std
                 FROM events WHERE ts < TIMESTAMP '{fixtures.DRIFT_SPLIT_TS}' GROUP BY event_type),
 d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, {XAVG('value')} AS mean,
@@ -280,22 +293,24 @@ _PERF_CTES = [
             FROM lb GROUP BY ts)""",
     "pf AS (SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-10) AS f1 FROM pd)",
     f"hist AS (SELECT * FROM pf ORDER BY ts DESC LIMIT {C.HISTORY_KEEP})",
-    "base AS (SELECT arg_min(accuracy, ts) AS baseline_accuracy, arg_min(f1, ts) AS baseline_f1 FROM hist)",
+    "base AS (SELECT arg_min(accuracy, ts) AS baseline_accuracy, arg_min(f1, ts) AS baseline_f1 FROM pf)",
 ]
 
 
 def _history(spark, sf_dir):
+    """(kept history, baseline): the table keeps every entry, the history view its last 100."""
     lab = _labelled(spark, sf_dir)
     daily = MO.binary_performance(lab, group_cols=["ts"])
     path = scratch_path(spark, "perf-history")
     daily.write.mode("append").parquet(path)  # history sink (append-only)
-    return MO.history_tail(spark.read.parquet(path))
+    full = spark.read.parquet(path)
+    return MO.history_tail(full), MO.baseline(full)
 
 
 @query("perf_history", V.with_("scored", extra=_PERF_CTES) + "SELECT ts, accuracy, precision, recall, f1 FROM hist")
 def perf_history(spark, sf_dir):
     """Performance-history sink: one entry per scoring day appended; the last 100 entries kept."""
-    return _history(spark, sf_dir).select("ts", "accuracy", "precision", "recall", "f1")
+    return _history(spark, sf_dir)[0].select("ts", "accuracy", "precision", "recall", "f1")
 
 
 @query("perf_check", V.with_("scored", extra=_PERF_CTES + [
@@ -312,10 +327,10 @@ SELECT accuracy, precision, recall, f1, baseline_accuracy, baseline_f1,
        OR (f1 - baseline_f1) / greatest(baseline_f1, 1e-10) < {C.RELATIVE_DEGRADATION_THRESHOLD} AS degradation_detected
 FROM cf, base""")
 def perf_check(spark, sf_dir):
-    """Current binary performance vs thresholds and vs the history baseline (oldest kept entry)."""
+    """Current binary performance vs thresholds and vs the history baseline (the first entry ever)."""
     lab = _labelled(spark, sf_dir)
-    cur = MO.binary_performance(lab).drop()
-    return MO.performance_check(cur, MO.baseline(_history(spark, sf_dir))).select(
+    cur = MO.binary_performance(lab)
+    return MO.performance_check(cur, _history(spark, sf_dir)[1]).select(
         "accuracy", "precision", "recall", "f1", "baseline_accuracy", "baseline_f1", "rel_accuracy_change",
         "rel_f1_change", "degradation_detected")
 
@@ -324,5 +339,5 @@ def perf_check(spark, sf_dir):
 def perf_trend(spark, sf_dir):
     """Accuracy and F1 over the kept history next to their baselines."""
     from ..operators import ranking
-    h = _history(spark, sf_dir)
-    return ranking.join_small(h.select("ts", "accuracy", "f1"), MO.baseline(h), [], 1)
+    h, base = _history(spark, sf_dir)
+    return ranking.join_small(h.select("ts", "accuracy", "f1"), base, [], 1)

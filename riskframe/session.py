@@ -48,21 +48,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover
             d = None
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="riskframe-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
 
-_DEFAULTS_DONE: set = set()
+def memo(spark: SparkSession) -> dict:
+    """A store for small fitted things and lazy plans that lives and dies with the session object."""
+    if not hasattr(spark, "_riskframe_memo"):
+        spark._riskframe_memo = {}
+    return spark._riskframe_memo
 
 
 def session_defaults(spark: SparkSession) -> None:
-    """Apply DEFAULT_CONF entries that the running session has not set (once per session)."""
-    key = (id(spark), spark.sparkContext.applicationId)
-    if key in _DEFAULTS_DONE:
+    """Apply DEFAULT_CONF entries that the running session has not set (once per session). The time zone is
+    the exception: it is always set to UTC, as the domain's timestamps are wall-clock times."""
+    if memo(spark).get("defaults"):
         return
-    _DEFAULTS_DONE.add(key)
+    memo(spark)["defaults"] = True
     for k, v in DEFAULT_CONF.items():
         if k == "spark.ui.enabled":
             continue

@@ -1,6 +1,6 @@
 """Domain views (loan, clarity, payment, drift, scored) derived from the driver's test tables.
 
-The derivation is deterministic key arithmetic, so the SQL oracle (``plans/oracle.py``) derives exactly the
+The derivation is deterministic key arithmetic, so the SQL oracle (``plans/sql_views.py``) derives exactly the
 same rows. Every view is a lazy DataFrame over the Parquet scans: filters and projections applied by
 callers reach the scans.
 """
@@ -10,29 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# FIXED VALUES — status names indexed by key arithmetic (1-based position = o_orderkey % 15 + 1).
-STATUS_SEQUENCE = [
-    "Rejected", "Withdrawn Application", "External Collection", "Internal Collection", "Returned Item",
-    "Pending Rescind", "Pending Application Fee", "Pending Paid Off", "Settled Bankruptcy", "Paid Off Loan",
-    "Settlement Paid Off", "Settlement Pending Paid Off", "Customer Voided New Loan", "CSR Voided New Loan",
-    "New Loan",
-]
+from ..functions import constants as C
+from ..session import memo
+
+# Status names indexed by key arithmetic (1-based position = o_orderkey % 15 + 1), in the order of the risk table.
+STATUS_SEQUENCE = list(C.STATUS_RISK)
 PRIORITY_FREQUENCY = {"1-URGENT": "W", "2-HIGH": "B", "3-MEDIUM": "S", "5-LOW": "M"}
 DRIFT_SPLIT_TS = "2024-01-16 00:00:00"
 ISO_FMT = "yyyy-MM-dd'T'HH:mm:ss"
 
 
-_PLANS: dict = {}
-
-
 def _cached(spark: SparkSession, key: tuple, build):
     """Per-session cache of lazy plans (not data): re-reading Parquet footers and re-building the view
     expressions costs driver round trips on every query otherwise."""
-    k = (id(spark), spark.sparkContext.applicationId) + key
-    hit = _PLANS.get(k)
-    if hit is None:
-        hit = _PLANS[k] = build()
-    return hit
+    plans = memo(spark)
+    if key not in plans:
+        plans[key] = build()
+    return plans[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

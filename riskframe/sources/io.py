@@ -82,25 +82,19 @@ def required_table(spark: SparkSession, path: str, schema: T.StructType | None =
 
 
 def latest_run(df: DataFrame, run_col: str = "run_id", run_id: str | None = None) -> DataFrame:
-    """Rows of the requested run, or of the lexicographically last run when none is given.
+    """Rows of the requested run if it has any, else of the lexicographically last run.
 
-    The max is a one-row aggregate over the partition column (metadata-sized on a partitioned table);
+    The chosen id is a one-row aggregate over the partition column (metadata-sized on a partitioned table);
     the join back is a broadcast of one row.
     """
+    last = F.max(run_col)
     if run_id is not None:
-        return df.where(F.col(run_col) == F.lit(run_id))
-    last = df.agg(F.max(run_col).alias("__last_run"))
-    return df.join(F.broadcast(last), F.col(run_col) == F.col("__last_run"), "left_semi")
+        last = F.coalesce(F.max(F.when(F.col(run_col) == F.lit(run_id), F.col(run_col))), last)
+    chosen = df.agg(last.alias("__last_run"))
+    return df.join(F.broadcast(chosen), F.col(run_col) == F.col("__last_run"), "left_semi")
 
 
 def write_run(df: DataFrame, path: str, run_id: str, mode: str = "append") -> None:
     """Append one run's rows under ``run_id=<id>`` (older runs remain as history)."""
     (df.withColumn("run_id", F.lit(run_id))
        .write.mode(mode).partitionBy("run_id").parquet(path))
-
-
-def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
