@@ -3,29 +3,31 @@ streaming jobs."""
 
 from __future__ import annotations
 
-from functools import lru_cache
+from datetime import date, timedelta
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.expressions import app_band, band3, display_normalize, serving_band
+from ..operators import artefact as AR
 from ..operators import features as FE
 from ..operators import model as MD
 from ..operators import score as SC
 from ..operators import split as SP
 from ..operators import stats as ST
 from ..operators import ranking
+from ..session import memo
 from ..sources import fixtures
+from ..streaming.daily import compare_daily, reference_by_type, stream_scores
+from ..streaming.daily import stream_daily_stats as run_daily
+from ..streaming.daily import stream_performance as run_performance
+from . import q_monitor  # noqa: F401  (its oracles are registered first)
 from . import sql_views as V
 from .common import SIG, XAVG, inputs, prep, scratch_path, sig
 from .q_features import fitted
-from .registry import query
+from .registry import ORACLES, query
 
 SCALE_COLS = ["apr", "nPaidOff", "loanAmount", "leadCost"]
-# Boosting rounds of the registered training query (the configured 200 rounds are available through
-# ``MD.mllib_params()``; the query keeps the rest of the configuration).
-QUERY_ROUNDS = 20
 
 
 @query("prep_scale", V.with_("loan", extra=[
@@ -53,145 +55,258 @@ def prep_index(spark, sf_dir):
     return m.transform(loan).select("loanId", "state", F.col("idx").cast("int").alias("state_index"))
 
 
-@query("prep_onehot")
+def _onehot_sql(col: str, src: str) -> str:
+    """0/1 list over the sorted labels of a column."""
+    return f"list_transform((SELECT list_sort(list(DISTINCT {col})) FROM {src}), lambda v: CASE WHEN v = {col} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+
+
+@query("prep_onehot", V.with_("loan", extra=["f AS (SELECT loanId, leadType, coalesce(payFrequency, 'Unknown') AS payFrequency FROM loan)"]) + f"""
+SELECT loanId, leadType, {_onehot_sql('leadType', 'f')} AS leadType_ohe, {_onehot_sql('payFrequency', 'f')} AS payFrequency_ohe FROM f""")
 def prep_onehot(spark, sf_dir):
     """One-hot vectors (dropLast); an unseen category maps to the all-zero vector."""
     from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
     loan, _, _ = inputs(spark, sf_dir)
+    df = loan.select("loanId", "leadType", "payFrequency").na.fill("Unknown", ["payFrequency"])
     stages, _ = MD.preprocessing_stages([], ["leadType", "payFrequency"])
-    m = Pipeline(stages=stages).fit(loan.na.fill("Unknown", ["payFrequency"]))
-    out = m.transform(loan.na.fill("Unknown", ["payFrequency"]))
-    from pyspark.ml.functions import vector_to_array
+    out = Pipeline(stages=stages).fit(df).transform(df)
     return out.select("loanId", "leadType", vector_to_array("leadType__ohe").alias("leadType_ohe"),
                       vector_to_array("payFrequency__ohe").alias("payFrequency_ohe"))
 
 
+ASSEMBLE_NUM = ["loanAmount", "apr", "paymentAmount_sum", "loanAmount_squared"]
+
+
+@query("prep_assemble", V.with_("engineered") + f"""
+SELECT loanId, 4 + len((SELECT list(DISTINCT leadType) FROM engineered)) AS n_slots,
+       list_concat([{", ".join(f"CAST({c} AS DOUBLE)" for c in ASSEMBLE_NUM)}], {_onehot_sql('leadType', 'engineered')}) AS features FROM engineered""")
+def prep_assemble(spark, sf_dir):
+    """Assembled feature vectors: numeric features, then the one-hot slots of a category."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    base, _, spec = fitted(spark, sf_dir)
+    df = FE.add_squares(FE.add_interactions(FE.fill_missing(base, spec), spec), spec)
+    stages, cols = MD.preprocessing_stages(ASSEMBLE_NUM, ["leadType"])
+    out = Pipeline(stages=[*stages, VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")]).fit(df).transform(df)
+    arr = vector_to_array("features")
+    return out.select("loanId", F.size(arr).cast("long").alias("n_slots"), arr.alias("features"))
+
+
 def _train_frame(spark, sf_dir):
     base, pipe, spec = fitted(spark, sf_dir)
-    df = pipe.transform(base, spec)
-    return SP.hash_split(df, "loanId", C.TEST_SIZE), spec
+    return SP.hash_split(pipe.transform(base, spec), "loanId", C.TEST_SIZE), pipe, spec
 
 
 def train(spark, sf_dir):
-    """Fit the MLlib pipeline on the training split; saved under the shared checkpoint directory and
-    reloaded (the artefact a serving job would load)."""
-    df, spec = _train_frame(spark, sf_dir)
-    params = MD.mllib_params({"n_estimators": QUERY_ROUNDS})
-    task = MD.choose_task(df, "target")
-    pipe = MD.build_pipeline(spec.numeric_features, spec.categorical_features, "target", task, params)
-    model = pipe.fit(df.where(F.col("split") == "train"))
-    path = scratch_path(spark, "model")
-    model.write().overwrite().save(path)
-    return PipelineModel.load(path), df, spec, task
+    """Fit the configured model on the training split and publish it; returns the artefact's root folder."""
+    df, pipe, spec = _train_frame(spark, sf_dir)
+    rows = df.where(F.col("split") == "train")
+    model, task = MD.fit_model(rows, spec.numeric_features, spec.categorical_features, "target", None, MD.mllib_params())
+    root = scratch_path(spark, "models")
+    AR.publish(spark, root, "v1", "run_1", pipe, spec, model, task, MD.importances(model, df), rows.count())
+    return root
 
 
-@lru_cache(maxsize=2)
-def trained(spark, sf_dir):
-    """One trained model per session and input, shared by the scoring queries."""
-    return train(spark, sf_dir)
+def artefact(spark, sf_dir):
+    """The published artefact of this input, loaded from storage; trained first if this session has none."""
+    store = memo(spark)
+    if ("artefact", sf_dir) not in store:
+        store["artefact", sf_dir] = train(spark, sf_dir)
+    return AR.load(spark, store["artefact", sf_dir])
 
 
-@query("prep_assemble")
-def prep_assemble(spark, sf_dir):
-    """Assembled feature vectors (numeric features + one-hot categoricals), other columns dropped."""
-    model, df, spec, _ = trained(spark, sf_dir)
-    from pyspark.ml.functions import vector_to_array
-    prep_model = PipelineModel(stages=model.stages[:-1])
-    out = prep_model.transform(df)
-    return out.select("loanId", F.size(vector_to_array("features")).alias("n_slots"),
-                      vector_to_array("features").alias("features"))
+def _test_rows(spark, sf_dir, art):
+    loan, clarity, payment = inputs(spark, sf_dir)
+    df = SP.hash_split(art.features(FE.base_frame(loan, clarity, payment)), "loanId", C.TEST_SIZE)
+    return df.where(F.col("split") == "test")
+
+
+_TEST_SQL = "FROM loan WHERE ('0x' || substr(md5(loanId), 1, 8))::BIGINT % 5 = 0"
 
 
 @query("model_train")
 def model_train(spark, sf_dir):
-    """Boosted-tree regression of the risk target; predictions on the held-out split."""
-    model, df, _, task = train(spark, sf_dir)  # trained on every call
-    test = df.where(F.col("split") == "test")
-    return model.transform(test).select("loanId", "target", "prediction")
+    """Boosted-tree regression of the risk target with the configured rounds; predictions on the held-out split."""
+    memo(spark)["artefact", sf_dir] = train(spark, sf_dir)  # trained on every call
+    art = artefact(spark, sf_dir)
+    return art.model.transform(_test_rows(spark, sf_dir, art)).select("loanId", "target", "prediction")
+
+
+@query("model_publish", V.with_("loan") + """
+SELECT 'v' || v AS model_version, 'regression' AS task, (SELECT count(*) FROM loan WHERE ('0x' || substr(md5(loanId), 1, 8))::BIGINT % 5 <> 0) AS n_rows,
+       v = 2 AS is_current, true AS loads FROM range(1, 3) t(v)""")
+def model_publish(spark, sf_dir):
+    """Versioned publish: a second version of the artefact beside the first, both loadable, the registry's last is current."""
+    art = artefact(spark, sf_dir)
+    first = AR.registry(spark, memo(spark)["artefact", sf_dir])
+    n = first.first()["n_rows"]
+    root = scratch_path(spark, "publish")
+    for version in ("v1", "v2"):
+        AR.publish(spark, root, version, f"run_{version}", art.pipeline, art.spec, art.model, art.task, art.importances, n)
+    current = AR.load(spark, root).version
+    loads = {v: AR.load(spark, root, v).spec == art.spec for v in ("v1", "v2")}
+    ok = F.create_map(*[F.lit(x) for kv in loads.items() for x in kv])
+    return AR.registry(spark, root).select("model_version", "task", "n_rows", (F.col("model_version") == current).alias("is_current"),
+                                           F.element_at(ok, F.col("model_version")).alias("loads"))
 
 
 @query("model_importance")
 def model_importance(spark, sf_dir):
     """Feature importances with names, largest first, top 20."""
-    model, df, _, _ = trained(spark, sf_dir)
-    return ST.topk_by(MD.importances(model, df), "importance", 20)
+    return ST.topk_by(artefact(spark, sf_dir).importances, "importance", 20)
 
 
 @query("fe_select_topk")
 def fe_select_topk(spark, sf_dir):
-    """Select features by importance (at most 100), keeping key and target."""
-    model, df, _, _ = trained(spark, sf_dir)
-    imp = MD.importances(model, df).where(F.col("importance") > 0).orderBy(F.desc("importance")).limit(100)
-    keep = [r["feature"] for r in imp.collect() if r["feature"] in df.columns]  # <= 100 names
-    return df.select("loanId", *keep, "target")
+    """Select features by importance (at most 100 slots, one-hot slots count for their category), keeping key and target."""
+    art = artefact(spark, sf_dir)
+    df, _, _ = _train_frame(spark, sf_dir)
+    imp = art.importances.where(F.col("importance") > 0).orderBy(F.desc("importance"), "feature").limit(100)
+    names = [MD.source_column(r["feature"], df.columns) for r in imp.collect()]  # <= 100 names
+    return df.select("loanId", *dict.fromkeys(n for n in names if n), "target")
 
 
 @query("score_batch")
 def score_batch(spark, sf_dir):
-    """Batch scoring of the held-out split with the saved pipeline: value + serving band + app band."""
-    model, df, _, task = trained(spark, sf_dir)
-    return SC.score(model, df.where(F.col("split") == "test"), task).select(
-        "loanId", "prediction", "risk_category", "risk_level")
+    """Batch scoring of the held-out split with the loaded artefact: value + serving band + app band."""
+    art = artefact(spark, sf_dir)
+    return SC.score(art.model, _test_rows(spark, sf_dir, art)).select("loanId", "prediction", "risk_category", "risk_level")
+
+
+@query("score_batch_check", V.with_("loan") + f"SELECT loanId, true AS bands_agree, true AS in_range {_TEST_SQL}")
+def score_batch_check(spark, sf_dir):
+    """Every held-out loan is scored once, its bands follow from its prediction, and the prediction lies in the target's range."""
+    p = F.col("prediction")
+    agree = (F.col("risk_category") == F.when(p > 0.7, "high_risk").when(p > 0.3, "medium_risk").otherwise("low_risk")) \
+        & (F.col("risk_level") == F.when(p <= 0.4, "Low Risk").when(p >= 0.6, "High Risk").otherwise("Medium Risk"))
+    return score_batch(spark, sf_dir).select("loanId", agree.alias("bands_agree"), p.between(-0.5, 1.5).alias("in_range"))
 
 
 @query("score_decision")
 def score_decision(spark, sf_dir):
-    """Classifier path: P(originated) >= threshold decision with a binary GBT."""
-    df, spec = _train_frame(spark, sf_dir)
-    df = df.withColumn("label", F.col("originated").cast("double"))
+    """Classifier path: P(originated) >= threshold decision with a binary model (indexed label, configured rounds)."""
+    df, _, spec = _train_frame(spark, sf_dir)
+    df = df.withColumn("label", F.col("originated").cast("int"))
     num = [c for c in spec.numeric_features if not c.startswith("payFrequency")]
-    pipe = MD.build_pipeline(num, spec.categorical_features, "label", "binary", {"maxIter": 10, "maxDepth": 4, "seed": 42})
-    model = pipe.fit(df.where(F.col("split") == "train"))
-    out = SC.score(model, df.where(F.col("split") == "test"), "binary")
-    return out.select("loanId", "p1", "decision")
+    model, _ = MD.fit_model(df.where(F.col("split") == "train"), num, spec.categorical_features, "label", None, MD.mllib_params())
+    return SC.score(model, df.where(F.col("split") == "test")).select("loanId", "p1", "decision")
+
+
+def _forms(spark, sf_dir):
+    """Entry forms derived from the loans: the form's labels and an entered fraud score by key arithmetic."""
+    loan, _, _ = inputs(spark, sf_dir)
+    code = F.col("payFrequency")
+    label = F.when(code == "W", "Weekly").when(code == "B", "Biweekly").when(code == "S", "Semimonthly").when(code == "M", "Monthly").otherwise("Yearly")
+    number = F.substring("loanId", 2, 20).cast("long")
+    return loan.select(F.concat(F.lit("PRED_"), "loanId").alias("loanId"), F.coalesce("loanAmount", F.lit(0.0)).alias("loan_amount"),
+                       F.coalesce("apr", F.lit(0.0)).alias("apr"), label.alias("pay_frequency"), "state", F.col("leadType").alias("lead_type"),
+                       F.coalesce("nPaidOff", F.lit(0.0)).alias("n_paid_off"), F.coalesce("leadCost", F.lit(0.0)).alias("lead_cost"),
+                       (number % 850 + 100).alias("clear_fraud_score"), "applicationDate")
+
+
+_FORM_SQL = V.with_("loan", extra=["""form AS (SELECT 'PRED_' || loanId AS loanId, coalesce(loanAmount, 0.0) AS loan_amount,
+    CAST(substr(loanId, 2) AS BIGINT) % 850 + 100 AS clear_fraud_score, payFrequency FROM loan)"""])
+
+
+@query("score_form_clarity", _FORM_SQL + """
+SELECT DISTINCT 'CF_' || clear_fraud_score AS underwritingid, CAST(clear_fraud_score AS DOUBLE) AS clearfraudscore FROM form""")
+def score_form_clarity(spark, sf_dir):
+    """Fraud-score rows of entry forms: the entered score itself."""
+    return SC.form_clarity(_forms(spark, sf_dir))
+
+
+@query("score_form_payment", _FORM_SQL + """
+SELECT loanId, 1 AS installmentIndex, loan_amount / 12 AS paymentAmount, 'Checked' AS paymentStatus, loan_amount / 15 AS principal,
+       loan_amount / 60 AS fees FROM form""")
+def score_form_payment(spark, sf_dir):
+    """One successful installment per entry form."""
+    return SC.form_payment(_forms(spark, sf_dir))
+
+
+@query("score_form_request", _FORM_SQL + """
+SELECT loanId, coalesce(CASE WHEN payFrequency IN ('W', 'B', 'S', 'M') THEN payFrequency END, 'W') AS payFrequency,
+       'CF_' || clear_fraud_score AS clarityFraudId, 'New Loan' AS loanStatus, 'None' AS fpStatus, CAST(clear_fraud_score AS DOUBLE) AS clearfraudscore,
+       1.0::DOUBLE AS payment_success_rate FROM form""")
+def score_form_request(spark, sf_dir):
+    """Entry forms as requests, joined with their own clarity and payment rows."""
+    forms = _forms(spark, sf_dir)
+    base = FE.base_frame(SC.form_requests(forms), SC.form_clarity(forms), SC.form_payment(forms))
+    return base.select("loanId", "payFrequency", "clarityFraudId", "loanStatus", "fpStatus", "clearfraudscore", "payment_success_rate")
 
 
 @query("score_request")
 def score_request(spark, sf_dir):
-    """Request scoring: form-like requests (derived from loans) -> input defaults, synthetic clarity and
-    payments -> the fitted feature spec -> saved model -> app band."""
-    model, _, spec, task = trained(spark, sf_dir)
-    _, pipe, _ = fitted(spark, sf_dir)
-    loan, _, _ = inputs(spark, sf_dir)
-    req = loan.select("loanId", "loanAmount", "apr", "payFrequency", "state", "leadType", "nPaidOff", "leadCost",
-                      "approved", "originated", "applicationDate", "clarityFraudId", "loanStatus", "anon_ssn")
-    req = SC.input_defaults(req, clarity_present=False)
-    clarity = SC.synthetic_clarity(req)
-    payment = SC.synthetic_payment(req)
-    base = FE.base_frame(req, clarity, payment)
-    feats = pipe.transform(base, spec)
-    return SC.score(model, feats, task).select("loanId", "prediction", "risk_level")
+    """Request scoring: entry forms -> requests with their own clarity and payment rows -> the artefact's features and
+    model -> app band."""
+    art = artefact(spark, sf_dir)
+    forms = _forms(spark, sf_dir)
+    req = SC.input_defaults(SC.form_requests(forms), clarity_present=True)
+    base = FE.base_frame(req, SC.form_clarity(forms), SC.form_payment(forms))
+    feats = SC.output_defaults(art.features(base))
+    return SC.score(art.model, feats).select("loanId", "prediction", "risk_level")
+
+
+def _streamed(spark, sf_dir, art):
+    src = scratch_path(spark, "score-stream-in")
+    _test_rows(spark, sf_dir, art).write.mode("overwrite").parquet(src)
+    return stream_scores(spark, src, scratch_path(spark, "score-stream-ckpt"), scratch_path(spark, "score-stream-out"),
+                         lambda df: SC.score(art.model, df, art.task).select("loanId", "prediction", "risk_category"))
 
 
 @query("score_stream")
 def score_stream(spark, sf_dir):
-    """Stream scoring: the saved pipeline applied to a stream of feature rows (file source, availableNow)."""
-    import uuid
-    model, df, _, task = trained(spark, sf_dir)
-    src = scratch_path(spark, "score-stream-in")
-    df.where(F.col("split") == "test").write.mode("overwrite").parquet(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 4).parquet(src)
-    scored = SC.score(model, stream, task).select("loanId", "prediction", "risk_category")
-    name = f"scored_{uuid.uuid4().hex[:10]}"
-    q = (scored.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", scratch_path(spark, "score-stream-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
+    """Stream scoring: the artefact applied to a stream of feature rows (file source, table sink, availableNow)."""
+    return _streamed(spark, sf_dir, artefact(spark, sf_dir))
+
 
+@query("score_stream_check", V.with_("loan") + f"SELECT loanId, true AS equal {_TEST_SQL}")
+def score_stream_check(spark, sf_dir):
+    """The stream's scores equal the batch's, row for row."""
+    art = artefact(spark, sf_dir)
+    s = _streamed(spark, sf_dir, art)
+    b = SC.score(art.model, _test_rows(spark, sf_dir, art)).select("loanId", F.col("prediction").alias("p"), F.col("risk_category").alias("c"))
+    return s.join(b, "loanId", "full").select("loanId", F.coalesce((F.abs(F.col("prediction") - F.col("p")) < 1e-12) & (F.col("risk_category") == F.col("c")),
+                                                                   F.lit(False)).alias("equal"))
 
-@query("stream_daily_stats")
+
+def _in_time_order(df, col: str, path: str, cuts: list) -> None:
+    """Files that arrive in event-time order: one time range after the other is appended."""
+    for lo, hi in zip(cuts, cuts[1:]):
+        df.where((F.col(col) >= F.lit(lo)) & (F.col(col) < F.lit(hi))).coalesce(1).write.mode("append").parquet(path)
+
+
+@query("stream_daily_stats", ORACLES["drift_daily"])
 def stream_daily_stats(spark, sf_dir):
-    """Daily drift statistics as a Structured Streaming job (watermark 1 day, tumbling windows, append):
-    closed windows only, compared with the reference window."""
-    from ..streaming.daily import compare_daily, reference_by_type, stream_daily_stats as run
+    """Daily drift statistics as a Structured Streaming job (watermark, tumbling windows, table sink), compared with the
+    reference window; equals the batch twin, last windows included."""
     prep(spark)
     events = fixtures.table(spark, sf_dir, "events")
-    # The stream source is a folder of event files arriving in time order (here: the event table cut
-    # into time ranges); each micro-batch reads one file.
     path = scratch_path(spark, "events-stream-in")
-    events.repartitionByRange(8, "ts").write.mode("overwrite").parquet(path)
-    daily = run(spark, path, scratch_path(spark, "daily-stream-ckpt"))
-    return compare_daily(daily, reference_by_type(fixtures.table(spark, sf_dir, "events")))
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (hi - lo) / 6
+    _in_time_order(events, "ts", path, [lo + step * i for i in range(6)] + [hi + timedelta(days=1)])
+    daily = run_daily(spark, path, scratch_path(spark, "daily-stream-ckpt"), scratch_path(spark, "daily-stream-out"))
+    return compare_daily(daily, reference_by_type(events)).withColumn("std", sig("std"))
+
+
+@query("stream_performance", V.with_("scored", extra=[
+    "lb AS (SELECT year(score_date) AS y, score_date AS ts, CAST(y_pred >= 0.5 AS INTEGER) AS prediction, CAST(y_true >= 0.5 AS INTEGER) AS actual FROM scored)",
+    """pd AS (SELECT y, min(ts) AS ts, count(*) AS n, CAST(count(*) FILTER (WHERE prediction = actual) AS DOUBLE) / count(*) AS accuracy,
+              CAST(count(*) FILTER (WHERE prediction = 1 AND actual = 1) AS DOUBLE) / greatest(count(*) FILTER (WHERE prediction = 1), 1) AS precision,
+              CAST(count(*) FILTER (WHERE prediction = 1 AND actual = 1) AS DOUBLE) / greatest(count(*) FILTER (WHERE actual = 1), 1) AS recall
+            FROM lb GROUP BY y)"""]) + """
+SELECT ts, n, accuracy, precision, recall, 2 * precision * recall / greatest(precision + recall, 1e-10) AS f1 FROM pd""")
+def stream_performance(spark, sf_dir):
+    """Performance metrics appended per micro-batch (foreachBatch); one batch holds one year of labelled predictions."""
+    prep(spark)
+    s = fixtures.scored(spark, sf_dir)
+    lab = s.select(F.col("score_date").alias("ts"), (F.col("y_pred") >= 0.5).cast("int").alias("prediction"), (F.col("y_true") >= 0.5).cast("int").alias("actual"))
+    lo, hi = lab.agg(F.min(F.year("ts")), F.max(F.year("ts"))).first()
+    path = scratch_path(spark, "labelled-stream-in")
+    _in_time_order(lab, "ts", path, [date(y, 1, 1) for y in range(lo, hi + 2)])
+    out = run_performance(spark, path, scratch_path(spark, "perf-stream-ckpt"), scratch_path(spark, "perf-stream-out"))
+    return out.select("ts", "n", "accuracy", "precision", "recall", "f1")
 
 
 # ------------------------------------------------------------------------------------------ bands
@@ -240,21 +355,22 @@ def score_normalize(spark, sf_dir):
 
 @query("score_defaults", V.with_("loan", extra=[V.DATED.replace("FROM with_pay", "FROM loan")]) + f"""
 SELECT loanId, false AS hasCF, anon_ssn, isFunded, loanAmount / 12 AS originallyScheduledPaymentAmount,
-       days_to_origination, CAST(0.0 AS DOUBLE) AS paymentAmount_mean, 0 AS paymentAmount_sum,
-       CAST(1.0 AS DOUBLE) AS payment_success_rate,
-       'None' AS fpStatus
+       days_to_origination, CAST({C.SYNTHETIC_FRAUD_SCORE} AS DOUBLE) AS clearfraudscore,
+       CAST({C.SYNTHETIC_FRAUD_SCORE} AS DOUBLE) * {C.SYNTHETIC_FRAUD_SCORE} AS clearfraudscore_squared,
+       CAST(0.0 AS DOUBLE) AS paymentAmount_mean, CAST(0.0 AS DOUBLE) AS principal_mean, CAST(0.0 AS DOUBLE) AS fees_mean,
+       0 AS paymentAmount_sum, 0 AS principal_sum, 0 AS fees_sum, 0 AS paymentAmount_count,
+       CAST(1.0 AS DOUBLE) AS payment_success_rate, 'None' AS fpStatus
 FROM dated""")
 def score_defaults(spark, sf_dir):
-    """Scoring-time defaults: missing input columns, then expected outputs absent after processing
-    (requests without clarity or payment data)."""
+    """Scoring-time defaults: missing input columns, then all twelve expected outputs absent after processing
+    (requests without clarity or payment data; the fraud score stands on the request itself)."""
     loan, _, _ = inputs(spark, sf_dir)
-    req = SC.input_defaults(loan, clarity_present=False)
-    processed = FE.add_date_features(req)
-    out = SC.output_defaults(processed)
-    return out.select("loanId", "hasCF", "anon_ssn", "isFunded", "originallyScheduledPaymentAmount",
-                      "days_to_origination", F.col("paymentAmount_mean").cast("double").alias("paymentAmount_mean"),
-                      "paymentAmount_sum", F.col("payment_success_rate").cast("double").alias("payment_success_rate"),
-                      "fpStatus")
+    req = SC.input_defaults(loan, clarity_present=False).withColumn("clearfraudscore", F.lit(float(C.SYNTHETIC_FRAUD_SCORE)))
+    out = SC.output_defaults(FE.add_date_features(req.drop("clearfraudscore")), req)
+    doubles = ["paymentAmount_mean", "principal_mean", "fees_mean", "payment_success_rate"]
+    return out.select("loanId", "hasCF", "anon_ssn", "isFunded", "originallyScheduledPaymentAmount", "days_to_origination", "clearfraudscore",
+                      "clearfraudscore_squared", *[F.col(c).cast("double").alias(c) for c in doubles],
+                      "paymentAmount_sum", "principal_sum", "fees_sum", "paymentAmount_count", "fpStatus")
 
 
 @query("score_synth_clarity", V.with_("loan") + f"""

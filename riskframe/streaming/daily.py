@@ -1,21 +1,20 @@
-"""Daily drift monitoring of the event stream (Structured Streaming), with its batch twin.
+"""Streaming jobs: daily drift of the event stream, scoring, performance metrics per micro-batch.
 
-Stream: file source over the event table -> event time cast to TIMESTAMP (watermarks need it) ->
-``withWatermark(ts, 1 day)`` -> tumbling ``window(ts, 1 day)`` x event type -> count, exact mean, std ->
-append mode, so each day is emitted once when the watermark passes its end (late rows beyond the
-watermark are dropped). The per-day statistics are compared with reference statistics of the
-reference window (a small static table, one row per event type).
+Daily drift: file source -> event time cast to TIMESTAMP -> ``withWatermark`` -> tumbling ``window(ts, 1 day)`` x event
+type -> count, mean, std. The query runs in update mode and every micro-batch writes its changed windows to
+a table folder of its own batch id (a retried batch overwrites its folder, so the sink is idempotent);
+the newest row of a window is its value. So the last, still open windows are in the table as well, and a
+closed window never changes. The watermark must cover the disorder of the source's files.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.expressions import exact_avg
+from ..operators import monitor, ranking
 from ..sources import fixtures
 
 
@@ -28,8 +27,7 @@ def compare_daily(daily: DataFrame, ref: DataFrame, threshold: float = C.DRIFT_T
     eps = F.lit(C.RELATIVE_EPS)
     md = F.abs(F.col("mean") - F.col("ref_mean")) / F.greatest(F.abs(F.col("ref_mean")), eps)
     sd = F.abs(F.col("std") - F.col("ref_std")) / F.greatest(F.abs(F.col("ref_std")), eps)
-    # The reference table has one row per event type: a bounded broadcast.
-    j = daily.join(F.broadcast(ref), "event_type", "inner")
+    j = daily.join(ref, "event_type", "inner")  # one row per event type: AQE broadcasts it after measuring
     return j.select("day", "event_type", "n", "mean", "std", md.alias("mean_diff"),
                     ((md > threshold) | F.coalesce(sd > threshold, F.lit(False))).alias("drifted"))
 
@@ -43,23 +41,48 @@ def daily_drift(events: DataFrame, spark: SparkSession | None = None) -> DataFra
     return out.withColumn("std", sig("std"))
 
 
-def stream_daily_stats(spark: SparkSession, events_path: str, checkpoint: str, max_files_per_trigger: int = 1,
-                       events_schema=None) -> DataFrame:
-    """Run the daily stream to completion (``availableNow``) into a memory sink; return closed windows.
+def batch_table(path: str):
+    """A foreachBatch sink: each micro-batch becomes the folder batch=<id>, overwritten if the batch is retried."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return write
+
 
-    On a cluster the sink would be a table and the trigger periodic; the checkpoint folder lives under
-    the shared checkpoint directory so the query restarts where it stopped after a failure.
-    """
-    schema = events_schema or spark.read.parquet(events_path).schema
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-           .parquet(events_path))
+def stream_daily_stats(spark: SparkSession, events_path: str, checkpoint: str, table: str, max_files_per_trigger: int = 1,
+                       watermark: str = "1 day") -> DataFrame:
+    """Run the daily stream over all files there are (``availableNow``); the windows' last values from the table."""
+    schema = spark.read.parquet(events_path).schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(events_path)
     ev = src.withColumn("ts", F.col("ts").cast("timestamp"))
-    agg = (ev.withWatermark("ts", "1 day")
+    agg = (ev.withWatermark("ts", watermark)
              .groupBy(F.window("ts", "1 day").alias("w"), "event_type")
              .agg(F.count(F.lit(1)).alias("n"), exact_avg("value").alias("mean"), F.stddev_samp("value").alias("std")))
-    name = f"daily_stats_{uuid.uuid4().hex[:12]}"
-    q = (agg.writeStream.outputMode("append").format("memory").queryName(name)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    flat = agg.select(F.to_date(F.col("w.start")).alias("day"), "event_type", "n", "mean", "std")
+    q = flat.writeStream.outputMode("update").foreachBatch(batch_table(table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    done = spark.read.parquet(table)
+    return done.groupBy("day", "event_type").agg(F.max_by(F.struct("n", "mean", "std"), "batch").alias("s")).select("day", "event_type", "s.*")
+
+
+def stream_scores(spark: SparkSession, source_path: str, checkpoint: str, table: str, score, max_files_per_trigger: int = 4) -> DataFrame:
+    """Score a stream of feature rows with ``score(DataFrame) -> DataFrame`` into a Parquet table (exactly once)."""
+    schema = spark.read.parquet(source_path).schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_path)
+    q = score(src).writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(table)
+
+
+def stream_performance(spark: SparkSession, source_path: str, checkpoint: str, history: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """Metrics of every micro-batch of labelled predictions (ts, prediction, actual), appended to the history table:
+    batch, ts (first of the batch), accuracy, precision, recall, f1."""
+    schema = spark.read.parquet(source_path).schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_path)
+    write = batch_table(history)
+
+    def entry(df: DataFrame, batch_id: int) -> None:
+        write(ranking.join_small(monitor.binary_performance(df), df.agg(F.min("ts").alias("ts"), F.count(F.lit(1)).alias("n")), [], 1), batch_id)
+
+    q = src.writeStream.foreachBatch(entry).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.table(name).select(F.to_date(F.col("w.start")).alias("day"), "event_type", "n", "mean", "std")
-    return out
+    return spark.read.parquet(history)
