@@ -46,10 +46,6 @@ def nan_to_null(col) -> Column:
     return F.nanvl(_c(col), F.lit(None).cast("double"))
 
 
-def safe_ratio(num, den) -> Column:
-    return F.try_divide(_c(num), _c(den))
-
-
 def band3(col, low_max: float = C.EVAL_LOW_MAX, high_min: float = C.EVAL_HIGH_MIN,
           low_inclusive: bool = True, high_inclusive: bool = False) -> Column:
     """Three risk bands 0/1/2.
@@ -63,10 +59,6 @@ def band3(col, low_max: float = C.EVAL_LOW_MAX, high_min: float = C.EVAL_HIGH_MI
     return F.when(c.isNull(), None).when(lo, 0).when(hi, 2).otherwise(1)
 
 
-def risk_band(col) -> Column:
-    return band3(col)
-
-
 def serving_band(col) -> Column:
     """Serving labels: > 0.7 high_risk, > 0.3 medium_risk, else low_risk."""
     c = _c(col)
@@ -91,30 +83,12 @@ def decision(col, threshold: float = C.PREDICTION_THRESHOLD) -> Column:
     return _c(col) >= F.lit(threshold)
 
 
-def cut_by_edges(col, edges_col) -> Column:
-    """Right-closed bin index for fitted edges ``e0 < e1 < ... < ek`` held in an array column.
-
-    ``x <= e1 -> 0``, ``e1 < x <= e2 -> 1``, ... ; values outside ``[e0, ek]`` (or null) -> null.
-    The first edge is inclusive, matching a cut whose lowest edge was widened or included.
-    Evaluated with a higher-order function over the (short, fixed-length) edge array.
-    """
-    c = _c(col)
-    e = _c(edges_col)
-    n_le = F.size(F.filter(F.slice(e, 2, 1_000_000), lambda v: v < c))
-    inside = (c >= F.element_at(e, 1)) & (c <= F.element_at(e, -1))
-    return F.when(inside, n_le)
-
-
 def md5_bucket(key, n: int) -> Column:
     """Deterministic bucket in [0, n) from md5 of the key (same value in DuckDB: first 8 hex digits)."""
     h = F.conv(F.substring(F.md5(_c(key).cast("string")), 1, 8), 16, 10).cast("bigint")
     return F.pmod(h, F.lit(n))
 
 
-def rnd(col, digits: int = 6) -> Column:
-    return F.round(_c(col).cast("double"), digits)
-
-
 # Sums that do not depend on row order wherever that is possible. A double sum depends on the order rows
 # arrive in, so the same query on two partitionings (or two engines) can differ in the last bits. Where every
 # value of a group is, to within EXACT_TOL of itself, a decimal of at most EXACT_SCALE places and below EXACT_MAX

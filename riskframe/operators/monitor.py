@@ -85,6 +85,8 @@ def reference_stats(df: DataFrame, quantiles: bool = True) -> DataFrame:
 def drift_numeric(new: DataFrame, ref_stats: DataFrame, threshold: float = C.DRIFT_THRESHOLD) -> DataFrame:
     """Relative change of mean and std against the reference stats (denominator ``max(|ref|, 1e-10)``)."""
     num, _, _ = column_kinds(new)
+    if not num:
+        return new.sparkSession.createDataFrame([], "feature string, mean_diff double, std_diff double, drifted boolean")
     ref = ref_stats.where(F.col("kind") == "numeric").groupBy("feature").agg(
         F.max(F.when(F.col("stat") == "mean", F.col("value"))).alias("ref_mean"),
         F.max(F.when(F.col("stat") == "std", F.col("value"))).alias("ref_std"))
@@ -104,6 +106,8 @@ def drift_categorical(new: DataFrame, ref_stats: DataFrame, threshold: float = C
     threshold; known ones always contribute |diff|; vanished categories are ignored."""
     _, _, cat = column_kinds(new)
     cols = cols or cat
+    if not cols:
+        return new.sparkSession.createDataFrame([], "feature string, max_category_diff double, drifted boolean")
     ref = ref_stats.where((F.col("kind") == "categorical") & (F.col("stat") != "__nunique")) \
         .select("feature", F.col("stat").alias("category"), F.col("value").alias("ref_share"))
     cur = category_shares(new, cols).select("feature", "category", F.col("share").alias("new_share"))

@@ -54,14 +54,6 @@ def describe(df: DataFrame, cols: list[str], quantiles: dict[str, float] | None
     return out.select("feature", "count", "mean", "std", "min", *quantiles.keys(), "max")
 
 
-def distribution_stats(df: DataFrame, col: str) -> DataFrame:
-    """mean, median, min, max, std (ddof 1) of one column, one row."""
-    m = df.agg(exact_avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"),
-               F.stddev_samp(col).alias("std"), F.count(col).alias("count"))
-    med = ranking.quantiles_table(df.select(F.col(col).cast("double").alias("__v")), [], "__v", {"median": 0.5})
-    return ranking.join_small(m, med, [], 1).select("count", "mean", "median", "min", "max", "std")
-
-
 def corr_with_target(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """Pearson correlation of every column with the target in one aggregate: ``feature, corr``."""
     row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in cols])
@@ -70,18 +62,39 @@ def corr_with_target(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     return stacked
 
 
+WIDE_PAIRS = 60  # so many correlations go side by side in one aggregate; more would outgrow generated code
+
+
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise Pearson correlations (rows with a null in either column skipped, like pandas) in one
-    aggregate pass: ``f1, f2, corr`` for every ordered pair."""
+    """Pairwise Pearson correlations (rows with a null in either column skipped, like pandas): ``f1, f2, corr`` for
+    every ordered pair, in one pass. Many pairs become rows (f1, f2, x, y) that are aggregated where they arise, one
+    correlation a group, so the plan does not grow with the number of columns."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b)
-                   in enumerate(pairs)])
-    structs = []
-    for i, (a, b) in enumerate(pairs):
-        structs.append(F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"{i}").alias("corr")))
-        if a != b:
-            structs.append(F.struct(F.lit(b).alias("f1"), F.lit(a).alias("f2"), F.col(f"{i}").alias("corr")))
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    d = {c: F.col(c).cast("double") for c in cols}
+    if len(pairs) <= WIDE_PAIRS:
+        row = df.agg(*[F.corr(d[a], d[b]).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+        half = row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"{i}").alias("corr"))
+                                              for i, (a, b) in enumerate(pairs)])).alias("s")).select("s.*")
+    else:
+        v = df.select(F.array(*[d[c] for c in cols]).alias("v"))
+        n = len(cols)
+        at = v.select("v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("v", "i", F.explode(F.sequence(F.col("i"), F.lit(n - 1))).alias("j"))
+        names = F.array(*[F.lit(c) for c in cols])
+        half = at.groupBy("i", "j").agg(F.corr(F.get("v", F.col("i")), F.get("v", F.col("j"))).alias("corr")) \
+            .select(F.get(names, F.col("i")).alias("f1"), F.get(names, F.col("j")).alias("f2"), "corr")
+    return half.unionByName(half.where("f1 <> f2").select(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "corr"))
+
+
+def shown_columns(df: DataFrame, cols: list[str], target: str | None = None, most: int = 20, keep: int = 15) -> list[str]:
+    """Columns of the displayed correlation matrix: all up to ``most``; of more, the ``keep`` most correlated with the
+    target plus the target, or the first ``keep`` without one."""
+    if len(cols) <= most:
+        return list(cols)
+    if target is None or target not in df.columns:
+        return list(cols[:keep])
+    c = corr_with_target(df, cols, target).where(F.col("corr").isNotNull() & ~F.isnan("corr"))
+    top = [r["feature"] for r in topk_by(c, "corr", keep).collect()]  # at most ``keep`` names
+    return top + ([target] if target not in top else [])
 
 
 def min_max(df: DataFrame, col: str) -> tuple[float | None, float | None]:

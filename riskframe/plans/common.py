@@ -36,16 +36,6 @@ def r(col, digits: int = DIGITS):
     return F.round(c.cast("double"), digits)
 
 
-def round_all(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    from pyspark.sql import types as T
-    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.round(F.col(c), digits) for c in cols}) if cols else df
-
-
-def sql_round_all(cols: list[str], digits: int = DIGITS) -> str:
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
-
-
 def XSUM(expr: str) -> str:
     """SQL text of the sum that is exact where the values allow it (see ``functions.expressions.exact_sum``)."""
     x = f"CAST({expr} AS DOUBLE)"

@@ -71,6 +71,29 @@ def corr_matrix(spark, sf_dir):
     return ST.corr_matrix(df, _CM_COLS).select("f1", "f2", (r("corr", 9) + F.lit(0.0)).alias("corr"))
 
 
+_WIDE_COLS = [c for c in V.NUMERIC_BASE if c != "application_hour"] + ["loanAmount_x_apr", "loanAmount_squared", "apr_squared", "clearfraudscore_squared"]
+_WIDE_ALL = _WIDE_COLS + ["target"]
+_WIDE_PAIRS = [(a, b) for i, a in enumerate(_WIDE_ALL) for b in _WIDE_ALL[i:]]
+_WIDE_SQL = V.with_("engineered", extra=[
+    f"t AS (SELECT *, CAST({V._TARGET_CASE} AS DOUBLE) AS target FROM engineered)",
+    "tc AS (UNPIVOT (SELECT " + ", ".join(f"corr({c}, target) AS {c}" for c in _WIDE_COLS) + " FROM t) ON "
+    + ", ".join(_WIDE_COLS) + " INTO NAME feature VALUE corr)",
+    "sel AS (SELECT feature FROM (SELECT feature FROM tc ORDER BY corr DESC LIMIT 15) UNION SELECT 'target')",
+    "c AS MATERIALIZED (SELECT " + ", ".join(f"corr({a}, {b}) AS c{i}" for i, (a, b) in enumerate(_WIDE_PAIRS)) + " FROM t)",
+    "l AS (" + " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, c{i} AS corr FROM c" for i, (a, b) in enumerate(_WIDE_PAIRS)) + ")",
+    "m AS (SELECT * FROM l UNION ALL SELECT f2, f1, corr FROM l WHERE f1 <> f2)"]) + \
+    "SELECT f1, f2, round(corr, 9) + 0.0 AS corr FROM m WHERE f1 IN (SELECT feature FROM sel) AND f2 IN (SELECT feature FROM sel)"
+
+
+@query("corr_matrix_wide", _WIDE_SQL)
+def corr_matrix_wide(spark, sf_dir):
+    """Correlation matrix over more than 20 numeric columns: the 15 most correlated with the target, and the target."""
+    base, _, spec = fitted(spark, sf_dir)
+    df = FE.add_target(FE.add_squares(FE.add_interactions(FE.fill_missing(base, spec), spec), spec))
+    cols = ST.shown_columns(df, _WIDE_COLS, "target")
+    return ST.corr_matrix(df, cols).select("f1", "f2", (r("corr", 9) + F.lit(0.0)).alias("corr"))
+
+
 def _hist_sql(src: str, col: str, bins: int, series: str | None = None) -> str:
     ser = f"'{series}' AS series, " if series else ""
     return f"""(WITH mm AS (SELECT min({col}) AS mn, max({col}) AS mx FROM {src}),

@@ -2,7 +2,6 @@
 
 import hashlib
 import math
-import os
 
 import pytest
 
@@ -37,14 +36,7 @@ def _digest(rows, cols):
     return hashlib.sha1("\n".join(lines).encode()).hexdigest()
 
 
-# A cross-section of every module by default; RISKFRAME_FULL_ORACLE=1 runs every key
-# (tools/oracle_check.py does the same sweep with diagnostics).
-DEFAULT_KEYS = ["risk_by_state", "agg_payment", "join_fraud", "target_risk", "fe_dates", "fe_missing",
-                "features_full", "fe_variance", "split_stratified", "describe_num", "corr_matrix", "qcut5",
-                "hist_target", "dq_missing", "eval_macro", "eval_percentile", "eval_compare", "deploy_gate",
-                "registry_current", "ref_stats", "drift_ks", "drift_categorical", "perf_check", "prep_scale",
-                "score_defaults", "fe_winsorize", "src_csv"]
-KEYS = sorted(E.oracle_sql()) if os.environ.get("RISKFRAME_FULL_ORACLE") == "1" else DEFAULT_KEYS
+KEYS = sorted(E.oracle_sql())
 
 
 @pytest.mark.parametrize("key", KEYS)
