@@ -12,8 +12,9 @@ similarity reaches the threshold t. Equal sets are one class. Then:
    part in the band below. A shared passage alone rarely fills a part, so unrelated documents seldom meet.
 2. *Small tiles* (up to SMALL members) propose all their pairs; large ones first propose stars around
    a few members. Proposals are checked; links give components.
-3. *Large tiles*, second pass: only members of different components can still matter. Their bitmaps
-   (each shingle sets one bit of a width fixed by the size) are compared block by block in the tile: bits of one that the other
+3. *Large tiles*, second pass: only members of different components can still matter. Tiles with the same smallest
+   member are joined to one, cut into blocks, and the members' bitmaps
+   (each shingle sets one bit of a width fixed by the size) are compared block by block: bits of one that the other
    lacks bound the overlap from above. Pairs that pass are proposed and checked.
 4. *Check*: the bit-count bound again, then the exact intersection of the sorted arrays.
 
@@ -40,6 +41,7 @@ WORDS, NUM, DEN = 5, 80, 100     # shingle length; link when DEN * intersection
 BAND = 1.5                       # ratio of a band's ends
 SMALL, STARS = 6, 3              # members of a tile that propose all pairs; star centres of larger tiles
 GRID = 512                       # documents compared at once in a large tile
+BLOCK = 2048                     # members of a star that one task of the second pass compares with as many others
 BROADCAST_ROWS = 2_000_000       # id lists up to this counted size are broadcast, longer ones are joined by shuffle
 KEYS_PER_TASK = 2_000_000        # tile keys that one task sorts, about
 
@@ -185,11 +187,11 @@ def _sets(documents: DataFrame) -> DataFrame:
     return columns_of(documents, doc_id="long", text="string").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, keys array<long>")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list]:
+def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list]:
     """Runs of equal first column of sorted batches, as lists of python columns; a run may cross batches."""
-    held: list[list] = [[] for _ in names]
+    held: list[list] = [[] for _ in range(width)]
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(len(names))]
+        cols = [b.column(i).to_pylist() for i in range(width)]
         key = cols[0]
         at = 0
         for i in range(len(key)):
@@ -197,16 +199,25 @@ def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
                 for h, c in zip(held, cols):
                     h += c[at:i]
                 yield held
-                held, at = [[] for _ in names], i
+                held, at = [[] for _ in range(width)], i
         for h, c in zip(held, cols):
             h += c[at:]
     if held[0]:
         yield held
 
 
+def _distinct(p: np.ndarray) -> np.ndarray:
+    """The distinct columns of a 2 x n array."""
+    p = p[:, np.lexsort((p[1], p[0]))]
+    first = np.ones(p.shape[1], bool)
+    first[1:] = (p[:, 1:] != p[:, :-1]).any(axis=0)
+    return p[:, first]
+
+
 def _propose(rows: DataFrame) -> DataFrame:
-    """From (key, id) rows that are partitioned by key: (a, b, key) with a < b. key is null for a proposal; for the
-    members of a large tile, (key, a) rows come besides, with b null."""
+    """From (key, id) rows that are partitioned by key: (a, b, star) with a < b. star is null for a proposal; for the
+    members of large tiles, (star, a) rows come besides, with b null, where star is the tile's smallest member: tiles of
+    one group of copies mostly have the same, so the second pass sees a document a few times, not once a tile."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -233,16 +244,13 @@ def _propose(rows: DataFrame) -> DataFrame:
             pairs += [np.stack([np.repeat(ids[start[big] + k], n), ids[member]]) for k in range(STARS)]
         if pairs:
             p = np.sort(np.concatenate(pairs, axis=1), axis=0)
-            p = p[:, p[0] != p[1]]
-            p = p[:, np.lexsort((p[1], p[0]))]
-            first = np.ones(p.shape[1], bool)
-            first[1:] = (p[:, 1:] != p[:, :-1]).any(axis=0)
-            p = p[:, first]
-            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.nulls(p.shape[1], pa.int64())], ["a", "b", "key"])
+            p = _distinct(p[:, p[0] != p[1]])
+            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.nulls(p.shape[1], pa.int64())], ["a", "b", "star"])
         if big.size:
-            yield pa.RecordBatch.from_arrays([pa.array(ids[member]), pa.nulls(member.size, pa.int64()), pa.array(key[member])], ["a", "b", "key"])
+            m = _distinct(np.stack([np.repeat(ids[start[big]], n), ids[member]]))
+            yield pa.RecordBatch.from_arrays([pa.array(m[1]), pa.nulls(m.shape[1], pa.int64()), pa.array(m[0])], ["a", "b", "star"])
 
-    return rows.mapInArrow(run, "a long, b long, key long")
+    return rows.mapInArrow(run, "a long, b long, star long")
 
 
 def _sized(ids: DataFrame) -> DataFrame:
@@ -285,37 +293,48 @@ def _check(pairs: DataFrame, details: DataFrame) -> DataFrame:
         return details.select(F.col("id").alias(name), *[F.col(w).alias(w + name) for w in what])
 
     some = pairs.join(side("a", "n", "map"), "a").join(side("b", "n", "map"), "b").select("a", "b", "na", "mapa", "nb", "mapb").mapInArrow(bits, "a long, b long")
-    return materialize(some, "jac-bits").join(side("a", "body"), "a").join(side("b", "body"), "b") \
-        .select("a", "b", "bodya", "bodyb").mapInArrow(exact, "a long, b long")
+    some = materialize(some, "jac-bits")
+    need = some.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    details = details.join(_sized(need), "id", "left_semi")  # only these sets move
+    return some.join(side("a", "body"), "a").join(side("b", "body"), "b").select("a", "b", "bodya", "bodyb").mapInArrow(exact, "a long, b long")
 
 
 def _second_pass(tiles: DataFrame, component: DataFrame, details: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components within a large tile that pass the bit-count bound."""
+    """(a, b): pairs of different components within large tiles of one star that pass the bit-count bound.
+
+    A star's members are dealt to blocks of about BLOCK; every pair of blocks is a task of its own, so no group of
+    copies, however large, lies in one task."""
     t = tiles.join(component, "id")
-    open_tiles = t.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = t.join(open_tiles, "key").join(details.select("id", "n", "map"), "id").select("key", "id", "component", "n", "map")
+    open_ = t.groupBy("star").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")) \
+        .where("lo < hi").select("star", "blocks")
+    rows = t.join(open_, "star").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("id", "component", "star", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own") \
+        .join(details.select("id", "n", "map"), "id")
+    rows = rows.select(F.xxhash64("star", "i", "j").alias("key"), "star", "i", "j", "own", "id", "component", "n", "map")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, comp, n, maps in _groups(batches, ("key", "id", "component", "n", "map")):
-            ids, comp, n = np.asarray(ids), np.asarray(comp), np.asarray(n)
+        for _, star, i, j, own, ids, comp, n, maps in _groups(batches, 9):
+            ids, comp, n, own = np.asarray(ids), np.asarray(comp), np.asarray(n), np.asarray(own)
             w = min(map(len, maps))
             m = np.stack([_fold(x, w) for x in maps]).view(U64)
-            by = np.argsort(comp, kind="stable")  # blocks of one component are skipped whole
-            ids, comp, n, m = ids[by], comp[by], n[by], m[by]
-            for i in range(0, ids.size, GRID):
-                for j in range(i, ids.size, GRID):
-                    a, b = slice(i, i + GRID), slice(j, j + GRID)
-                    if comp[a][0] == comp[b][-1]:
+            by = np.argsort(comp, kind="stable")  # pieces of one component are skipped whole
+            sides = [by] if i[0] == j[0] else [by[own[by] == i[0]], by[own[by] == j[0]]]
+            left, right = sides[0], sides[-1]
+            for x in range(0, left.size, GRID):
+                for y in range(x if len(sides) == 1 else 0, right.size, GRID):
+                    a, b = left[x:x + GRID], right[y:y + GRID]
+                    if comp[a[0]] == comp[b[-1]] == comp[a[-1]] == comp[b[0]]:
                         continue
                     ok = may_link(m[a], m[b], n[a], n[b]) & (comp[a][:, None] != comp[b][None, :])
-                    if i == j:
+                    if len(sides) == 1 and x == y:
                         ok = np.triu(ok, 1)
-                    x, y = np.nonzero(ok)
-                    if x.size:
-                        u, v = ids[a][x], ids[b][y]
+                    p, q = np.nonzero(ok)
+                    if p.size:
+                        u, v = ids[a[p]], ids[b[q]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "star", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(documents: DataFrame) -> DataFrame:
@@ -332,7 +351,7 @@ def components(documents: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-total * 4 // 10 // KEYS_PER_TASK))
     proposed = materialize(_propose(keyed.repartition(parts, "key")), "jac-proposed")
     pairs = materialize(proposed.where("b IS NOT NULL").select("a", "b").distinct(), "jac-pairs")
-    tiles = proposed.where("b IS NULL").select("key", F.col("a").alias("id"))
+    tiles = proposed.where("b IS NULL").select("star", F.col("a").alias("id")).distinct()
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jac-ids")
     details = materialize(_details(documents, ids), "jac-details")
     links = materialize(_check(pairs, details), "jac-links")
