@@ -369,6 +369,6 @@ def components(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each group stays: the one with the smallest id. Rows without an id or shingles all stay."""
-    gone = components(documents).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = materialize(components(documents).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "jac-gone")
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("key"))
-    return rows.join(gone, rows["key"] == gone["gone_id"], "left_anti").select("row.*")
+    return rows.join(_sized(gone), F.col("key") == F.col("gone_id"), "left_anti").select("row.*")
