@@ -25,6 +25,7 @@ from .common import WORD, columns_of, materialize
 
 SEED = 20
 LEVEL_BITS = 11   # hash bits per narrowing level: 2048 buckets a source and level
+BROADCAST_SOURCES = 10_000  # rows of about 100 bytes
 SALTS = 32        # a source's documents are spread over so many join keys
 LEVELS = 3        # 33 bits in all, then documents of one prefix are summed exactly
 
@@ -146,7 +147,10 @@ def repeat(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
 
 
 def _meet(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    """Documents with their source's row. That row is copied to every salt, so that no source is one join key."""
+    """Documents with their source's row. The sources' rows are broadcast if their counted number is small; else each is
+    copied to every salt, so that no source is one join key."""
+    if per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(per_source), rows["source"].eqNullSafe(per_source["src"]))
     p = per_source.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.join(p, rows["source"].eqNullSafe(p["src"]) & (rows["salt"] == p["salt2"])).drop("salt2")
 
