@@ -207,7 +207,7 @@ def _documents(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, W
 
 def predict(documents: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score; with ``spans`` also spans: lang:start:end in code points, comma-joined."""
-    size = max(20_000, min(2_000_000, 8_000_000 // max(len(model.langs), 1)))
+    size = max(20_000, min(1_000_000, 4_000_000 // max(len(model.langs), 1)))
     names = ["doc_id", "lang_pred", "score", *["spans"] * spans]
     send = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -251,7 +251,7 @@ def keep(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             for i, t in enumerate(texts):
                 piece.append(t or "")
                 size += len(piece[-1])
-                if size > 2_000_000 or i == len(texts) - 1:
+                if size > 1_000_000 or i == len(texts) - 1:
                     p, s, _, _ = _documents(m, piece)
                     pred, piece, size = pred + p, [], 0
                     score.append(s)

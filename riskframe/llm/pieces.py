@@ -30,7 +30,7 @@ from .common import chunks, code_points, columns_of, word_hashes
 
 SPACE = 0x2581
 NONE = np.int32(2**31 - 1)
-CHUNK = 3_000_000  # characters encoded together
+CHUNK = 1_000_000  # characters encoded together: a worker holds some 100 bytes for each
 
 
 class Vocabulary:
