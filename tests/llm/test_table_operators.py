@@ -64,6 +64,24 @@ def test_html_equals_articles_of_the_pages(spark):
         assert got[r["page_id"]] == "\n".join(x for x in parts if x)
 
 
+def texts_of(spark, pages):
+    """Text of each html; pages: (url, html)."""
+    rows = [(k, u, h) for k, (u, h) in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[k] for k in range(len(rows))]
+
+
+def test_wrapper_slots_decide(spark):
+    """Slots of one path at two places of the wrapper, and template text inside article elements."""
+    places = [("http://p.example/", f"<body><p>Read it in our app</p><h2>Title {k}</h2><p>Varying text of page {k}</p><p>and more of {k}</p></body>") for k in range(4)]
+    inside = [("http://q.example/", f"<article><p>Read it in our app</p><h1>Title {k}</h1><p>Varying {k}</p><ul><li><a href=/>See also {k}</a></li></ul></article>") for k in range(9)]
+    copies = [("http://r.example/", f"<nav>{k}</nav><article><h1>Same</h1><p>Copies of one page</p></article>") for k in range(12)]
+    got = texts_of(spark, places + inside + copies)
+    assert got[:4] == [f"Title {k}\nVarying text of page {k}\nand more of {k}" for k in range(4)]
+    assert got[4:13] == [f"Title {k}\nVarying {k}" for k in range(9)]
+    assert got[13:] == ["Same\nCopies of one page"] * 12
+
+
 # ---------------------------------------------------------------- mixing
 
 def brute_targets(sizes, weights, cap):
