@@ -82,6 +82,17 @@ def test_wrapper_slots_decide(spark):
     assert got[13:] == ["Same\nCopies of one page"] * 12
 
 
+def test_every_template_of_a_host_has_its_content(spark):
+    """Decisions come from all pages: a rare template keeps its text, and what varies only on some pages is no template text."""
+    pages = [("http://t.example/", f"<body><div class=post><p>Long varying text of the post number {k}</p></div><div class=x>Made by us</div></body>") for k in range(60)]
+    pages += [("http://t.example/", f"<body><div class=video><p>Short film {k}</p></div><div class=x>Made by us</div></body>") for k in range(5)]
+    pages += [("http://u.example/", f"<body><div class=a><p>{'Draft' if k < 50 else f'Report {k} is out now'}</p></div><div class=b>{k}</div></body>") for k in range(60)]
+    got = texts_of(spark, pages)
+    assert got[:60] == [f"Long varying text of the post number {k}" for k in range(60)]
+    assert got[60:65] == [f"Short film {k}" for k in range(5)]
+    assert [f"Report {k} is out now" in got[65 + k] for k in range(50, 60)] == [True] * 10
+
+
 # ---------------------------------------------------------------- mixing
 
 def brute_targets(sizes, weights, cap):
