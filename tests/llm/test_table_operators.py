@@ -93,6 +93,18 @@ def test_every_template_of_a_host_has_its_content(spark):
     assert [f"Report {k} is out now" in got[65 + k] for k in range(50, 60)] == [True] * 10
 
 
+def test_names_are_judged_on_their_own_element(spark):
+    body = "<p>Text of page {k} about things</p><p>and more</p>"
+    frames = ["<body class='has-sidebar'><div class=x>{}</div></body>", "<body><div id='page-with-nav'>{}</div></body>", "<body><article class='post no-comments'>{}</article></body>",
+              "<body><section id='search-engines'>{}</section></body>", "<body><form id=aspnetForm><div>{}</div></form></body>",
+              "<body><div class='a b c d e f advert'><p>Buy {k} now</p></div><div class=x>{}</div><div class='site-header'>Site {k}</div><div class='share-buttons'>Tell {k}</div></body>"]
+    pages = [(f"http://n{i}.example/", f.replace("{}", body).replace("{k}", str(k))) for i, f in enumerate(frames) for k in range(2)]
+    pages.append(("http://h.example/", "<article><header><h1>Own title</h1></header><p>Text</p></article><header>Site</header>"))
+    got = texts_of(spark, pages)
+    assert got[:-1] == [f"Text of page {k} about things\nand more" for _ in frames for k in range(2)]
+    assert got[-1] == "Own title\nText"
+
+
 # ---------------------------------------------------------------- mixing
 
 def brute_targets(sizes, weights, cap):
