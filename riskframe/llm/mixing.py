@@ -11,9 +11,9 @@ The line is found by narrowing: size is summed by (source, hash prefix); only th
 line falls is split further, so a source with a third of all rows is never ordered in one task.
 
 Defined results: null text has size 0 and takes 0 words; a null source is a source of its own, last in
-order; documents of size 0 take part with 0 words; an empty table gives an empty result; equal rows
-share a doc_id and a hash and are told apart by nothing, so they count as one line-crossing unit (each
-takes the same); extra columns are kept apart and dropped.
+order; documents of size 0 take part with 0 words; an empty table gives an empty result; the hash is of id and
+text, so rows without an id are told apart by their texts; if the line falls on rows equal in both, they are counted, as many as
+fit take one more repetition and one row the rest; extra columns are kept apart and dropped.
 """
 
 from __future__ import annotations
@@ -81,8 +81,8 @@ def targets(sources: DataFrame, max_epochs: float) -> DataFrame:
     return state.withColumn("target", F.when(F.col("clamped"), cap).otherwise(F.col("weight") * F.lit(level)).cast("double")).drop("clamped")
 
 
-def _hash(doc_id: Column, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 1)
+def _hash(doc_id: Column, text: Column, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 1)
 
 
 def _plan(rows: DataFrame, weights: tuple[float, ...], max_epochs: float) -> DataFrame:
@@ -91,28 +91,46 @@ def _plan(rows: DataFrame, weights: tuple[float, ...], max_epochs: float) -> Dat
     src = src.withColumn("epochs", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)) \
         .withColumn("whole", F.least(F.floor("epochs"), F.lit(max_epochs)).cast("long")) \
         .withColumn("need", F.greatest(F.round(F.col("target")) - F.col("whole") * F.col("source_size"), F.lit(0)).cast("long"))
-    return _lines(rows, materialize(src.select(F.col("source").alias("src"), "source_size", "target", "whole", "need"), "mix-plan"))
+    return materialize(_lines(rows, materialize(src.select(F.col("source").alias("src"), "source_size", "target", "whole", "need"), "mix-plan")), "mix-lines")
 
 
 def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds source_size, target, reps, part_words: below the line one repetition more, on it the words that are missing."""
     key = F.shiftright("h", 63 - LEVEL_BITS * LEVELS)
-    return _meet(rows, plan) \
+    met = _meet(rows, plan)
+    if plan.where("line_n > 1").limit(1).count():
+        on = (F.col("line_n") > 1) & (F.col("h") == F.col("line_h"))
+        met = met.where(~on).withColumn("place", F.lit(0).cast("long")).unionByName(_numbered(met.where(on)))
+    else:
+        met = met.withColumn("place", F.lit(0).cast("long"))
+    return met \
         .withColumn("extra", F.when(key < F.col("line"), F.col("size"))
                     .when((key == F.col("line")) & (F.col("h") < F.col("line_h")), F.col("size"))
-                    .when((key == F.col("line")) & (F.col("h") == F.col("line_h")), F.least("size", "line_words")).otherwise(F.lit(0))) \
+                    .when((key == F.col("line")) & (F.col("h") == F.col("line_h")), F.greatest(F.least(F.col("size"), F.col("line_words") - F.col("place") * F.col("size")), F.lit(0))).otherwise(F.lit(0))) \
         .withColumn("reps", F.when(F.col("size") > 0, F.col("whole") + (F.col("extra") == F.col("size")).cast("long")).otherwise(F.col("whole"))) \
         .withColumn("part_words", F.when((F.col("size") > 0) & (F.col("extra") < F.col("size")), F.col("extra")).otherwise(F.lit(0)).cast("long"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``place``, from 0 among the rows of a source. Rows are numbered in the parts they lie in and the counts of the parts
+    before are added, so no task holds them all."""
+    parts = materialize(rows.withColumn("part", F.spark_partition_id()), "mix-equal")
+    before = Window.partitionBy("src2").orderBy("part2").rowsBetween(Window.unboundedPreceding, -1)
+    per = parts.groupBy(F.col("src").alias("src2"), F.col("part").alias("part2")).agg(F.count("*").alias("n")) \
+        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")  # one row a source and part
+    inner = F.row_number().over(Window.partitionBy("src", "part").orderBy("h")) - 1
+    return parts.withColumn("inner", inner).join(per, F.col("src").eqNullSafe(F.col("src2")) & (F.col("part") == F.col("part2"))) \
+        .withColumn("place", (F.col("inner") + F.col("before")).cast("long")).drop("inner", "before", "part", "src2", "part2")
+
+
 def _sized(documents: DataFrame, seed: int) -> DataFrame:
     """row (all columns of the documents), doc_id, source, size, h, salt."""
     have = {c.lower(): F.col(f"`{c}`") for c in documents.columns}
     none = F.lit(None)
     doc_id, text, source = (have.get(c, none) for c in ("doc_id", "text", "source"))
     return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), doc_id.cast("long").alias("doc_id"),
-                            source.cast("string").alias("source"), word_count(text.cast("string")).alias("size")) \
-        .withColumn("h", _hash(F.col("doc_id"), seed)).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+                            source.cast("string").alias("source"), word_count(text.cast("string")).alias("size"), text.cast("string").alias("words")) \
+        .withColumn("h", _hash(F.col("doc_id"), F.col("words"), seed)).drop("words").withColumn("salt", F.pmod("h", F.lit(SALTS)))
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, seed: int = SEED) -> DataFrame:
@@ -180,7 +198,8 @@ def _lines(rows: DataFrame, src: DataFrame) -> DataFrame:
         .groupBy("src", "h").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("left").alias("left"))
     w = Window.partitionBy("src").orderBy("h")
     last = last.withColumn("upto", F.sum("words").over(w)).where("upto > left") \
-        .groupBy("src").agg(F.min_by(F.struct("h", F.expr("(left - (upto - words)) div n").alias("words")), "h").alias("m")) \
-        .select(F.col("src").alias("s2"), F.col("m.h").alias("line_h"), F.col("m.words").alias("line_words"))
+        .groupBy("src").agg(F.min_by(F.struct("h", F.expr("left - (upto - words)").alias("words"), "n"), "h").alias("m")) \
+        .select(F.col("src").alias("s2"), F.col("m.h").alias("line_h"), F.col("m.words").alias("line_words"), F.col("m.n").alias("line_n"))
     return at.join(last, F.col("src").eqNullSafe(F.col("s2")), "left") \
-        .select("src", "source_size", "target", "whole", "line", F.coalesce("line_h", F.lit(2**63 - 1)).alias("line_h"), F.coalesce("line_words", F.lit(0)).cast("long").alias("line_words"))
+        .select("src", "source_size", "target", "whole", "line", F.coalesce("line_h", F.lit(2**63 - 1)).alias("line_h"), F.coalesce("line_words", F.lit(0)).cast("long").alias("line_words"),
+                F.coalesce("line_n", F.lit(0)).alias("line_n"))

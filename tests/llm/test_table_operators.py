@@ -155,6 +155,22 @@ def test_mix_hard_cases_and_repeat(spark):
     assert [r["taken"] for r in mixing.mix(blank).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("equal", [False, True])
+def test_mix_rows_without_ids_hit_the_target(spark, equal):
+    """Rows of one source that share an id, with uneven or truly equal texts: only one of them is partial."""
+    texts = ["same text of seven words for all"] * 40 if equal else [" ".join(["w"] * 91)] + [f"w{k}" for k in range(9)]
+    rows = [(None, t, None, "a") for t in texts] + [(k, " ".join([f"v{k}"] * 10), None, "b") for k in range(12)]
+    got = mixing.mix(documents(spark, rows).repartition(4)).collect()
+    sizes = {"a": sum(len(t.split()) for t in texts), "b": 120}
+    want = brute_targets(sizes, (5.0, 2.0, 1.0), 3.0)
+    for s in sizes:
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - want[s]) <= 1 and sum(r["part_words"] > 0 for r in own) <= 1
+    assert want["a"] % sizes["a"] and len(got) == len(rows)
+    out = mixing.repeat(documents(spark, rows).repartition(4)).collect()
+    assert sum(len(r["text"].split()) for r in out) == sum(r["taken"] for r in got)
+
+
 # ---------------------------------------------------------------- cover tree
 
 def brute_vectors(rows, threshold):
