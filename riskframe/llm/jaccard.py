@@ -368,7 +368,33 @@ def components(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Rows without an id or shingles all stay."""
-    gone = materialize(components(documents).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "jac-gone")
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("key"))
-    return rows.join(_sized(gone), F.col("key") == F.col("gone_id"), "left_anti").select("row.*")
+    """One row of each group stays: one with the smallest id. Rows without an id or shingles all stay.
+
+    Rows that share an id are nodes of their own under a drawn label, so copies of a row are a group like any other, and a text is
+    not dropped for another one under its id."""
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("key"), F.col("text").alias("body"))
+    many = materialize(rows.where("key IS NOT NULL").groupBy("key").count().where("count > 1").select(F.col("key").alias("many_id")), "jac-many")
+    labelled, again = rows.withColumn("label", F.col("key")), None
+    if many.limit(1).count():
+        # written once, so a label is the same in every later read
+        again = materialize(rows.join(_sized(many), F.col("key") == F.col("many_id"), "left_semi")
+                            .withColumn("label", F.xxhash64("key", F.monotonically_increasing_id())), "jac-again")
+        labelled = labelled.join(_sized(many), F.col("key") == F.col("many_id"), "left_anti").unionByName(again)
+    linked = materialize(components(labelled.select(F.col("label").alias("doc_id"), F.col("body").alias("text")))
+                         .where("doc_id <> component_id").select("doc_id", "component_id").distinct(), "jac-linked")
+    gone = linked.select(F.col("doc_id").alias("gone_id"))
+    if again is not None:
+        gone = materialize(_gone(linked, again.select("label", "key")), "jac-gone")
+    return labelled.join(_sized(gone), F.col("label") == F.col("gone_id"), "left_anti").select("row.*")
+
+
+def _gone(linked: DataFrame, ids: DataFrame) -> DataFrame:
+    """gone_id: every label of a group but the one whose id is smallest. Groups without a drawn label are settled."""
+    members = linked.unionByName(linked.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
+    members = materialize(members.join(_sized(ids), F.col("doc_id") == F.col("label"), "left")
+                          .select("doc_id", "component_id", F.col("label").isNotNull().alias("drawn"), F.coalesce("key", "doc_id").alias("id")), "jac-members-of")
+    stays = members.groupBy("component_id").agg(F.max("drawn").alias("any_drawn"), F.min(F.struct("id", "doc_id")).alias("m")).where("any_drawn") \
+        .select(F.col("component_id").alias("group"), F.col("m.doc_id").alias("stays"))
+    stays = materialize(stays, "jac-stays")
+    met = members.join(_sized(stays), F.col("component_id") == F.col("group"), "left")
+    return met.where(F.col("doc_id") != F.coalesce("stays", "component_id")).select(F.col("doc_id").alias("gone_id"))

@@ -314,6 +314,17 @@ def test_jaccard_empty_and_repeated(spark):
     assert {(r["doc_id"], r["component_id"]) for r in jaccard.components(documents(spark, rows)).collect()} == {(7, 3), (3, 3)}
 
 
+def test_keep_one_of_rows_that_share_an_id(spark):
+    same, other, near = "same text of some words here", "quite another text under that very id", " ".join(f"w{k}" for k in range(60))
+    rows = [(7, same, None, None)] * 4 + [(3, same, None, None)] * 3 + [(5, near + " end", None, None), (5, other, None, None), (4, near, None, None),
+            (8, "Alone but twice in the table", None, None), (8, "alone BUT twice in the table", None, None), (9, None, None, None), (9, "", None, None), (None, same, None, None)]
+    docs = documents(spark, rows, extra=True)
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in kept.collect())
+    assert got == sorted([(3, same), (4, near), (5, other), (8, "alone but twice in the table"), (9, ""), (9, ""), (0, same)])
+
+
 def test_tile_keys_meet_for_linked_sets():
     rng = np.random.default_rng(2)
     for _ in range(400):
