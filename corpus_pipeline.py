@@ -15,7 +15,7 @@ from riskframe.llm.queries import MIX_EPOCHS, MIX_WEIGHTS, piece_model
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without a language that holds half of their letters; sets ``lang``."""
+    """Drops documents without a letter or a candidate language; sets ``lang`` to the one with most letters."""
     return langid.keep(docs, langid.fit(docs, ~held_out(F.col("doc_id"))))
 
 

@@ -236,9 +236,9 @@ def _spans(m: Model, w: Words, lab: np.ndarray, n: int) -> list[str]:
     return [",".join(s) for s in out]
 
 
-def keep(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents whose language is known and holds at least ``least`` of the letters; ``lang`` becomes the
-    predicted language. Same columns; every row is judged by its own text, so no join is needed."""
+def keep(documents: DataFrame, model: Model) -> DataFrame:
+    """The documents that have a letter and a candidate language, in however many languages they are; ``lang`` becomes the
+    one that holds most letters. Same columns; every row is judged by its own text, so no join is needed."""
     cols = documents.columns
     at, lang = cols.index("text"), cols.index("lang")
     send = documents.sparkSession.sparkContext.broadcast(model)
@@ -247,15 +247,13 @@ def keep(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         m = send.value
         for b in batches:
             texts, size = b.column(at).to_pylist(), 0
-            pred, score, piece = [], [], []
+            pred, piece = [], []
             for i, t in enumerate(texts):
                 piece.append(t or "")
                 size += len(piece[-1])
                 if size > 1_000_000 or i == len(texts) - 1:
-                    p, s, _, _ = _documents(m, piece)
-                    pred, piece, size = pred + p, [], 0
-                    score.append(s)
-            ok = pa.array([p != "und" and s >= least for p, s in zip(pred, np.concatenate(score) if score else [])], pa.bool_())
+                    pred, piece, size = pred + _documents(m, piece)[0], [], 0
+            ok = pa.array([p != "und" for p in pred], pa.bool_())
             arrays = list(b.columns)
             arrays[lang] = pa.array(pred, pa.string()).cast(b.schema.field(lang).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=b.schema).filter(ok)

@@ -113,6 +113,15 @@ def test_language_hard_cases_and_spans(spark):
     assert {r["doc_id"] for r in kept.collect()}.isdisjoint({100, 101, 102, 103})
 
 
+def test_documents_in_three_languages_stay(spark):
+    rng = random.Random(3)
+    model = langid.fit(documents(spark, [(i, prose(rng, lang, 40), lang, None) for i, lang in enumerate(["en", "de", "fr"] * 30)]), F.lit(True))
+    rows = [(1, " ".join(prose(rng, lang, n) for lang, n in (("en", 44), ("de", 35), ("fr", 30))), None, None), (2, "123 !!", "en", None)]
+    score = langid.predict(documents(spark, rows), model).where("doc_id = 1").first()
+    assert score["score"] < 0.5
+    assert [(r["doc_id"], r["lang"]) for r in langid.keep(documents(spark, rows), model).collect()] == [(1, score["lang_pred"])]
+
+
 def test_scripts_narrow_candidates(spark):
     rows = [(i, t, lang, None) for i, (t, lang) in enumerate([("привет мир как дела", "ru"), ("hello world how are you", "en"), ("γεια σου κόσμε", "el")] * 4)]
     model = langid.fit(documents(spark, rows), F.lit(True))
