@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, html_text, jaccard, langid, mixing, pieces, quality, secrets, simhash, url_filter
+from . import centroids, covertree, html_text, jaccard, langid, line_runs, mixing, pieces, prefix_trie, quality, secrets, simhash, url_filter
 from .common import held_out, table
+from .oracles import ORACLES  # noqa: F401
 
 #: Rules of the url query, and the targets of the mix. Fixed values of the contracts.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -64,5 +65,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), piece_model())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_wrapper, op2_source_mix, op3_cover_tree, op4_url_filter, op5_ngram_jaccard, op6_simhash, op7_quality_crf, op8_language_id, op9_secret_scan, op10_sentencepiece)}
-ORACLES: dict[str, str] = {}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_runs.dedup(table(spark, sf_dir, "documents"), min_docs=5, min_chars=40)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_html_wrapper, op2_source_mix, op3_cover_tree, op4_url_filter, op5_ngram_jaccard, op6_simhash, op7_quality_crf, op8_language_id, op9_secret_scan,
+    op10_sentencepiece, op11_prefix_trie, op12_line_runs, op13_zone_clusters)}
