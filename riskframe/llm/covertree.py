@@ -164,19 +164,19 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98) -> DataFrame
         a = df[df["side"] == 0].sort_values(["cid", "k1"])
         b = a if same else df[df["side"] == 1].sort_values(["cid", "k1"])
         if not len(a) or not len(b):
-            return pd.DataFrame({"cid": [], "k1": [], "links": [], "low": []}).astype("int64")
+            return pd.DataFrame({"label": pd.Series([], dtype="str"), **{c: pd.Series([], dtype="int64") for c in ("dim", "cid", "k1", "links", "low")}})
         xa, xb = (np.frombuffer(b"".join(s["vec"]), np.float64).reshape(len(s), -1) for s in (a, b))
         links = tile_links(xa, xb, same, threshold)
         ids, low = forest(links, a["cid"].to_numpy(), b["cid"].to_numpy())
         ra, rb = links.any(1), links.any(0)
         sums = np.concatenate([links[ra] @ b["w"].to_numpy(), (links[:, rb].T @ a["w"].to_numpy()) * (0 if same else 1)])
         keys = np.concatenate([a["k1"].to_numpy()[ra], b["k1"].to_numpy()[rb]])
-        return pd.DataFrame({"cid": ids, "k1": keys, "links": sums.astype(np.int64), "low": low})
+        return pd.DataFrame({"label": a["label"].iloc[0], "dim": int(a["dim"].iloc[0]), "cid": ids, "k1": keys, "links": sums.astype(np.int64), "low": low})
 
-    found = materialize(left.unionByName(right).groupBy("label", "dim", "block", "block2").applyInPandas(tile, "cid long, k1 long, links long, low long"), "ct-found")
-    counts = found.groupBy("cid", "k1").agg(F.sum("links").alias("others"))
+    found = materialize(left.unionByName(right).groupBy("label", "dim", "block", "block2").applyInPandas(tile, "label string, dim int, cid long, k1 long, links long, low long"), "ct-found")
+    counts = found.groupBy("label", "dim", "cid", "k1").agg(F.sum("links").alias("others"))  # an id may have a row under several labels
     comp = connected_components(classes.select(F.col("cid").alias("id")).distinct(), found.select(F.col("cid").alias("a"), F.col("low").alias("b")).distinct())
-    done = classes.select("label", "dim", "k1", "k2", "cid", "w").join(counts, ["cid", "k1"], "left").join(comp.withColumnRenamed("id", "cid"), "cid") \
+    done = classes.select("label", "dim", "k1", "k2", "cid", "w").join(counts, ["label", "dim", "cid", "k1"], "left").join(comp.withColumnRenamed("id", "cid"), "cid") \
         .select("label", "dim", "k1", "k2", (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n"), "component")
     done = materialize(done, "ct-done")
     # the unsound rows need no class; the others meet theirs (one row a class, so a hot class never multiplies)
