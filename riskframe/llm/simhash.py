@@ -6,7 +6,8 @@ id order: rows are range-partitioned and sorted, a task walks its rows in order
 text back, and only the rows at the partitions' ends (two a partition) are matched up afterwards.
 ``within`` finds, for a stated set of query fingerprints, all fingerprints within a Hamming radius: the bits
 are cut into blocks, and any two fingerprints within the radius agree on some choice of whole blocks, so each
-choice is one table and a join on its key is exhaustive; the distance is checked after.
+choice is one table and a join on its key is exhaustive; the distance is checked after. ``searched`` does so for the documents
+whose id is divisible by 100 against all documents, by distinct fingerprints and their numbers of documents.
 
 Defined results: null is the empty text, whose fingerprint is all zeros; two empty texts are alike (1),
 an empty and another text are not (0); rows of one id are ordered by a hash of their text, a null id
@@ -122,13 +123,13 @@ def neighbours(documents: DataFrame) -> DataFrame:
             yield end("last", held[0], held[1])
 
     walked = materialize(rows.mapInArrow(walk, DDL + ", kind string, part int, text string"), "simhash")
-    # two rows a partition: the last row of each goes with the first row of the next partition that has rows
-    ends = walked.where("kind IS NOT NULL").groupBy("part").agg(
-        F.first(F.when(F.col("kind") == "first", F.col("text")), ignorenulls=True).alias("first"),
-        F.first(F.when(F.col("kind") == "last", F.col("text")), ignorenulls=True).alias("last"),
-        F.max(F.when(F.col("kind") == "last", F.col("doc_id"))).alias("doc_id"))
-    w = Window.orderBy("part")
-    pairs = ends.select("doc_id", F.col("last").alias("text"), F.coalesce(F.lead("first").over(w), F.first("first").over(w)).alias("following"))
+    # two rows a partition: the last row of each goes with the first row of the next partition that has rows. Only the partitions' numbers
+    # are put in order in one place; the texts meet by a join
+    ends = materialize(walked.where("kind IS NOT NULL").select("part", "kind", "doc_id", "text"), "simhash-ends")
+    first = ends.where("kind = 'first'").select("part", F.col("text").alias("following"))
+    order = Window.orderBy("part")
+    follows = first.select("part").withColumn("next", F.coalesce(F.lead("part").over(order), F.first("part").over(order)))
+    pairs = ends.where("kind = 'last'").join(follows, "part").select("doc_id", "text", "next").join(first.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "following")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,3 +159,18 @@ def within(queries: DataFrame, fingerprint_table: DataFrame, radius: int = 3, bl
     both = keyed(queries, "query").join(keyed(fingerprint_table, "found"), "key")
     distance = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(_longs(F.col("query")), _longs(F.col("found")))), F.lit(0))
     return both.select("query", F.col("found").alias("fingerprint"), distance.alias("distance")).where(F.col("distance") <= radius).distinct()
+
+
+EVERY = 100   # documents whose id is divisible by it are the queries of ``searched``. Fixed value of the contract.
+
+
+def searched(fingerprinted: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """The rows of ``neighbours`` with ``n_within``: for a query document the number of other documents whose fingerprint lies within the radius;
+    null for the others. Blank texts (fingerprint of zeros) are within nothing."""
+    rows = materialize(fingerprinted, "simhash-rows")
+    real = rows.where(F.col("fingerprint") != F.lit("0" * HEX))
+    asked = F.coalesce(F.col("doc_id") % EVERY == 0, F.lit(False))
+    table = real.groupBy("fingerprint").agg(F.count("*").alias("copies"))
+    found = within(real.where(asked), table, radius, blocks).join(table, "fingerprint").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("copies").alias("all_within"))
+    queries = rows.where(asked).join(found, "fingerprint", "left").withColumn("n_within", F.greatest(F.coalesce("all_within", F.lit(1)) - 1, F.lit(0))).drop("all_within")
+    return queries.unionByName(rows.where(~asked).withColumn("n_within", F.lit(None).cast("long")))
