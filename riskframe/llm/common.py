@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from riskframe.session import ensure_checkpoint_dir
 
 #: White space of every word definition here: space and U+0009..U+000D. Fixed values of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
+ROW_GROUP = 16 << 20     # bytes of a row group of scratch tables
+ARROW_ROWS = 1000        # rows of an Arrow batch of whole texts
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,9 +39,9 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back. Survives lost executors."""
+    """Cut lineage: write to the shared folder and read back. Survives lost executors. Small row groups bound what a writer holds."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -139,36 +141,41 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, chars: int = 1_500_000)
                 yield b.slice(a, z - a).to_pandas()
 
 
-def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_ROWS texts unless the session has a number of its own: JVM and worker hold a batch each, off the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
-# ---------------------------------------------------------------- order and components
+def over_texts(returns: str, start: Callable[[], Callable[[list], pa.Array]], chars: int = 250_000) -> Callable[[Column], Column]:
+    """A function of a text column alone; the other columns never leave the JVM. ``start`` is called once a task and gives the function
+    from some texts (None for null) to as many results; it gets about ``chars`` characters at once (one text at least).
+    Marked as nondeterministic so that a filter on the result does not compute it twice."""
+    @F.arrow_udf(returns)
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = start()
+        for a in arrays:
+            parts, held, size = [], [], 0
+            for v in a:
+                held.append(v.as_py())
+                size += len(held[-1] or "")
+                if size > chars:
+                    parts, held, size = [*parts, work(held)], [], 0
+            if held or not parts:
+                parts.append(work(held))
+            yield pa.concat_arrays(parts)
+
+    return run.asNondeterministic()
+
 
-def bucketed_rank(df: DataFrame, key: str, buckets: int, descending: bool = False) -> DataFrame:
-    """Adds ``bucket`` (int): ranges of ``key`` (long, null last) in order, from approximate quantiles.
-
-    Range edges are numbers, so the same row always falls in the same bucket, also when a task is retried."""
-    edges = df.select(F.col(key).cast("double").alias("k")).where("k IS NOT NULL") \
-        .agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("e")).first()
-    cuts = sorted(set(edges["e"] or [])) if buckets > 1 and edges and edges["e"] else []
-    # width_bucket-like search: binary search over the literal array of edges
-    col = F.col(key).cast("double")
-    b = _search(col, cuts)
-    b = (F.lit(len(cuts)) - b) if descending else b
-    return df.withColumn("bucket", F.coalesce(b, F.lit(len(cuts) + 1)).cast("int"))
-
-
-def _search(col: Column, cuts: list[float]) -> Column:
-    """Number of cuts that are <= col, by nested CASE of logarithmic depth."""
-    def node(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col >= F.lit(float(cuts[mid])), node(mid + 1, hi)).otherwise(node(lo, mid))
-    return F.when(col.isNotNull(), node(0, len(cuts)))
+def real_name(df: DataFrame, name: str) -> str | None:
+    """The column of that name in whatever case, quoted; None if there is none."""
+    return next((f"`{c}`" for c in df.columns if c.lower() == name.lower()), None)
 
 
+# ---------------------------------------------------------------- order and components
+
 def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(id, component): component = the smallest id reachable by ``links`` (a, b), itself included.
 

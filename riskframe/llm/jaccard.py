@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, code_points, columns_of, connected_components, materialize, mix64, word_bounds, word_hashes
+from .common import chunks, code_points, columns_of, connected_components, materialize, mix64, small_batches, word_bounds, word_hashes
 
 WORDS, NUM, DEN = 5, 80, 100     # shingle length; link when DEN * intersection >= NUM * union
 BAND = 1.5                       # ratio of a band's ends
@@ -44,6 +44,8 @@ GRID = 512                       # documents compared at once in a large tile
 BLOCK = 2048                     # members of a star that one task of the second pass compares with as many others
 BROADCAST_ROWS = 2_000_000       # id lists up to this counted size are broadcast, longer ones are joined by shuffle
 KEYS_PER_TASK = 2_000_000        # tile keys that one task sorts, about
+SALTS = 16                       # parts of a star's members in the join with its blocks
+CHARS = 500_000                  # characters that a task turns into arrays at once
 
 U64 = np.uint64
 
@@ -176,7 +178,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def _sets(documents: DataFrame) -> DataFrame:
     """doc_id, n, k1, k2, keys: size, set key and tile keys of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for df in chunks(batches, "text"):
+        for df in chunks(batches, "text", CHARS):
             s, off = shingle_sets([t or "" for t in df["text"]])
             cut = [s[a:z] for a, z in zip(off[:-1], off[1:])]
             key = [_set_key(x) for x in cut]
@@ -253,6 +255,10 @@ def _propose(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, star long")
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def _sized(ids: DataFrame) -> DataFrame:
     """A broadcast only if its counted rows are few; else Spark joins by shuffle."""
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
@@ -261,7 +267,7 @@ def _sized(ids: DataFrame) -> DataFrame:
 def _details(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """id, n, map, body (the sorted shingles as bytes) of the documents in ``ids``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for df in chunks(batches, "text"):
+        for df in chunks(batches, "text", CHARS):
             s, off = shingle_sets([t or "" for t in df["text"]])
             cut = [s[a:z] for a, z in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(df["doc_id"], pa.int64()), pa.array(np.diff(off), pa.int64()),
@@ -302,24 +308,35 @@ def _check(pairs: DataFrame, details: DataFrame) -> DataFrame:
 def _second_pass(tiles: DataFrame, component: DataFrame, details: DataFrame) -> DataFrame:
     """(a, b): pairs of different components within large tiles of one star that pass the bit-count bound.
 
-    A star's members are dealt to blocks of about BLOCK; every pair of blocks is a task of its own, so no group of
-    copies, however large, lies in one task."""
-    t = tiles.join(component, "id")
-    open_ = t.groupBy("star").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")) \
-        .where("lo < hi").select("star", "blocks")
-    rows = t.join(open_, "star").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("id", "component", "star", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own") \
-        .join(details.select("id", "n", "map"), "id")
-    rows = rows.select(F.xxhash64("star", "i", "j").alias("key"), "star", "i", "j", "own", "id", "component", "n", "map")
+    Of a star with several components, the largest one's members need no comparison with each other. They are dealt to blocks of about
+    BLOCK, the other members to blocks of their own; a task compares one block of either kind with one block of the others. A group of copies
+    that is one component already but for a few strays thus costs a row a member, and no group, however large, lies in one task."""
+    t = materialize(tiles.join(component, "id"), "jac-tiles")
+    size = t.groupBy("star", "component").agg(F.count("*").alias("c"))
+    open_ = size.groupBy("star").agg(F.max(F.struct("c", F.col("component").alias("main"))).alias("m"), F.sum("c").alias("all")).where(F.col("all") > F.col("m.c")) \
+        .select("star", F.col("m.main").alias("main"), F.ceil(F.col("m.c") / BLOCK).cast("int").alias("n_main"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).cast("int").alias("n_rest"))
+    # dealt by (star, hash): one star may hold a third of the rows
+    salted = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = t.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(SALTS)).cast("int")).join(salted, ["star", "salt"])
+    rows = rows.withColumn("is_main", F.col("component") == F.col("main")).withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
+    rest = F.sequence(F.lit(0), F.col("n_rest") - 1)
+    # a place is (i, j): i a block of the main component (from 0) or of the others (-1 - block, at most j), j a block of the others
+    place = F.when(F.col("is_main"), F.transform(rest, lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))) \
+        .otherwise(F.concat(F.transform(F.sequence(F.lit(0), F.col("n_main") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))),
+                            F.transform(rest, lambda j: F.struct((-1 - F.least(j, "own")).alias("i"), F.greatest(j, "own").alias("j")))))
+    rows = rows.withColumn("at", F.explode(place)).select("id", "component", "star", "at.i", "at.j", "own", "is_main").join(details.select("id", "n", "map"), "id")
+    rows = rows.select(F.xxhash64("star", "i", "j").alias("key"), "star", "i", "j", "own", "is_main", "id", "component", "n", "map")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, star, i, j, own, ids, comp, n, maps in _groups(batches, 9):
-            ids, comp, n, own = np.asarray(ids), np.asarray(comp), np.asarray(n), np.asarray(own)
+        for _, star, i, j, own, main, ids, comp, n, maps in _groups(batches, 10):
+            ids, comp, n, own, main = np.asarray(ids), np.asarray(comp), np.asarray(n), np.asarray(own), np.asarray(main)
             w = min(map(len, maps))
             m = np.stack([_fold(x, w) for x in maps]).view(U64)
             by = np.argsort(comp, kind="stable")  # pieces of one component are skipped whole
-            sides = [by] if i[0] == j[0] else [by[own[by] == i[0]], by[own[by] == j[0]]]
+            if i[0] >= 0:
+                sides = [by[main[by]], by[~main[by]]]
+            else:
+                sides = [by] if -1 - i[0] == j[0] else [by[own[by] == -1 - i[0]], by[own[by] == j[0]]]
             left, right = sides[0], sides[-1]
             for x in range(0, left.size, GRID):
                 for y in range(x if len(sides) == 1 else 0, right.size, GRID):
@@ -334,12 +351,13 @@ def _second_pass(tiles: DataFrame, component: DataFrame, details: DataFrame) ->
                         u, v = ids[a[p]], ids[b[q]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "star", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+    return rows.repartition(_partitions(t), "key").sortWithinPartitions("key", "star", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row a document."""
     spark = documents.sparkSession
+    small_batches(spark)
     members = materialize(_sets(documents).select("doc_id", "n", "k1", "k2"), "jac-members")
     real = members.where("n > 0 AND doc_id IS NOT NULL")
     classes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, code_points, columns_of, lower_table, mix64, word_bounds, word_hashes
+from .common import chunks, code_points, columns_of, lower_table, mix64, over_texts, real_name, small_batches, word_bounds, word_hashes
 
 SAMPLE_PER_LANG = 4000       # labelled rows a language that training reads, about
 MAX_LANGS = 200              # more are an error: the model's size is languages x buckets
@@ -237,25 +237,18 @@ def _spans(m: Model, w: Words, lab: np.ndarray, n: int) -> list[str]:
 
 
 def keep(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents that have a letter and a candidate language, in however many languages they are; ``lang`` becomes the
-    one that holds most letters. Same columns; every row is judged by its own text, so no join is needed."""
-    cols = documents.columns
-    at, lang = cols.index("text"), cols.index("lang")
+    """The documents that have a letter and a candidate language, in however many languages they are; ``lang`` (if there is one) becomes the
+    one that holds most letters. Same columns; without a text column nothing has a letter. Only the text goes through Python."""
+    text, lang = real_name(documents, "text"), real_name(documents, "lang")
+    if text is None:
+        return documents.limit(0)
+    small_batches(documents.sparkSession)
     send = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = send.value
-        for b in batches:
-            texts, size = b.column(at).to_pylist(), 0
-            pred, piece = [], []
-            for i, t in enumerate(texts):
-                piece.append(t or "")
-                size += len(piece[-1])
-                if size > 1_000_000 or i == len(texts) - 1:
-                    pred, piece, size = pred + _documents(m, piece)[0], [], 0
-            ok = pa.array([p != "und" for p in pred], pa.bool_())
-            arrays = list(b.columns)
-            arrays[lang] = pa.array(pred, pa.string()).cast(b.schema.field(lang).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=b.schema).filter(ok)
-
-    return documents.mapInArrow(run, documents.schema)
+    def start():
+        return lambda texts: pa.array(_documents(send.value, [t or "" for t in texts])[0], pa.string())
+
+    judged = documents.withColumn("__lang", over_texts("string", start)(F.col(text))).where("__lang <> 'und'")
+    if lang is not None:
+        judged = judged.withColumn(lang.strip("`"), F.col("__lang").cast(documents.schema[lang.strip("`")].dataType))
+    return judged.drop("__lang")

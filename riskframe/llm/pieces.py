@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, code_points, columns_of, word_hashes
+from .common import chunks, code_points, columns_of, small_batches, word_hashes
 
 SPACE = 0x2581
 NONE = np.int32(2**31 - 1)
@@ -300,9 +300,11 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
 
 def tokens(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (array<int>): the token table of a corpus."""
+    small_batches(documents.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for df in chunks(batches, "text", CHUNK):
+        for df in chunks(batches, "text", CHUNK // 4):
             ids, off = encode_batch(v, [t or "" for t in df["text"]])
             own = [np.concatenate(([v.bos], ids[x:y], [v.eos])).astype(np.int32) for x, y in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(df["doc_id"], pa.int64(), from_pandas=True), pa.array(df["source"], pa.string(), from_pandas=True),

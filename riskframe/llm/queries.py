@@ -37,7 +37,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.neighbours(table(spark, sf_dir, "documents"))
+    return simhash.searched(simhash.neighbours(table(spark, sf_dir, "documents")))
 
 
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

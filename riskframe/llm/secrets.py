@@ -8,8 +8,8 @@ a base62 CRC-32 of their random part, a JSON web token's header must decode to J
 private key block must close and decode as base64. Added spans never remove base ones.
 
 Defined results: null and empty texts have no spans; texts of any length are read whole; equal rows give
-equal results; an empty table gives an empty result; extra columns are kept by ``mask`` and dropped by
-``scan``.
+equal results; a web token whose header is no JSON object (nested without end too) is no secret; an empty table gives an empty
+result; extra columns are kept by ``mask`` and dropped by ``scan``.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import columns_of
+from .common import columns_of, over_texts, real_name, small_batches
 
 #: Kinds in listed order; the first three are the base. Fixed values of the contract.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
@@ -34,7 +35,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]+)")
+TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]*")  # of a web token: what fails from one place of a run fails from all
 PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -55,7 +57,7 @@ def _crc62(body: str, check: str) -> bool:
 def _jwt(m: re.Match) -> bool:
     try:
         head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-    except (ValueError, binascii.Error):
+    except (ValueError, binascii.Error, RecursionError):  # the last: brackets nested without end
         return False
     return isinstance(head, dict) and "alg" in head
 
@@ -99,6 +101,8 @@ class Scanner:
                 free[kind] = m.end()
                 if counts(m):
                     found.append((at, KINDS.index(kind), m.end()))
+            elif kind == "jwt":
+                free[kind] = TOKEN_RUN.match(text, at).end()
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         return sorted(found)
 
@@ -144,18 +148,23 @@ def _mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def mask(documents: DataFrame) -> DataFrame:
-    """documents with every span replaced by ``<kind>`` and n_chars (if there) set anew; same columns and rows."""
-    cols = documents.columns
-    at, n = cols.index("text"), cols.index("n_chars") if "n_chars" in cols else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """documents with every span replaced by ``<kind>`` and n_chars (if there) set anew; same columns and rows. Only the text goes
+    through Python, and only texts with a span come back; without a text column nothing changes."""
+    text, n = real_name(documents, "text"), real_name(documents, "n_chars")
+    if text is None:
+        return documents
+    small_batches(documents.sparkSession)
+
+    def start():
         scanner = Scanner()
-        for b in batches:
-            texts = [None if t is None else _mask(t, scanner.spans(t)) for t in b.column(at).to_pylist()]
-            arrays = list(b.columns)
-            arrays[at] = pa.array(texts, b.schema.field(at).type)
-            if n is not None:
-                arrays[n] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(b.schema.field(n).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
-
-    return documents.mapInArrow(run, documents.schema)
+
+        def work(texts: list) -> pa.Array:
+            found = [(t, scanner.spans(t or "")) for t in texts]
+            return pa.array([_mask(t, spans) if spans else None for t, spans in found], pa.string())
+        return work
+
+    masked = documents.withColumn("__masked", over_texts("string", start)(F.col(text)))
+    masked = masked.withColumn(text.strip("`"), F.coalesce("__masked", F.col(text)))
+    if n is not None:
+        masked = masked.withColumn(n.strip("`"), F.char_length(F.col(text)).cast(documents.schema[n.strip("`")].dataType))
+    return masked.drop("__masked")

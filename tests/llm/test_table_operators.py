@@ -78,10 +78,54 @@ def test_wrapper_slots_decide(spark):
     copies = [("http://r.example/", f"<nav>{k}</nav><article><h1>Same</h1><p>Copies of one page</p></article>") for k in range(12)]
     got = texts_of(spark, places + inside + copies)
     assert got[:4] == [f"Title {k}\nVarying text of page {k}\nand more of {k}" for k in range(4)]
-    assert got[4:13] == [f"Title {k}\nVarying {k}" for k in range(9)]
+    assert got[4:13] == [f"Title {k}\nVarying {k}\nSee also {k}" for k in range(9)]
     assert got[13:] == ["Same\nCopies of one page"] * 12
 
 
+def test_articles_stay_whole(spark):
+    """What is equal on all pages or mostly links is the article's own between its varying texts, and so are its headings."""
+    recipe = "<body><nav>Menu</nav><article><h1>Dish {k}</h1><h2>Ingredients</h2><ul><li>{k} eggs</li><li>salt</li></ul><p>Serve at once</p><h2>Method</h2><p>Stir {k} times</p>" \
+             "<h2>References</h2><ul><li><a href=/s{k}>Source {k}</a></li><li><a href=/t{k}>Table {k}</a></li></ul><p>Printed with our reader app</p></article></body>"
+    got = texts_of(spark, [("http://cook.example/", recipe.replace("{k}", str(k))) for k in range(9)])
+    assert got == [f"Dish {k}\nIngredients\n{k} eggs\nsalt\nServe at once\nMethod\nStir {k} times\nReferences\nSource {k}\nTable {k}" for k in range(9)]
+    odd = ["<body><a name=top><div class=x><p>Real text here</p></div>", "<article><p>We have <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here</p></article>",
+           "<body><div class=x><p><a href=/a>open link<p>Text after it that nobody linked</p></div>"]
+    assert texts_of(spark, [(f"http://o{i}.example/", h) for i, h in enumerate(odd)]) == ["Real text here", "We have x=1 here", "open link\nText after it that nobody linked"]
+
+
+def test_pages_are_parsed_by_the_wrapper():
+    """Groups are repeated and left out as the page has it; without the wrapper the last text could not be told from the others."""
+    html = "<body><article><h1>Dish {k}</h1><h2>Ingredients</h2><ul><li>{k} eggs</li><li>salt</li></ul><p>Serve at once</p>{o}<h2>Method</h2><p>Stir {k} times</p><ul><li>Tool {k}</li></ul><p>Printed with our app</p></article></body>"
+    pages = [list(html_text.blocks(html.replace("{k}", str(k)).replace("{o}", f"<div class=tip>Tip {k}</div>" if k % 2 else ""))) for k in range(9)]
+    wrapper = html_text.infer([html_text.stream(p) for p in pages])
+    name = html_text.template_of(pages[0])
+    t = html_text.Template(wrapper, name)
+    parsed = [t.parse(html_text.stream(p)) for p in pages]
+    assert all(x is not None and len(x) == len(p) for x, p in zip(parsed, pages))
+    assert len({x[-1] for x in parsed}) == 1 and parsed[0][-1] not in parsed[0][:-1]
+    assert t.parse(["<body", "h1#", ">body"]) is None and len(t.match(pages[0][2:])) == len(pages[0]) - 2
+
+    def text(k, templates):
+        found = [html_text.evidence(p, templates) for p in pages]
+        slot = {}
+        for _, one in found:
+            for s, v in one.items():
+                slot.setdefault(s, []).append(v)
+        known = {str(s): [len(v), len({x[0] for x in v}) == 1, sum(x[1] for x in v), sum(x[2] for x in v)] for s, v in slot.items() if len(v) > 1}
+        ok = html_text.choose(pages[k], {"orders": templates, "slots": known})
+        return [b[2] for b, o in zip(pages[k], ok) if o]
+
+    assert text(3, {name: t}) == ["Dish 3", "Ingredients", "3 eggs", "salt", "Serve at once", "Tip 3", "Method", "Stir 3 times", "Tool 3"]
+    assert text(3, {}) == [*text(3, {name: t}), "Printed with our app"]
+
+
+def test_pages_meet_many_hosts_by_salt(spark, monkeypatch):
+    pages = [(f"http://h{k % 7}.example/{k}", f"<body><p>Read it in our app</p><h2>Title {k}</h2><p>Varying text of page {k}</p><p>and more of {k}</p></body>") for k in range(35)]
+    want = texts_of(spark, pages)
+    monkeypatch.setattr(html_text, "WRAPPER_BYTES", 0)
+    assert texts_of(spark, pages) == want == [f"Title {k}\nVarying text of page {k}\nand more of {k}" for k in range(35)]
+
+
 def test_every_template_of_a_host_has_its_content(spark):
     """Decisions come from all pages: a rare template keeps its text, and what varies only on some pages is no template text."""
     pages = [("http://t.example/", f"<body><div class=post><p>Long varying text of the post number {k}</p></div><div class=x>Made by us</div></body>") for k in range(60)]
@@ -211,6 +255,12 @@ def test_cover_tree_against_all_pairs(spark, monkeypatch):
     assert covertree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_cover_tree_of_an_id_under_two_labels(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 1)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), 0.98).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
 def test_dual_traversal_keeps_every_close_pair():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=6) + 0.05 * rng.normal(size=(30, 6)) for _ in range(6)])
@@ -255,6 +305,19 @@ def test_url_rules_and_model(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), URL_RULES, model).count() == 0
 
 
+def test_url_model_on_words_held_out(spark):
+    """Every fourth word of either list is judged by a model that has not seen it."""
+    right = {0: [], 1: []}
+    for fold in range(2):
+        cut = lambda words, out: tuple(w for i, w in enumerate(words) if (i % 4 == fold) == out)
+        model = url_filter.fit(url_filter.seeds(spark, url_filter.seed_urls(cut(url_filter.BLOCK_WORDS, False), cut(url_filter.ALLOW_WORDS, False))))
+        urls = url_filter.seed_urls(cut(url_filter.BLOCK_WORDS, True), cut(url_filter.ALLOW_WORDS, True))
+        judged = url_filter.judge(url_filter.seeds(spark, urls).withColumn("page_id", F.monotonically_increasing_id()), [], model).orderBy("page_id").collect()
+        for r, (_, y) in zip(judged, urls):
+            right[y].append((r["verdict"] == "block") == bool(y))
+    assert np.mean(right[0]) > 0.85 and np.mean(right[1]) > 0.35 and (np.mean(right[0]) + np.mean(right[1])) / 2 > 0.6
+
+
 # ---------------------------------------------------------------- Jaccard join
 
 def shingle_set(text):
@@ -276,9 +339,12 @@ def brute_components(rows):
     return sets, {i: find(parent, i) for i in parent}, links
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_against_all_pairs(spark, seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "GRID", 16)
+@pytest.mark.parametrize("seed, block, few", [(1, 2048, 2_000_000), (2, 6, 3)])
+def test_jaccard_against_all_pairs(spark, seed, block, few, monkeypatch):
+    """The second case cuts stars into many blocks and joins ids by shuffle."""
+    monkeypatch.setattr(jaccard, "GRID", 16 if block > 16 else 4)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", few)
     rng = random.Random(seed)
     vocab = [f"w{k}" for k in range(400)]
     rows = []
@@ -336,6 +402,19 @@ def test_tile_keys_meet_for_linked_sets():
             assert np.intersect1d(jaccard.tile_keys(a), jaccard.tile_keys(b)).size
 
 
+def test_second_pass_compares_every_block(spark, monkeypatch):
+    """Every pair of different components of a star is compared, and the largest component's members are not copied to each other's blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "GRID", 4)
+    sets = [np.arange(100, dtype=np.uint64)] * 60
+    details = spark.createDataFrame([(i, 100, jaccard.bitmap(s)) for i, s in enumerate(sets)], "id long, n long, map binary")
+    component = [0] * 41 + [41] * 12 + [53, 54, 55, 56, 56, 58, 59]
+    comp = spark.createDataFrame(list(enumerate(component)), "id long, component long")
+    tiles = spark.createDataFrame([(0, i) for i in range(60)] + [(0, 3)] * 2 + [(70, 1), (70, 2)], "star long, id long").distinct()
+    got = {(r["a"], r["b"]) for r in jaccard._second_pass(tiles, comp, details).collect()}
+    assert got == {(a, b) for a in range(60) for b in range(a + 1, 60) if component[a] != component[b]}
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages(spark):
@@ -359,3 +438,31 @@ def test_pipeline_stages(spark):
     want = sorted((r["doc_id"], m.encode(r["text"], add_bos=True, add_eos=True)) for r in seen[4].collect())
     assert sorted((r["doc_id"], list(r["ids"])) for r in seen[5].collect()) == want
     assert cp.run(spark, sf).count() == counts[5]
+
+
+def test_pipeline_on_hard_tables(spark):
+    """Nulls, empty and long texts, repeated rows, clashing columns, an empty table; all but the last stage keep the columns."""
+    import corpus_pipeline as cp
+    from riskframe.llm.common import materialize
+
+    sf = "/root/testdata/sf0.001"
+    train = spark.read.parquet(f"{sf}/documents.parquet")
+    for rows in (hard_rows(), []):
+        docs = documents(spark, [tuple(r) for r in hard_rows()][:len(rows)], extra=True)
+        seen = docs if rows else docs.limit(0)
+        for k, (name, stage) in enumerate(cp.STAGES):
+            if k == 0:  # learn from real rows; judge the hard ones
+                from riskframe.llm import langid
+                seen = materialize(langid.keep(seen, langid.fit(train, F.lit(True))), "hard-lang")
+                have = {r["doc_id"] for r in seen.collect()}
+                assert not rows or (have >= set(range(24)) | {104, 105, 107, 108, None} and not have & {100, 101, 102, 103})
+                continue
+            seen = materialize(stage(spark, seen, sf), f"hard-{name}")
+            if k < len(cp.STAGES) - 1:
+                assert seen.columns == docs.columns
+        assert bool(seen.count()) == bool(rows)
+    bare = documents(spark, [(1, "password = abcdefgh12 and more of it", "en", "s")]).drop("lang", "n_chars").withColumnRenamed("text", "Text")
+    from riskframe.llm import langid, secrets
+    model = langid.fit(train, F.lit(True))
+    assert secrets.mask(langid.keep(bare, model)).first()["Text"] == "<assign> and more of it"
+    assert langid.keep(bare.drop("Text"), model).count() == 0 and secrets.mask(bare.drop("Text")).count() == 1

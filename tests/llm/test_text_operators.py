@@ -215,6 +215,23 @@ def test_secret_checksums():
     assert [secrets.KINDS[k] for _, k, _ in scan.spans("-----BEGIN PRIVATE KEY-----\nQUJDRA==\n-----END PRIVATE KEY-----")] == ["pem"]
 
 
+def test_secrets_of_hostile_texts():
+    import base64
+    import time
+
+    scan = secrets.Scanner()
+    nested = base64.urlsafe_b64encode(b'{"a":' + b"[" * 200_000).decode().rstrip("=")
+    good = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    body = base64.urlsafe_b64encode(b'{"sub":1}').decode().rstrip("=")
+    assert scan.spans(f"{nested}.{body}.sig") == []
+    assert [s[1] for s in scan.spans(f"x {good}.{body}.sig y")] == [secrets.KINDS.index("jwt")]
+    assert [s[1] for s in scan.spans("eyJ" * 50 + f" {good}.{body}.sig")] == [secrets.KINDS.index("jwt")]
+    for text in ("eyJ" * 333_334, "eyJ." * 250_000, "AKIA" * 250_000, "token " + " " * 1_000_000, "-----BEGIN " * 90_000, "secret=" * 140_000):
+        t = time.perf_counter()
+        scan.spans(text)
+        assert time.perf_counter() - t < 5, text[:8]
+
+
 def test_secret_tables(spark):
     rows = [*hard_rows(), (200, "password: hunter2hunter2 and AKIA" + "A1" * 8, "en", "s0"), (201, "x token=short y", "en", "s0")]
     docs = documents(spark, rows, extra=True)
@@ -250,6 +267,56 @@ def test_simhash_neighbours(spark):
     assert simhash.neighbours(documents(spark, hard_rows())).count() == len(hard_rows())
 
 
+def test_simhash_votes():
+    """Fingerprints against votes counted term by term and bit by bit."""
+    from riskframe.llm.common import mix64
+
+    def one(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        if not w:
+            return "0" * 32
+        cp = np.frombuffer("".join(w).encode("utf-32-le"), np.uint32)
+        end = np.cumsum([len(x) for x in w])
+        h = simhash.word_hashes(cp, np.concatenate(([0], end[:-1])), end)
+        votes = [0] * 128
+        for k in range(max(1, len(w) - 2)):
+            term, weight = h[k:k + 1].copy(), len(w[k])
+            for j in range(1, 3):
+                if k + j < len(w):
+                    with np.errstate(over="ignore"):
+                        term = mix64(term * np.uint64(0x9E3779B97F4A7C15) + h[k + j:k + j + 1])
+                    weight += len(w[k + j])
+            raw = mix64(term).tobytes() + mix64(term ^ np.uint64(0xC2B2AE3D27D4EB4F)).tobytes()
+            for i in range(128):
+                votes[i] += weight if raw[i // 8] >> (7 - i % 8) & 1 else -weight
+        return bytes(sum((votes[8 * i + b] > 0) << (7 - b) for b in range(8)) for i in range(16)).hex()
+
+    texts = [t or "" for _, t, *_ in hard_rows()] + ["a", "a b", "a b c", "x y z x y z", "é ü 😀 word"]
+    texts = [t if len(t) < 5000 else t[:5000] for t in texts]
+    assert [f.tobytes().hex() for f in simhash.fingerprints(texts)] == [one(t) for t in texts]
+
+
+def test_simhash_query_documents_against_all(spark):
+    rng = random.Random(3)
+    base = [prose(rng, "en", 300) for _ in range(6)]
+    rows = []
+    for i in range(0, 1200, 10):
+        words = base[i % 6].split()
+        if rng.random() < 0.6:
+            words[rng.randrange(300)] = "changed"
+        rows.append((i, " ".join(words), "en", "s"))
+    rows += [(2000, "", "en", "s"), (2100, None, "en", "s"), (None, base[0], "en", "s"), (2200, base[1], "en", "s"), (2200, base[1], "en", "s")]
+    got = simhash.searched(simhash.neighbours(documents(spark, rows, extra=True))).collect()
+    assert len(got) == len(rows)
+    fps = [int(r["fingerprint"], 16) for r in got]
+    for k, r in enumerate(got):
+        asked = r["doc_id"] is not None and r["doc_id"] % 100 == 0
+        want = sum(1 for j, f in enumerate(fps) if j != k and f and fps[k] and bin(f ^ fps[k]).count("1") <= 3) if asked else None
+        assert r["n_within"] == want, r["doc_id"]
+    assert sum(r["n_within"] or 0 for r in got) > 20
+    assert simhash.searched(simhash.neighbours(empty(spark))).count() == 0
+
+
 def test_simhash_search_is_exhaustive(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(128) for _ in range(20)]
