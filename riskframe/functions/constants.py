@@ -83,6 +83,11 @@ MIN_R2_MONITOR = 0.3
 HISTORY_KEEP = 100
 RELATIVE_EPS = 1e-10
 
+# Drift detection method: standard errors above the best error rate, and rows before the first minimum.
+CONCEPT_WARNING = 2.0
+CONCEPT_DRIFT = 3.0
+CONCEPT_LEAST = 30
+
 # Deployment thresholds (configuration file values).
 DEPLOY_MIN_ACCURACY = 0.6
 DEPLOY_MIN_R2 = 0.3

@@ -132,6 +132,25 @@ def exact_sum(col, scale: int = EXACT_SCALE) -> Column:
     return F.when(fits, exact).otherwise(F.sum(c))
 
 
+def exact_parts(col: str) -> list[Column]:
+    """Aggregates ``fits, total, plain`` of a part of the rows, from which ``merged_sum`` makes the sum of all parts: the same
+    as ``exact_sum`` over all rows at once, whatever the parts."""
+    c = F.col(col).cast("double")
+    unit = F.lit(float(10 ** EXACT_SCALE))
+    v = F.floor(c * unit + F.lit(0.5))
+    d = "decimal(38,0)"
+    total = (F.sum(F.shiftright(v, 2 * _LIMB)).cast(d) * F.lit(1 << (2 * _LIMB)).cast(d)
+             + F.sum(F.shiftright(v, _LIMB).bitwiseAND(F.lit(_MASK))).cast(d) * F.lit(1 << _LIMB).cast(d) + F.sum(v.bitwiseAND(F.lit(_MASK))).cast(d))
+    fits = F.bool_and((F.abs(c) < F.lit(EXACT_MAX)) & (F.abs(v.cast("double") / unit - c) <= F.lit(EXACT_TOL) * F.abs(c)))
+    return [fits.alias("fits"), total.cast("decimal(29,0)").alias("total"), F.sum(c).alias("plain")]
+
+
+def merged_sum() -> Column:
+    """The sum over parts that ``exact_parts`` describes."""
+    exact = (F.sum("total").cast("decimal(29,0)") / F.lit(10 ** EXACT_SCALE).cast("decimal(10,0)")).cast("double")
+    return F.when(F.bool_and("fits"), exact).otherwise(F.sum("plain"))
+
+
 def exact_avg(col) -> Column:
     if isinstance(col, str):
         return F.expr(f"({_exact_sum_sql(f'`{col}`', EXACT_SCALE)}) / count(`{col}`)")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.expressions import band3, exact_avg, exact_sum
+from ..session import written
 from . import ranking
 
 LABELS = [0, 1, 2]
@@ -116,7 +117,7 @@ def band_shares(df: DataFrame, col: str, group_cols: list[str] | None = None, li
 def percentile_summary(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """Percentile (0-1) of each prediction among the actuals: mean, min, max, std (ddof 0), plus the
     prediction mean and std (ddof 0)."""
-    pct = ranking.percentile_of_score(df, y, df, p)
+    pct = written(ranking.percentile_of_score(df, y, df, p), "percentiles")  # ranked once, read twice
     w = F.col("weight")
     s = pct.agg(exact_sum(F.col("pct") * w).alias("s1"), F.sum(w).alias("n"), F.min("pct").alias("pct_min"), F.max("pct").alias("pct_max"))
     s = s.withColumn("pct_mean", F.col("s1") / F.col("n"))

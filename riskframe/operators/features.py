@@ -6,7 +6,7 @@ drops and the final feature lists. ``transform`` is then a pure projection plus
 scored row gets exactly the columns and fill values of the training batch (no train/serve skew).
 
 Aggregation passes at fit: one multi-expression ``agg`` (null counts, min of loanAmount), one distributed
-exact-median job over all numeric columns (``ranking.quantiles_bracketed``), one ``groupBy`` per encoded
+exact-median job over all numeric columns (``ranking.quantiles_of``), one ``groupBy`` per encoded
 category column, one ``agg`` of sample variances.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions.expressions import day_diff, parse_ts, status_risk
+from ..session import written
 from . import joins, ranking
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -158,12 +159,10 @@ class FeaturePipeline:
     features (ids, join keys, target source); ``include_base`` adds the base numerics to the feature list.
     """
 
-    def __init__(self, config: dict | None = None, exclude: list[str] | None = None, include_base: bool = False,
-                 checkpoint_fitted: bool = False):
+    def __init__(self, config: dict | None = None, exclude: list[str] | None = None, include_base: bool = False):
         self.config = dict(C.FEATURE_CONFIG, **(config or {}))
         self.exclude = list(C.LEAKAGE_EXCLUDE if exclude is None else exclude)
         self.include_base = include_base
-        self.checkpoint_fitted = checkpoint_fitted
         self.encodings: dict[str, DataFrame] = {}
 
     # ------------------------------------------------------------------ fit
@@ -196,7 +195,7 @@ class FeaturePipeline:
         if num:
             long = base.select(*[F.col(c).cast("double").alias(c) for c in num]).unpivot(
                 [], num, "feature", "value")
-            med = ranking.quantiles_bracketed(long, ["feature"], "value", [0.5])
+            med = ranking.quantiles_of(long, ["feature"], "value", [0.5])
             spec.medians = {k[0]: q for (k, _), q in med.items()}  # one value per column
         # Running feature lists, in the order the steps add them.
         numeric_features: list[str] = []
@@ -235,9 +234,8 @@ class FeaturePipeline:
         df = add_squares(add_interactions(filled, spec), spec)
         if cfg.get("categorical_encoding", "onehot") == "target" and "originated" in df.columns:
             spec.encoded = list(categorical)
-            self.encodings = target_encodings(df, spec.encoded)
-            if self.checkpoint_fitted:
-                self.encodings = {k: v.checkpoint(eager=True) for k, v in self.encodings.items()}
+            # written once, one row a category value: a transform never reads the training rows again
+            self.encodings = {k: written(v, f"encoding-{k}") for k, v in target_encodings(df, spec.encoded).items()}
             spec.encoding_global_mean = row["__target_mean"]
             df = apply_encodings(df, self.encodings, None)
             numeric_features += [f"{c}_target_encoded" for c in spec.encoded]

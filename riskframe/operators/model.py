@@ -52,7 +52,7 @@ def mllib_params(h: dict | None = None) -> dict:
 def fit_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float, float]]:
     """Exact median, mean and population std (after median imputation) per column: two passes."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
-    med = {k[0]: q for (k, _), q in ranking.quantiles_bracketed(long, ["feature"], "value", [0.5]).items()}
+    med = {k[0]: q for (k, _), q in ranking.quantiles_of(long, ["feature"], "value", [0.5]).items()}
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med.get(c))).alias(c) for c in cols])
     row = filled.agg(*[exact_avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
     return {c: (med.get(c), row[f"m_{c}"], row[f"s_{c}"] or 0.0) for c in cols}

@@ -2,22 +2,22 @@
 
 Reference statistics are a tidy table ``(feature, kind, stat, value)``: numeric -> mean, std, min, max,
 median, p10, p90; boolean -> mean; categorical -> one share per category plus ``nunique``. Numeric
-features are unpivoted so every statistic of every feature comes from one grouped aggregate plus one
-distributed ranking job (quantiles), independent of the number of features.
+features are unpivoted so every statistic of every feature comes from two scans, independent of the number of features.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions.expressions import exact_avg
-from ..sources.io import latest_run
+from ..sources.io import read_run
 from . import ranking
 from .stats import unpivot_numeric, unpivot_strings
 
+STATS = "feature string, kind string, stat string, value double, run_id string"  # a table of saved statistics
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -31,13 +31,11 @@ def column_kinds(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
 def numeric_stats(df: DataFrame, cols: list[str], quantiles: bool = True) -> DataFrame:
     """Wide per-feature numeric stats: ``feature, n, mean, std, min, max[, median, p10, p90]``."""
     long = unpivot_numeric(df, cols).where(F.col("value").isNotNull())
-    m = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), exact_avg("value").alias("mean"),
-                                    F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-                                    F.max("value").alias("max"))
-    if not quantiles:
-        return m
-    q = ranking.quantiles_table(long, ["feature"], "value", {"median": 0.5, "p10": 0.1, "p90": 0.9})
-    return m.join(q, "feature", "left")
+    if quantiles:
+        return ranking.described(long, ["feature"], "value", {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    return long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), exact_avg("value").alias("mean"),
+                                       F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+                                       F.max("value").alias("max"))
 
 
 def boolean_stats(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -133,11 +131,11 @@ def drift_ks(new: DataFrame, ref: DataFrame, threshold: float = C.KS_THRESHOLD,
 
 
 def drift_report(new: DataFrame, ref: DataFrame | None = None, ref_stats: DataFrame | None = None,
-                 saved_stats: DataFrame | None = None) -> DataFrame:
+                 saved_stats: str | None = None) -> DataFrame:
     """Dispatch: statistics when reference stats are given, KS against reference data when those are, else the
-    latest run of the saved statistics (none saved: no rows)."""
+    latest run in the table of saved statistics (path or table name; none saved: no rows)."""
     if ref_stats is None and ref is None and saved_stats is not None:
-        ref_stats = latest_run(saved_stats)
+        ref_stats = read_run(new.sparkSession, saved_stats, schema=STATS)
     if ref_stats is not None:
         a = drift_numeric(new, ref_stats).select("feature", F.lit("stats").alias("method"),
                                                  F.greatest("mean_diff", "std_diff").alias("score"), "drifted")
@@ -151,18 +149,20 @@ def drift_report(new: DataFrame, ref: DataFrame | None = None, ref_stats: DataFr
 
 
 def binary_performance(df: DataFrame, pred: str = "prediction", actual: str = "actual",
-                       group_cols: list[str] | None = None) -> DataFrame:
-    """accuracy, and precision/recall/F1 of class 1 with the max(n,1) and max(p+r,1e-10) guards."""
+                       group_cols: list[str] | None = None, extra: list[Column] | None = None) -> DataFrame:
+    """accuracy, and precision/recall/F1 of class 1 with the max(n,1) and max(p+r,1e-10) guards; ``extra``: further named
+    aggregates of the same pass."""
     g = list(group_cols or [])
     p1 = F.col(pred) == 1
     a1 = F.col(actual) == 1
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum((F.col(pred) == F.col(actual)).cast("long")).alias("correct"),
-            F.sum((p1 & a1).cast("long")).alias("tp"), F.sum(p1.cast("long")).alias("pp"),
-            F.sum(a1.cast("long")).alias("ap")]
+    aggs = [F.count(F.lit(1)).alias("__n"), F.sum((F.col(pred) == F.col(actual)).cast("long")).alias("__correct"),
+            F.sum((p1 & a1).cast("long")).alias("__tp"), F.sum(p1.cast("long")).alias("__pp"),
+            F.sum(a1.cast("long")).alias("__ap"), *(extra or [])]
     m = df.groupBy(*g).agg(*aggs) if g else df.agg(*aggs)
-    prec = F.col("tp") / F.greatest(F.col("pp"), F.lit(1))
-    rec = F.col("tp") / F.greatest(F.col("ap"), F.lit(1))
-    m = m.select(*g, (F.col("correct") / F.col("n")).alias("accuracy"), prec.alias("precision"), rec.alias("recall"))
+    more = [c for c in m.columns if c not in g and not c.startswith("__")]
+    prec = F.col("__tp") / F.greatest(F.col("__pp"), F.lit(1))
+    rec = F.col("__tp") / F.greatest(F.col("__ap"), F.lit(1))
+    m = m.select(*g, *more, (F.col("__correct") / F.col("__n")).alias("accuracy"), prec.alias("precision"), rec.alias("recall"))
     f1 = 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-10))
     return m.withColumn("f1", f1)
 
@@ -188,3 +188,31 @@ def performance_check(current: DataFrame, base: DataFrame | None,
     rf = (F.col("f1") - F.col("baseline_f1")) / F.greatest(F.col("baseline_f1"), F.lit(1e-10))
     j = j.withColumn("rel_accuracy_change", ra).withColumn("rel_f1_change", rf)
     return j.withColumn("degradation_detected", deg | (ra < rel_threshold) | (rf < rel_threshold))
+
+
+def concept_drift(df: DataFrame, order: str, error: Column, group_cols: list[str] | None = None, warning: float = C.CONCEPT_WARNING,
+                  drift: float = C.CONCEPT_DRIFT, least: int = C.CONCEPT_LEAST, n_ranges: int | None = None) -> DataFrame:
+    """Change detection on the sequence of a model's errors (drift detection method): after every value of ``order`` the error rate p so far
+    and its standard error s are compared with the point at which p + s was smallest. p + s above that p by more than ``warning`` of its s
+    is a warning, by more than ``drift`` a drift; the first ``least`` rows set no minimum.
+
+    ``group_cols, order, n, errors, error_rate, error_std, min_rate, min_std, state``. Prefix counts and prefix minima are carried over
+    value ranges, so no sequence lies in one task; rows with a null order or a null error are left out."""
+    g = list(group_cols or [])
+    rows = df.select(*g, F.col(order).alias("__at"), error.cast("int").alias("__e")).where(F.col("__e").isNotNull())
+    seq = ranking.cumulative_counts(rows, g, "__at", {"n": F.lit(1), "e": F.col("__e")}, n_ranges, keep_range=True)
+    p = F.col("cum_e") / F.col("cum_n")
+    seq = seq.withColumn("error_rate", p).withColumn("error_std", F.sqrt(F.col("error_rate") * (1 - F.col("error_rate")) / F.col("cum_n")))
+    point = F.when(F.col("cum_n") >= least, F.struct((F.col("error_rate") + F.col("error_std")).alias("level"), F.col("error_rate").alias("rate"), F.col("error_std").alias("std")))
+    seq = seq.withColumn("__point", point)
+    ends = seq.groupBy(*g, "__range").agg(F.min("__point").alias("__low"))
+    earlier = Window.partitionBy(*g).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    ends = ends.select(*g, "__range", F.min("__low").over(earlier).alias("__low"))
+    here = Window.partitionBy(*g, "__range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    j = ranking.join_small(seq.withColumn("__here", F.min("__point").over(here)), ends, [*g, "__range"], None)
+    best = F.least("__here", "__low")
+    level = F.col("error_rate") + F.col("error_std")
+    over = lambda times: level > best["rate"] + times * best["std"]
+    state = F.when(best.isNull(), "learning").when(over(drift), "drift").when(over(warning), "warning").otherwise("stable")
+    return j.select(*g, F.col("value").alias(order), "n", F.col("e").alias("errors"), "error_rate", "error_std", best["rate"].alias("min_rate"),
+                    best["std"].alias("min_std"), state.alias("state"))

@@ -14,7 +14,12 @@ large share of 100 TB. Instead (two levels):
 4. Window ``partitionBy(group, range).orderBy(value)`` -> running count inside the range, plus offset
    = exact global cumulative count. Each task sorts only ~1/B of a feature's distinct values.
 
-Everything (totals included) is computed inside one job. B follows the session's shuffle partitions, which a
+Quantiles of large groups rank only a part: ``summary`` takes the moments and a mergeable KLL sketch of every group in one
+aggregate and writes them (one row a group), ``quantiles`` brackets the wanted order statistics by the sketch and sends every value
+to its cell between the brackets' edges. Values outside the brackets are only counted by cell, in the same aggregate
+that keeps the few values inside them: two scans, no row is ever copied, nothing passes through the driver.
+
+``cumulative_counts`` (totals included) is one job. B follows the session's shuffle partitions, which a
 cluster sets for its data, and never a guess about sizes; the sketch's accuracy grows with B, and AQE merges small
 ranges. Small per-group tables (edges, offsets) are joined without hints: AQE broadcasts them after
 measuring their size at run time.
@@ -22,14 +27,18 @@ measuring their size at run time.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import exact_avg
+from ..session import written
+
 BROADCAST_MAX_BYTES = 64 << 20
 SKETCH_ACCURACY = 10_000
-MAX_GROUPS = 10_000  # groups whose brackets go through the driver
+SKETCH_K = 4000      # size of the KLL sketch of a group
 
 
 def _ranges_for(df: DataFrame, n_ranges: int | None) -> int:
@@ -43,14 +52,17 @@ def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows * width <= BROADCAST_MAX_BYTES else df
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], n_small: int | None) -> DataFrame:
-    """Equi-join with a small table. Broadcast hint only under a known row bound; otherwise AQE decides
-    from the measured size at run time. With no keys the small side is a per-query constant row set,
-    joined on a constant key."""
+def join_small(big: DataFrame, small: DataFrame, on: list[str], n_small: int | None, how: str = "inner") -> DataFrame:
+    """Join with a small table on equal keys, null equal to null: a null group is a group like any other. Broadcast hint only under
+    a known row bound; otherwise AQE decides from the measured size at run time. With no keys the small side is a
+    per-query constant row set, joined on a constant key."""
+    if on:
+        small = small.withColumnsRenamed({c: f"__on_{i}" for i, c in enumerate(on)})
     if n_small is not None:
         small = _maybe_broadcast(small, n_small)
     if on:
-        return big.join(small, on, "inner")
+        same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__on_{i}")) for i, c in enumerate(on)])
+        return big.join(small, same, how).drop(*[f"__on_{i}" for i in range(len(on))])
     k = "__const_key"
     return big.withColumn(k, F.lit(0)).join(small.withColumn(k, F.lit(0)), k, "inner").drop(k)
 
@@ -68,11 +80,11 @@ def range_index(edges: Column, value: Column, n_edges: int) -> Column:
 
 
 def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str, weights: dict[str, Column] | None = None,
-                      n_ranges: int | None = None) -> DataFrame:
+                      n_ranges: int | None = None, keep_range: bool = False) -> DataFrame:
     """Distinct values per group with counts, inclusive running counts and group totals, in one job.
 
     ``weights`` maps an output name to a 0/1 (or count) column; default ``{"n": 1}``. Returns
-    ``group_cols, value, <w>, cum_<w>, total_<w>``. Null values are ignored.
+    ``group_cols, value, <w>, cum_<w>, total_<w>``, with ``keep_range`` also ``__range``, the value range. Null values are ignored.
     """
     weights = weights or {"n": F.lit(1)}
     g = list(group_cols)
@@ -85,7 +97,7 @@ def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str, weig
         # Asked for: running count and total share one partitioning (one exchange).
         w = Window.partitionBy(*g).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         wt = Window.partitionBy(*g)
-        return distinct.select(*g, "value", *weights.keys(),
+        return distinct.select(*g, "value", *([F.lit(0).alias("__range")] if keep_range else []), *weights.keys(),
                                *[F.sum(n).over(w).alias(f"cum_{n}") for n in weights],
                                *[F.sum(n).over(wt).alias(f"total_{n}") for n in weights])
     # Ranges balanced by distinct values (what a window task sorts), from a bounded sketch per group.
@@ -101,7 +113,7 @@ def cumulative_counts(df: DataFrame, group_cols: list[str], value_col: str, weig
                          *[F.sum(f"__r_{n}").over(w_all).alias(f"total_{n}") for n in weights])
     d = join_small(d, offsets, g + ["__range"], None)  # groups x ranges rows; AQE broadcasts it
     w_in = Window.partitionBy(*g, "__range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return d.select(*g, "value", *weights.keys(),
+    return d.select(*g, "value", *(["__range"] if keep_range else []), *weights.keys(),
                     *[(F.sum(n).over(w_in) + F.col(f"__off_{n}")).alias(f"cum_{n}") for n in weights],
                     *[F.col(f"total_{n}") for n in weights])
 
@@ -115,101 +127,94 @@ def quantiles_wide(df: DataFrame, group_cols: list[str], value_col: str, named:
     """
     g = list(group_cols)
     ranked = cumulative_counts(df, g, value_col, None, n_ranges)
-    before = F.col("cum_n") - F.col("n")
+    return _pick(ranked, g, named, F.col("total_n"), F.col("cum_n") - F.col("n"), F.col("cum_n"))
+
+
+def sketch_error(k: int) -> float:
+    """Rank error of a KLL sketch of size k, as a share of the rows (with 99 % confidence; a miss is found and made good)."""
+    return 2.296 / k ** 0.9021
+
+
+def summary(df: DataFrame, group_cols: list[str], value_col: str, k: int = SKETCH_K) -> DataFrame:
+    """One row a group, also of nulls alone: ``n, mean, std, min, max, sketch`` of the values, one aggregate, written once. Sketches of
+    parts (days, runs) merge with ``kll_merge_agg_double``."""
+    g = list(group_cols)
+    base = df.select(*g, F.col(value_col).cast("double").alias("__v"))
+    aggs = [F.count("__v").alias("n"), exact_avg("__v").alias("mean"), F.stddev_samp("__v").alias("std"), F.min("__v").alias("min"),
+            F.max("__v").alias("max"), F.kll_sketch_agg_double("__v", k).alias("sketch")]
+    return written(base.groupBy(*g).agg(*aggs) if g else base.agg(*aggs), "summary")
+
+
+def quantiles(df: DataFrame, group_cols: list[str], value_col: str, named: dict[str, float], of: DataFrame | None = None, k: int = SKETCH_K) -> DataFrame:
+    """Exact linear quantiles, ``group_cols`` + one column per named probability; groups without values are absent.
+
+    ``of``: the groups' ``summary`` of the same rows, if it is there already. The sketch's quantiles at p -/+ three rank errors
+    bracket the order statistics for p. The brackets' edges cut the values into cells: 2i is the open interval below the i-th edge,
+    2i + 1 the edge itself. One aggregate counts by cell, and by value too where a cell lies inside a bracket; these few values
+    are ranked. If a wanted rank falls outside (the sketch was off), that group is ranked whole."""
+    g = list(group_cols)
+    of = of if of is not None else summary(df, g, value_col, k)
+    probs = sorted({float(p) for p in named.values()})
+    slack = 3 * sketch_error(k)
+    bound = lambda ps, end: [F.col(end) if (p <= 0 if end == "min" else p >= 1) else F.kll_sketch_get_quantile_double("sketch", F.lit(p)) for p in ps]
+    cuts = of.where("n > 0").select(*g, F.array(*bound([p - slack for p in probs], "min")).alias("__lo"), F.array(*bound([p + slack for p in probs], "max")).alias("__hi")) \
+        .withColumn("__edges", F.array_sort(F.array_distinct(F.concat("__lo", "__hi")))).withColumn("__pairs", F.arrays_zip("__lo", "__hi"))
+    within = lambda i: F.exists("__pairs", lambda b: (F.get("__edges", i - 1) >= b["__lo"]) & (F.get("__edges", i) <= b["__hi"]))
+    cuts = written(cuts.select(*g, "__edges", F.transform(F.sequence(F.lit(0), F.size("__edges")), lambda i: F.coalesce((i > 0) & within(i), F.lit(False))).alias("__in")), "brackets")
+    groups = cuts.count()
+    if not groups:
+        return df.select(*g).limit(0).withColumns({n: F.lit(None).cast("double") for n in named})
+    base = df.where(F.col(value_col).isNotNull()).select(*g, F.col(value_col).cast("double").alias("__v"))
+    base = join_small(base, cuts, g, groups * (1 + 2 * len(probs)))  # a row is as wide as its arrays
+    base = base.withColumn("__i", range_index(F.col("__edges"), F.col("__v"), 2 * len(probs))) \
+        .withColumn("__at", F.coalesce(F.get("__edges", F.col("__i")) == F.col("__v"), F.lit(False)))
+    cells = base.groupBy(*g, (F.col("__i") * 2 + F.col("__at").cast("int")).alias("__cell"), F.when(F.col("__at") | F.get("__in", F.col("__i")), F.col("__v")).alias("__v")) \
+        .agg(F.count(F.lit(1)).alias("__n"))
+    cells = written(cells, "cells")
+    before = Window.partitionBy(*g).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 4 cells a probability, and one
+    counts = cells.groupBy(*g, "__cell").agg(F.sum("__n").alias("__c"))
+    counts = counts.select(*g, "__cell", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"), F.sum("__c").over(Window.partitionBy(*g)).alias("__all"))
+    ranked = cumulative_counts(cells, g + ["__cell"], "__v", {"n": F.col("__n")})
+    ranked = join_small(ranked, counts, g + ["__cell"], groups * (4 * len(probs) + 1))
+    upto = F.col("__off") + F.col("cum_n")
+    out = _pick(ranked, g, named, F.col("__all"), upto - F.col("n"), upto)
+    out = written(out, "quantiles")
+    missing = functools.reduce(lambda a, b: a | b, [F.col(n).isNull() for n in named])
+    if g and out.count() < groups or out.where(missing).limit(1).count():  # a bracket missed
+        lost = join_small(cuts.select(*g), out.where(~missing).select(*g, F.lit(True).alias("__found")), g, groups, "left").where("__found IS NULL").select(*g) if g else None
+        again = quantiles_wide(join_small(df, lost, g, groups) if g else df, g, value_col, named)
+        out = out.where(~missing).unionByName(again) if g else again
+    return out.select(*g, *named)
+
+
+def _pick(ranked: DataFrame, g: list[str], named: dict[str, float], total: Column, before: Column, upto: Column) -> DataFrame:
+    """Interpolates the two order statistics of every probability among ranked values that hold the ranks [before, upto)."""
     aggs = []
     for name, p in named.items():
-        pos = (F.col("total_n") - 1) * F.lit(float(p))
+        pos = (total - 1) * F.lit(float(p))
         lo, hi = F.floor(pos), F.ceil(pos)
-        hit_lo = (lo >= before) & (lo < F.col("cum_n"))
-        hit_hi = (hi >= before) & (hi < F.col("cum_n"))
-        aggs += [F.max(F.when(hit_lo, F.col("value"))).alias(f"__lo_{name}"),
-                 F.max(F.when(hit_hi, F.col("value"))).alias(f"__hi_{name}"),
-                 F.max(pos - lo).alias(f"__d_{name}")]
+        aggs += [F.max(F.when((lo >= before) & (lo < upto), F.col("value"))).alias(f"__lo_{name}"),
+                 F.max(F.when((hi >= before) & (hi < upto), F.col("value"))).alias(f"__hi_{name}"), F.max(pos - lo).alias(f"__d_{name}")]
     out = ranked.groupBy(*g).agg(*aggs) if g else ranked.agg(*aggs)
     # lo * (1 - d) + hi * d: the form SQL engines use, so results agree to the last bit.
-    cols = [(F.col(f"__lo_{k}") * (F.lit(1.0) - F.col(f"__d_{k}")) + F.col(f"__hi_{k}") * F.col(f"__d_{k}")).alias(k)
-            for k in named]
-    return out.select(*g, *cols)
-
+    return out.select(*g, *[(F.col(f"__lo_{k}") * (F.lit(1.0) - F.col(f"__d_{k}")) + F.col(f"__hi_{k}") * F.col(f"__d_{k}")).alias(k) for k in named])
 
 
+def described(df: DataFrame, group_cols: list[str], value_col: str, named: dict[str, float]) -> DataFrame:
+    """``summary`` and ``quantiles`` side by side, from two scans."""
+    g = list(group_cols)
+    of = summary(df, g, value_col)
+    q = quantiles(df, g, value_col, named, of)
+    if not g:  # one row beside one row, none without values
+        return of.drop("sketch").withColumn("__one", F.lit(1)).join(q.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
+    return join_small(of.drop("sketch"), q, g, None, "left")
 
-def quantiles_bracketed(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                        accuracy: int = SKETCH_ACCURACY) -> dict:
-    """Exact linear quantiles by sketch-then-refine; returns ``{(group tuple, p): q}`` (eager, bounded).
 
-    1. One aggregate: count and a ``percentile_approx`` sketch per group; its rank error is at most
-       n/accuracy, so the values at p -/+ 3/accuracy bracket the exact order statistics needed for p.
-    2. Every value is mapped per p to: a single "below" marker (-inf) if under the bracket, itself inside
-       it, dropped above it. The distributed ranking then runs on this small subset only (all rows below
-       the bracket collapse into one counted row by partial aggregation), so the global ranks inside the
-       bracket are exact while only ~6/accuracy of the values are shuffled and sorted.
-    3. The positions are verified against the bracket; if a sketch ever missed, the full ranking is used.
-    """
-    g = list(group_cols)
-    eps = 1.0 / accuracy
-    base = df.where(F.col(value_col).isNotNull()).select(*[F.col(c) for c in g], F.col(value_col).cast("double").alias("__v"))
-    lo_p = {p: max(0.0, p - 3 * eps) for p in probs}
-    hi_p = {p: min(1.0, p + 3 * eps) for p in probs}
-    sk = sorted(set(lo_p.values()) | set(hi_p.values()))
-    aggs = [F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", sk, accuracy).alias("__sk"),
-            F.min("__v").alias("__min"), F.max("__v").alias("__max")]
-    per_group = base.groupBy(*g).agg(*aggs) if g else base.agg(*aggs)
-    rows = per_group.limit(MAX_GROUPS + 1).collect()  # one row per group
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups: use quantiles_wide, which collects nothing")
-    rows = [r for r in rows if r["__n"]]
-    if not rows:
-        return {}
-    idx = {x: i for i, x in enumerate(sk)}
-    spark = df.sparkSession
-    # Bracket table: (group, p, L, U, n) — groups x probabilities rows, broadcast.
-    bt_rows = []
-    for r in rows:
-        key = tuple(r[c] for c in g)
-        for p in probs:
-            L = r["__min"] if lo_p[p] == 0.0 else r["__sk"][idx[lo_p[p]]]
-            U = r["__max"] if hi_p[p] == 1.0 else r["__sk"][idx[hi_p[p]]]
-            bt_rows.append((*key, float(p), float(L), float(U), int(r["__n"])))
-    schema = base.select(*g).schema.simpleString()[len("struct<"):-1]
-    bt_schema = (schema + "," if g else "") + "__p double,__L double,__U double,__n long"
-    bt = spark.createDataFrame(bt_rows, bt_schema)
-    j = join_small(base, bt, g, len(bt_rows))
-    v = F.col("__v")
-    mapped = F.when(v < F.col("__L"), F.lit(float("-inf"))).when(v <= F.col("__U"), v)
-    sub = j.select(*g, "__p", "__n", mapped.alias("__m")).where(F.col("__m").isNotNull())
-    ranked = cumulative_counts(sub, g + ["__p", "__n"], "__m")
-    before = F.col("cum_n") - F.col("n")
-    pos = (F.col("__n") - 1) * F.col("__p")
-    lo, hi = F.floor(pos), F.ceil(pos)
-    hit_lo = (lo >= before) & (lo < F.col("cum_n"))
-    hit_hi = (hi >= before) & (hi < F.col("cum_n"))
-    res = ranked.groupBy(*g, "__p").agg(F.max(F.when(hit_lo, F.col("value"))).alias("__vlo"),
-                                        F.max(F.when(hit_hi, F.col("value"))).alias("__vhi"),
-                                        F.max(pos - lo).alias("__d")).collect()
-    out = {}
-    ok = len(res) == len(bt_rows)
-    for r in res:
-        a, b, d = r["__vlo"], r["__vhi"], r["__d"]
-        if a is None or b is None or a == float("-inf") or b == float("-inf"):
-            ok = False
-            break
-        out[(tuple(r[c] for c in g), round(r["__p"], 12))] = a * (1.0 - d) + b * d
-    if not ok:  # a bracket missed: exact full ranking
-        full = exact_quantiles(df, g, value_col, probs).collect()
-        out = {(tuple(r[c] for c in g), round(r["p"], 12)): r["q"] for r in full}
-    return out
-
-
-def quantiles_table(df: DataFrame, group_cols: list[str], value_col: str, named: dict[str, float]) -> DataFrame:
-    """``quantiles_bracketed`` as a small DataFrame: ``group_cols`` + one column per named probability."""
-    g = list(group_cols)
-    res = quantiles_bracketed(df, g, value_col, list(named.values()))
-    keys = sorted({k for k, _ in res}, key=lambda t: tuple("" if x is None else str(x) for x in t))
-    rows = [(*k, *[res.get((k, round(p, 12))) for p in named.values()]) for k in keys]
-    gschema = df.select(*g).schema.simpleString()[len("struct<"):-1] if g else ""
-    schema = (gschema + "," if g else "") + ",".join(f"{n} double" for n in named)
-    return df.sparkSession.createDataFrame(rows, schema)
+def quantiles_of(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float], k: int = SKETCH_K) -> dict:
+    """``quantiles`` as ``{(group tuple, p): q}``, for callers whose groups are a list of column names."""
+    named = {f"q{i}": float(p) for i, p in enumerate(probs)}
+    rows = quantiles(df, group_cols, value_col, named, k=k).collect()
+    return {(tuple(r[c] for c in group_cols), round(p, 12)): r[n] for r in rows for n, p in named.items()}
 
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import exact_avg
+from ..session import written
 from . import ranking
 
 
@@ -45,13 +45,8 @@ def describe(df: DataFrame, cols: list[str], quantiles: dict[str, float] | None
     Unlike ``DataFrame.summary()`` (approximate percentiles) the quartiles are exact.
     """
     quantiles = quantiles or {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    long = unpivot_numeric(df, cols)
-    moments = long.groupBy("feature").agg(
-        F.count("value").alias("count"), exact_avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = ranking.quantiles_table(long, ["feature"], "value", quantiles)
-    out = moments.join(q, "feature", "left")
-    return out.select("feature", "count", "mean", "std", "min", *quantiles.keys(), "max")
+    out = ranking.described(unpivot_numeric(df, cols), ["feature"], "value", quantiles)
+    return out.select("feature", F.col("n").alias("count"), "mean", "std", "min", *quantiles.keys(), "max")
 
 
 def corr_with_target(df: DataFrame, cols: list[str], target: str) -> DataFrame:
@@ -63,25 +58,25 @@ def corr_with_target(df: DataFrame, cols: list[str], target: str) -> DataFrame:
 
 
 WIDE_PAIRS = 60  # so many correlations go side by side in one aggregate; more would outgrow generated code
+TILE = 7         # columns of a block when there are more: two blocks are a tile of at most TILE * TILE pairs
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pairwise Pearson correlations (rows with a null in either column skipped, like pandas): ``f1, f2, corr`` for
-    every ordered pair, in one pass. Many pairs become rows (f1, f2, x, y) that are aggregated where they arise, one
-    correlation a group, so the plan does not grow with the number of columns."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    every ordered pair. Up to WIDE_PAIRS pairs are one aggregate. More columns are cut into blocks; each tile of two blocks is an
+    aggregate that reads its own columns only, of a table that was written once, so no row is ever multiplied."""
     d = {c: F.col(c).cast("double") for c in cols}
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    corrs = lambda rows, own: rows.agg(*[F.corr(d[a], d[b]).alias(f"{i}") for i, (a, b) in enumerate(own)])
     if len(pairs) <= WIDE_PAIRS:
-        row = df.agg(*[F.corr(d[a], d[b]).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-        half = row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"{i}").alias("corr"))
-                                              for i, (a, b) in enumerate(pairs)])).alias("s")).select("s.*")
+        stacked = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
+        half = corrs(df, pairs).select(F.explode(stacked).alias("s")).select("s.*")
     else:
-        v = df.select(F.array(*[d[c] for c in cols]).alias("v"))
-        n = len(cols)
-        at = v.select("v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("v", "i", F.explode(F.sequence(F.col("i"), F.lit(n - 1))).alias("j"))
-        names = F.array(*[F.lit(c) for c in cols])
-        half = at.groupBy("i", "j").agg(F.corr(F.get("v", F.col("i")), F.get("v", F.col("j"))).alias("corr")) \
-            .select(F.get(names, F.col("i")).alias("f1"), F.get(names, F.col("j")).alias("f2"), "corr")
+        once = written(df.select(*[d[c].alias(c) for c in cols]), "correlated")
+        blocks = [cols[i:i + TILE] for i in range(0, len(cols), TILE)]
+        tiles = [[(a, b) for i, a in enumerate(x) for b in (x[i:] if x is y else y)] for k, x in enumerate(blocks) for y in blocks[k:]]
+        found = [(a, b, c) for own in tiles for (a, b), c in zip(own, corrs(once, own).first())]  # one number a pair of columns
+        half = df.sparkSession.createDataFrame(found, "f1 string, f2 string, corr double")
     return half.unionByName(half.where("f1 <> f2").select(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "corr"))
 
 
@@ -158,7 +153,7 @@ def cut(df: DataFrame, col: str, bins: int = 5) -> tuple[DataFrame, list[float]]
 def qcut_edges(df: DataFrame, col: str, q: int = 5) -> list[float]:
     """Quantile edges at 0, 1/q, ..., 1 (exact, linear) with duplicates removed."""
     probs = [i / q for i in range(q + 1)]
-    res = ranking.quantiles_bracketed(df.select(F.col(col).cast("double").alias("__v")), [], "__v", probs)
+    res = ranking.quantiles_of(df.select(F.col(col).cast("double").alias("__v")), [], "__v", probs)
     by_p = {p: q for (_, p), q in res.items()}
     edges = [by_p[round(p, 12)] for p in probs]
     out: list[float] = []
@@ -178,9 +173,8 @@ def qcut(df: DataFrame, col: str, q: int = 5) -> tuple[DataFrame, list[float]]:
 def box_stats(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
     """Box-plot numbers per group: min, q1, median, q3, max, count."""
     base = df.select(F.col(group_col).alias("grp"), F.col(value_col).cast("double").alias("v"))
-    m = base.groupBy("grp").agg(F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"))
-    q = ranking.quantiles_table(base, ["grp"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    return m.join(q, "grp", "left").withColumnRenamed("grp", group_col)
+    d = ranking.described(base, ["grp"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return d.select(F.col("grp").alias(group_col), F.col("n").alias("count"), "min", "max", "q1", "median", "q3")
 
 
 def class_balance(df: DataFrame, col: str) -> DataFrame:

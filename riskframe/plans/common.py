@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import EXACT_MAX, EXACT_TOL
-from ..session import ensure_checkpoint_dir, session_defaults
+from ..session import session_defaults, shared_path
 from ..sources import fixtures
 
 DIGITS = 6
@@ -19,9 +17,8 @@ def prep(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh folder under the shared checkpoint directory (never a machine-local temp dir)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/riskframe-scratch/{name}-{uuid.uuid4().hex}"
+    """Fresh folder under the shared checkpoint directory."""
+    return shared_path(spark, name)
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

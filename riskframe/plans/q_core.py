@@ -108,12 +108,12 @@ def src_optional_empty(spark, sf_dir):
 @query("src_latest_run", V.with_("scored") + """
 SELECT loanId, y_true, y_pred, run_id FROM scored WHERE run_id = (SELECT max(run_id) FROM scored)""")
 def src_latest_run(spark, sf_dir):
-    """Run-partitioned table; the lexicographically last run is selected (partition pruning)."""
+    """Run-partitioned table; the lexicographically last run is chosen from the partition folders, only its files are read."""
     prep(spark)
     path = scratch_path(spark, "runs")
     fixtures.scored(spark, sf_dir).select("loanId", "y_true", "y_pred", "run_id") \
         .write.mode("overwrite").partitionBy("run_id").parquet(path)
-    return io.latest_run(spark.read.parquet(path)).select("loanId", "y_true", "y_pred", "run_id")
+    return io.read_run(spark, path).select("loanId", "y_true", "y_pred", "run_id")
 
 
 @query("src_run_fallback", V.with_("scored") + """
@@ -123,7 +123,7 @@ def src_run_fallback(spark, sf_dir):
     prep(spark)
     path = scratch_path(spark, "runs")
     fixtures.scored(spark, sf_dir).select("loanId", "y_true", "y_pred", "run_id").write.mode("overwrite").partitionBy("run_id").parquet(path)
-    return io.latest_run(spark.read.parquet(path), run_id="2031-07").select("loanId", "y_true", "y_pred", "run_id")
+    return io.read_run(spark, path, run_id="2031-07").select("loanId", "y_true", "y_pred", "run_id")
 
 
 @query("src_latest_ref", """
@@ -139,7 +139,7 @@ def src_latest_ref(spark, sf_dir):
                .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")))
     path = scratch_path(spark, "ref-stats")
     stats.write.mode("overwrite").partitionBy("run_id").parquet(path)
-    latest = io.latest_run(spark.read.parquet(path))
+    latest = io.read_run(spark, path)
     return latest.select("event_type", "n", r("mean").alias("mean"), r("std").alias("std"))
 
 
@@ -149,7 +149,7 @@ def sink_roundtrip(spark, sf_dir):
     loan, _, _ = inputs(spark, sf_dir)
     path = scratch_path(spark, "ingest")
     io.write_run(loan, path, "run_a")
-    return io.latest_run(spark.read.parquet(path), run_id="run_a").select(*LOAN_COLS)
+    return io.read_run(spark, path, run_id="run_a").select(*LOAN_COLS)
 
 
 # ------------------------------------------------------------------------------------ filters & joins

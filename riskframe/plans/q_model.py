@@ -3,7 +3,7 @@ streaming jobs."""
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -20,6 +20,7 @@ from ..session import memo
 from ..sources import fixtures
 from ..streaming.daily import compare_daily, reference_by_type, stream_scores
 from ..streaming.daily import stream_daily_stats as run_daily
+from ..streaming.daily import stream_monitor as run_monitor
 from ..streaming.daily import stream_performance as run_performance
 from . import q_monitor  # noqa: F401  (its oracles are registered first)
 from . import sql_views as V
@@ -278,35 +279,57 @@ def _in_time_order(df, col: str, path: str, cuts: list) -> None:
 
 @query("stream_daily_stats", ORACLES["drift_daily"])
 def stream_daily_stats(spark, sf_dir):
-    """Daily drift statistics as a Structured Streaming job (watermark, tumbling windows, table sink), compared with the
-    reference window; equals the batch twin, last windows included."""
+    """Daily drift statistics as a Structured Streaming job (mergeable moments per micro-batch, table sink), compared with the
+    reference window; equals the batch twin although every file holds events of all days."""
     prep(spark)
     events = fixtures.table(spark, sf_dir, "events")
     path = scratch_path(spark, "events-stream-in")
-    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
-    step = (hi - lo) / 6
-    _in_time_order(events, "ts", path, [lo + step * i for i in range(6)] + [hi + timedelta(days=1)])
+    events.repartition(6, F.xxhash64("ts", "value")).write.parquet(path)
     daily = run_daily(spark, path, scratch_path(spark, "daily-stream-ckpt"), scratch_path(spark, "daily-stream-out"))
     return compare_daily(daily, reference_by_type(events)).withColumn("std", sig("std"))
 
 
-@query("stream_performance", V.with_("scored", extra=[
+_YEARLY = [
     "lb AS (SELECT year(score_date) AS y, score_date AS ts, CAST(y_pred >= 0.5 AS INTEGER) AS prediction, CAST(y_true >= 0.5 AS INTEGER) AS actual FROM scored)",
     """pd AS (SELECT y, min(ts) AS ts, count(*) AS n, CAST(count(*) FILTER (WHERE prediction = actual) AS DOUBLE) / count(*) AS accuracy,
               CAST(count(*) FILTER (WHERE prediction = 1 AND actual = 1) AS DOUBLE) / greatest(count(*) FILTER (WHERE prediction = 1), 1) AS precision,
               CAST(count(*) FILTER (WHERE prediction = 1 AND actual = 1) AS DOUBLE) / greatest(count(*) FILTER (WHERE actual = 1), 1) AS recall
-            FROM lb GROUP BY y)"""]) + """
-SELECT ts, n, accuracy, precision, recall, 2 * precision * recall / greatest(precision + recall, 1e-10) AS f1 FROM pd""")
-def stream_performance(spark, sf_dir):
-    """Performance metrics appended per micro-batch (foreachBatch); one batch holds one year of labelled predictions."""
+            FROM lb GROUP BY y)"""]
+
+
+def _yearly_history(spark, sf_dir) -> str:
+    """The history table of a stream of labelled predictions, one year a micro-batch."""
     prep(spark)
     s = fixtures.scored(spark, sf_dir)
     lab = s.select(F.col("score_date").alias("ts"), (F.col("y_pred") >= 0.5).cast("int").alias("prediction"), (F.col("y_true") >= 0.5).cast("int").alias("actual"))
     lo, hi = lab.agg(F.min(F.year("ts")), F.max(F.year("ts"))).first()
     path = scratch_path(spark, "labelled-stream-in")
     _in_time_order(lab, "ts", path, [date(y, 1, 1) for y in range(lo, hi + 2)])
-    out = run_performance(spark, path, scratch_path(spark, "perf-stream-ckpt"), scratch_path(spark, "perf-stream-out"))
-    return out.select("ts", "n", "accuracy", "precision", "recall", "f1")
+    history = scratch_path(spark, "perf-stream-out")
+    run_performance(spark, path, scratch_path(spark, "perf-stream-ckpt"), history)
+    return history
+
+
+@query("stream_performance", V.with_("scored", extra=_YEARLY) + """
+SELECT ts, n, accuracy, precision, recall, 2 * precision * recall / greatest(precision + recall, 1e-10) AS f1 FROM pd""")
+def stream_performance(spark, sf_dir):
+    """Performance metrics appended per micro-batch (foreachBatch); one batch holds one year of labelled predictions."""
+    return spark.read.parquet(_yearly_history(spark, sf_dir)).select("ts", "n", "accuracy", "precision", "recall", "f1")
+
+
+@query("stream_monitor", V.with_("scored", extra=_YEARLY + [
+    "pf AS (SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-10) AS f1 FROM pd)",
+    """pb AS (SELECT ts, accuracy, f1, first_value(accuracy) OVER w AS baseline_accuracy, first_value(f1) OVER w AS baseline_f1, count(*) OVER w AS entries
+              FROM pf WINDOW w AS (ORDER BY y))""",
+    """pr AS (SELECT *, (accuracy - baseline_accuracy) / greatest(baseline_accuracy, 1e-10) AS rel_accuracy_change,
+                     (f1 - baseline_f1) / greatest(baseline_f1, 1e-10) AS rel_f1_change FROM pb)"""]) + f"""
+SELECT ts, accuracy, f1, baseline_accuracy, baseline_f1, rel_accuracy_change, rel_f1_change, entries,
+       accuracy < {C.MIN_ACCURACY_MONITOR} OR f1 < {C.MIN_F1_MONITOR} OR rel_accuracy_change < {C.RELATIVE_DEGRADATION_THRESHOLD}
+       OR rel_f1_change < {C.RELATIVE_DEGRADATION_THRESHOLD} AS degradation_detected FROM pr""")
+def stream_monitor(spark, sf_dir):
+    """Stateful performance check after every batch of the stream: first entry ever as baseline, degradation flag per entry."""
+    out = run_monitor(spark, _yearly_history(spark, sf_dir), scratch_path(spark, "monitor-ckpt"), scratch_path(spark, "monitor-out"))
+    return out.select("ts", "accuracy", "f1", "baseline_accuracy", "baseline_f1", "rel_accuracy_change", "rel_f1_change", "entries", "degradation_detected")
 
 
 # ------------------------------------------------------------------------------------------ bands
@@ -403,7 +426,7 @@ def fe_winsorize(spark, sf_dir):
     """Cap numeric features at their exact 0.995 quantile (fitted once, applied as a projection)."""
     loan, _, _ = inputs(spark, sf_dir)
     long = ST.unpivot_numeric(loan, _WIN_COLS)
-    caps = {k[0]: q for (k, _), q in ranking.quantiles_bracketed(long, ["feature"], "value", [0.995]).items()}
+    caps = {k[0]: q for (k, _), q in ranking.quantiles_of(long, ["feature"], "value", [0.995]).items()}
     return loan.select("loanId", *[sig(F.least(F.col(c), F.lit(caps[c])), 12).alias(c) for c in _WIN_COLS])
 
 

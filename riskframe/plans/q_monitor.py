@@ -8,6 +8,7 @@ from ..functions import constants as C
 from ..functions.expressions import band3, exact_avg
 from ..operators import features as FE
 from ..operators import monitor as MO
+from ..operators import reference as RE
 from ..sources import fixtures
 from . import sql_views as V
 from .common import SIG, XAVG, inputs, prep, scratch_path, sig
@@ -95,8 +96,23 @@ def ref_stats(spark, sf_dir):
     st = MO.reference_stats(_ref_frame(spark, sf_dir))
     path = scratch_path(spark, "reference-stats")
     io.write_run(st, path, "ref_run")
-    back = io.latest_run(spark.read.parquet(path))
-    return back.select("feature", "kind", "stat", sig("value").alias("value"))
+    return io.read_run(spark, path).select("feature", "kind", "stat", sig("value").alias("value"))
+
+
+def _saved_runs(spark, sf_dir):
+    """Two saved references: an older run of the new events, the last one of the reference events."""
+    ref, new = _drift_inputs(spark, sf_dir)
+    root = scratch_path(spark, "reference")
+    RE.save_reference(new, root, "ref_20240101")
+    RE.save_reference(ref, root, "ref_20240116")
+    return root, new
+
+
+@query("ref_rows_saved", V.with_("drift") + "SELECT event_type, value, count(*) AS n FROM ref GROUP BY ALL")
+def ref_rows_saved(spark, sf_dir):
+    """Reference-data sink: the rows of a run are saved beside its statistics; the last run's rows are read back."""
+    root, _ = _saved_runs(spark, sf_dir)
+    return RE.saved_rows(spark, root).groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _feature_stat_cols():
@@ -183,6 +199,14 @@ def drift_ks(spark, sf_dir):
     return ks.select("feature", "n_ref", "n_new", "ks_statistic", sig("p_value", 8).alias("p_value"), "drifted")
 
 
+@query("drift_ks_saved", ORACLES["drift_ks"])
+def drift_ks_saved(spark, sf_dir):
+    """KS of the new events against the saved distributions of the last reference run; the reference rows are not read."""
+    root, new = _saved_runs(spark, sf_dir)
+    ks = RE.ks_saved(new.select("value"), root)
+    return ks.select("feature", "n_ref", "n_new", "ks_statistic", sig("p_value", 8).alias("p_value"), "drifted")
+
+
 @query("drift_report", V.with_("drift", extra=[
     f"r AS (SELECT {XAVG('value')} AS ref_mean, stddev_samp(value) AS ref_std FROM ref)",
     f"n AS (SELECT {XAVG('value')} AS new_mean, stddev_samp(value) AS new_std FROM new)",
@@ -219,7 +243,7 @@ def drift_report_saved(spark, sf_dir):
     path = scratch_path(spark, "saved-stats")
     io.write_run(MO.reference_stats(new, quantiles=False), path, "ref_20240101")
     io.write_run(MO.reference_stats(ref, quantiles=False), path, "ref_20240116")
-    rep = MO.drift_report(new, saved_stats=spark.read.schema("feature string, kind string, stat string, value double, run_id string").parquet(path))
+    rep = MO.drift_report(new, saved_stats=path)
     return rep.withColumn("score", sig("score"))
 
 
@@ -335,6 +359,19 @@ def perf_check(spark, sf_dir):
         "rel_f1_change", "degradation_detected")
 
 
+@query("concept_drift", V.with_("scored", extra=_PERF_CTES[:1] + [
+    "cd AS (SELECT ts, count(*) AS n, count(*) FILTER (WHERE prediction <> actual) AS errors FROM lb GROUP BY ts)",
+    "cs AS (SELECT ts, n, errors, sum(n) OVER w AS cn, CAST(sum(errors) OVER w AS DOUBLE) / sum(n) OVER w AS p FROM cd WINDOW w AS (ORDER BY ts))",
+    "cp AS (SELECT *, sqrt(p * (1 - p) / cn) AS s FROM cs)",
+    f"cb AS (SELECT *, min(CASE WHEN cn >= {C.CONCEPT_LEAST} THEN {{'level': p + s, 'p': p, 's': s}} END) OVER (ORDER BY ts) AS best FROM cp)"]) + f"""
+SELECT ts, n, errors, p AS error_rate, s AS error_std, best.p AS min_rate, best.s AS min_std,
+       CASE WHEN best IS NULL THEN 'learning' WHEN p + s > best.p + {C.CONCEPT_DRIFT} * best.s THEN 'drift'
+            WHEN p + s > best.p + {C.CONCEPT_WARNING} * best.s THEN 'warning' ELSE 'stable' END AS state FROM cb""")
+def concept_drift(spark, sf_dir):
+    """Declared 'concept drift' check: drift detection on the sequence of a model's daily errors."""
+    return MO.concept_drift(_labelled(spark, sf_dir), "ts", F.col("prediction") != F.col("actual"))
+
+
 @query("perf_trend", V.with_("scored", extra=_PERF_CTES) + "SELECT ts, accuracy, f1, baseline_accuracy, baseline_f1 FROM hist, base")
 def perf_trend(spark, sf_dir):
     """Accuracy and F1 over the kept history next to their baselines."""

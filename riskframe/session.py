@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Options every job relies on. AQE coalesces small shuffle partitions and splits skewed join
 # partitions at run time; UTC keeps timestamp parsing identical to the SQL oracle.
@@ -56,6 +57,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder (never a machine-local temp folder on a cluster)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, however often they are read, and kept if executors are lost."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def memo(spark: SparkSession) -> dict:
     """A store for small fitted things and lazy plans that lives and dies with the session object."""
     if not hasattr(spark, "_riskframe_memo"):

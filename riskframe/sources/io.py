@@ -3,14 +3,14 @@
 * ``read_table``: CSV or Parquet chosen by path suffix (or an explicit format), explicit schema for CSV,
   NaN normalised to null so aggregates skip it.
 * ``optional_table``: a missing optional source yields an empty frame of the declared schema.
-* ``latest_run``: partitioned run tables; the latest run is selected with a partition filter, which
-  Spark prunes at planning time.
+* ``read_run``: run-partitioned tables; the runs are read off the partition folders, one is chosen in the driver, and
+  only its folder is listed and scanned, under a literal partition filter.
 * sinks append per ``run_id`` partition, so older runs stay as history/backup.
 """
 
 from __future__ import annotations
 
-import os
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,23 +75,52 @@ def optional_table(spark: SparkSession, path: str | None, schema: T.StructType,
     return read_table(spark, path, schema, fmt)
 
 
-def required_table(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str | None = None) -> DataFrame:
-    if not path_exists(spark, path):
-        raise FileNotFoundError(f"Required source not found: {path}")
-    return read_table(spark, path, schema, fmt)
-
-
-def latest_run(df: DataFrame, run_col: str = "run_id", run_id: str | None = None) -> DataFrame:
-    """Rows of the requested run if it has any, else of the lexicographically last run.
-
-    The chosen id is a one-row aggregate over the partition column (metadata-sized on a partitioned table);
-    the join back is a broadcast of one row.
-    """
-    last = F.max(run_col)
-    if run_id is not None:
-        last = F.coalesce(F.max(F.when(F.col(run_col) == F.lit(run_id), F.col(run_col))), last)
-    chosen = df.agg(last.alias("__last_run"))
-    return df.join(F.broadcast(chosen), F.col(run_col) == F.col("__last_run"), "left_semi")
+def list_runs(spark: SparkSession, path: str, run_col: str = "run_id") -> list[str]:
+    """The runs of a partitioned table, ascending, from its partition metadata: the folders of a path, or the catalog's
+    partitions of a table name. No data file is opened. Folders without a data file (a run that was begun) do not count."""
+    if "/" not in path and spark.catalog.tableExists(path):
+        # one row a partition: run_id=... , further partition columns behind a slash
+        names = [r[0].split("/", 1)[0] for r in spark.sql(f"SHOW PARTITIONS {path}").collect()]
+        found = {n.split("=", 1)[1] for n in names if n.startswith(f"{run_col}=")}
+    else:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = set()
+        for status in fs.listStatus(hadoop) if fs.exists(hadoop) else []:
+            name = status.getPath().getName()
+            if status.isDirectory() and name.startswith(f"{run_col}="):
+                if any(not x.getPath().getName().startswith(("_", ".")) for x in fs.listStatus(status.getPath())):
+                    found.add(unquote(name.split("=", 1)[1]))
+    return sorted(found - {"__HIVE_DEFAULT_PARTITION__"})
+
+
+def choose_run(runs: list[str], run_id: str | None = None) -> str | None:
+    """The requested run if it is there, else the lexicographically last one; None without runs."""
+    return run_id if run_id in runs else max(runs, default=None)
+
+
+def read_run(spark: SparkSession, path: str, run_id: str | None = None, run_col: str = "run_id", schema: str | T.StructType | None = None) -> DataFrame:
+    """Rows of the requested run if it was saved, else of the last run, with the run as a text column.
+
+    The choice is made from partition metadata (``list_runs``); of a path only the chosen folder is listed, of a table only the
+    chosen partition is planned. Without any run: the empty frame of ``schema``, or an error if none is given."""
+    run = choose_run(list_runs(spark, path, run_col), run_id)
+    if run is None:
+        if schema is None:
+            raise FileNotFoundError(f"no run in {path}")
+        return spark.createDataFrame([], schema)
+    if "/" not in path and spark.catalog.tableExists(path):
+        return spark.table(path).where(F.col(run_col) == F.lit(run))
+    folder = [f"{path.rstrip('/')}/{run_col}={part}" for part in (escape_partition(run), run)]
+    folder = next((f for f in folder if path_exists(spark, f)), folder[0])
+    data = spark.read.parquet(folder).schema if schema is None else (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    data = T.StructType([f for f in data.fields if f.name != run_col] + [T.StructField(run_col, T.StringType())])  # never read as a date or number
+    return spark.read.schema(data).option("basePath", path).parquet(folder).where(F.col(run_col) == F.lit(run))
+
+
+def escape_partition(value: str) -> str:
+    """A partition value as Spark writes it in a folder's name. Fixed set of characters."""
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\\x7f{[]^" or ord(c) < 32 else c for c in value)
 
 
 def write_run(df: DataFrame, path: str, run_id: str, mode: str = "append") -> None:

@@ -1,21 +1,28 @@
-"""Streaming jobs: daily drift of the event stream, scoring, performance metrics per micro-batch.
+"""Streaming jobs: daily drift of the event stream, scoring, performance metrics per micro-batch, monitored performance.
 
-Daily drift: file source -> event time cast to TIMESTAMP -> ``withWatermark`` -> tumbling ``window(ts, 1 day)`` x event
-type -> count, mean, std. The query runs in update mode and every micro-batch writes its changed windows to
-a table folder of its own batch id (a retried batch overwrites its folder, so the sink is idempotent);
-the newest row of a window is its value. So the last, still open windows are in the table as well, and a
-closed window never changes. The watermark must cover the disorder of the source's files.
+Daily drift: every micro-batch is aggregated by day and event type to mergeable moments (count, exact sum parts, mean,
+sum of squared deviations) and written to a table folder of its own batch id; a retried batch overwrites its folder, so
+the sink is idempotent. Reading the table merges the moments of all batches, so the result does not depend on the order in
+which files and events arrive: there is no watermark, nothing is late, and the stream keeps no state.
+
+Monitored performance is a second stream, over the table of the batches' metrics: keyed state holds a model's first entry
+ever and its last entries, and every batch's entry leaves with its comparison with that baseline.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import constants as C
-from ..functions.expressions import exact_avg
-from ..operators import monitor, ranking
+from ..functions.expressions import exact_avg, exact_parts, merged_sum
+from ..operators import monitor
 from ..sources import fixtures
+from ..sources.io import path_exists
 
 
 def reference_by_type(events: DataFrame, split_ts: str = fixtures.DRIFT_SPLIT_TS) -> DataFrame:
@@ -48,20 +55,36 @@ def batch_table(path: str):
     return write
 
 
-def stream_daily_stats(spark: SparkSession, events_path: str, checkpoint: str, table: str, max_files_per_trigger: int = 1,
-                       watermark: str = "1 day") -> DataFrame:
-    """Run the daily stream over all files there are (``availableNow``); the windows' last values from the table."""
+def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mergeable moments of a part of the rows: n, exact sum parts, mean and sum of squared deviations."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("n_values"), *exact_parts(value), F.avg(value).alias("part_mean"),
+                                 (F.var_pop(value) * F.count(value)).alias("m2"))
+
+
+def merged_moments(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """n, mean, std (ddof 1) of all rows from the moments of their parts, by parallel variance."""
+    whole = Window.partitionBy(*keys)  # one row a part
+    centre = F.sum(F.col("n_values") * F.coalesce("part_mean", F.lit(0.0))).over(whole) / F.nullif(F.sum("n_values").over(whole), F.lit(0))
+    rows = parts.withColumn("shift", F.col("part_mean") - centre)
+    var = F.sum(F.col("m2") + F.col("n_values") * F.col("shift") * F.col("shift")) / F.when(F.sum("n_values") > 1, F.sum("n_values") - 1)
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), (merged_sum() / F.nullif(F.sum("n_values"), F.lit(0))).alias("mean"), F.sqrt(var).alias("std"))
+
+
+def stream_daily_stats(spark: SparkSession, events_path: str, checkpoint: str, table: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """Run the daily stream over all files there are (``availableNow``); day, event_type, n, mean, std from the table.
+
+    Later runs on the same checkpoint add the files that came since; events of any age count in their day."""
     schema = spark.read.parquet(events_path).schema
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(events_path)
-    ev = src.withColumn("ts", F.col("ts").cast("timestamp"))
-    agg = (ev.withWatermark("ts", watermark)
-             .groupBy(F.window("ts", "1 day").alias("w"), "event_type")
-             .agg(F.count(F.lit(1)).alias("n"), exact_avg("value").alias("mean"), F.stddev_samp("value").alias("std")))
-    flat = agg.select(F.to_date(F.col("w.start")).alias("day"), "event_type", "n", "mean", "std")
-    q = flat.writeStream.outputMode("update").foreachBatch(batch_table(table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    write = batch_table(table)
+
+    def part(df: DataFrame, batch_id: int) -> None:
+        write(moments(df.withColumn("day", F.to_date("ts")), ["day", "event_type"], "value"), batch_id)
+
+    q = src.writeStream.foreachBatch(part).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    done = spark.read.parquet(table)
-    return done.groupBy("day", "event_type").agg(F.max_by(F.struct("n", "mean", "std"), "batch").alias("s")).select("day", "event_type", "s.*")
+    none = moments(spark.createDataFrame([], schema).withColumn("day", F.to_date("ts")), ["day", "event_type"], "value")
+    return merged_moments(spark.read.parquet(table) if path_exists(spark, table) else none, ["day", "event_type"])
 
 
 def stream_scores(spark: SparkSession, source_path: str, checkpoint: str, table: str, score, max_files_per_trigger: int = 4) -> DataFrame:
@@ -75,14 +98,51 @@ def stream_scores(spark: SparkSession, source_path: str, checkpoint: str, table:
 
 def stream_performance(spark: SparkSession, source_path: str, checkpoint: str, history: str, max_files_per_trigger: int = 1) -> DataFrame:
     """Metrics of every micro-batch of labelled predictions (ts, prediction, actual), appended to the history table:
-    batch, ts (first of the batch), accuracy, precision, recall, f1."""
+    batch, ts (first of the batch), n, accuracy, precision, recall, f1. A batch is read once."""
     schema = spark.read.parquet(source_path).schema
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_path)
     write = batch_table(history)
 
     def entry(df: DataFrame, batch_id: int) -> None:
-        write(ranking.join_small(monitor.binary_performance(df), df.agg(F.min("ts").alias("ts"), F.count(F.lit(1)).alias("n")), [], 1), batch_id)
+        write(monitor.binary_performance(df, extra=[F.min("ts").alias("ts"), F.count(F.lit(1)).alias("n")]), batch_id)
 
     q = src.writeStream.foreachBatch(entry).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(history)
+
+
+CHECKED = "model string, batch int, ts date, accuracy double, f1 double, baseline_accuracy double, baseline_f1 double, rel_accuracy_change double, " \
+          "rel_f1_change double, degradation_detected boolean, entries long, kept int"
+KEPT = "base_accuracy double, base_f1 double, entries long, kept array<struct<batch:int,accuracy:double,f1:double>>"
+
+
+def stream_monitor(spark: SparkSession, history: str, checkpoint: str, table: str, model: str = "current", keep: int = C.HISTORY_KEEP,
+                   min_accuracy: float = C.MIN_ACCURACY_MONITOR, min_f1: float = C.MIN_F1_MONITOR,
+                   rel_threshold: float = C.RELATIVE_DEGRADATION_THRESHOLD) -> DataFrame:
+    """Stateful performance check over the history table: each new entry of a model (column ``model``, else one model of that name) is
+    compared with the first entry ever and leaves as a row with ``degradation_detected``. The state of a model is its baseline, the number of
+    entries so far and its last ``keep`` entries; it lives in the checkpoint, so a restarted stream goes on where it was."""
+    schema = spark.read.parquet(history).schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(history)
+    name = F.col("model") if "model" in schema.names else F.lit(model)
+    rows = src.select(name.alias("model"), F.col("batch").cast("int").alias("batch"), F.col("ts").cast("date").alias("ts"), "accuracy", "f1")
+
+    def check(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        base_accuracy, base_f1, entries, kept = state.get if state.exists else (None, None, 0, [])
+        kept, out = [tuple(k) for k in kept], []
+        for r in pd.concat(list(parts)).sort_values("batch").itertuples():
+            if not entries:
+                base_accuracy, base_f1 = float(r.accuracy), float(r.f1)
+            entries += 1
+            kept = [*kept, (int(r.batch), float(r.accuracy), float(r.f1))][-keep:]
+            change = (r.accuracy - base_accuracy) / max(base_accuracy, 1e-10), (r.f1 - base_f1) / max(base_f1, 1e-10)
+            worse = r.accuracy < min_accuracy or r.f1 < min_f1 or change[0] < rel_threshold or change[1] < rel_threshold
+            out.append((key[0], r.batch, r.ts, r.accuracy, r.f1, base_accuracy, base_f1, *change, bool(worse), entries, len(kept)))
+        state.update((base_accuracy, base_f1, entries, kept))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHECKED.split(", ")])
+
+    # one row a batch and model comes in: what is large has been aggregated before
+    checked = rows.groupBy("model").applyInPandasWithState(check, CHECKED, KEPT, "append", GroupStateTimeout.NoTimeout)
+    q = checked.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(CHECKED).parquet(table)
