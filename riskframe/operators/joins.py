@@ -17,8 +17,6 @@ from ..functions import constants as C
 from ..functions.expressions import exact_avg, exact_sum
 
 
-NULL_SALTS = 256
-
 _NON_EMPTY: "weakref.WeakKeyDictionary[DataFrame, bool]" = weakref.WeakKeyDictionary()
 
 
@@ -47,14 +45,21 @@ def join_fraud(loan: DataFrame, clarity: DataFrame, null_safe: bool = False, che
     if check_empty and not has_rows(clarity):
         return loan
     right = clarity.select("underwritingid", "clearfraudscore")
+    # Hashed as one value, the null ids would be one partition. The loans' null ids are dealt over as many salts as the
+    # session has shuffle partitions; a join on id and salt then finds no partner for them, or, null-safe, the copy of every null
+    # clarity row that lies at their salt.
+    salts = null_salts(loan)
+    left = loan.withColumn("__id", F.coalesce("clarityFraudId", F.lit(""))) \
+        .withColumn("__salt", F.when(F.col("clarityFraudId").isNull(), F.pmod(F.xxhash64(*loan.columns), F.lit(salts)) + 1).otherwise(0).cast("int"))
+    some = right.where(F.col("underwritingid").isNotNull()).withColumns({"__id": F.col("underwritingid"), "__salt": F.lit(0)})
     if null_safe:
-        cond = loan["clarityFraudId"].eqNullSafe(right["underwritingid"])
-        return loan.join(right, cond, "left")
-    # A null key matches nothing; hashed as one value it would be one partition. Null keys are dealt over a few
-    # salted values instead, and the join condition keeps them unmatched.
-    salt = F.pmod(F.xxhash64(*loan.columns), F.lit(NULL_SALTS)).cast("string")
-    left = loan.withColumn("__k", F.coalesce("clarityFraudId", salt))
-    return left.join(right, (left["__k"] == right["underwritingid"]) & left["clarityFraudId"].isNotNull(), "left").drop("__k")
+        none = right.where(F.col("underwritingid").isNull()).withColumns({"__id": F.lit(""), "__salt": F.explode(F.sequence(F.lit(1), F.lit(salts)))})
+        some = some.unionByName(none)
+    return left.join(some, ["__id", "__salt"], "left").drop("__id", "__salt")
+
+
+def null_salts(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def payment_aggregates(payment: DataFrame) -> DataFrame:
@@ -94,12 +99,6 @@ def join_payments(loans: DataFrame, payment: DataFrame, check_empty: bool = True
     return out.withColumns(fills)
 
 
-def lookup_join(df: DataFrame, table: DataFrame, key: str, broadcast_max_rows: int | None = None) -> DataFrame:
-    """Left lookup join of a keyed table. The lookup side is broadcast only when its row count is
-    known to be under ``broadcast_max_rows`` (checked, never assumed)."""
-    right = table
-    if broadcast_max_rows is not None:
-        n = table.limit(broadcast_max_rows + 1).count()
-        if n <= broadcast_max_rows:
-            right = F.broadcast(table)
-    return df.join(right, key, "left")
+def lookup_join(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left lookup join of a keyed table; AQE broadcasts the lookup side after measuring it."""
+    return df.join(table, key, "left")

@@ -2,23 +2,23 @@
 
 * ``hash_split``: test = ``md5(key)`` bucket 0 of ``round(1/test_size)`` buckets. Independent of
   partitioning and engine (``randomSplit`` is not: it depends on partition layout).
-* ``stratified_split``: per stratum the first ``ceil(test_size * n)`` keys in md5 order are test. The
-  per-stratum rank is computed in two levels (md5 prefix ranges, then a window inside each range), so no
-  stratum is sorted on one task.
+* ``stratified_split``: per stratum the first ``ceil(test_size * n)`` keys in md5 order are test. The cut is found by
+  narrowing: counts by md5 prefix tell the one prefix that holds it, longer prefixes inside that one narrow it
+  further, and only the few keys left are ranked. Every row is then decided by comparing its md5 with the cut, so
+  rows are neither shuffled nor sorted. Rows that share a key go the same way.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import md5_bucket
+from ..session import written
 from . import ranking
 
-ROWS_PER_RANGE = 2_000_000
-MAX_STRATA = 1000
+RANKED_KEYS = 100_000  # rows of a stratum's prefix that are ranked at once; more are narrowed further
+DIGITS = 32            # of an md5
 
 
 def hash_split(df: DataFrame, key: str, test_size: float = 0.2) -> DataFrame:
@@ -26,32 +26,36 @@ def hash_split(df: DataFrame, key: str, test_size: float = 0.2) -> DataFrame:
     return df.withColumn("split", F.when(md5_bucket(key, n) == 0, "test").otherwise("train"))
 
 
-def strata_counts(df: DataFrame, stratum: str) -> DataFrame:
-    return df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
+def _cut(counts: DataFrame) -> DataFrame:
+    """(stratum, prefix, need, n): of each stratum's (prefix, n, need) rows the one in which the need-th row lies, and how many are still
+    needed inside it."""
+    upto = Window.partitionBy("__s").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)  # at most 256 prefixes
+    c = counts.withColumn("__cum", F.sum("n").over(upto)).where((F.col("__cum") >= F.col("need")) & (F.col("__cum") - F.col("n") < F.col("need")))
+    return c.select("__s", F.col("__p").alias("__prefix"), (F.col("need") - F.col("__cum") + F.col("n")).alias("need"), "n")
 
 
-def stratified_split(df: DataFrame, key: str, stratum: str, test_size: float = 0.2,
-                     prefix_len: int | None = None) -> DataFrame:
-    counts = strata_counts(df, stratum)
-    local = counts.limit(MAX_STRATA + 1).collect()  # one row per stratum (a handful of risk buckets)
-    if len(local) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    if any(r["n"] < 2 for r in local):  # too small to split by stratum: plain split
+def stratified_split(df: DataFrame, key: str, stratum: str, test_size: float = 0.2, prefix_len: int = 2, ranked: int = RANKED_KEYS) -> DataFrame:
+    """``split`` is test or train; a stratum of one row makes it the plain hash split. A null stratum is a stratum, a null key reads as empty."""
+    k = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    rows = df.select(F.col(stratum).alias("__s"), k.alias("__k"), F.md5(k).alias("__h"))
+    counts = written(rows.groupBy("__s", F.substring("__h", 1, prefix_len).alias("__p")).agg(F.count(F.lit(1)).alias("n")), "split-counts")
+    sizes = counts.groupBy("__s").agg(F.sum("n").alias("__all"))
+    least = sizes.agg(F.min("__all").alias("least"), F.count(F.lit(1)).alias("strata")).first()
+    if not least["strata"] or least["least"] < 2:  # too small to split by stratum: plain split
         return hash_split(df, key, test_size)
-    n_max = max([r["n"] for r in local], default=0)
-    if prefix_len is None:
-        want = max(1, math.ceil(n_max / ROWS_PER_RANGE))
-        prefix_len = max(2, math.ceil(math.log(want, 16)) if want > 1 else 2)
-    h = F.md5(F.col(key).cast("string"))
-    base = df.withColumn("__h", h).withColumn("__p", F.substring("__h", 1, prefix_len))
-    rng = base.groupBy(stratum, "__p").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(stratum).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rng.select(stratum, "__p", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off"))
-    n_ranges = len(local) * 16 ** prefix_len
-    small_counts = df.sparkSession.createDataFrame(local, counts.schema)
-    j = ranking.join_small(base, offsets, [stratum, "__p"], n_ranges)
-    j = ranking.join_small(j, small_counts, [stratum], len(local))
-    w_in = Window.partitionBy(stratum, "__p").orderBy("__h", key)
-    rank = F.row_number().over(w_in) + F.col("__off")
-    n_test = F.ceil(F.col("n") * F.lit(test_size))
-    return j.withColumn("split", F.when(rank <= n_test, "test").otherwise("train")).drop("__h", "__p", "__off", "n")
+    n = least["strata"]
+    need = sizes.select("__s", F.ceil(F.col("__all") * F.lit(test_size)).alias("need"))
+    cuts = written(_cut(ranking.join_small(counts, need, ["__s"], n)), "split-cuts")
+    width = prefix_len
+    inside = lambda: ranking.join_small(rows, cuts.select("__s", "__prefix", "need"), ["__s"], n).where(F.col("__h").startswith(F.col("__prefix")))
+    while width < DIGITS and cuts.agg(F.max("n")).first()[0] > ranked:
+        width = min(DIGITS, width + 2)
+        longer = inside().groupBy("__s", F.substring("__h", 1, width).alias("__p")).agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+        cuts = written(_cut(longer), "split-cuts")
+    # the rows of one full md5 are one key, counted as one
+    left = inside().groupBy("__s", "__h", "__k").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+    upto = Window.partitionBy("__s").orderBy("__h", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    last = left.withColumn("__cum", F.sum("n").over(upto)).where((F.col("__cum") >= F.col("need")) & (F.col("__cum") - F.col("n") < F.col("need")))
+    last = written(last.select(F.col("__s").alias(stratum), F.struct("__h", "__k").alias("__last")), "split-last")
+    test = F.struct(F.md5(k).alias("__h"), k.alias("__k")) <= F.col("__last")
+    return ranking.join_small(df, last, [stratum], n).withColumn("split", F.when(test, "test").otherwise("train")).drop("__last")
