@@ -119,11 +119,11 @@ def test_one_row_transform_equals_batch(spark):
 def test_bracketed_quantiles_match_pandas(spark):
     df, pdf = _random_frame(spark, 5000, 9)
     probs = [0.0, 0.1, 0.5, 0.9, 0.995, 1.0]
-    got = ranking.quantiles_bracketed(df, ["g"], "v", probs, accuracy=100)  # coarse sketch: still exact
+    got = ranking.quantiles_of(df, ["g"], "v", probs, k=16)  # coarse sketch: still exact
     for g, part in pdf.dropna().groupby("g"):
         for p in probs:
             assert got[((g,), round(p, 12))] == pytest.approx(part["v"].quantile(p), rel=1e-12, abs=1e-12)
     # a hot value (a third of the rows) collapses into one counted row
     hot = spark.createDataFrame([(1.0,)] * 3000 + [(float(i),) for i in range(6000)], "v double")
-    q = ranking.quantiles_bracketed(hot, [], "v", [0.5])
+    q = ranking.quantiles_of(hot, [], "v", [0.5])
     assert q[((), 0.5)] == pytest.approx(pd.Series([1.0] * 3000 + list(range(6000))).quantile(0.5))

@@ -14,6 +14,7 @@ from riskframe.operators import features as FE
 from riskframe.operators import joins, monitor, ranking, split, stats
 from riskframe.operators import model as MD
 from riskframe.operators import score as SC
+from riskframe.session import shared_path
 from riskframe.sources import io
 
 
@@ -125,17 +126,19 @@ def test_history_baseline_survives_the_trim(spark):
 
 
 def test_run_fallback_split_fallback_and_saved_stats(spark):
-    runs = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "run_id string, v int")
-    assert [r["v"] for r in io.latest_run(runs, run_id="b").collect()] == [2]
-    assert [r["v"] for r in io.latest_run(runs, run_id="zz").collect()] == [3] == [r["v"] for r in io.latest_run(runs).collect()]
+    path = shared_path(spark, "runs")
+    spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "run_id string, v int").write.partitionBy("run_id").parquet(path)
+    assert [r["v"] for r in io.read_run(spark, path, run_id="b").collect()] == [2]
+    assert [r["v"] for r in io.read_run(spark, path, run_id="zz").collect()] == [3] == [r["v"] for r in io.read_run(spark, path).collect()]
     df = spark.createDataFrame([(f"k{i}", "x" if i else "y") for i in range(50)], "k string, s string")
     assert split.stratified_split(df, "k", "s").select("k", "split").orderBy("k").collect() == split.hash_split(df, "k").select("k", "split").orderBy("k").collect()
     ref, new = doubles(spark, range(100)), doubles(spark, range(50, 150))
-    saved = monitor.reference_stats(new, quantiles=False).withColumn("run_id", F.lit("r1")) \
-        .unionByName(monitor.reference_stats(ref, quantiles=False).withColumn("run_id", F.lit("r2")))
+    saved = shared_path(spark, "stats")
+    assert monitor.drift_report(new, saved_stats=saved).count() == 0
+    io.write_run(monitor.reference_stats(new, quantiles=False), saved, "r1")
+    io.write_run(monitor.reference_stats(ref, quantiles=False), saved, "r2")
     a = monitor.drift_report(new, saved_stats=saved).collect()
     assert a == monitor.drift_report(new, ref_stats=monitor.reference_stats(ref, quantiles=False)).collect()
-    assert monitor.drift_report(new, saved_stats=saved.limit(0)).count() == 0
 
 
 def test_output_defaults_take_the_request_score(spark):
