@@ -232,8 +232,10 @@ def brute_vectors(rows, threshold):
     return n, {i: find(parent, i) for i in parent}
 
 
-def test_cover_tree_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("side", [2, 8])
+def test_cover_tree_against_all_pairs(spark, monkeypatch, side):
     monkeypatch.setattr(covertree, "BLOCK", 24)
+    monkeypatch.setattr(covertree, "SIDE", side)
     rng = np.random.default_rng(3)
     rows = []
     for c in range(12):
