@@ -29,6 +29,7 @@ SAMPLE_PER_LANG = 4000       # labelled rows a language that training reads, abo
 MAX_LANGS = 200              # more are an error: the model's size is languages x buckets
 GRAM_BITS = (10, 13, 15)     # hash buckets of 1-, 2- and 3-grams
 WORD_BITS = 16
+CHARS = 700_000              # characters labelled side by side: fewer make more and shorter rounds, more take more memory
 PENALTY = 12.0               # nats that a change of language costs
 RARE_SCRIPT = 0.002          # a language with a smaller share of its letters in a script is no candidate there
 SMOOTH = 0.5
@@ -248,7 +249,7 @@ def keep(documents: DataFrame, model: Model) -> DataFrame:
     def start():
         return lambda texts: pa.array(_documents(send.value, [t or "" for t in texts])[0], pa.string())
 
-    judged = documents.withColumn("__lang", over_texts("string", start)(F.col(text))).where("__lang <> 'und'")
+    judged = documents.withColumn("__lang", over_texts("string", start, CHARS)(F.col(text))).where("__lang <> 'und'")
     if lang is not None:
         judged = judged.withColumn(lang.strip("`"), F.col("__lang").cast(documents.schema[lang.strip("`")].dataType))
     return judged.drop("__lang")
