@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..sources.io import path_exists
 from . import features as FE
 from .gate import registry_current
+from .model import WideIndexModel
 
 REGISTRY = "model_version string, deployment_date timestamp, run_id string, task string, n_rows long"
 
@@ -44,7 +45,11 @@ def publish(spark: SparkSession, root: str, version: str, run_id: str, pipeline:
     for name in spec.encoded:
         pipeline.encodings[name].write.parquet(f"{at}/encodings/{name}")
     importances.write.parquet(f"{at}/importances")
-    model.save(f"{at}/model")
+    kept = [s for s in model.stages if isinstance(s, WideIndexModel)]
+    for s in kept:  # index tables move into the version's folder, which then needs nothing else
+        spark.read.parquet(s.getOrDefault("table")).write.parquet(f"{at}/index/{s.getInputCol()}")
+    paths = {s.getInputCol(): f"{at}/index/{s.getInputCol()}" for s in kept}
+    PipelineModel(stages=[s.copy({s.table: paths[s.getInputCol()]}) if s in kept else s for s in model.stages]).save(f"{at}/model")
     # the registry row comes last: a version that is listed is complete
     spark.range(1).select(F.lit(version).alias("model_version"), F.current_timestamp().alias("deployment_date"), F.lit(run_id).alias("run_id"),
                           F.lit(task).alias("task"), F.lit(int(n_rows)).cast("long").alias("n_rows")).write.mode("append").parquet(f"{root}/registry")

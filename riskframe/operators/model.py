@@ -4,7 +4,8 @@
   population std (zero std -> scale 1) as column expressions — MLlib's ``Imputer`` is approximate and its
   ``StandardScaler`` uses the sample std;
 * categorical: ``StringIndexer(handleInvalid='keep', alphabetAsc)`` + ``OneHotEncoder(dropLast=True)``:
-  an unseen category becomes the all-zero vector;
+  an unseen category becomes the all-zero vector. Columns of more than WIDE_LABELS values are indexed by a table
+  (value, index) that never passes through the driver and is joined by key; the one-hot vectors are sparse either way;
 * ``VectorAssembler`` -> GBT (regression target; two classes -> GBTClassifier; more -> random forest).
 
 Training runs on the executors; GBT checkpoints its lineage every ``checkpointInterval`` iterations to
@@ -18,16 +19,21 @@ import math
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark import StorageLevel
+from pyspark.ml import Transformer
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import exact_avg
+from ..session import shared_path, written
 from . import ranking, stats
 
 # Pipeline configuration of the boosted trees (fixed values of the configuration file).
-MAX_LABELS = 10_000
+WIDE_LABELS = 10_000  # columns of more values are indexed by a table instead of by labels in the driver
 DEFAULT_HYPERPARAMETERS = {
     "n_estimators": 200, "learning_rate": 0.05, "num_leaves": 50, "max_depth": 10, "min_child_samples": 30,
     "subsample": 0.8, "colsample_bytree": 0.8, "reg_alpha": 0.1, "reg_lambda": 0.1, "random_state": 42,
@@ -66,20 +72,54 @@ def apply_scaler(df: DataFrame, params: dict[str, tuple[float, float, float]], s
     return df.withColumns(cols)
 
 
-def preprocessing_stages(numeric: list[str], categorical: list[str]) -> tuple[list, list[str]]:
-    """Indexers and one-hot encoders for categoricals plus the assembler input list."""
-    stages, inputs = [], list(numeric)
-    for c in categorical:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}__ohe", dropLast=True))
-        inputs.append(f"{c}__ohe")
-    return stages, inputs
+class WideIndexModel(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Index of a column by a table (value, index) in shared storage; null and unknown values get the number of values, as a
+    StringIndexer's ``keep`` does."""
+
+    table = Param(Params._dummy(), "table", "path of the index table", typeConverter=TypeConverters.toString)
+    size = Param(Params._dummy(), "size", "number of values", typeConverter=TypeConverters.toInt)
+
+    def of(self, column: str, out: str, table: str, size: int) -> WideIndexModel:
+        return self._set(inputCol=column, outputCol=out, table=table, size=size)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        c, out = self.getInputCol(), self.getOutputCol()
+        index = df.sparkSession.read.parquet(self.getOrDefault("table")).select(F.col("value").alias("__value"), F.col("index").alias("__index"))
+        joined = df.join(index, F.col(c).cast("string") == F.col("__value"), "left")
+        return joined.withColumn(out, F.coalesce("__index", F.lit(self.getOrDefault("size"))).cast("double")).drop("__value", "__index")
+
+
+def index_wide(df: DataFrame, column: str, out: str) -> WideIndexModel:
+    """Fit the index table of a column."""
+    path = shared_path(df.sparkSession, f"index-{column}")
+    ranking.dense_index(df, column).write.parquet(path)
+    return WideIndexModel().of(column, out, path, df.sparkSession.read.parquet(path).count())
+
+
+def wide_columns(df: DataFrame, columns: list[str], most: int = WIDE_LABELS) -> list[str]:
+    """Columns of more than about ``most`` values, counted for all of them in one pass."""
+    if not columns:
+        return []
+    row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
+    return [c for c in columns if row[c] > most]
+
+
+def preprocessing_stages(numeric: list[str], categorical: list[str], wide: list[WideIndexModel] | None = None) -> tuple[list, list[str]]:
+    """One indexer and one one-hot encoder for all categoricals, the same for fitted wide indexes, plus the assembler input list."""
+    stages = []
+    if categorical:
+        stages.append(StringIndexer(inputCols=categorical, outputCols=[f"{c}__idx" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc"))
+        stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical], outputCols=[f"{c}__ohe" for c in categorical], dropLast=True))
+    names = [w.getInputCol() for w in wide or []]
+    if names:
+        stages += wide
+        stages.append(OneHotEncoder(inputCols=[w.getOutputCol() for w in wide], outputCols=[f"{c}__ohe" for c in names], dropLast=True, handleInvalid="keep"))
+    return stages, [*numeric, *[f"{c}__ohe" for c in [*categorical, *names]]]
 
 
 def estimator(label: str = "target", task: str = "regression", params: dict | None = None, checkpoint_interval: int = 10):
     """The learner of a task. Classifiers expect an indexed label (0, 1, ...)."""
-    p = dict(params or {})
+    p = {"maxMemoryInMB": 1024, **(params or {})}  # all nodes of a level in one pass
     if task == "regression":
         est = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction",
                            checkpointInterval=checkpoint_interval, **p)
@@ -88,7 +128,7 @@ def estimator(label: str = "target", task: str = "regression", params: dict | No
                             checkpointInterval=checkpoint_interval, **p)
     else:
         keep = {k: v for k, v in p.items() if k in ("maxDepth", "minInstancesPerNode", "subsamplingRate",
-                                                    "featureSubsetStrategy", "seed")}
+                                                    "featureSubsetStrategy", "seed", "maxMemoryInMB")}
         est = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=int(p.get("maxIter", 100)),
                                      checkpointInterval=checkpoint_interval, **keep)
     return est
@@ -96,16 +136,15 @@ def estimator(label: str = "target", task: str = "regression", params: dict | No
 
 def fit_model(train: DataFrame, numeric: list[str], categorical: list[str], label: str = "target", task: str | None = None,
               params: dict | None = None, checkpoint_interval: int = 10) -> tuple[PipelineModel, str]:
-    """(model, task). Preprocessing is fitted first; the learner then reads only label and vector, persisted for the
-    boosting rounds and released. Class labels are indexed in order of value and turned back after prediction."""
+    """(model, task). The training columns are written once. Preprocessing is fitted on them; the learner then reads only label and vector,
+    one partition a core, persisted for the boosting rounds and released. Class labels are indexed in order of value and turned
+    back after prediction."""
+    train = written(train.where(F.col(label).isNotNull()).select(label, *dict.fromkeys(c for c in [*numeric, *categorical] if c != label)), "training-rows")
     task = task or choose_task(train, label)
-    for c in categorical:  # an indexer's labels go through the driver
-        if train.select(c).distinct().limit(MAX_LABELS + 1).count() > MAX_LABELS:
-            raise ValueError(f"more than {MAX_LABELS} values in {c}")
-    stages, inputs = preprocessing_stages(numeric, categorical)
+    wide = wide_columns(train, categorical)
+    stages, inputs = preprocessing_stages(numeric, [c for c in categorical if c not in wide], [index_wide(train, c, f"{c}__idx") for c in wide])
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     back, on = [], label
-    train = train.where(F.col(label).isNotNull())
     if task != "regression":
         values = sorted(r[0] for r in train.select(F.col(label).cast("double")).distinct().collect())  # at most 10, see choose_task
         index = StringIndexerModel.from_labels([repr(v) for v in values], inputCol="__label", outputCol="__y", handleInvalid="error")
@@ -113,7 +152,8 @@ def fit_model(train: DataFrame, numeric: list[str], categorical: list[str], labe
         train = index.transform(train)
         back = [IndexToString(inputCol="prediction", outputCol="prediction_label", labels=[repr(v) for v in values])]
     prep = Pipeline(stages=stages).fit(train)
-    ready = prep.transform(train).select(on, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    ready = prep.transform(train).select(on, "features").repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         learned = estimator(on, task, params, checkpoint_interval).fit(ready)
     finally:
@@ -155,8 +195,8 @@ def feature_names(model: PipelineModel, df: DataFrame) -> list[str]:
     attrs = []
     for group in meta.get("attrs", {}).values():
         attrs.extend(group)
-    attrs.sort(key=lambda a: a["idx"])
-    return [a["name"] for a in attrs]
+    named = {a["idx"]: a.get("name") for a in attrs}
+    return [named.get(i) or f"f{i}" for i in range(max(named, default=-1) + 1)]
 
 
 def source_column(name: str, columns: list[str]) -> str | None:

@@ -226,6 +226,18 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs:
     return w.select(*group_cols, st.alias("__s")).select(*group_cols, "__s.p", "__s.q")
 
 
+def dense_index(df: DataFrame, col: str) -> DataFrame:
+    """(value, index): the distinct non-null values of a column with their place in order, from 0. Values are dealt to range partitions and
+    numbered inside them; only the partitions' sizes are added up in one place."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = df.select(F.col(col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
+    values = written(values.repartitionByRange(parts, "value").withColumn("__part", F.spark_partition_id()), "index-values")
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    sizes = values.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    here = F.row_number().over(Window.partitionBy("__part").orderBy("value")) - 1
+    return join_small(values, sizes, ["__part"], parts).select("value", (here + F.col("__before")).cast("long").alias("index"))
+
+
 def kolmogorov_pvalue(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     """Asymptotic two-sided KS p-value ``2 * sum_{k>=1} (-1)^(k-1) exp(-2 k^2 lambda^2)``,
     ``lambda = D * sqrt(n m / (n + m))``, clipped to [0, 1]."""

@@ -56,6 +56,14 @@ def prep_index(spark, sf_dir):
     return m.transform(loan).select("loanId", "state", F.col("idx").cast("int").alias("state_index"))
 
 
+@query("prep_index_wide", V.with_("loan") + """
+SELECT loanId, anon_ssn, CAST(dense_rank() OVER (ORDER BY anon_ssn) - 1 AS INTEGER) AS ssn_index FROM loan""")
+def prep_index_wide(spark, sf_dir):
+    """Index of a column of many values by a joined table; no label passes through the driver."""
+    loan, _, _ = inputs(spark, sf_dir)
+    return MD.index_wide(loan, "anon_ssn", "idx").transform(loan).select("loanId", "anon_ssn", F.col("idx").cast("int").alias("ssn_index"))
+
+
 def _onehot_sql(col: str, src: str) -> str:
     """0/1 list over the sorted labels of a column."""
     return f"list_transform((SELECT list_sort(list(DISTINCT {col})) FROM {src}), lambda v: CASE WHEN v = {col} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"

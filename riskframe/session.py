@@ -59,7 +59,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared checkpoint folder (never a machine-local temp folder on a cluster)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-scratch/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-scratch/{name}-{uuid.uuid4().hex}"
+    memo(spark).setdefault("scratch", []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the scratch tables that this session wrote; returns how many there were. Call it when results have been written: lazy frames
+    that read them, and fitted things held in the session, are gone afterwards."""
+    paths = memo(spark).pop("scratch", [])
+    memo(spark).clear()
+    for path in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -236,3 +236,66 @@ def test_null_safe_join_deals_null_ids(spark):
     want = loan.join(clarity, loan["clarityFraudId"].eqNullSafe(clarity["underwritingid"]), "left")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns
     assert joins.null_salts(loan) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+# ------------------------------------------------------------------------------------- wide categories
+
+def test_wide_categories_are_indexed_by_a_table_and_train(spark, monkeypatch):
+    from pyspark.ml import PipelineModel
+
+    from riskframe.operators import model as MD
+
+    number = F.pmod(F.xxhash64("id"), F.lit(1500))
+    df = spark.range(4000).select((F.col("id") % 7).cast("double").alias("x"), F.concat(F.lit("v"), number.cast("string")).alias("c"),
+                                  F.when(F.col("id") % 9 == 0, None).otherwise("n").alias("few"), (F.col("id") % 7 + number / 500).cast("double").alias("y"))
+    values = sorted({r["c"] for r in df.select("c").collect()})
+    index = {r["value"]: r["index"] for r in ranking.dense_index(df, "c").collect()}
+    assert index == {v: i for i, v in enumerate(values)}
+    monkeypatch.setattr(MD, "WIDE_LABELS", 100)
+    assert MD.wide_columns(df, ["c", "few"], 100) == ["c"] and MD.wide_columns(df, []) == []
+    wide = MD.index_wide(df, "c", "c__idx")
+    stages, inputs = MD.preprocessing_stages(["x"], ["few"], [wide])
+    out = MD.Pipeline(stages=stages).fit(df).transform(df.limit(1).unionByName(spark.createDataFrame([(1.0, "unseen", None, 1.0)], df.schema)))
+    got = [(r["c"], r["c__ohe"].size, r["c__ohe"].indices.tolist()) for r in out.collect()]
+    assert inputs == ["x", "few__ohe", "c__ohe"] and ("unseen", len(values), []) in got
+    assert any(c != "unseen" and i == [index[c]] for c, _, i in got)
+    monkeypatch.setattr(MD, "wide_columns", lambda df, columns, most=100: ["c"])
+    model, task = MD.fit_model(df, ["x"], ["few", "c"], "y", "regression", {"maxIter": 2, "maxDepth": 2, "seed": 1})
+    path = shared_path(spark, "wide-model")
+    model.save(path)
+    again = PipelineModel.load(path)
+    a, b = (sorted(r["prediction"] for r in m.transform(df.limit(50)).collect()) for m in (model, again))
+    assert a == b and task == "regression"
+
+
+# ------------------------------------------------------------------------------------------ feature lists
+
+def test_feature_lists_of_a_fit(spark):
+    """Indicators: columns with nulls first, then the absent ones; categories: text columns with nulls, else the base ones; base numerics on request."""
+    from riskframe.functions import constants as C
+    from riskframe.operators import features as FE
+
+    rows = [(f"L{i}", None if i % 4 == 0 else 100.0 + i, 50.0 + i, float(i % 3), 1.0 + i, "W" if i % 2 else None, "TX" if i % 3 else "CA", "a" if i % 5 else "b", i % 2 == 0, "Paid Off Loan") for i in range(40)]
+    df = spark.createDataFrame(rows, "loanId string, loanAmount double, apr double, nPaidOff double, leadCost double, payFrequency string, state string, leadType string, originated boolean, loanStatus string")
+    pipe = FE.FeaturePipeline({"drop_low_variance": False})
+    spec = pipe.fit(df)
+    assert spec.indicator_columns[0] == "loanAmount_missing" and sorted(spec.indicator_columns) == sorted(f"{c}_missing" for c in C.MISSING_INDICATOR_COLUMNS)
+    assert spec.categorical_features == ["payFrequency"] == spec.encoded
+    assert not set(C.BASE_NUMERIC) & set(spec.numeric_features) and "payFrequency_target_encoded" in spec.numeric_features and spec.ratio_feature
+    base = FE.FeaturePipeline({"drop_low_variance": False}, include_base=True).fit(df)
+    assert base.numeric_features[:4] == list(C.BASE_NUMERIC)
+    full = FE.FeaturePipeline({"drop_low_variance": False}).fit(df.na.fill({"payFrequency": "W"}))
+    assert full.categorical_features == list(C.BASE_CATEGORICAL)
+    assert "ObjectHashAggregate" not in plan_of(pipe.transform(df, spec)) and "HashAggregate" not in plan_of(pipe.transform(df, spec))  # encodings are not computed again
+
+
+def test_release_deletes_scratch_tables(spark):
+    from riskframe import session
+
+    own = dict(session.memo(spark))  # what other tests have fitted stays
+    session.memo(spark)["scratch"] = []
+    kept = session.written(spark.range(3), "kept")
+    path = session.memo(spark)["scratch"][0]
+    assert kept.count() == 3 and io.path_exists(spark, path)
+    assert session.release(spark) == 1 and not io.path_exists(spark, path) and session.release(spark) == 0
+    session.memo(spark).update(own)
