@@ -32,7 +32,7 @@ from .common import LOWER, UPPER, columns_of, materialize, partitions, scratch_p
 
 BATCHES, FANOUT = 4, 3
 SETTLED_ROWS = 500_000      # settled lines up to this number (40 bytes each) are broadcast
-DROPPED_PLACES = 2_000_000  # places of dropped lines (and documents) up to this number are broadcast
+DROPPED_PLACES = 500_000    # places of dropped lines (and documents) up to this number (about 100 bytes each) are broadcast
 BLANK = " \t\n\x0b\x0c\r"
 NO_ID = -(1 << 63)          # stands for a null id, below all others
 
