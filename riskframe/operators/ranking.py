@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import exact_avg
-from ..session import written
+from ..session import kept, written
 
 BROADCAST_MAX_BYTES = 64 << 20
 SKETCH_ACCURACY = 10_000
@@ -160,8 +160,8 @@ def quantiles(df: DataFrame, group_cols: list[str], value_col: str, named: dict[
     cuts = of.where("n > 0").select(*g, F.array(*bound([p - slack for p in probs], "min")).alias("__lo"), F.array(*bound([p + slack for p in probs], "max")).alias("__hi")) \
         .withColumn("__edges", F.array_sort(F.array_distinct(F.concat("__lo", "__hi")))).withColumn("__pairs", F.arrays_zip("__lo", "__hi"))
     within = lambda i: F.exists("__pairs", lambda b: (F.get("__edges", i - 1) >= b["__lo"]) & (F.get("__edges", i) <= b["__hi"]))
-    cuts = written(cuts.select(*g, "__edges", F.transform(F.sequence(F.lit(0), F.size("__edges")), lambda i: F.coalesce((i > 0) & within(i), F.lit(False))).alias("__in")), "brackets")
-    groups = cuts.count()
+    groups = of.where("n > 0").count()
+    cuts = kept(cuts.select(*g, "__edges", F.transform(F.sequence(F.lit(0), F.size("__edges")), lambda i: F.coalesce((i > 0) & within(i), F.lit(False))).alias("__in")), groups, "brackets")
     if not groups:
         return df.select(*g).limit(0).withColumns({n: F.lit(None).cast("double") for n in named})
     base = df.where(F.col(value_col).isNotNull()).select(*g, F.col(value_col).cast("double").alias("__v"))
@@ -178,7 +178,7 @@ def quantiles(df: DataFrame, group_cols: list[str], value_col: str, named: dict[
     ranked = join_small(ranked, counts, g + ["__cell"], groups * (4 * len(probs) + 1))
     upto = F.col("__off") + F.col("cum_n")
     out = _pick(ranked, g, named, F.col("__all"), upto - F.col("n"), upto)
-    out = written(out, "quantiles")
+    out = kept(out, groups, "quantiles")
     missing = functools.reduce(lambda a, b: a | b, [F.col(n).isNull() for n in named])
     if g and out.count() < groups or out.where(missing).limit(1).count():  # a bracket missed
         lost = join_small(cuts.select(*g), out.where(~missing).select(*g, F.lit(True).alias("__found")), g, groups, "left").where("__found IS NULL").select(*g) if g else None

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import md5_bucket
-from ..session import written
+from ..session import kept, written
 from . import ranking
 
 RANKED_KEYS = 100_000  # rows of a stratum's prefix that are ranked at once; more are narrowed further
@@ -45,17 +45,17 @@ def stratified_split(df: DataFrame, key: str, stratum: str, test_size: float = 0
         return hash_split(df, key, test_size)
     n = least["strata"]
     need = sizes.select("__s", F.ceil(F.col("__all") * F.lit(test_size)).alias("need"))
-    cuts = written(_cut(ranking.join_small(counts, need, ["__s"], n)), "split-cuts")
+    cuts = kept(_cut(ranking.join_small(counts, need, ["__s"], n)), n, "split-cuts")
     width = prefix_len
     inside = lambda: ranking.join_small(rows, cuts.select("__s", "__prefix", "need"), ["__s"], n).where(F.col("__h").startswith(F.col("__prefix")))
     while width < DIGITS and cuts.agg(F.max("n")).first()[0] > ranked:
         width = min(DIGITS, width + 2)
         longer = inside().groupBy("__s", F.substring("__h", 1, width).alias("__p")).agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-        cuts = written(_cut(longer), "split-cuts")
+        cuts = kept(_cut(longer), n, "split-cuts")
     # the rows of one full md5 are one key, counted as one
     left = inside().groupBy("__s", "__h", "__k").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
     upto = Window.partitionBy("__s").orderBy("__h", "__k").rowsBetween(Window.unboundedPreceding, 0)
     last = left.withColumn("__cum", F.sum("n").over(upto)).where((F.col("__cum") >= F.col("need")) & (F.col("__cum") - F.col("n") < F.col("need")))
-    last = written(last.select(F.col("__s").alias(stratum), F.struct("__h", "__k").alias("__last")), "split-last")
+    last = kept(last.select(F.col("__s").alias(stratum), F.struct("__h", "__k").alias("__last")), n, "split-last")
     test = F.struct(F.md5(k).alias("__h"), k.alias("__k")) <= F.col("__last")
     return ranking.join_small(df, last, [stratum], n).withColumn("split", F.when(test, "test").otherwise("train")).drop("__last")

@@ -64,6 +64,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+SMALL_ROWS = 1000
+
+
+def kept(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """A result of at most ``rows`` rows, computed once: up to SMALL_ROWS narrow rows as literals of later plans, more as a written table."""
+    if rows > SMALL_ROWS:
+        return written(df, name)
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the scratch tables that this session wrote; returns how many there were. Call it when results have been written: lazy frames
     that read them, and fitted things held in the session, are gone afterwards."""
