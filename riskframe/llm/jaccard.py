@@ -44,7 +44,7 @@ GRID = 512                       # documents compared at once in a large tile
 BLOCK = 2048                     # members of a star that one task of the second pass compares with as many others
 BROADCAST_ROWS = 2_000_000       # id lists up to this counted size are broadcast, longer ones are joined by shuffle
 KEYS_PER_TASK = 2_000_000        # tile keys that one task sorts, about
-SALTS = 16                       # parts of a star's members in the join with its blocks
+SALTS = 16                       # parts of a star's members, and of the rows of one set, in joins
 CHARS = 500_000                  # characters that a task turns into arrays at once
 
 U64 = np.uint64
@@ -360,8 +360,11 @@ def components(documents: DataFrame) -> DataFrame:
     small_batches(spark)
     members = materialize(_sets(documents).select("doc_id", "n", "k1", "k2"), "jac-members")
     real = members.where("n > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"))
-    with_class = materialize(real.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "k1", "cid"), "jac-classes")
+    # equal sets: only those of several rows need their smallest id, and meet it by (set, hash), as one may hold a third of the rows
+    classes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("c")).where("c > 1").select("k1", "k2", "cid") \
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    with_class = materialize(real.select("doc_id", "k1", "k2", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+                             .join(classes, ["k1", "k2", "salt"]).select("doc_id", "k1", "cid"), "jac-classes")
     copies = with_class.where("doc_id <> cid").select("doc_id", "k1").distinct()
     keyed = _sets(documents).where("n > 0 AND doc_id IS NOT NULL").join(_sized(copies), ["doc_id", "k1"], "left_anti") \
         .select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
