@@ -135,12 +135,12 @@ def sketch_error(k: int) -> float:
     return 2.296 / k ** 0.9021
 
 
-def summary(df: DataFrame, group_cols: list[str], value_col: str, k: int = SKETCH_K) -> DataFrame:
-    """One row a group, also of nulls alone: ``n, mean, std, min, max, sketch`` of the values, one aggregate, written once. Sketches of
-    parts (days, runs) merge with ``kll_merge_agg_double``."""
+def summary(df: DataFrame, group_cols: list[str], value_col: str, k: int = SKETCH_K, moments: bool = True) -> DataFrame:
+    """One row a group, also of nulls alone: ``n, mean, std, min, max, sketch`` of the values (mean and std only with ``moments``), one
+    aggregate, written once. Sketches of parts (days, runs) merge with ``kll_merge_agg_double``."""
     g = list(group_cols)
     base = df.select(*g, F.col(value_col).cast("double").alias("__v"))
-    aggs = [F.count("__v").alias("n"), exact_avg("__v").alias("mean"), F.stddev_samp("__v").alias("std"), F.min("__v").alias("min"),
+    aggs = [F.count("__v").alias("n"), *([exact_avg("__v").alias("mean"), F.stddev_samp("__v").alias("std")] if moments else []), F.min("__v").alias("min"),
             F.max("__v").alias("max"), F.kll_sketch_agg_double("__v", k).alias("sketch")]
     return written(base.groupBy(*g).agg(*aggs) if g else base.agg(*aggs), "summary")
 
@@ -153,7 +153,7 @@ def quantiles(df: DataFrame, group_cols: list[str], value_col: str, named: dict[
     2i + 1 the edge itself. One aggregate counts by cell, and by value too where a cell lies inside a bracket; these few values
     are ranked. If a wanted rank falls outside (the sketch was off), that group is ranked whole."""
     g = list(group_cols)
-    of = of if of is not None else summary(df, g, value_col, k)
+    of = of if of is not None else summary(df, g, value_col, k, moments=False)
     probs = sorted({float(p) for p in named.values()})
     slack = 3 * sketch_error(k)
     bound = lambda ps, end: [F.col(end) if (p <= 0 if end == "min" else p >= 1) else F.kll_sketch_get_quantile_double("sketch", F.lit(p)) for p in ps]

@@ -48,7 +48,7 @@ def distribution(df: DataFrame, n_ranges: int | None = None) -> tuple[DataFrame,
     """(distribution, ranges) of the numeric columns, see the module."""
     long = numeric_long(df)
     b = n_ranges if n_ranges is not None else max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    of = ranking.summary(long, ["feature"], "value")
+    of = ranking.summary(long, ["feature"], "value", moments=False)
     probs = F.array(*[F.lit(i / b) for i in range(1, b)])
     edges = F.array_distinct(F.array_sort(F.kll_sketch_get_quantile_double("sketch", probs))) if b > 1 else F.array().cast("array<double>")
     ranges = of.where("n > 0").select("feature", edges.alias("edges"), "n", "sketch")
