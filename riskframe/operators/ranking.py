@@ -166,7 +166,10 @@ def quantiles(df: DataFrame, group_cols: list[str], value_col: str, named: dict[
         return df.select(*g).limit(0).withColumns({n: F.lit(None).cast("double") for n in named})
     base = df.where(F.col(value_col).isNotNull()).select(*g, F.col(value_col).cast("double").alias("__v"))
     base = join_small(base, cuts, g, groups * (1 + 2 * len(probs)))  # a row is as wide as its arrays
-    base = base.withColumn("__i", range_index(F.col("__edges"), F.col("__v"), 2 * len(probs))) \
+    # few edges: comparisons side by side, which compile; more by binary search
+    below = sum((F.coalesce((F.get("__edges", F.lit(i)) < F.col("__v")).cast("int"), F.lit(0)) for i in range(2 * len(probs))), F.lit(0)) \
+        if len(probs) <= 8 else range_index(F.col("__edges"), F.col("__v"), 2 * len(probs))
+    base = base.withColumn("__i", below) \
         .withColumn("__at", F.coalesce(F.get("__edges", F.col("__i")) == F.col("__v"), F.lit(False)))
     cells = base.groupBy(*g, (F.col("__i") * 2 + F.col("__at").cast("int")).alias("__cell"), F.when(F.col("__at") | F.get("__in", F.col("__i")), F.col("__v")).alias("__v")) \
         .agg(F.count(F.lit(1)).alias("__n"))
