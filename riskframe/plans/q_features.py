@@ -11,7 +11,7 @@ from ..operators import stats as ST
 from ..functions.expressions import exact_avg
 from . import sql_views as V
 from .common import SIG, XAVG, inputs, r, scratch_path, sig
-from ..session import memo
+from ..session import memo, written
 from .registry import query
 
 NUM = V.NUMERIC_BASE
@@ -28,9 +28,9 @@ def fitted(spark, sf_dir):
 
 def _fitted(spark, sf_dir):
     loan, clarity, payment = inputs(spark, sf_dir)
-    base = FE.base_frame(loan, clarity, payment)  # lazy; persisted only while the fit scans it
+    base = written(FE.base_frame(loan, clarity, payment), "base")  # joined once; the fit and the steps after it scan the table
     pipe = FE.FeaturePipeline()
-    return base, pipe, pipe.fit(base)
+    return base, pipe, pipe.fit(base, cache=False)
 
 
 @query("fe_missing", V.with_("filled") + "SELECT loanId, " + ", ".join(NUM + IND) + " FROM filled")
@@ -98,9 +98,9 @@ def features_full(spark, sf_dir):
     The oracle fixes the column set the fit decides on this data (low-variance drops: the constant
     hour and two constant indicators, the ratio and the single-category encoding)."""
     loan, clarity, payment = inputs(spark, sf_dir)
-    base = FE.base_frame(loan, clarity, payment)
+    base = written(FE.base_frame(loan, clarity, payment), "base")
     pipe = FE.FeaturePipeline()
-    spec = pipe.fit(base)  # fitted on every call (the step queries share one fit); the base is released after the fit
+    spec = pipe.fit(base, cache=False)  # fitted on every call (the step queries share one fit)
     return pipe.transform(base, spec)
 
 

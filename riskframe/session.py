@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Shuffles start with many partitions, which AQE merges by measured size: a task's share of a large table stays small
+    # enough not to spill, and small tables still end in a few tasks.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "320",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
