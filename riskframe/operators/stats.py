@@ -57,8 +57,8 @@ def corr_with_target(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     return stacked
 
 
-WIDE_PAIRS = 60  # so many correlations go side by side in one aggregate; more would outgrow generated code
-TILE = 7         # columns of a block when there are more: two blocks are a tile of at most TILE * TILE pairs
+WIDE_PAIRS = 16  # so many correlations go side by side in one aggregate; more outgrow generated code and run interpreted
+TILE = 4         # columns of a block when there are more: two blocks are a tile of at most TILE * TILE pairs
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

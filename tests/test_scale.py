@@ -34,3 +34,21 @@ def test_a_fit_and_the_steps_after_it_join_once(spark):
     out = features_full(spark, SF001)
     assert all("/base-" in f or "/encoding-" in f for f in out.inputFiles())
     assert int(DEFAULT_CONF["spark.sql.adaptive.coalescePartitions.initialPartitionNum"]) >= 200
+
+
+def test_correlations_of_an_aggregate_are_few_enough_to_compile(spark, monkeypatch):
+    cols = [f"c{i}" for i in range(11)]
+    df = spark.range(200).select(*[F.when(F.col("id") % (i + 5) != 0, F.sin(F.col("id") * (i + 1))).alias(c) for i, c in enumerate(cols)])
+    most, corr = [0], F.corr
+    real = type(df).agg
+
+    def agg(self, *exprs):
+        most[0] = max(most[0], sum("corr(" in str(e) for e in exprs))
+        return real(self, *exprs)
+
+    monkeypatch.setattr(type(df), "agg", agg)
+    got = {(r["f1"], r["f2"]): r["corr"] for r in ST.corr_matrix(df, cols).collect()}
+    assert 0 < most[0] <= 16 and len(got) == 121
+    pdf = df.toPandas().corr()
+    assert all(v == pytest.approx(pdf.loc[a, b], abs=1e-9) for (a, b), v in got.items())
+    assert corr is F.corr
