@@ -137,7 +137,8 @@ def estimator(label: str = "target", task: str = "regression", params: dict | No
 def fit_model(train: DataFrame, numeric: list[str], categorical: list[str], label: str = "target", task: str | None = None,
               params: dict | None = None, checkpoint_interval: int = 10) -> tuple[PipelineModel, str]:
     """(model, task). The training columns are written once. Preprocessing is fitted on them; the learner then reads only label and vector,
-    one partition a core, persisted for the boosting rounds and released. Class labels are indexed in order of value and turned
+    one partition a core, kept on disk and released: memory belongs to the learner's own binned rows, which every boosting round
+    scans, while the vectors are read a few times before the first one. Class labels are indexed in order of value and turned
     back after prediction."""
     train = written(train.where(F.col(label).isNotNull()).select(label, *dict.fromkeys(c for c in [*numeric, *categorical] if c != label)), "training-rows")
     task = task or choose_task(train, label)
@@ -153,7 +154,7 @@ def fit_model(train: DataFrame, numeric: list[str], categorical: list[str], labe
         back = [IndexToString(inputCol="prediction", outputCol="prediction_label", labels=[repr(v) for v in values])]
     prep = Pipeline(stages=stages).fit(train)
     cores = train.sparkSession.sparkContext.defaultParallelism
-    ready = prep.transform(train).select(on, "features").repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    ready = prep.transform(train).select(on, "features").repartition(cores).persist(StorageLevel.DISK_ONLY)
     try:
         learned = estimator(on, task, params, checkpoint_interval).fit(ready)
     finally:

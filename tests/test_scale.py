@@ -52,3 +52,18 @@ def test_correlations_of_an_aggregate_are_few_enough_to_compile(spark, monkeypat
     pdf = df.toPandas().corr()
     assert all(v == pytest.approx(pdf.loc[a, b], abs=1e-9) for (a, b), v in got.items())
     assert corr is F.corr
+
+
+def test_training_vectors_leave_memory_to_the_learner(spark, monkeypatch):
+    seen = []
+
+    class Learner:
+        def fit(self, ready):
+            seen.append(ready.storageLevel)
+            raise InterruptedError
+
+    monkeypatch.setattr(MD, "estimator", lambda *a: Learner())
+    df = spark.range(60).select((F.col("id") / 60).alias("target"), F.col("id").cast("double").alias("x"))
+    with pytest.raises(InterruptedError):
+        MD.fit_model(df, ["x"], [])
+    assert [(s.useDisk, s.useMemory) for s in seen] == [(StorageLevel.DISK_ONLY.useDisk, False)]
