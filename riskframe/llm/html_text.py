@@ -1,9 +1,10 @@
 """HTML main text by wrapper inference: a union-free regular expression per template of a host, matched to every page.
 
 A page is a stream of tokens (container and block tags; texts). The pages of a host with the same outer containers
-are one template. Up to SAMPLE different streams a template are aligned one after the other: equal tokens stay, differing texts
+are one template. All whole streams of every template make its wrapper: the GROUP most frequent are aligned one after the other, and those
+that the result does not fit, in groups whose results are aligned again, until one is left. Equal tokens stay, differing texts
 are one text slot, a run of equal neighbours becomes a repeated group (X)+, and a part that only some pages have becomes an
-optional group (X)?, until the wrapper no longer changes. Every page is then parsed by its template's wrapper, groups
+optional group (X)?. Every page is then parsed by its template's wrapper, groups
 repeated and left out as the page has it, so that each of its texts lies in a slot: a path of containers and a block tag, and where the
 wrapper has those at several places, the place. A page that the wrapper does not fit takes the places in order.
 
@@ -33,7 +34,6 @@ from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,9 +41,8 @@ from pyspark.sql import functions as F
 from .common import columns_of, materialize, partitions, small_batches
 from .url_filter import split_url
 
-SAMPLE = 8             # different streams a template that its wrapper is inferred from; the counts are over all pages
-TEMPLATES = 32         # templates a host, the most frequent first, that get a wrapper; in others a slot is its path and tag
-SAMPLE_TOKENS = 4000   # tokens of a sampled page that are aligned; matching always reads whole pages
+GROUP = 8              # different streams that are aligned in one go; all streams of a template meet in its wrapper
+ALIGN = 4000 * 4000    # pairs of tokens that are compared at once; longer streams are aligned in pieces
 CONSTANT, CONSTANT_CORE = 3, 8  # different pages on which a text must be the same to be template, outside and inside article elements
 MOST = 0.8             # share of the varying text that makes a container the content
 PERIOD = 16            # longest repeated group that folding looks for
@@ -162,10 +161,10 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], str, str, int]]:
 
 # ---------------------------------------------------------------- wrapper inference
 
-def stream(page: list[tuple[tuple[str, ...], str, str, int]], most: int | None = None) -> list:
-    """Token stream of a page's (first ``most``) blocks: '<x' opens a container, '>x' closes it, 'x#' is a block's text slot."""
+def stream(page: list[tuple[tuple[str, ...], str, str, int]]) -> list:
+    """Token stream of a page's blocks: '<x' opens a container, '>x' closes it, 'x#' is a block's text slot."""
     out, open_ = [], ()
-    for path, tag, _, _ in page[:most]:
+    for path, tag, _, _ in page:
         same = 0
         while same < min(len(path), len(open_)) and path[same] == open_[same]:
             same += 1
@@ -196,6 +195,11 @@ def fold(seq: list) -> list:
     return seq
 
 
+def unfold(seq: list) -> list:
+    """A stream that folds to ``seq``, never longer than the folded one was: a run twice."""
+    return [y for x in seq for y in (2 * unfold(x[1]) if isinstance(x, tuple) else [x])]
+
+
 def _absorb(seq: list, bodies: set[tuple]) -> list:
     """Single occurrences of a group that repeats elsewhere count as that group."""
     for body in sorted(bodies, key=len):
@@ -217,27 +221,59 @@ def _bodies(seq: list) -> set[tuple]:
     return {x[1] for x in seq if isinstance(x, tuple) and x[0] == "+"}
 
 
+def _opcodes(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
+    """Opcodes of an alignment of all of both. Beyond ALIGN pairs it is made of pieces between tokens that both have once, or else of halves."""
+    if len(a) * len(b) <= ALIGN:
+        return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    in_a, in_b = Counter(a), Counter(b)
+    at = {x: k for k, x in enumerate(b) if in_b[x] == 1}
+    ends, chain = [], []  # longest ascending chain of such tokens: the smallest end of each length, and every token with its forerunner
+    last: list[int] = []
+    for i, x in enumerate(a):
+        if in_a[x] == 1 and x in at:
+            n = bisect_left(ends, at[x])
+            ends[n:n + 1], last[n:n + 1] = [at[x]], [len(chain)]
+            chain.append((i, at[x], last[n - 1] if n else None))
+    cuts, now = [], last[-1] if last else None
+    while now is not None:
+        i, k, now = chain[now]
+        cuts.append((i, k, 1))
+    out, i, k = [], 0, 0
+    for j, m, n in [*(reversed(cuts) if cuts else [(len(a) // 2, len(b) // 2, 0)]), (len(a), len(b), 0)]:
+        out += [(op, i + w, i + x, k + y, k + z) for op, w, x, y, z in _opcodes(a[i:j], b[k:m])]
+        if n:
+            out.append(("equal", j, j + 1, m, m + 1))
+        i, k = j + n, m + n
+    return out
+
+
+def _optional(x: tuple | str) -> bool:
+    return isinstance(x, tuple) and x[0] == "?"
+
+
 def merge(wrapper: list, page: list) -> list:
-    """The wrapper that fits both: mismatches become optional or repeated groups."""
+    """The wrapper that fits both, a wrapper and a page or another wrapper: mismatches become optional or repeated groups."""
     plain = [x for x in wrapper]
     both = _bodies(plain) | _bodies(page)
     a, b = _absorb(plain, both), _absorb(page, both)
-    keys = [x[1][0] if isinstance(x, tuple) and x[0] == "?" and len(x[1]) == 1 else x for x in a]
+    bare = lambda seq: [x[1][0] if _optional(x) and len(x[1]) == 1 else x for x in seq]
     out = []
-    for op, i, j, k, m in SequenceMatcher(None, keys, b, autojunk=False).get_opcodes():
+    for op, i, j, k, m in _opcodes(bare(a), bare(b)):
         if op == "equal":
-            out += a[i:j]
+            out += [y if _optional(y) else x for x, y in zip(a[i:j], b[k:m])]
             continue
-        if j > i:
-            out += [x if isinstance(x, tuple) and x[0] == "?" else ("?", (x,)) for x in a[i:j]]
-        if m > k:
-            out += [("?", (x,)) for x in b[k:m]]
+        out += [x if _optional(x) else ("?", (x,)) for x in [*a[i:j], *b[k:m]]]
     return out
 
 
 def infer(pages: list[list]) -> list:
     """Wrapper of the pages' streams, iterated until it is stable."""
-    streams = sorted((fold(p) for p in pages), key=len)
+    return unite([fold(p) for p in pages])
+
+
+def unite(folded: list[list]) -> list:
+    """Wrapper of folded streams or of wrappers, iterated until it is stable."""
+    streams = sorted(folded, key=len)
     wrapper = streams[0] if streams else []
     for _ in range(3):
         before = wrapper
@@ -461,29 +497,83 @@ def wrappers(pages: DataFrame) -> DataFrame:
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 page = list(blocks(html or ""))
                 if page:
-                    got[host, template_of(page), json.dumps(fold(stream(page, SAMPLE_TOKENS)))] += 1
+                    got[host, template_of(page), json.dumps(fold(stream(page)))] += 1
             if got:
                 yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in got], pa.string()) for i in range(3)), pa.array(list(got.values()), pa.int64())],
                                                  ["host", "template", "stream", "n"])
 
     seen = pages.select("host", "html").mapInArrow(read, "host string, template string, stream string, n long") \
         .groupBy("host", "template", "stream").agg(F.sum("n").alias("n"))
+    keys = ["host", "template"]
     seen = materialize(seen.withColumn("h", F.xxhash64("stream")), "html-streams")
-    often = seen.groupBy("host", "template").agg(F.sum("n").alias("pages")) \
-        .withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "template"))).where(F.col("rank") <= TEMPLATES)
-    pick = seen.withColumn("rank", F.row_number().over(Window.partitionBy("host", "template").orderBy(F.desc("n"), "h"))).where(F.col("rank") <= SAMPLE) \
-        .drop("rank").join(often.select("host", "template"), ["host", "template"], "left_semi")
-
-    def learn(df: pd.DataFrame) -> pd.DataFrame:
-        made = {}
-        for template, rows in df.sort_values(["template", "h"]).groupby("template"):
-            wrapper = infer([[_thaw(x) for x in json.loads(s)] for s in rows["stream"]])
-            order = slots(wrapper)
-            if len(set(order)) < len(order):
-                made[template] = wrapper
-        return pd.DataFrame({"host": [df["host"].iloc[0]], "orders": [json.dumps(made)]})
-
-    return pick.groupBy("host").applyInPandas(learn, "host string, orders string").where("orders <> '{}'")
+    first = seen.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "h"))).where(F.col("rank") <= GROUP)
+    made = materialize(_united(first, keys, infer), "html-first")
+    # of templates with more streams, those that the first wrapper does not fit are aligned group by group, in rounds
+    many = seen.groupBy(*keys).agg(F.count("*").alias("streams")).where(F.col("streams") > GROUP)
+    rest = materialize(seen.select(*keys, "stream", "h").join(many.select(*keys), keys, "left_semi").join(made.withColumnRenamed("stream", "wrapper"), keys)
+                       .select(*keys, "stream", "h", "wrapper").mapInArrow(_unfit, "host string, template string, stream string, h long"), "html-unfit")
+    size = rest.groupBy(*keys).agg(F.count("*").alias("size"))
+    most = size.agg(F.max("size")).first()[0]
+    while most and most > 1:
+        dealt = rest.join(size, keys).withColumn("part", F.pmod("h", F.ceil(F.col("size") / GROUP)))
+        rest = materialize(_united(dealt, [*keys, "part"], unite).select(*keys, "stream", F.xxhash64("stream").alias("h")), "html-united")
+        size = rest.groupBy(*keys).agg(F.count("*").alias("size"))
+        most = size.agg(F.max("size")).first()[0]
+    if most:
+        both = made.join(rest.select(*keys), keys, "left_semi").select(*keys, "stream", F.lit(0).cast("long").alias("h")).unionByName(rest.withColumn("h", F.lit(1).cast("long")))
+        made = made.join(rest.select(*keys), keys, "left_anti").unionByName(_united(both, keys, unite))
+    cell = F.concat(F.lit('"'), "template", F.lit('": '), "stream")
+    return made.mapInArrow(_several, "host string, template string, stream string") \
+        .groupBy("host").agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(cell)), ", "), F.lit("}")).alias("orders"))
+
+
+def _united(streams: DataFrame, keys: list[str], work: Callable[[list], list]) -> DataFrame:
+    """host, template, stream (JSON): for every group of ``keys`` (host, template, ...) what ``work`` makes of its streams in order of h."""
+    n, ddl = len(keys), "host string, template string, stream string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (*now[:2], json.dumps(work([_thawed(raw) for raw in group])))], ["host", "template", "stream"])
+        for b in batches:
+            for *key, raw in zip(*(c.to_pylist() for c in b.columns[:n + 1])):
+                if key != now:
+                    if group:
+                        yield row()
+                    now, group = key, []
+                group.append(raw)
+        if group:
+            yield row()
+
+    return streams.select(*keys, "stream", "h").repartition(partitions(streams.sparkSession), *keys).sortWithinPartitions(*keys, "h").mapInArrow(run, ddl)
+
+
+def _thawed(raw: str) -> list:
+    return [_thaw(x) for x in json.loads(raw)]
+
+
+def _unfit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose stream the wrapper (fifth column) does not parse."""
+    templates: dict[str, Template] = {}
+    for b in batches:
+        lost = []
+        for i, (name, raw, wrapper) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist())):
+            if wrapper not in templates:
+                if len(templates) > 500:
+                    templates.clear()
+                templates[wrapper] = Template(_thawed(wrapper), name)
+            if templates[wrapper].parse(unfold(_thawed(raw))) is None:
+                lost.append(i)
+        if lost:
+            yield b.select([0, 1, 2, 3]).take(pa.array(lost))
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrappers with a path and tag at several places."""
+    for b in batches:
+        orders = [slots(_thawed(raw)) for raw in b.column(2).to_pylist()]
+        kept = [i for i, order in enumerate(orders) if len(set(order)) < len(order)]
+        if kept:
+            yield b.take(pa.array(kept))
 
 
 class _Parsed(dict):

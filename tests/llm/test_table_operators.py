@@ -468,3 +468,37 @@ def test_pipeline_on_hard_tables(spark):
     model = langid.fit(train, F.lit(True))
     assert secrets.mask(langid.keep(bare, model)).first()["Text"] == "<assign> and more of it"
     assert langid.keep(bare.drop("Text"), model).count() == 0 and secrets.mask(bare.drop("Text")).count() == 1
+
+
+def _orders(spark, pages):
+    """host -> template -> wrapper ready to parse; pages: (host, html)."""
+    import json
+    rows = spark.createDataFrame(pages, "host string, html string")
+    return {r["host"]: {k: html_text.Template([html_text._thaw(x) for x in w], k) for k, w in json.loads(r["orders"]).items()} for r in html_text.wrappers(rows).collect()}
+
+
+def test_wrappers_come_from_all_streams_templates_and_tokens(spark):
+    """More different streams than are aligned at once, more templates than 32 a host, pages of more than 4000 tokens."""
+    parts = [f"<ul class=part{c}><li>t</li></ul>" for c in "abcdef"]
+    mixed = ["<body><p>Lead</p>" + "".join(p for i, p in enumerate(parts) if k >> i & 1) + "<h2>x</h2><p>Last</p></body>" for k in range(64)]
+    boxes = [f"<body><div class=box{'abcdefgh'[k // 8]}{'abcdefgh'[k % 8]}><p>Lead</p><h2>x</h2><p>Last</p></div></body>" for k in range(40)]
+    names = [f"x{a}{b}{c}" for a in "abcdefghij" for b in "abcdefghijklmnopqrstu" for c in "abcdefghijklmnopqrstu"][:4100]
+    long = "<body><p>Lead</p>" + "".join(f"<ul class={n}><li>t</li></ul>" for n in names) + "<h2>x</h2><p>Last</p></body>"
+    got = _orders(spark, [("mixed", h) for h in mixed] + [("boxes", h) for h in boxes] + [("long", long)])
+    assert len(got["boxes"]) == 40
+    for host, pages in (("mixed", mixed), ("boxes", boxes), ("long", [long])):
+        for h in pages:
+            page = list(html_text.blocks(h))
+            parsed = got[host][html_text.template_of(page)].parse(html_text.stream(page))
+            assert parsed is not None and len(parsed) == len(page), host
+            assert parsed[0] != parsed[-1]
+
+
+def test_long_streams_are_aligned_in_pieces(monkeypatch):
+    a = [f"{t}#" for t in "ababacXbbabYacab" * 3 + "Zcc"]
+    b = [f"{t}#" for t in "abYabXbabacab" * 3 + "aZc"]
+    monkeypatch.setattr(html_text, "ALIGN", 20)
+    ops = html_text._opcodes(a, b)
+    assert [x for op, i, j, _, _ in ops for x in a[i:j]] == a and [x for op, _, _, k, m in ops for x in b[k:m]] == b
+    assert all(a[i:j] == b[k:m] for op, i, j, k, m in ops if op == "equal") and ("equal" in {o[0] for o in ops})
+    assert html_text.unfold(html_text.fold(["p#"] * 9 + ["h2#"])) == ["p#", "p#", "h2#"]
