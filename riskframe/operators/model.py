@@ -6,9 +6,10 @@
 * categorical: ``StringIndexer(handleInvalid='keep', alphabetAsc)`` + ``OneHotEncoder(dropLast=True)``:
   an unseen category becomes the all-zero vector. Columns of more than WIDE_LABELS values are indexed by a table
   (value, index) that never passes through the driver and is joined by key; the one-hot vectors are sparse either way;
-* ``VectorAssembler`` -> GBT (regression target; two classes -> GBTClassifier; more -> random forest).
+* ``VectorAssembler`` -> boosted trees (regression target, two classes; configured as MLlib's GBT, learned by ``boosting``) or, for
+  more classes, MLlib's random forest.
 
-Training runs on the executors; GBT checkpoints its lineage every ``checkpointInterval`` iterations to
+Training runs on the executors; boosting checkpoints its state every ``checkpointInterval`` iterations to
 the shared checkpoint directory, so a lost executor does not replay the whole boosting history.
 """
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import exact_avg
 from ..session import shared_path, written
 from . import ranking, stats
+from .boosting import Boosted
 
 # Pipeline configuration of the boosted trees (fixed values of the configuration file).
 WIDE_LABELS = 10_000  # columns of more values are indexed by a table instead of by labels in the driver
@@ -121,11 +123,11 @@ def estimator(label: str = "target", task: str = "regression", params: dict | No
     """The learner of a task. Classifiers expect an indexed label (0, 1, ...)."""
     p = {"maxMemoryInMB": 1024, **(params or {})}  # all nodes of a level in one pass
     if task == "regression":
-        est = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction",
-                           checkpointInterval=checkpoint_interval, **p)
+        est = Boosted(GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction",
+                                   checkpointInterval=checkpoint_interval, **p))
     elif task == "binary":
-        est = GBTClassifier(featuresCol="features", labelCol=label, predictionCol="prediction",
-                            checkpointInterval=checkpoint_interval, **p)
+        est = Boosted(GBTClassifier(featuresCol="features", labelCol=label, predictionCol="prediction",
+                                    checkpointInterval=checkpoint_interval, **p))
     else:
         keep = {k: v for k, v in p.items() if k in ("maxDepth", "minInstancesPerNode", "subsamplingRate",
                                                     "featureSubsetStrategy", "seed", "maxMemoryInMB")}
@@ -137,7 +139,7 @@ def estimator(label: str = "target", task: str = "regression", params: dict | No
 def fit_model(train: DataFrame, numeric: list[str], categorical: list[str], label: str = "target", task: str | None = None,
               params: dict | None = None, checkpoint_interval: int = 10) -> tuple[PipelineModel, str]:
     """(model, task). The training columns are written once. Preprocessing is fitted on them; the learner then reads only label and vector,
-    one partition a core, kept on disk and released: memory belongs to the learner's own binned rows, which every boosting round
+    kept on disk and released: memory belongs to the learner's own binned rows, which every boosting round
     scans, while the vectors are read a few times before the first one. Class labels are indexed in order of value and turned
     back after prediction."""
     train = written(train.where(F.col(label).isNotNull()).select(label, *dict.fromkeys(c for c in [*numeric, *categorical] if c != label)), "training-rows")
@@ -153,8 +155,10 @@ def fit_model(train: DataFrame, numeric: list[str], categorical: list[str], labe
         train = index.transform(train)
         back = [IndexToString(inputCol="prediction", outputCol="prediction_label", labels=[repr(v) for v in values])]
     prep = Pipeline(stages=stages).fit(train)
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    ready = prep.transform(train).select(on, "features").repartition(cores).persist(StorageLevel.DISK_ONLY)
+    ready = prep.transform(train).select(on, "features")
+    if task == "multiclass":  # MLlib's learner: one partition a core
+        ready = ready.repartition(train.sparkSession.sparkContext.defaultParallelism)
+    ready = ready.persist(StorageLevel.DISK_ONLY)
     try:
         learned = estimator(on, task, params, checkpoint_interval).fit(ready)
     finally:

@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Options every job relies on. AQE coalesces small shuffle partitions and splits skewed join
@@ -83,11 +84,16 @@ def release(spark: SparkSession) -> int:
     paths = memo(spark).pop("scratch", [])
     memo(spark).clear()
     for path in paths:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        delete(spark.sparkContext, path)
     return len(paths)
 
 
+def delete(sc: SparkContext, path: str) -> None:
+    """Delete a file or folder of the shared storage."""
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, however often they are read, and kept if executors are lost."""
     path = shared_path(df.sparkSession, name)
