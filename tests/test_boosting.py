@@ -1,5 +1,8 @@
 """Boosting by histograms: the sums of a level, equality with MLlib where nothing is drawn, the size of a cached row."""
 
+import os
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -69,3 +72,49 @@ def test_a_cached_row_has_a_byte_a_slot():
     with pytest.raises(ValueError):
         list(BO.binned(cuts, 400)([pa.RecordBatch.from_pydict({"label": [np.nan], "features": pa.array([x[0]])})]))
     assert isinstance(MD.estimator(), BO.Boosted) and isinstance(MD.estimator(task="binary"), BO.Boosted)
+
+
+def learned(spark, rows, together, monkeypatch, held=None, **more):
+    """(trees, Spark jobs) of 5 rounds, 3 a barrier job, over chunks of 100 rows in 3 tasks."""
+    monkeypatch.setattr(BO, "CHUNK_ROWS", 100)
+    g = np.random.default_rng(5)
+    x = np.stack([g.random(rows), g.random(rows), g.integers(0, 2, rows), g.random(rows), g.integers(0, 3, rows)], 1)
+    y = np.sin(6 * x[:, 0]) + x[:, 1] * x[:, 2] + g.random(rows) / 4
+    cuts = {s: BO.cut_points(x[:, s], 32) for s in range(5)}
+    batches = [pa.RecordBatch.from_pydict({"label": y[i:i + 100], "features": pa.array(list(x[i:i + 100]))}) for i in range(0, rows, 100)]
+    chunks = [r for b in BO.binned(cuts, 100)(batches) for r in b.to_pylist()]
+    if held is not None:
+        monkeypatch.setattr(BO.rounds, "__defaults__", (held,))
+    p = {"loss": "squared", "trees": 5, "step": 0.1, "depth": 4, "least": 5, "min_gain": 0.0, "rate": 0.8, "share": 0.8, "seed": 7, "checkpoint": 3, **more}
+    if p["loss"] == "logistic":
+        chunks = [{**c, "label": np.where(np.frombuffer(c["label"]) > 0.7, 1.0, -1.0).tobytes()} for c in chunks]
+    sc = spark.sparkContext
+    group = f"learned-{uuid.uuid4().hex}"
+    sc.setJobGroup(group, "")
+    trees = BO.boost(sc.parallelize(chunks, 2), 3, cuts, 5, p, together)
+    jobs = len(sc.statusTracker().getJobIdsForGroup(group))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    return trees, jobs
+
+
+@pytest.mark.parametrize("rows, held, more", [(1000, None, {}), (1000, 700, {}), (150, None, {}), (1000, None, {"loss": "logistic"}), (1000, None, {"checkpoint": -1, "rate": 1.0})])
+def test_rounds_in_one_job_give_the_same_trees_as_a_job_a_level(spark, monkeypatch, rows, held, more):
+    """Also with bins in a file, with a task that has no chunk, and with nothing left in the shared folder."""
+    folder = f"{BO.common_folder(spark)}/riskframe-scratch"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    one, few = learned(spark, rows, True, monkeypatch, held, **more)
+    two, many = learned(spark, rows, False, monkeypatch, **more)
+    assert repr(one) == repr(two) and len(one) == 5 and all(t[0] for t in one)
+    assert few <= 10 and many > 5 * 4
+    assert not [f for f in set(os.listdir(folder)) - before if f.startswith("boosting-exchange")]
+
+
+def test_training_runs_its_rounds_together(spark):
+    df = frame(spark)
+    sc = spark.sparkContext
+    sc.setJobGroup("together", "")
+    BO.Boosted(GBTRegressor(labelCol="y", maxIter=20, maxDepth=4, seed=7)).fit(df)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("together"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 40  # a job a level: 80 and more
+    assert BO.fits_together(spark, 1, 1000) and not BO.fits_together(spark, 10_000, 1000) and not BO.fits_together(spark, 1, BO.HELD_ROWS + 1)
