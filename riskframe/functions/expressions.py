@@ -93,23 +93,26 @@ def md5_bucket(key, n: int) -> Column:
 # arrive in, so the same query on two partitionings (or two engines) can differ in the last bits. Where every
 # value of a group is, to within EXACT_TOL of itself, a decimal of at most EXACT_SCALE places and below EXACT_MAX
 # (amounts, products of amounts and rates, scores), the sum is exact: fixed-point values as three 21-bit limbs in plain long sums, recombined once per group
-# in decimal arithmetic. Any other group (larger, finer or NaN values) gets the plain double sum, so nothing is
+# in decimal arithmetic, or, where the sum of the fixed-point values is below 2 ** 53, in whole numbers and one division of doubles, which
+# rounds the same way. Any other group (larger, finer or NaN values) gets the plain double sum, so nothing is
 # clamped, rounded away or turned into 0; queries round such results to significant digits.
 EXACT_SCALE = 9
 EXACT_MAX = 9.2e9
 EXACT_TOL = 1e-13
 _LIMB = 21
 _MASK = (1 << _LIMB) - 1
+_SMALL = 10, 30, 51  # bits of the limbs' sums that together stay below 2 ** 53
 
 
 def _exact_sum_sql(x: str, scale: int) -> str:
     x = f"CAST({x} AS DOUBLE)"
     v = f"floor({x} * {float(10 ** scale)!r} + 0.5D)"
     d = "decimal(38,0)"
-    total = (f"CAST(sum(shiftright({v}, {2 * _LIMB})) AS {d}) * CAST({1 << (2 * _LIMB)} AS {d}) + "
-             f"CAST(sum(shiftright({v}, {_LIMB}) & {_MASK}) AS {d}) * CAST({1 << _LIMB} AS {d}) + "
-             f"CAST(sum({v} & {_MASK}) AS {d})")
-    exact = f"CAST(CAST({total} AS decimal(29,0)) / CAST({10 ** scale} AS decimal(10,0)) AS DOUBLE)"
+    hi, mid, lo = f"sum(shiftright({v}, {2 * _LIMB}))", f"sum(shiftright({v}, {_LIMB}) & {_MASK})", f"sum({v} & {_MASK})"
+    total = f"CAST({hi} AS {d}) * CAST({1 << (2 * _LIMB)} AS {d}) + CAST({mid} AS {d}) * CAST({1 << _LIMB} AS {d}) + CAST({lo} AS {d})"
+    small = " AND ".join(f"abs({a}) < {1 << b}" for a, b in zip((hi, mid, lo), _SMALL))
+    whole = f"CAST({hi} * {1 << (2 * _LIMB)} + {mid} * {1 << _LIMB} + {lo} AS DOUBLE) / {float(10 ** scale)!r}D"
+    exact = f"CASE WHEN {small} THEN {whole} ELSE CAST(CAST({total} AS decimal(29,0)) / CAST({10 ** scale} AS decimal(10,0)) AS DOUBLE) END"
     fits = f"bool_and(abs({x}) < {EXACT_MAX!r}D AND abs(CAST({v} AS DOUBLE) / {float(10 ** scale)!r}D - {x}) <= {EXACT_TOL!r}D * abs({x}))"
     return f"CASE WHEN {fits} THEN {exact} ELSE sum({x}) END"
 
@@ -125,9 +128,11 @@ def exact_sum(col, scale: int = EXACT_SCALE) -> Column:
     mid = F.shiftright(v, _LIMB).bitwiseAND(F.lit(_MASK))
     hi = F.shiftright(v, 2 * _LIMB)
     d = "decimal(38,0)"
-    total = (F.sum(hi).cast(d) * F.lit(1 << (2 * _LIMB)).cast(d)
-             + F.sum(mid).cast(d) * F.lit(1 << _LIMB).cast(d) + F.sum(lo).cast(d))
-    exact = (total.cast("decimal(29,0)") / F.lit(10 ** scale).cast("decimal(10,0)")).cast("double")
+    hi, mid, lo = F.sum(hi), F.sum(mid), F.sum(lo)
+    total = hi.cast(d) * F.lit(1 << (2 * _LIMB)).cast(d) + mid.cast(d) * F.lit(1 << _LIMB).cast(d) + lo.cast(d)
+    small = (F.abs(hi) < F.lit(1 << _SMALL[0])) & (F.abs(mid) < F.lit(1 << _SMALL[1])) & (F.abs(lo) < F.lit(1 << _SMALL[2]))
+    whole = (hi * F.lit(1 << (2 * _LIMB)) + mid * F.lit(1 << _LIMB) + lo).cast("double") / unit
+    exact = F.when(small, whole).otherwise((total.cast("decimal(29,0)") / F.lit(10 ** scale).cast("decimal(10,0)")).cast("double"))
     fits = F.bool_and((F.abs(c) < F.lit(EXACT_MAX)) & (F.abs(v.cast("double") / unit - c) <= F.lit(EXACT_TOL) * F.abs(c)))
     return F.when(fits, exact).otherwise(F.sum(c))
 

@@ -433,16 +433,15 @@ class Boosted:
         est = self.est
         spark, label, classes = df.sparkSession, est.getLabelCol(), isinstance(est, GBTClassifier)
         cores = spark.sparkContext.defaultParallelism
-        first = df.select("features").first()
-        if first is None:
+        n = df.count()  # first: it fills a cache by all tasks
+        if not n:
             raise ValueError("no training rows")
-        n_slots = first[0].size
+        n_slots = df.select("features").first()[0].size
         share = self.slots_of_node(n_slots)
         if n_slots > MOST_SLOTS or share is None or est.getMaxBins() > 256:
             return est.fit(df.repartition(cores))
         y = F.col(label).cast("double")
         rows = df.select((2 * y - 1 if classes else y).alias("label"), vector_to_array("features").alias("features"))
-        n = df.count()
         seed, bins, most = est.getSeed() & 0xFFFFFFFF, min(est.getMaxBins(), n), max(est.getMaxBins() ** 2, SAMPLED)
         sample = np.array([r[0] for r in (rows if n <= most else rows.sample(False, most / n, seed)).select("features").collect()])
         cuts = {s: c for s, c in ((s, cut_points(sample[:, s], bins)) for s in range(n_slots)) if len(c)}

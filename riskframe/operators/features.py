@@ -6,7 +6,7 @@ drops and the final feature lists. ``transform`` is then a pure projection plus
 scored row gets exactly the columns and fill values of the training batch (no train/serve skew).
 
 Aggregation passes at fit: one multi-expression ``agg`` (null counts, min of loanAmount), one distributed
-exact-median job over all numeric columns (``ranking.quantiles_of``), one ``groupBy`` per encoded
+exact-median job over all numeric columns (``ranking.column_quantiles``), one ``groupBy`` per encoded
 category column, one ``agg`` of sample variances.
 """
 
@@ -191,12 +191,9 @@ class FeaturePipeline:
             extra.append(F.avg(F.col("originated").cast("int")).alias("__target_mean"))
         row = base.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in num + strs], *extra).first()
         nulls = {c: int(row[c] or 0) for c in num + strs}
-        # Pass 2: exact medians of every numeric column (distributed, two-level ranking).
+        # Pass 2: exact medians of every numeric column (sketches, then counts).
         if num:
-            long = base.select(*[F.col(c).cast("double").alias(c) for c in num]).unpivot(
-                [], num, "feature", "value")
-            med = ranking.quantiles_of(long, ["feature"], "value", [0.5])
-            spec.medians = {k[0]: q for (k, _), q in med.items()}  # one value per column
+            spec.medians = ranking.column_quantiles(base, num, 0.5)
         # Running feature lists, in the order the steps add them.
         numeric_features: list[str] = []
         if "clearfraudscore" in base.columns:

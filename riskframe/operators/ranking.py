@@ -220,6 +220,41 @@ def quantiles_of(df: DataFrame, group_cols: list[str], value_col: str, probs: li
     return {(tuple(r[c] for c in group_cols), round(p, 12)): r[n] for r in rows for n, p in named.items()}
 
 
+def column_quantiles(df: DataFrame, columns: list[str], p: float, k: int = SKETCH_K) -> dict[str, float]:
+    """``quantiles`` of numeric columns side by side, at one probability; columns without values are absent.
+
+    As there, a sketch brackets the order statistics and one more aggregate counts, here the values below each column's bracket and on its two edges.
+    Only values strictly inside a bracket become rows of their own. The driver gets a few numbers a column."""
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    at, slack = range(len(columns)), 3 * sketch_error(k)
+    of = values.agg(*[f(f"v{i}").alias(f"{n}{i}") for i in at for n, f in (("n", F.count), ("min", F.min), ("max", F.max))],
+                    *[F.kll_sketch_agg_double(f"v{i}", k).alias(f"sketch{i}") for i in at])
+    edge = lambda i, q, end: F.when(F.col(f"n{i}") > 0, F.col(f"{end}{i}") if not 0 < q < 1 else F.kll_sketch_get_quantile_double(f"sketch{i}", F.lit(q)))
+    row = of.select(*[f"n{i}" for i in at], *[edge(i, q, end).alias(f"{name}{i}") for i in at for name, q, end in (("lo", p - slack, "min"), ("hi", p + slack, "max"))]).first()
+    there = [i for i in at if row[f"n{i}"]]
+    if not there:
+        return {}
+    lo, hi = ({i: row[f"{name}{i}"] + 0.0 for i in there} for name in ("lo", "hi"))
+    n = lambda test, name: F.count(F.when(test, 1)).alias(name)
+    counts = values.agg(*[x for i in there for x in (n(F.col(f"v{i}") < lo[i], f"below{i}"), n(F.col(f"v{i}") == lo[i], f"lo{i}"), n(F.col(f"v{i}") == hi[i], f"hi{i}"))]).first()
+    edges = {(i, v): counts[f"{name}{i}"] for i in there for name, v in (("lo", lo[i]), ("hi", hi[i]))}
+    rows = df.sparkSession.createDataFrame([(i, v, c) for (i, v), c in edges.items() if c], "c int, v double, n long")
+    wide = [i for i in there if lo[i] < hi[i]]
+    if wide:
+        one = F.array_compact(F.array(*[F.when((F.col(f"v{i}") > lo[i]) & (F.col(f"v{i}") < hi[i]), F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v"))) for i in wide]))
+        inside = values.select(F.explode(one).alias("s")).groupBy("s.c", "s.v").agg(F.count(F.lit(1)).alias("n"))
+        rows = written(inside, "cells").unionByName(rows)
+    ranked = cumulative_counts(rows, ["c"], "v", {"n": F.col("n")})
+    before = df.sparkSession.createDataFrame([(i, counts[f"below{i}"], row[f"n{i}"]) for i in there], "c int, off long, all long")
+    upto = F.col("off") + F.col("cum_n")
+    found = _pick(join_small(ranked, before, ["c"], len(there)), ["c"], {"q": p}, F.col("all"), upto - F.col("n"), upto).where("q IS NOT NULL")
+    out = {r["c"]: r["q"] for r in found.collect()}
+    for i in there:
+        if i not in out:  # a bracket missed
+            out[i] = quantiles_wide(values.select(F.lit(i).alias("c"), f"v{i}"), ["c"], f"v{i}", {"q": p}).first()["q"]
+    return {columns[i]: out[i] for i in there}
+
+
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
                     n_ranges: int | None = None) -> DataFrame:
     """Long form of ``quantiles_wide``: ``group_cols, p, q``."""

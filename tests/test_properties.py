@@ -127,3 +127,42 @@ def test_bracketed_quantiles_match_pandas(spark):
     hot = spark.createDataFrame([(1.0,)] * 3000 + [(float(i),) for i in range(6000)], "v double")
     q = ranking.quantiles_of(hot, [], "v", [0.5])
     assert q[((), 0.5)] == pytest.approx(pd.Series([1.0] * 3000 + list(range(6000))).quantile(0.5))
+
+
+def test_column_quantiles_match_pandas_without_a_row_per_column(spark):
+    """Nulls, hot values, other numeric types, a name with a dot; a coarse sketch that misses is made good."""
+    df, pdf = _random_frame(spark, 5000, 9)
+    more = df.withColumns({"hot": F.when(F.col("v") > 0, 1.0).otherwise(F.round("v", 1)), "none": F.lit(None).cast("double"), "a.b": (F.col("v") * 7).cast("int"), "same": F.lit(3)})
+    cols = ["v", "hot", "none", "a.b", "same"]
+    local = more.select(*[F.col(f"`{c}`") for c in cols]).toPandas()
+    for p, k in ((0.5, 4000), (0.5, 8), (0.0, 4000), (0.9, 16), (1.0, 4000)):
+        got = ranking.column_quantiles(more, cols, p, k)
+        assert list(got) == ["v", "hot", "a.b", "same"]
+        assert all(q == pytest.approx(local[c].dropna().astype(float).quantile(p), rel=1e-12, abs=1e-12) for c, q in got.items())
+    assert ranking.column_quantiles(more, ["none"], 0.5) == {}
+
+
+def test_a_fit_takes_its_medians_from_the_columns(spark, monkeypatch):
+    """No unpivoted copy of the frame, which has a row per value."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(*_):
+        raise AssertionError("unpivoted")
+
+    monkeypatch.setattr(DataFrame, "unpivot", refuse)
+    df = spark.range(50).select(F.col("id").cast("double").alias("loanAmount"), F.when(F.col("id") > 9, F.col("id") % 7).alias("apr"), F.lit("x").alias("state"))
+    assert FE.FeaturePipeline().fit(df).medians == {"loanAmount": 24.5, "apr": 3.0}
+
+
+def test_exact_sum_rounds_the_same_below_and_above_whole_doubles(spark):
+    """Sums of fixed-point values below 2 ** 53 are divided as doubles, larger ones as decimals: both the nearest double."""
+    import math
+    from fractions import Fraction
+    rnd = random.Random(4)
+    groups = {i: [round(rnd.uniform(-m, m), d) for _ in range(9)] for i, (m, d) in enumerate([(1e-3, 9), (100, 4), (1e4, 5), (2e6, 2), (4.4e6, 2), (9e6, 3), (9e9, 2)] * 30)}
+    groups |= {1000: [9007199.254740992], 1001: [9007199.254740993], 1002: [-9007199.254740993], 1003: [4398046.511104] * 2, 1004: [0.0], 1005: [-1e-9]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g int, v double")
+    got = df.groupBy("g").agg(exact_sum("v").alias("a"), exact_sum(F.col("v")).alias("b"))
+    for g, a, b in got.collect():
+        assert a == b == float(Fraction(sum(math.floor(v * 1e9 + 0.5) for v in groups[g]), 10 ** 9)), g
+    assert f"< {1 << 51}" in got._jdf.queryExecution().toString()
